@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veloframe.llm import bpe, mixing, quantiles
+from veloframe.llm import bpe, mixing, quantiles, reading
 from veloframe.storage import materialize
 
 POINTS = [0.5, 0.9, 0.95, 0.99]
@@ -62,7 +62,25 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(counts, mixing.mix(counts, targets, "doc_id")[0], targets)
 
 
+def _levels(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    return reading.grade(documents, reading.train(documents, table(spark, sf, "reading_labels")))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _levels(spark, sf).filter(F.col("reading_level") == reading.LEVELS).select("doc_id")
+
+
+def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return _levels(spark, sf)
+
+
+def p9_validation(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    return reading.validation(reading.train(documents, table(spark, sf, "reading_labels")), documents)
+
+
 _WITHIN = " union all ".join(f"select func_name, mode, {q} as q, count(*) as n, true as within from routing_spans where duration_ns is not null group by func_name, mode" for q in POINTS)
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_day_percentiles, p2_within_bound, p7_ids, p7_round_trip, p8_selection, p8_report)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_day_percentiles, p2_within_bound, p7_ids, p7_round_trip, p8_selection, p8_report, p9_found, p9_levels, p9_validation)}
 SQL = {"p2_within_bound": f"select func_name, mode, cast(q as double) as q, n, within from ({_WITHIN})", "p7_round_trip": "select doc_id, md5(coalesce(text, '')) as digest from documents"}
