@@ -44,21 +44,39 @@ def code_range(c: int) -> tuple[int, int]:
     return (lo, hi) if c >= HALF else (-1 - hi, -1 - lo)
 
 
+#: A group of at most this many distinct codes is kept as its codes: the counters are a linear function of them and are made when needed.
+SPARSE = 8_192
+
+
 def sketch(df: DataFrame, groups: list[str], value: str, sign: int = 1) -> DataFrame:
     """``groups..., cell, n``: the non-zero counters of each group's sketch. Null values do not count; null groups are a group.
 
-    Rows first meet per group and code, which a map-side sum does for hot groups; only distinct codes are spread over the counters. With
-    ``sign=-1`` the sketch deletes the rows from another one."""
-    rows = df.select(*groups, code(F.col(value).cast("long")).alias("code")).filter("code is not null").groupBy(*groups, "code").agg(F.count(F.lit(1)).alias("c"))
-    k = EXACT * ROWS
-    numbers = [F.array(*(F.lit(int(x)) for x in HASHES[:, j])) for j in range(4)]
-    rows = rows.select(*groups, "code", "c", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("k"))
-    prefix = F.call_function("shiftright", F.col("code"), F.when(F.col("k") == k, F.lit(EXACT)).otherwise(F.floor(F.col("k") / ROWS)).cast("int")).cast("long")
-    rows = rows.withColumn("x", prefix)
-    a, b, c, d = (F.get(x, F.col("k")) for x in numbers)
-    cell = F.when(F.col("k") == k, F.lit(k * WIDTH) + F.col("x")).otherwise(F.col("k") * WIDTH + (a * F.col("x") + b) % PRIME % WIDTH)
-    flip = F.when((F.col("k") < k) & ((c * F.col("x") + d) % PRIME % 2 == 1), -1).otherwise(1)
-    return rows.groupBy(*groups, cell.cast("int").alias("cell")).agg(F.sum(F.col("c") * flip * sign).alias("n")).filter("n <> 0")
+    Rows first meet per group and code, which a map-side sum does for hot groups; a group then has at most 2^17 codes. Groups with few
+    codes stay in sparse form (cell = -1 - code), the others are spread over the counters. With ``sign=-1`` the sketch deletes the rows
+    from another one."""
+    codes = df.select(*groups, code(F.col(value).cast("long")).alias("code")).filter("code is not null").groupBy(*groups, "code").agg((F.count(F.lit(1)) * sign).alias("n"))
+    names, kinds = list(groups), dict(codes.dtypes)
+
+    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) <= SPARSE:
+            cell, n = -1 - pdf["code"].to_numpy(), pdf["n"].to_numpy()
+        else:
+            flat = counters(pdf["code"].to_numpy(np.int64), pdf["n"].to_numpy())
+            cell = np.flatnonzero(flat)
+            n = flat[cell]
+        return pd.DataFrame({g: [pdf[g].iloc[0]] * len(cell) for g in names} | {"cell": cell.astype(np.int32), "n": n})
+
+    return codes.groupBy(*groups).applyInPandas(spread, ", ".join(f"`{g}` {kinds[g]}" for g in groups) + ", cell int, n long")
+
+
+def counters(codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All counters, one after another, for codes with these counts."""
+    flat = np.zeros(EXACT * ROWS * WIDTH + (1 << BITS - EXACT), np.int64)
+    for k, (a, b, c, d) in enumerate(HASHES):
+        x = codes >> k // ROWS
+        np.add.at(flat, k * WIDTH + (a * x + b) % PRIME % WIDTH, np.where((c * x + d) % PRIME % 2 == 1, -n, n))
+    np.add.at(flat, EXACT * ROWS * WIDTH + (codes >> EXACT), n)
+    return flat
 
 
 def merge(sketches: DataFrame, groups: list[str]) -> DataFrame:
@@ -70,8 +88,9 @@ class Sketch:
     """One group's counters, for inverting ranks."""
 
     def __init__(self, cell: np.ndarray, n: np.ndarray):
-        flat = np.zeros(EXACT * ROWS * WIDTH + (1 << BITS - EXACT), np.int64)
-        flat[cell] = n
+        sparse = cell < 0
+        flat = counters(-1 - cell[sparse].astype(np.int64), n[sparse])
+        flat[cell[~sparse]] += n[~sparse]
         self.levels = flat[: EXACT * ROWS * WIDTH].reshape(EXACT, ROWS, WIDTH)
         self.exact = flat[EXACT * ROWS * WIDTH :]
         self.n = int(self.exact.sum())
@@ -105,7 +124,7 @@ def percentiles(sketches: DataFrame, groups: list[str], points: list[float]) ->
 
     The quantile is the value of rank ceil(q n). ``rank_error`` (in ranks) is four standard deviations of the sketch's error; the exact value
     lies between ``lower`` and ``upper``, the values at the ranks that far below and above, unless the error is greater. A group is at most
-    32,768 counters, whatever its number of values. Groups without values have no rows."""
+    32,768 counters and 2^17 codes, whatever its number of values. Groups without values have no rows."""
     names = list(groups)
     kinds = dict(sketches.dtypes)
 
