@@ -56,9 +56,9 @@ def timetable(departures: DataFrame, stops: DataFrame) -> DataFrame:
     return d.join(s, ROUTE).select(*ROUTE, "departure", "pos", "facility", (F.col("_at") + F.col("arr_off_ns")).alias("arr_ns"), (F.col("_at") + F.col("dep_off_ns")).alias("dep_ns"))
 
 
-def lindley(rows: DataFrame, keys: list[str], order: str, extra: Column, slack: Column, name: str = "delay") -> DataFrame:
+def lindley(rows: DataFrame, keys: list[str], order: list[str], extra: Column, slack: Column, name: str = "delay") -> DataFrame:
     """``d_k = max(0, d_(k-1) + extra_k - slack_k)`` along each group, as a running sum less its running minimum (at most 0)."""
-    run = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_s", F.sum(extra - slack).over(run))
     return rows.withColumn(name, F.col("_s") - F.least(F.min("_s").over(run), F.lit(0))).drop("_s")
 
@@ -66,7 +66,7 @@ def lindley(rows: DataFrame, keys: list[str], order: str, extra: Column, slack:
 def delayed(table: DataFrame, extra: Column) -> DataFrame:
     """A timetable with ``delay_ns`` at departure when each stop adds ``extra`` and its scheduled halt can absorb delay."""
     halt = F.coalesce(F.col("dep_ns") - F.col("arr_ns"), F.lit(0))
-    return lindley(table, [*ROUTE, "departure"], "pos", extra, halt, "delay_ns")
+    return lindley(table, [*ROUTE, "departure"], ["pos"], extra, halt, "delay_ns")
 
 
 def boardings(waiting: DataFrame, calls: DataFrame) -> DataFrame:

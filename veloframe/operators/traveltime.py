@@ -35,9 +35,10 @@ def binned(obs: DataFrame, bin_ns: int, max_ns: int) -> DataFrame:
 
 def dense(bins: DataFrame, keys: list[str], n_bins: int, value: str, default: Column) -> DataFrame:
     """Every bin of every key that has one; ``value`` is ``default`` where there is none."""
-    every = bins.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).cast("long"))
-    there = bins.withColumn("bin", F.col("bin").cast("long"))
-    return every.join(there, [*keys, "bin"], "left").withColumn(value, F.coalesce(F.col(value), default))
+    every = bins.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bins - 1).cast("long"))))
+    there = bins.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("bin").cast("long").alias("_bin"), *(c for c in bins.columns if c not in (*keys, "bin")))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("bin") == F.col("_bin")]
+    return every.join(there, on, "left").drop(*(f"_{k}" for k in (*keys, "bin"))).withColumn(value, F.coalesce(F.col(value), default))
 
 
 def decayed(bins: DataFrame, keys: list[str], bin_ns: int, value: str = "mean_ns") -> DataFrame:
