@@ -22,7 +22,7 @@ MOST_LINKS = 20_000_000
 
 @dataclass
 class Graph:
-    """Forward and backward adjacency arrays over sorted node ids; links in order of their id."""
+    """Forward and backward adjacency arrays; nodes and links in the order of their file (``seq``) if they have one, else of their ids."""
 
     nodes: np.ndarray
     links: np.ndarray
@@ -38,24 +38,30 @@ class Graph:
     lm_to: np.ndarray | None = None
     core: np.ndarray | None = None
 
+    places: tuple[dict[str, int], dict[str, int]] | None = None
+
+    def _find(self, kind: int, name: str) -> int:
+        if self.places is None:
+            self.places = tuple({x: i for i, x in enumerate(names)} for names in (self.nodes, self.links))
+        return self.places[kind].get(name, -1)
+
     def node(self, name: str) -> int:
-        i = int(np.searchsorted(self.nodes, name))
-        return i if i < len(self.nodes) and self.nodes[i] == name else -1
+        return self._find(0, name)
 
     def link(self, name: str) -> int:
-        i = int(np.searchsorted(self.links, name))
-        return i if i < len(self.links) and self.links[i] == name else -1
+        return self._find(1, name)
 
 
 def build_graph(nodes: DataFrame, links: DataFrame, mode: str | None = None) -> Graph:
     """The graph of a mode: all nodes, the links that allow the mode. Raises beyond MOST_LINKS."""
     usable = links.filter(F.array_contains("modes", mode)) if mode else links
-    usable = usable.groupBy("id").agg(*(F.first(c).alias(c) for c in ("from_node", "to_node", "length_m", "freespeed")))
+    order = lambda df: (F.min("seq") if "seq" in df.columns else F.min("id")).alias("_order")
+    usable = usable.groupBy("id").agg(order(usable), *(F.first(c).alias(c) for c in ("from_node", "to_node", "length_m", "freespeed")))
     n = usable.count()
     if n > MOST_LINKS:
         raise ValueError(f"{n} links are too many to broadcast; use network.relaxed_costs")
-    names = nodes.select("id").distinct().orderBy("id").toPandas()["id"].to_numpy(object)
-    return from_arrays(names, usable.toPandas().sort_values("id"))
+    names = nodes.groupBy("id").agg(order(nodes)).orderBy("_order", "id").toPandas()["id"].to_numpy(object)
+    return from_arrays(names, usable.toPandas().sort_values(["_order", "id"]))
 
 
 def from_arrays(names: np.ndarray, links: pd.DataFrame) -> Graph:
