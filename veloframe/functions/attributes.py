@@ -19,7 +19,7 @@ def reference(c: Column) -> Column:
 
 def modes(c: Column) -> Column:
     """A comma-separated list without blanks and empty parts."""
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def route_links(c: Column) -> Column:

@@ -52,12 +52,12 @@ def minus(a: Column, b: Column) -> Column:
 
 def to_tick(ns: Column, ticks_per_second: int = 1) -> Column:
     """The first tick not before a time."""
-    return F.call_function("div", ns * ticks_per_second + (NS - 1), F.lit(NS))
+    return F.call_function("div", ns.cast("long") * ticks_per_second + (NS - 1), F.lit(NS))
 
 
 def from_tick(tick: Column, ticks_per_second: int = 1) -> Column:
     """The nanosecond at which a tick begins, rounded down."""
-    return F.call_function("div", tick * NS, F.lit(ticks_per_second))
+    return F.call_function("div", tick.cast("long") * NS, F.lit(ticks_per_second))
 
 
 def bin_count(max_ns: int, bin_ns: int) -> int:

@@ -9,6 +9,7 @@ from veloframe.functions.geometry import beeline_time_ns, projected
 from veloframe.functions.times import NS
 from veloframe.operators import planops, routing
 from veloframe.operators.network import with_ends
+from veloframe.storage import materialize
 
 PLAN = planops.PLAN
 #: How legs that aren't simulated on the network travel, by default: beeline factor and speed (m/s).
@@ -82,9 +83,10 @@ def prepared(elements: DataFrame, links: DataFrame, nodes: DataFrame, graph: rou
     """Plans in which every trip that isn't valid, but for those of ignored modes, has been routed; travel times and distances are filled.
 
     Trips that can't be routed stay as they are."""
-    e = planops.filled_distances(planops.synchronised(normal(elements)), links)
+    e = materialize(planops.filled_distances(planops.synchronised(normal(elements)), links), "elements")  # used five times below
     bad = planops.trip_validity(e, links, network_modes).filter("not valid")
-    requests = trip_requests(e, bad).filter(~F.coalesce(F.col("main_mode").isin(*ignore), F.lit(False)) if ignore else F.lit(True))
-    new = routed(requests, links, nodes, graph, network_modes, teleported, max_speed=max_speed)
+    requests = trip_requests(e, materialize(bad, "invalid")).filter(~F.coalesce(F.col("main_mode").isin(*ignore), F.lit(False)) if ignore else F.lit(True))
+    requests = materialize(requests, "requests")
+    new = materialize(routed(requests, links, nodes, graph, network_modes, teleported, max_speed=max_speed), "routed")
     spans = requests.join(new.select(*PLAN, "origin_idx").distinct(), [*PLAN, "origin_idx"], "left_semi")
     return planops.spliced(e, spans, new)
