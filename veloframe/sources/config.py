@@ -314,6 +314,7 @@ def write_parameters(sets: list[dict], path: str) -> None:
 def write_config(c: Config, path: str) -> None:
     plain = lambda v: v.value if isinstance(v, Enum) else list(v) if isinstance(v, tuple) else {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else v
     doc = {k: {a: plain(b) for a, b in vars(getattr(c, k)).items()} for k in MODULES.values()}
+    doc["routing"]["teleported_modes"] = [{"mode": m, "beeline_distance_factor": f, "speed": v} for m, (f, v) in doc["routing"].pop("teleported").items()]
     doc |= {f: {"path": getattr(c.files, f)} for f in FILE_MODULES if getattr(c.files, f)}
     with open(path, "w", encoding="utf-8") as f:
         yaml.safe_dump({"modules": doc}, f, sort_keys=False)

@@ -5,6 +5,7 @@ moderate size, the engine's own format being Parquet."""
 
 from __future__ import annotations
 
+import gzip
 import shutil
 from pathlib import Path
 
@@ -71,16 +72,17 @@ def event_text(events: DataFrame) -> Column:
 
 def _write_text(lines: DataFrame, path: str, head: str, tail: str, codec: str | None, single_file: bool) -> None:
     """lines: ``text`` in its order."""
-    spark = lines.sparkSession
-    if not single_file:
-        lines.select("text").write.mode("overwrite").option("compression", codec or "none").text(path)
-        return
-    one = spark.createDataFrame([(head,)], "text string").unionAll(lines.select("text")).unionAll(spark.createDataFrame([(tail,)], "text string"))
-    folder = f"{path}.parts"
-    one.coalesce(1).write.mode("overwrite").option("compression", codec or "none").text(folder)
-    part = next(Path(folder).glob("part-*"))
-    shutil.move(part, path)
-    shutil.rmtree(folder)
+    folder = f"{path}.parts" if single_file else path
+    lines.select("text").write.mode("overwrite").option("compression", codec or "none").text(folder)
+    if single_file:  # parts stand in the order of their numbers; gzip members may follow each other
+        pack = gzip.compress if codec == "gzip" else bytes
+        with open(path, "wb") as out:
+            out.write(pack(f"{head}\n".encode()))
+            for part in sorted(Path(folder).glob("part-*")):
+                with part.open("rb") as src:
+                    shutil.copyfileobj(src, out)
+            out.write(pack(f"{tail}\n".encode()))
+        shutil.rmtree(folder)
 
 
 def write_events_xml(events: DataFrame, path: str, codec: str | None = None, single_file: bool = True) -> None:
