@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import functions as F
 
 from veloframe.operators import events as ev
-from veloframe.operators import network
+from veloframe.operators import network, planops
 from veloframe.plans import controller
 from veloframe.sources import config, folders, sinks, xml
 from veloframe.storage import session
@@ -26,7 +26,8 @@ def run(spark, a) -> int:
     elements = xml.population(spark, c.path(c.files.population))
     persons = xml.persons(elements)
     types, vehicles = xml.vehicles(spark, c.path(c.files.vehicles))
-    named = persons.join(F.broadcast(types.filter(F.col("id").isin(*c.qsim.main_modes)).limit(1000)), F.lit(True)).select(F.concat_ws("_", "person", "id").alias("vehicle"), "pce", "max_v")
+    modes = types.filter(F.col("id").isin(*c.qsim.main_modes)).select(F.col("id").alias("mode"), "pce", "max_v")
+    named = planops.generated_vehicles(persons, modes).join(F.broadcast(modes.limit(1000)), "mode").select("vehicle", "pce", "max_v")
     fleet = vehicles.select("vehicle", "pce", "max_v").unionByName(named).dropDuplicates(["vehicle"])
     weights = [(s.get("subpopulation"), x.get("strategy", x.get("name")), float(x.get("weight", 1))) for s in c.replanning.strategies for x in s.get("strategies", [s])]
     scenario = controller.Scenario(nodes, links, elements, persons, fleet, spark.createDataFrame(weights, "subpopulation string, strategy string, weight double") if weights else None)
