@@ -86,8 +86,8 @@ def mix_report(counts: DataFrame, chosen: DataFrame, targets: DataFrame, source:
     aimed at (weight over the sum of the weights) and reached."""
     there = counts.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(size).cast("long").alias("tokens"))
     used = chosen.groupBy("source").agg(F.count(F.lit(1)).alias("chosen_docs"), F.sum("repeats").alias("chosen_copies"), F.sum(F.col("repeats") * F.col("n_tokens")).alias("chosen_tokens"))
-    sums = targets.agg(F.sum("weight").alias("w")).crossJoin(used.agg(F.sum("chosen_tokens").alias("t")))  # one row
+    weights, total = targets.agg(F.sum("weight")).first()[0], used.agg(F.sum("chosen_tokens")).first()[0]  # one row each
     rows = there.join(targets.select(F.col("source").alias("_t"), "weight", "max_repeats"), F.col("source").eqNullSafe(F.col("_t")), "full_outer").withColumn("source", F.coalesce("source", "_t")).drop("_t")
-    rows = rows.join(used.withColumnRenamed("source", "_u"), F.col("source").eqNullSafe(F.col("_u")), "left").drop("_u").join(F.broadcast(sums), F.lit(True))
+    rows = rows.join(used.withColumnRenamed("source", "_u"), F.col("source").eqNullSafe(F.col("_u")), "left").drop("_u")
     zero = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_docs", "tokens", "chosen_docs", "chosen_copies", "chosen_tokens")]
-    return rows.select("source", "weight", "max_repeats", *zero, (F.coalesce("chosen_copies", F.lit(0)) / F.when(F.col("chosen_docs") > 0, F.col("chosen_docs"))).alias("mean_repeats"), (F.coalesce("weight", F.lit(0.0)) / F.when(F.col("w") > 0, F.col("w"))).alias("target_share"), (F.coalesce("chosen_tokens", F.lit(0)) / F.when(F.col("t") > 0, F.col("t"))).alias("actual_share"))
+    return rows.select("source", "weight", "max_repeats", *zero, (F.coalesce("chosen_copies", F.lit(0)) / F.when(F.col("chosen_docs") > 0, F.col("chosen_docs"))).alias("mean_repeats"), (F.coalesce("weight", F.lit(0.0)) / F.lit(weights if weights else None).cast("double")).alias("target_share"), (F.coalesce("chosen_tokens", F.lit(0)) / F.lit(total if total else None).cast("double")).alias("actual_share"))
