@@ -88,3 +88,47 @@ def test_prepared_plans(spark, files):
     assert [r.valid for r in planops.trip_validity(ready, links(spark), ["car"]).collect()] == [True]
     log = mobsim.simulate(ready.withColumn("scenario", F.lit(0)), links(spark))
     assert log.filter("type = 'arrival'").count() == 3
+
+
+def transit_tables(spark, n=3, gap=60):
+    df = spark.createDataFrame
+    ns = 10**9
+    return {
+        "departures": df([("L", "R", f"d{i}", (100 + gap * i) * ns, "bus") for i in range(n)], "line string, route string, id string, dep_ns long, vehicle string"),
+        "routes": df([("L", "R", "train", ["a", "b", "c"])], "line string, route string, mode string, links array<string>"),
+        "route_stops": df([("L", "R", 0, "s1", None, 0), ("L", "R", 1, "s2", 50 * ns, 70 * ns), ("L", "R", 2, "s3", 100 * ns, None)], "line string, route string, pos int, facility string, arr_ns long, dep_ns long"),
+        "stop_facilities": df([("s1", "a"), ("s2", "b"), ("s3", "c")], "id string, link string"),
+    }
+
+
+def rider(name, egress, at, line="L"):
+    leg = dict(person=name, elem_idx=1, kind="leg", mode="pt", routing_mode="pt", start_link="a", end_link="c", line=line, route="R", access_facility="s1", egress_facility=egress, route_type="default_pt")
+    return [dict(person=name, elem_idx=0, kind="act", act_type="home", link="a", end_ns=at * 10**9), leg, dict(person=name, elem_idx=2, kind="act", act_type="work", link="c")]
+
+
+def test_schedule_based_transit(spark):
+    rows = rider("x", "s3", 90) + rider("y", "s2", 101) + rider("lost", "s3", 90, "Q")
+    kinds = "person string, elem_idx int, kind string, act_type string, link string, end_ns long, mode string, routing_mode string, start_link string, end_link string, line string, route string, access_facility string, egress_facility string, route_type string"
+    names = [c.split()[0] for c in kinds.split(", ")]
+    e = spark.createDataFrame([tuple(r.get(c) for c in names) for r in rows], kinds).withColumn("scenario", F.lit(0))
+    log = mobsim.simulate(e, links(spark), transit_tables=transit_tables(spark)).orderBy("seq").collect()
+    at = lambda **f: [r.time_ns // 10**9 for r in log if all(r[k] == v for k, v in f.items())]
+    bus = lambda i: f"bus_L_R_d{i}"
+    assert at(type="PersonEntersVehicle", person="x", vehicle=bus(0)) == [100] and at(type="PersonLeavesVehicle", person="x") == [200] and at(type="actstart", person="x") == [201]
+    assert at(type="PersonEntersVehicle", person="y", vehicle=bus(1)) == [160] and at(type="arrival", person="y") == [210]
+    assert at(type="stuckAndAbort") == [86400] and at(type="stuckAndAbort", person="lost") == [86400] and at(type="waitingForPt", agent="lost") == [90]
+    assert at(type="VehicleArrivesAtFacility", vehicle=bus(0)) == [100, 150, 200] and at(type="VehicleDepartsAtFacility", vehicle=bus(0)) == [100, 170, 200]
+    assert at(type="TransitDriverStarts") == [100, 160, 220] and at(type="arrival", person="pt_L_R_d2") == [320]
+
+
+def test_transit_never_overtakes(spark):
+    """Vehicles that would catch up with a late one stay behind it."""
+    buses = mobsim.schedule(transit_tables(spark, 4, 5))
+    buses[0].stops[1] = ("s2", buses[0].stops[1][1] + 300 * 10**9, buses[0].stops[1][2] + 300 * 10**9)
+    sim = mobsim.Simulation(links(spark).toPandas(), __import__("pandas").DataFrame({"person": [], "elem_idx": []}), {}, mobsim.Settings(), buses)
+    log = sim.run()
+    for stop in ("s1", "s2", "s3"):
+        for kind in ("VehicleArrivesAtFacility", "VehicleDepartsAtFacility"):
+            mine = [(t, f["vehicle"]) for t, k, f in log if k == kind and f["facility"] == stop]
+            assert [v for _, v in mine] == [f"bus_L_R_d{i}" for i in range(4)] and mine == sorted(mine, key=lambda x: x[0])
+    assert not [e for e in log if e[1] == "stuckAndAbort"]

@@ -6,6 +6,7 @@ into a task's memory, which MOST_ELEMENTS checks; plans with teleported legs onl
 
 from __future__ import annotations
 
+import copy
 import heapq
 from collections import deque
 from dataclasses import dataclass, field
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from veloframe.functions.rng import Stream
 from veloframe.functions.times import NS
+from veloframe.operators import transit
 from veloframe.operators.events import COLUMNS, SCHEMA
 
 #: Plan elements of one scenario that a task may be given (about 1 kB each).
@@ -83,11 +85,141 @@ class Agent:
         return self.elements[self.pos]
 
 
+@dataclass
+class Bus:
+    """A transit vehicle on its departure; times in ns since midnight."""
+
+    driver: str
+    vehicle: str
+    line: str
+    route: str
+    departure: str
+    mode: str
+    links: tuple[str, str]
+    stops: list[tuple[str, int, int]]  # facility, scheduled arrival and departure
+    place: int  # in its route, by time of departure
+    pos: int = 0
+    next_ns: int = 0
+    started: bool = False
+    finished: bool = False
+    riders: list[Agent] = field(default_factory=list)
+
+    @property
+    def key(self) -> tuple[str, str, int]:
+        return self.line, self.route, self.pos
+
+
+class Transit:
+    """Schedule-based transit: vehicles go from stop to stop by their timetable, never overtaking one of their own route.
+
+    A vehicle that comes before its predecessor waits in front of the stop. Riders alight, then those who wait board, if the line is theirs and
+    their egress lies ahead; both take no time. A vehicle leaves when it is due, not before its predecessors and not before it arrived; being
+    late at departure it reaches the next stop as much later, in the next tick at the earliest."""
+
+    def __init__(self, sim: Simulation, buses: list[Bus]):
+        self.sim = sim
+        self.buses = buses
+        self.starting = [(sim.tick(b.stops[0][2]), b.driver, b) for b in buses]
+        heapq.heapify(self.starting)
+        self.coming: list[tuple[int, str, Bus]] = []
+        self.leaving: list[tuple[int, str, Bus]] = []
+        self.arrived: dict[tuple[str, str, int], int] = {}
+        self.blocked: dict[tuple[str, str, int], dict[int, Bus]] = {}
+        self.halting: dict[str, list[Bus]] = {}
+        self.waiting: dict[str, list[Agent]] = {}
+        self.fresh: list[Agent] = []
+
+    def ns(self, t: int) -> int:
+        return t * NS // self.sim.tps
+
+    def start_drivers(self, t: int) -> None:
+        while self.starting and self.starting[0][0] <= t:
+            b = heapq.heappop(self.starting)[2]
+            b.started = True
+            self.sim.emit(t, "TransitDriverStarts", driver=b.driver, vehicle=b.vehicle, transit_line=b.line, transit_route=b.route, departure=b.departure)
+            self.sim.emit(t, "departure", person=b.driver, link=b.links[0], leg_mode=b.mode)
+            self.sim.emit(t, "PersonEntersVehicle", person=b.driver, vehicle=b.vehicle)
+            heapq.heappush(self.coming, (max(self.sim.tick(b.stops[0][1]), t), b.driver, b))
+
+    def arrive(self, b: Bus, t: int) -> None:
+        self.arrived[b.key] = b.place + 1
+        stop = b.stops[b.pos]
+        self.sim.emit(t, "VehicleArrivesAtFacility", vehicle=b.vehicle, facility=stop[0], delay=0.0)
+        b.next_ns = max(stop[2], self.ns(t))
+        heapq.heappush(self.leaving, (self.sim.tick(b.next_ns), b.driver, b))
+        self.halting.setdefault(stop[0], []).append(b)
+
+    def exchange(self, stop: str, t: int) -> None:
+        for b in self.halting.get(stop, ()):
+            for a in [a for a in b.riders if a.now["egress_facility"] == stop]:
+                b.riders.remove(a)
+                self.sim.emit(t, "PersonLeavesVehicle", person=a.name, vehicle=b.vehicle)
+                self.sim.end_leg(a, t, a.now["end_link"])
+            ahead = {s[0] for s in b.stops[b.pos + 1 :]}
+            going = [a for a in self.waiting.get(stop, ()) if a.now["line"] == b.line and a.now["egress_facility"] in ahead]
+            for a in going:
+                self.waiting[stop].remove(a)
+                self.sim.emit(t, "PersonEntersVehicle", person=a.name, vehicle=b.vehicle)
+                b.riders.append(a)
+
+    def step(self, t: int) -> None:
+        touched = set()
+        while self.coming and self.coming[0][0] <= t:
+            b = heapq.heappop(self.coming)[2]
+            if b.place != self.arrived.get(b.key, 0):
+                self.blocked.setdefault(b.key, {})[b.place] = b
+                continue
+            while b is not None:
+                self.arrive(b, t)
+                touched.add(b.stops[b.pos][0])
+                b = self.blocked.get(b.key, {}).pop(self.arrived[b.key], None)
+        for a in sorted(self.fresh, key=lambda a: a.name):
+            e = a.now
+            self.sim.emit(t, "waitingForPt", agent=a.name, at_stop=e["access_facility"], destination_stop=e["egress_facility"])
+            self.waiting.setdefault(e["access_facility"], []).append(a)
+            touched.add(e["access_facility"])
+        self.fresh = []
+        for stop in sorted(touched):
+            self.exchange(stop, t)
+        later = []
+        while self.leaving and self.leaving[0][0] <= t:
+            _, driver, b = heapq.heappop(self.leaving)
+            here = self.halting[b.stops[b.pos][0]]
+            before = [o.next_ns for o in here if (o.line, o.route) == (b.line, b.route) and o.place < b.place]
+            if before:
+                later.append((max(self.sim.tick(max(before)), t + 1), driver, b))
+                continue
+            here.remove(b)
+            self.leave(b, t)
+        for x in later:
+            heapq.heappush(self.leaving, x)
+
+    def leave(self, b: Bus, t: int) -> None:
+        self.sim.emit(t, "VehicleDepartsAtFacility", vehicle=b.vehicle, facility=b.stops[b.pos][0], delay=0.0)
+        if b.pos + 1 == len(b.stops):
+            b.finished = True
+            self.sim.emit(t, "PersonLeavesVehicle", person=b.driver, vehicle=b.vehicle)
+            self.sim.emit(t, "arrival", person=b.driver, link=b.links[1], leg_mode=b.mode)
+            return
+        late = max(0, self.ns(t) - b.stops[b.pos][2])
+        b.pos += 1
+        b.next_ns = max(b.stops[b.pos][1] + late, self.ns(t + 1))
+        heapq.heappush(self.coming, (self.sim.tick(b.next_ns), b.driver, b))
+
+    def heads(self) -> list[int]:
+        return [h[0][0] for h in (self.starting, self.coming, self.leaving) if h]
+
+    def stuck(self, end: int) -> None:
+        for b in self.buses:
+            if not b.finished:
+                self.sim.emit(end, "stuckAndAbort", person=b.driver, leg_mode=b.mode if b.started else None)
+
+
 class Simulation:
     """Ticks in this order: agents whose leg ended start their next element, activities that are over end, departures, nodes, links, transit,
     teleported arrivals. An agent that arrives in a tick starts its activity in the next one."""
 
-    def __init__(self, links: pd.DataFrame, elements: pd.DataFrame, vehicles: dict[str, tuple[float, float]], s: Settings):
+    def __init__(self, links: pd.DataFrame, elements: pd.DataFrame, vehicles: dict[str, tuple[float, float]], s: Settings, buses: list[Bus] | None = None):
         self.s, self.tps = s, s.ticks_per_second
         self.events: list[tuple] = []
         self.links: dict[str, Link] = {}
@@ -112,6 +244,7 @@ class Simulation:
         self.finished: list[Agent] = []
         self.pending: list[Agent] = []
         self.n = 0
+        self.transit = Transit(self, buses) if buses is not None else None
         self.agents = [Agent(p, g.sort_values("elem_idx").to_dict("records")) for p, g in elements.groupby("person", sort=True)]
 
     # time
@@ -148,6 +281,8 @@ class Simulation:
             link = self.links[a.links[0]]
             link.waiting.append(a)
             self.active[link.order] = link
+        elif self.transit is not None and mode in self.s.passenger_modes and e["line"]:
+            self.transit.fresh.append(a)
         else:
             d = e["route_trav_ns"] if e["route_trav_ns"] is not None else e["trav_ns"]
             if d is None:
@@ -292,6 +427,8 @@ class Simulation:
             (legs if a.now["kind"] == "leg" else self.pending).append(a)
         for a in legs:
             self.depart(a, t)
+        if self.transit is not None:
+            self.transit.start_drivers(t)
         for node in sorted(self.nodes):
             if not self.move_node(node, t):
                 self.nodes.discard(node)
@@ -301,6 +438,8 @@ class Simulation:
                 self.active[o] = k
         for o in sorted(self.active):
             self.move_link(self.active[o], t)
+        if self.transit is not None:
+            self.transit.step(t)
         while self.flying and self.flying[0][0] <= t:
             a = heapq.heappop(self.flying)[2]
             e = a.now
@@ -314,7 +453,7 @@ class Simulation:
     def next_tick(self, t: int) -> int | None:
         if self.finished or self.pending or self.active or self.nodes:
             return t + 1
-        heads = [h[0][0] for h in (self.sleeping, self.flying, self.due) if h]
+        heads = [h[0][0] for h in (self.sleeping, self.flying, self.due) if h] + (self.transit.heads() if self.transit is not None else [])
         return max(min(heads), t + 1) if heads else None
 
     def run(self) -> list[tuple]:
@@ -331,17 +470,33 @@ class Simulation:
             if leg or a.pos + 1 < len(a.elements):
                 link = (a.links[a.hop] if a.links and a.now["mode"] in self.s.main_modes else a.now["start_link"]) if leg else None
                 self.emit(end, "stuckAndAbort", person=a.name, link=link, leg_mode=a.now["mode"] if leg else None)
+        if self.transit is not None:
+            self.transit.stuck(end)
         return self.events
 
 
 _NEED = ["person", "elem_idx", "kind", "act_type", "link", "x", "y", "end_ns", "max_dur_ns", "mode", "routing_mode", "trav_ns", "route_trav_ns", "start_link", "end_link", "distance", "vehicle", "links", "line", "route", "access_facility", "egress_facility", "boarding_ns"]
 
 
-def simulate(elements: DataFrame, links: DataFrame, vehicles: DataFrame | None = None, settings: Settings = Settings(), scenario: str = "scenario") -> DataFrame:
+def schedule(tables: dict[str, DataFrame]) -> list[Bus]:
+    """The departures of transit tables (``departures, route_stops, routes, stop_facilities``), each with a driver and a vehicle of its own."""
+    d = transit.own_vehicles(transit.sequences(tables["departures"])).join(tables["routes"].select("line", "route", "mode"), ["line", "route"])
+    d = d.join(transit.end_links(tables["route_stops"], tables["stop_facilities"]), ["line", "route"])
+    stops = transit.offsets(tables["route_stops"]).groupBy("line", "route").agg(F.array_sort(F.collect_list(F.struct("pos", "facility", "arr_off_ns", "dep_off_ns"))).alias("stops"))
+    rows = d.join(stops, ["line", "route"]).orderBy("line", "route", "sequence").limit(MOST_ELEMENTS).collect()
+    out = []
+    for r in rows:
+        at = [(s["facility"], r["dep_ns"] + s["arr_off_ns"], r["dep_ns"] + s["dep_off_ns"]) for s in r["stops"]]
+        out.append(Bus(f"pt_{r['line']}_{r['route']}_{r['id']}", r["vehicle"], r["line"], r["route"], r["id"], r["mode"] or "pt", (r["start_link"], r["end_link"]), at, r["sequence"]))
+    return out
+
+
+def simulate(elements: DataFrame, links: DataFrame, vehicles: DataFrame | None = None, settings: Settings = Settings(), scenario: str = "scenario", transit_tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """The event log of every scenario: ``scenario`` and the columns of an event log.
 
     elements: the selected plans' element rows with a ``scenario`` column; links: one row per link, the same for all; vehicles: ``vehicle, pce,
-    max_v``. Agents who haven't finished at the end are stuck. An empty table gives an empty log."""
+    max_v``. With ``transit_tables`` legs of passenger modes that name a line wait for its vehicles and ride them; without, they are teleported.
+    Agents who haven't finished at the end are stuck. An empty table gives an empty log."""
     over = elements.groupBy(scenario).count().filter(F.col("count") > MOST_ELEMENTS).limit(1).collect()
     if over:
         raise ValueError(f"scenario {over[0][0]} has {over[0][1]} elements, more than one task is given")
@@ -349,18 +504,18 @@ def simulate(elements: DataFrame, links: DataFrame, vehicles: DataFrame | None =
     rows = elements.select(scenario, *(missing.get(c, F.col(c)) for c in _NEED))
     net = links.select("id", "from_node", "to_node", "length_m", "capacity", "freespeed", "permlanes").dropDuplicates(["id"]).limit(MOST_ELEMENTS).toPandas()
     fleet = {r.vehicle: (float(r.pce), float(r.max_v)) for r in vehicles.select("vehicle", "pce", "max_v").dropDuplicates(["vehicle"]).limit(MOST_ELEMENTS).collect()} if vehicles is not None else {}
-    shared = elements.sparkSession.sparkContext.broadcast((net, fleet))
+    shared = elements.sparkSession.sparkContext.broadcast((net, fleet, schedule(transit_tables) if transit_tables is not None else None))
     kind = elements.schema[scenario].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        net_, fleet_ = shared.value
+        net_, fleet_, buses = shared.value
         key = pdf[scenario].iloc[0]
         clean = pdf.drop(columns=scenario).astype(object)
         clean = clean.where(clean.map(lambda v: isinstance(v, (list, np.ndarray)) or not pd.isna(v)), None)
         for c in ("end_ns", "max_dur_ns", "trav_ns", "route_trav_ns", "boarding_ns"):
             clean[c] = clean[c].map(lambda v: None if v is None else int(v)).astype(object)
             clean[c] = clean[c].where(clean[c].notna(), None)
-        log = Simulation(net_, clean, fleet_, settings).run()
+        log = Simulation(net_, clean, fleet_, settings, copy.deepcopy(buses)).run()
         out = {scenario: [key] * len(log), "time_ns": [e[0] for e in log], "seq": range(len(log)), "type": [e[1] for e in log]}
         for c in COLUMNS:
             v = [e[2].get(c) for e in log]
