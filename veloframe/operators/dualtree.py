@@ -7,6 +7,7 @@ an equi-join on the parent's id, so a level is spread over all executors, and de
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,27 +25,40 @@ CHUNK = 2_048
 PIECE = 1_000.0
 
 
-def _cell(c: Column, size: float) -> Column:
-    return F.floor(c / F.lit(size)).cast("long")
+@dataclass(frozen=True)
+class Grid:
+    """Finest cells of this size from the least coordinates on; ``levels`` coarser grids above it, the coarsest of at most 4 x 4 cells."""
 
+    size: float
+    x: float
+    y: float
+    levels: int
 
-def _levels(objects: DataFrame, finest: float) -> int:
-    """Number of levels above the finest at which everything lies in at most 2 x 2 cells."""
-    e = objects.agg(F.max(F.greatest(F.abs("cx"), F.abs("cy"))).alias("m")).first()["m"]  # one row
+    def cell(self, x: Column, y: Column, level: Column | int = 0) -> tuple[Column, Column]:
+        shift = level * F.lit(FAN) if isinstance(level, Column) else F.lit(FAN * level)
+        at = lambda c, o: F.call_function("shiftright", F.floor((c - F.lit(o)) / F.lit(self.size)).cast("long"), shift.cast("int"))
+        return at(x, self.x).alias("gx"), at(y, self.y).alias("gy")
+
+
+def _grid(objects: DataFrame, size: float) -> Grid:
+    """objects: ``cx, cy``, by which they are placed."""
+    e = objects.agg(F.min("cx").alias("x"), F.min("cy").alias("y"), F.greatest(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy")).alias("m")).first()  # one row
     k = 0
-    while e is not None and e / (finest * (1 << FAN * k)) > 1 and k < 24:
+    while e.m is not None and e.m / (size * (1 << FAN * k)) > 3 and k < 24:
         k += 1
-    return k
+    return Grid(size, e.x or 0.0, e.y or 0.0, k)
+
 
+def _pyramid(objects: DataFrame, grid: Grid) -> list[DataFrame]:
+    """Node tables from coarse to fine: ``gx, gy, n, x0, y0, x1, y1``. objects: ``cx, cy`` and their boxes.
 
-def _pyramid(objects: DataFrame, finest: float, levels: int) -> list[DataFrame]:
-    """Node tables from coarse to fine: ``gx, gy, n, x0, y0, x1, y1``. objects: ``cx, cy`` (by which they are placed) and their boxes."""
+    The finest nodes are counted first, map-side; the coarser levels are made of those in one job."""
     box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
-    nodes = [materialize(objects.groupBy(_cell(F.col("cx"), finest).alias("gx"), _cell(F.col("cy"), finest).alias("gy")).agg(F.count(F.lit(1)).alias("n"), *box), "nodes")]
-    for _ in range(levels):
-        up = nodes[-1].groupBy(F.shiftright("gx", FAN).alias("gx"), F.shiftright("gy", FAN).alias("gy")).agg(F.sum("n").alias("n"), *box)
-        nodes.append(materialize(up, "nodes"))
-    return nodes[::-1]
+    finest = objects.groupBy(*grid.cell(F.col("cx"), F.col("cy"))).agg(F.count(F.lit(1)).alias("n"), *box)
+    every = finest.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(grid.levels))))
+    up = lambda c: F.call_function("shiftright", F.col(c), F.col("level") * FAN).alias(c)
+    table = materialize(every.groupBy("level", up("gx"), up("gy")).agg(F.sum("n").alias("n"), *box), "nodes")
+    return [table.filter(F.col("level") == k).drop("level") for k in range(grid.levels, -1, -1)]
 
 
 def _node(side: str) -> list[str]:
@@ -76,7 +90,7 @@ def _children(pairs: DataFrame, a: DataFrame, b: DataFrame, r2: float | None) ->
     return half.join(_as(b, "b"), ["bpx", "bpy"]).drop("apx", "apy", "bpx", "bpy")
 
 
-def _refine(leaves: DataFrame, points: DataFrame, finest: float, r2: float) -> DataFrame:
+def _refine(leaves: DataFrame, points: DataFrame, grid: Grid, r2: float) -> DataFrame:
     """Pairs of points of the leaf pairs ``level, agx, agy, an, bgx, bgy, bn, sure``: those within the radius, all where ``sure``.
 
     Points of a node with many are dealt into chunks by the hash of their id, so a unit of work has a bounded number of pairs."""
@@ -84,7 +98,8 @@ def _refine(leaves: DataFrame, points: DataFrame, finest: float, r2: float) -> D
     work = leaves.withColumn("ac", F.explode(F.sequence(F.lit(0), chunks("an") - 1))).withColumn("bc", F.explode(F.sequence(F.lit(0), chunks("bn") - 1)))
     used = leaves.select("level", F.col("agx").alias("gx"), F.col("agy").alias("gy"), F.col("an").alias("n")).union(leaves.select("level", "bgx", "bgy", "bn")).distinct()
     depths = [r["level"] for r in used.select("level").distinct().collect()]  # at most one per level of the tree
-    at = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright(_cell(F.col("x"), finest), FAN * k).alias("gx"), F.shiftright(_cell(F.col("y"), finest), FAN * k).alias("gy")) for k in depths))) if depths else F.explode(F.array().cast("array<struct<level:int,gx:bigint,gy:bigint>>"))
+    levels = F.array(*map(F.lit, depths)) if depths else F.array().cast("array<int>")
+    at = F.explode(F.transform(levels, lambda k: F.struct(k.alias("level"), *grid.cell(F.col("x"), F.col("y"), k))))
     placed = points.select("id", "x", "y", at.alias("g")).select("id", "x", "y", "g.*").join(used, ["level", "gx", "gy"])
     placed = placed.withColumn("c", F.pmod(F.xxhash64("id"), chunks("n")).cast("int"))
     side = lambda s: placed.select("level", *(F.col(c).alias(f"{s}{c}") for c in ("gx", "gy", "c", "id", "x", "y")))
@@ -110,11 +125,11 @@ def near_pairs(df: DataFrame, id: str, x: str, y: str, radius: float) -> DataFra
     r2, finest = radius * radius, radius / 2.0**0.5
     several = not points.groupBy("id").count().filter("count > 1").isEmpty()
     objects = points.select(F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    levels = _levels(objects, finest)
-    pyramid = _pyramid(objects, finest, levels)
+    grid = _grid(objects, finest)
+    pyramid, levels = _pyramid(objects, grid), grid.levels
     done = []
     root = _as(pyramid[0], "a").drop("apx", "apy")
-    pairs = root.join(_as(pyramid[0], "b").drop("bpx", "bpy"), (F.col("agx") < F.col("bgx")) | ((F.col("agx") == F.col("bgx")) & (F.col("agy") <= F.col("bgy"))))  # at most 4 x 4 roots
+    pairs = root.join(_as(pyramid[0], "b").drop("bpx", "bpy"), (F.col("agx") < F.col("bgx")) | ((F.col("agx") == F.col("bgx")) & (F.col("agy") <= F.col("bgy"))))  # at most 16 x 16 roots
     for k, nodes in enumerate(pyramid):
         level = levels - k
         if k:
@@ -127,7 +142,7 @@ def near_pairs(df: DataFrame, id: str, x: str, y: str, radius: float) -> DataFra
         pairs = pairs.filter("state = 'open'").drop("state")
         if k < levels and pairs.isEmpty():
             break
-    found = _refine(reduce(DataFrame.unionAll, done), points, finest, r2)
+    found = _refine(reduce(DataFrame.unionAll, done), points, grid, r2)
     result = found.select(F.least("aid", "bid").alias("id_a"), F.greatest("aid", "bid").alias("id_b"))
     return result.distinct() if several else result
 
@@ -147,18 +162,18 @@ def nearest_segment(points: DataFrame, segments: DataFrame, finest: float = 250.
     pieces = materialize(cut.select("id", "x0", "y0", "x1", "y1", ((F.col("xp") + F.col("xq")) / 2).alias("cx"), ((F.col("yp") + F.col("yq")) / 2).alias("cy"), F.least("xp", "xq").alias("bx0"), F.greatest("xp", "xq").alias("bx1"), F.least("yp", "yq").alias("by0"), F.greatest("yp", "yq").alias("by1")), "pieces")
     a_obj = pts.select(F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     b_obj = pieces.select("cx", "cy", F.col("bx0").alias("x0"), F.col("by0").alias("y0"), F.col("bx1").alias("x1"), F.col("by1").alias("y1"))
-    levels = _levels(a_obj.select("cx", "cy").union(b_obj.select("cx", "cy")), finest)
-    at, bt = _pyramid(a_obj, finest, levels), _pyramid(b_obj, finest, levels)
-    pairs = _as(at[0], "a").drop("apx", "apy").join(_as(bt[0], "b").drop("bpx", "bpy"), F.lit(True))  # at most 4 x 4 roots
+    grid = _grid(a_obj.select("cx", "cy").union(b_obj.select("cx", "cy")), finest)
+    at, bt, levels = _pyramid(a_obj, grid), _pyramid(b_obj, grid), grid.levels
+    pairs = _as(at[0], "a").drop("apx", "apy").join(_as(bt[0], "b").drop("bpx", "bpy"), F.lit(True))  # at most 16 x 16 roots
     for k in range(levels + 1):
         if k:
             pairs = _children(pairs, at[k], bt[k], None)
         pairs = pairs.withColumn("least2", _least2()).withColumn("most2", _most2())
         bound = pairs.groupBy("agx", "agy").agg(F.min("most2").alias("bound2"))
         pairs = materialize(pairs.join(bound, ["agx", "agy"]).filter(F.col("least2") <= F.col("bound2") * F.lit(1 + 1e-9)).drop("least2", "most2", "bound2"), "node-pairs")
-    cell = lambda c: _cell(F.col(c), finest)
-    a = pts.select("id", "x", "y", cell("x").alias("agx"), cell("y").alias("agy"))
-    b = pieces.select(F.col("id").alias("segment"), "x0", "y0", "x1", "y1", cell("cx").alias("bgx"), cell("cy").alias("bgy")).distinct()
+    named = lambda side, x, y: [c.alias(f"{side}{n}") for c, n in zip(grid.cell(F.col(x), F.col(y)), ("gx", "gy"), strict=True)]
+    a = pts.select("id", "x", "y", *named("a", "x", "y"))
+    b = pieces.select(F.col("id").alias("segment"), "x0", "y0", "x1", "y1", *named("b", "cx", "cy")).distinct()
     found = pairs.select("agx", "agy", "bgx", "bgy").join(a, ["agx", "agy"]).join(b, ["bgx", "bgy"])
     found = found.select("id", "segment", segment_distance(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("distance"))
     best = found.groupBy("id").agg(F.min(F.struct("distance", "segment")).alias("m"))
