@@ -88,15 +88,14 @@ def dead_ends(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Nodes outside the 2-core of the undirected network: nodes of degree 0 or 1 are peeled off until none is left.
 
     Each round removes all such nodes at once, so rounds grow with the depth of the deepest dead end, not with the nodes."""
-    edges = materialize(_neighbours(links), "edges")
-    rest = edges
+    rest = materialize(_neighbours(links), "edges")
+    left = rest.count()
     while True:
-        degree = rest.groupBy("node").count()
-        leaves = materialize(degree.filter("count < 2").select("node"), "leaves")
-        if leaves.isEmpty():
+        kept = rest.groupBy("node").count().filter("count > 1").select("node")
+        rest = materialize(rest.join(kept, "node", "left_semi").join(kept.withColumnRenamed("node", "other"), "other", "left_semi").select("node", "other"), "core")
+        before, left = left, rest.count()
+        if left == before:
             break
-        rest = rest.join(leaves, "node", "left_anti").join(leaves.withColumnRenamed("node", "other"), "other", "left_anti").select("node", "other")
-        rest = materialize(rest, "core")
     return nodes.select(F.col("id").alias("node")).distinct().join(rest.select("node").distinct(), "node", "left_anti")
 
 
