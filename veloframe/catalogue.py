@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from veloframe.functions import attributes, geometry, times
 from veloframe.operators import events as ev
-from veloframe.operators import experienced, network, planops, routing, scoring, selection, transit, traveltime
+from veloframe.operators import experienced, mobsim, network, planops, routing, scoring, selection, transit, traveltime
+from veloframe.streaming import replay
 
 DAY_US, BIN_NS = 86_400_000_000, 3_600_000_000_000
 LAST_NS = times.DAY_NS - 1
+START_NS = 757_382_400 * times.NS  # the first of January 2024, when the log begins
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -508,6 +510,80 @@ def start_summary(spark, sf):
     return a.groupBy("iteration", times.time_bin(F.col("time_ns"), BIN_NS, 30 * BIN_NS).alias("hour"), F.coalesce(attributes.is_interaction(F.col("act_type")), F.lit(False)).alias("interaction")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def simulated_teleports(spark, sf):
+    """SIM-01..05, SIM-20, SIM-21: every user is a scenario; the kernel's departures and arrivals of plans with teleported legs."""
+    el = _elements(spark, sf).withColumns({"route_trav_ns": F.lit(600 * times.NS).cast("long"), "end_ns": F.when(F.col("kind") == "act", F.expr(f"(end_ns - {START_NS}) div {times.NS} * {times.NS}")), "link": F.lit("l"), "scenario": F.col("person")})
+    w = Window.partitionBy("person").orderBy("elem_idx")
+    # a plan begins and ends with an activity and no activity follows another one
+    first = F.min(F.when(F.col("kind") == "act", F.col("elem_idx"))).over(Window.partitionBy("person"))
+    last = F.max(F.when(F.col("kind") == "act", F.col("elem_idx"))).over(Window.partitionBy("person"))
+    el = el.withColumns({"f": first, "z": last}).filter("elem_idx between f and z").withColumn("nxt", F.lead("kind").over(w)).filter("not (kind = 'act' and coalesce(nxt, '') = 'act')")
+    links = spark.createDataFrame([("l", "a", "b", 1.0, 1.0, 1.0, 1.0)], "id string, from_node string, to_node string, length_m double, freespeed double, capacity double, permlanes double")
+    log_ = mobsim.simulate(el, links, settings=mobsim.Settings(end_s=400 * 86_400))
+    return log_.filter("type in ('departure', 'arrival')").select("person", "time_ns", "type")
+
+
+def leg_scores(spark, sf):
+    """SCO-05, WIN-07, WIN-08, AGG-15: views and clicks as legs of ten minutes; a view is a transit leg."""
+    el = _elements(spark, sf).withColumns({"trav_ns": F.lit(600 * times.NS).cast("long"), "distance": F.lit(1000.0), "dep_ns": F.col("end_ns"), "boarding_ns": F.lit(None).cast("long"), "route_type": F.lit("generic")})
+    p = scoring.Parameters(spark.createDataFrame([(None, 6.0, 0.0, 1.0, -18.0, None, -1.0)], "subpopulation string, performing double, waiting double, money double, aborted double, waiting_pt double, line_switch double"), None, spark.createDataFrame([(None, "view", -6.0, 0.0, -0.001, -1.0, -2.0, -0.5), (None, "click", -3.0, -0.002, 0.0, 0.0, -4.0, 0.0), (None, "purchase", -1.0, 0.0, 0.0, 0.0, 0.0, -7.0)], "subpopulation string, mode string, travelling_h double, distance_m double, money_rate_m double, daily_money double, daily_utility double, constant double"))
+    persons = el.select("person").distinct().withColumn("_set", F.lit(None).cast("string"))
+    return scoring.leg_scores(el, persons, p, ["view"]).groupBy("person").agg(F.round(F.sum("score"), 6).alias("score"))
+
+
+def mode_unions(spark, sf):
+    """SET-04: modes of all links that leave a node, sorted and distinct."""
+    l = table(spark, sf, "links")  # noqa: E741
+    per = l.groupBy("from_node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("modes")))).alias("m"))
+    return per.select("from_node", F.array_join("m", ",").alias("modes"))
+
+
+def first_persons(spark, sf):
+    """PRJ-10: all events of the ten users who come first."""
+    from veloframe.sources.folders import first_persons as first
+
+    rows = log(spark, sf).withColumn("person", F.col("vehicle"))
+    w = Window.partitionBy("person")
+    return first(rows.withColumn("e_seq", F.col("seq")).withColumn("seq", F.min("seq").over(w)), 10).select("person", F.col("e_seq").alias("seq"))
+
+
+def route_texts(spark, sf):
+    """FUN-23: routes of order lines as text, and how many links the text has when it is read again."""
+    r = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("l_suppkey")), lambda x: x.cast("string")).alias("links"))
+    return r.select("l_orderkey", attributes.route_text(F.col("links")).alias("text"), F.size(attributes.route_links(attributes.route_text(F.col("links")))).alias("n"))
+
+
+def node_weights(spark, sf):
+    """AGG-03, AGG-04: how often links are started on, as weights of the nodes they end at."""
+    counts = network.traversals(table(spark, sf, "act_starts").select(F.array("link").alias("links")))
+    l = table(spark, sf, "links").select("id", "to_node").distinct()  # noqa: E741
+    return network.node_weights(l, counts)
+
+
+def least_factors(spark, sf):
+    """AGG-09, FUN-12: least cost factors over market segments, of balances as utilities."""
+    c = table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.max("c_acctbal").alias("p"), F.min("c_acctbal").alias("t"))
+    return c.agg(F.round(F.min(geometry.time_factor(F.col("t"), F.col("p"))), 9).alias("t"), F.round(F.min(geometry.distance_factor(F.col("t"), F.col("p"), F.lit(0.1))), 6).alias("d"))
+
+
+def tumbling_windows(spark, sf):
+    """STR-04, STR-13: events per type and quarter of an hour, of the streaming operator in batch."""
+    e = replay.with_event_time(log(spark, sf))
+    per = e.groupBy("event_type", F.window("event_time", "15 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return per.select("event_type", F.expr("unix_seconds(w.start)").alias("start_s"), "n")
+
+
+def session_windows(spark, sf):
+    """STR-13: sessions of users with pauses of more than six hours between them."""
+    e = replay.with_event_time(log(spark, sf))
+    return replay.sessions(e, "user_id", "6 hours").select("user_id", F.expr("unix_micros(session.start)").alias("start_us"), "n")
+
+
+def aborted_users(spark, sf):
+    """PRJ-13, AGG-14: users with an error, and whether all their values are positive."""
+    return log(spark, sf).groupBy("user_id").agg(F.bool_or(F.col("event_type") == "error").alias("aborted"), F.bool_and(F.col("value") > 0).alias("sound"))
+
+
 _P = "partition by person order by elem"
 _EL = f"""with {_LOG}, el as (select vehicle as person, row_number() over (partition by user_id order by us) - 1 as elem, case when event_type in ('signup', 'error') then 'act' else 'leg' end as kind,
  case event_type when 'signup' then 'home' when 'error' then 'car interaction' end as act_type, case when event_type not in ('signup', 'error') then event_type end as mode, case when event_type not in ('signup', 'error') and event_id % 2 = 0 then event_type end as rm, us * 1000 as end_ns, event_id from log),
@@ -600,6 +676,20 @@ select seq, time_ns, case when s // 3600 < 10 then '0' else '' end || (s // 3600
     "node_components": f"{_E}, r as (select id as node, id as root from nodes union select e.t, r.root from r join e on e.f = r.node) select node, min(root) as component from r group by node",
     "shortest_path": f"{_COSTS} select node, round(cost, 4) as cost from best, s where src = s.s",
     "shortest_path_kernel": _COSTS.replace("select min(f) as s, max(f) as z from l)", "select arg_min(t, {'a': f, 'b': t, 'c': id}) as s, arg_min(t, {'a': f, 'b': t, 'c': id}) as z, min({'a': f, 'b': t, 'c': id}).c as first from l)") + " select l.id as request, round(b.cost, 4) as cost from l cross join s left join best b on b.node = l.f and b.src = s.s where l.id <> s.first",
+    "simulated_teleports": f"""{_EL}, b as (select person, elem, kind, case when kind = 'act' then (end_ns // 1000000000 - 757382400) * 1000000000 end as e, min(case when kind = 'act' then elem end) over (partition by person) as f, max(case when kind = 'act' then elem end) over (partition by person) as z from el),
+c as (select *, lead(kind) over ({_P}) as nx from b where elem between f and z), d as (select *, lag(e) over ({_P}) as pe from c where not (kind = 'act' and coalesce(nx, '') = 'act')),
+l as (select *, row_number() over ({_P}) - 1 as k from d where kind = 'leg'), t as (select person, max(coalesce(pe, 0) - k * 601000000000) over ({_P} rows unbounded preceding) + k * 601000000000 as dep from l)
+select person, dep as time_ns, 'departure' as type from t union all select person, dep + 600000000000, 'arrival' from t""",
+    "leg_scores": f"""{_EL}, l as (select person, trip, elem, mode, row_number() over (partition by person, trip, mode order by elem) as it, row_number() over (partition by person, mode order by elem) as id, sum(case when mode = 'view' then 1 else 0 end) over (partition by person, trip order by elem rows unbounded preceding) as tn from tr where kind = 'leg')
+select person, round(sum(case mode when 'view' then -1.0 - 1.0 + case when it = 1 then -0.5 else 0 end + case when id = 1 then -3.0 else 0 end + case when tn > 1 then -1.0 else 0 end when 'click' then -0.5 - 2.0 + case when id = 1 then -4.0 else 0 end else -1.0::double / 6 + case when it = 1 then -7.0 else 0 end end), 6) as score from l group by person""",
+    "mode_unions": "with x as (select from_node, unnest(modes) as m from links) select n.from_node, coalesce(string_agg(distinct m, ',' order by m), '') as modes from (select distinct from_node from links) n left join x on x.from_node = n.from_node group by 1",
+    "first_persons": f"with {_LOG}, f as (select vehicle from log group by vehicle order by min(us) limit 10) select vehicle as person, us as seq from log where vehicle in (select vehicle from f)",
+    "route_texts": "with r as (select l_orderkey, list_sort(list(l_suppkey)) as l from lineitem group by 1), t as (select l_orderkey, case when len(l) = 2 and l[1] = l[2] then [l[1]] else l end as l from r) select l_orderkey, array_to_string(l, ' ') as text, cast(len(l) as integer) as n from t",
+    "node_weights": "with c as (select link, count(*) as n from act_starts group by 1) select to_node as node, max(n) as weight from (select distinct id, to_node from links) l join c on c.link = l.id group by 1",
+    "least_factors": "with c as (select max(c_acctbal) as p, min(c_acctbal) as t from customer group by c_mktsegment) select round(min((-t + p) / 3600), 9) as t, round(min(-t - p * 0.1), 6) as d from c",
+    "tumbling_windows": f"with {_LOG} select event_type, us // 900000000 * 900 + 946684800 as start_s, count(*) as n from log group by all",
+    "session_windows": f"with {_LOG}, g as (select user_id, us, case when us - lag(us) over (partition by user_id order by us) < 21600000000 then 0 else 1 end as f from log), s as (select *, sum(f) over (partition by user_id order by us rows unbounded preceding) as s from g) select user_id, min(us) + 946684800000000 as start_us, count(*) as n from s group by user_id, s",
+    "aborted_users": "select user_id, bool_or(event_type = 'error') as aborted, bool_and(value > 0) as sound from events group by 1",
     "alt_bound": f"{_COSTS}, x as (select b.node from best b, s where b.src = s.s and b.node in (select node from best, s where src = s.z)) select node, true as ok from x",
     "attr_default": "with p as (select id, arg_max(attributes, {'a': first_iter, 'b': cast(to_json(attributes) as varchar)}) as a from persons group by id) select id, coalesce(try_cast(a['age'] as integer), 30) as age, cast(cardinality(a) + 2 - case when a['age'] is null then 0 else 1 end as integer) as n, '1' as new_age from p",
 }
@@ -607,5 +697,5 @@ select seq, time_ns, case when s // 3600 < 10 then '0' else '' end || (s // 3600
 QUERIES = {f.__name__: f for f in (
     event_type_view, pair_enter_leave, asof_mode, asof_stop, interval_occupancy, tt_bins_mean, dense_bins, tt_decay_fill, tt_interpolate, tt_lookup_default, first_occurrence, nth_switch, trip_segments, trip_main_mode, next_trips, plan_clock, session_fold, overnight_wrap, activity_utility, elapsed_trip, order_check,
     keep_last, best_plan, worst_plan, random_plan, plan_memory, softmax_probs, softmax_pick, strategy_pick, copied_plans, msa_running, event_multiset_diff, merge_sorted, nearest_node, nearest_by_mode, modal_fallback, set_or_default, anti_missing, semi_partition, route_counts, mode_links, undirected_edges, vertex_weights, neighbour_counts, route_lengths, route_validity,
-    kcore_dead_ends, node_components, hop_distance, shortest_path, shortest_path_kernel, alt_bound, departure_sequence, vehicle_copies, transit_drivers, vehicles_per_mode, delay_propagation, point_queue, teleport_arrivals, teleport_plans, capacities, time_parse, time_format, attr_parse, attr_default, profile_summary, start_summary,
+    kcore_dead_ends, node_components, hop_distance, shortest_path, shortest_path_kernel, alt_bound, departure_sequence, vehicle_copies, transit_drivers, vehicles_per_mode, delay_propagation, point_queue, teleport_arrivals, teleport_plans, capacities, time_parse, time_format, attr_parse, attr_default, profile_summary, start_summary, simulated_teleports, leg_scores, mode_unions, first_persons, route_texts, node_weights, least_factors, tumbling_windows, session_windows, aborted_users,
 )}
