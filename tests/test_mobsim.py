@@ -132,3 +132,15 @@ def test_transit_never_overtakes(spark):
             mine = [(t, f["vehicle"]) for t, k, f in log if k == kind and f["facility"] == stop]
             assert [v for _, v in mine] == [f"bus_L_R_d{i}" for i in range(4)] and mine == sorted(mine, key=lambda x: x[0])
     assert not [e for e in log if e[1] == "stuckAndAbort"]
+
+
+def test_agents_who_look_for_a_route(spark, files):
+    """A planned route over a slow link is replaced before the departure, in the agent's own copy only."""
+    l = links(spark)  # noqa: E741
+    two = l.union(spark.createDataFrame([("fast", "n2", "n3", 100.0, 10.0, 3600.0, 1.0, ["car"])], l.schema))
+    p = plan(spark, files).withColumn("horizon_ns", F.when(F.col("act_type") == "home", F.lit(600 * 10**9)))
+    went = lambda df: [r.link for r in df.filter("type = 'entered link'").orderBy("seq").collect()]
+    g = routing.build_graph(nodes(spark), two, "car")
+    assert went(mobsim.simulate(p, two, graph=g)) == ["fast", "c"]
+    assert went(mobsim.simulate(p.drop("horizon_ns"), two, graph=g)) == ["b", "c"]
+    assert went(mobsim.simulate(p, two)) == ["b", "c"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 import copy
 import heapq
 from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from veloframe.functions.rng import Stream
 from veloframe.functions.times import NS
-from veloframe.operators import transit
+from veloframe.operators import routing, transit
 from veloframe.operators.events import COLUMNS, SCHEMA
 
 #: Plan elements of one scenario that a task may be given (about 1 kB each).
@@ -219,7 +220,7 @@ class Simulation:
     """Ticks in this order: agents whose leg ended start their next element, activities that are over end, departures, nodes, links, transit,
     teleported arrivals. An agent that arrives in a tick starts its activity in the next one."""
 
-    def __init__(self, links: pd.DataFrame, elements: pd.DataFrame, vehicles: dict[str, tuple[float, float]], s: Settings, buses: list[Bus] | None = None):
+    def __init__(self, links: pd.DataFrame, elements: pd.DataFrame, vehicles: dict[str, tuple[float, float]], s: Settings, buses: list[Bus] | None = None, router: Callable[[str, str, float], list[str] | None] | None = None):
         self.s, self.tps = s, s.ticks_per_second
         self.events: list[tuple] = []
         self.links: dict[str, Link] = {}
@@ -240,6 +241,8 @@ class Simulation:
         self.due: list[tuple[int, int, Link]] = []  # queue heads to look at again
         self.nodes: set[str] = set()
         self.sleeping: list[tuple[int, int, Agent]] = []
+        self.waking: list[tuple[int, int, Agent, int]] = []  # agents who look for a route before their activity ends
+        self.router = router
         self.flying: list[tuple[int, str, Agent]] = []
         self.finished: list[Agent] = []
         self.pending: list[Agent] = []
@@ -266,7 +269,22 @@ class Simulation:
         end = e["end_ns"] if e["end_ns"] is not None else None if e["max_dur_ns"] is None else t * NS // self.tps + e["max_dur_ns"]
         if end is not None:
             self.n += 1
-            heapq.heappush(self.sleeping, (max(self.tick(end), t), self.n, a))
+            end_tick = max(self.tick(end), t)
+            heapq.heappush(self.sleeping, (end_tick, self.n, a))
+            if self.router is not None and e.get("horizon_ns") is not None:
+                heapq.heappush(self.waking, (max(self.tick(max(end - e["horizon_ns"], 0)), t), self.n, a, end_tick))
+
+    def replan(self, a: Agent, end: int) -> None:
+        """A new route, as of the activity's end, for the network leg of the agent's next trip; without one the planned route stays."""
+        for i in range(a.pos + 1, len(a.elements)):
+            e = a.elements[i]
+            if e["kind"] == "act" and "interaction" not in (e["act_type"] or ""):
+                return
+            if e["kind"] == "leg" and e["mode"] in self.s.main_modes and e["start_link"] and e["end_link"]:
+                links = self.router(e["start_link"], e["end_link"], end / self.tps)
+                if links is not None:
+                    a.elements[i] = dict(e, links=links)
+                return
 
     def depart(self, a: Agent, t: int) -> None:
         e = a.now
@@ -419,6 +437,9 @@ class Simulation:
                 (starting if a.now["kind"] == "act" else legs).append(a)
         for a in starting:
             self.start_activity(a, t)
+        while self.waking and self.waking[0][0] <= t:
+            _, _, a, end = heapq.heappop(self.waking)
+            self.replan(a, end)
         while self.sleeping and self.sleeping[0][0] <= t:
             a = heapq.heappop(self.sleeping)[2]
             e = a.now
@@ -453,7 +474,7 @@ class Simulation:
     def next_tick(self, t: int) -> int | None:
         if self.finished or self.pending or self.active or self.nodes:
             return t + 1
-        heads = [h[0][0] for h in (self.sleeping, self.flying, self.due) if h] + (self.transit.heads() if self.transit is not None else [])
+        heads = [h[0][0] for h in (self.sleeping, self.waking, self.flying, self.due) if h] + (self.transit.heads() if self.transit is not None else [])
         return max(min(heads), t + 1) if heads else None
 
     def run(self) -> list[tuple]:
@@ -475,7 +496,7 @@ class Simulation:
         return self.events
 
 
-_NEED = ["person", "elem_idx", "kind", "act_type", "link", "x", "y", "end_ns", "max_dur_ns", "mode", "routing_mode", "trav_ns", "route_trav_ns", "start_link", "end_link", "distance", "vehicle", "links", "line", "route", "access_facility", "egress_facility", "boarding_ns"]
+_NEED = ["person", "elem_idx", "kind", "act_type", "link", "x", "y", "end_ns", "max_dur_ns", "mode", "routing_mode", "trav_ns", "route_trav_ns", "start_link", "end_link", "distance", "vehicle", "links", "line", "route", "access_facility", "egress_facility", "boarding_ns", "horizon_ns"]
 
 
 def schedule(tables: dict[str, DataFrame]) -> list[Bus]:
@@ -491,11 +512,12 @@ def schedule(tables: dict[str, DataFrame]) -> list[Bus]:
     return out
 
 
-def simulate(elements: DataFrame, links: DataFrame, vehicles: DataFrame | None = None, settings: Settings = Settings(), scenario: str = "scenario", transit_tables: dict[str, DataFrame] | None = None) -> DataFrame:
+def simulate(elements: DataFrame, links: DataFrame, vehicles: DataFrame | None = None, settings: Settings = Settings(), scenario: str = "scenario", transit_tables: dict[str, DataFrame] | None = None, graph: routing.Graph | None = None) -> DataFrame:
     """The event log of every scenario: ``scenario`` and the columns of an event log.
 
     elements: the selected plans' element rows with a ``scenario`` column; links: one row per link, the same for all; vehicles: ``vehicle, pce,
     max_v``. With ``transit_tables`` legs of passenger modes that name a line wait for its vehicles and ride them; without, they are teleported.
+    With a ``graph`` agents whose activity has a ``horizon_ns`` look for a least-cost route of their next trip that long before the activity ends.
     Agents who haven't finished at the end are stuck. An empty table gives an empty log."""
     over = elements.groupBy(scenario).count().filter(F.col("count") > MOST_ELEMENTS).limit(1).collect()
     if over:
@@ -504,18 +526,24 @@ def simulate(elements: DataFrame, links: DataFrame, vehicles: DataFrame | None =
     rows = elements.select(scenario, *(missing.get(c, F.col(c)) for c in _NEED))
     net = links.select("id", "from_node", "to_node", "length_m", "capacity", "freespeed", "permlanes").dropDuplicates(["id"]).limit(MOST_ELEMENTS).toPandas()
     fleet = {r.vehicle: (float(r.pce), float(r.max_v)) for r in vehicles.select("vehicle", "pce", "max_v").dropDuplicates(["vehicle"]).limit(MOST_ELEMENTS).collect()} if vehicles is not None else {}
-    shared = elements.sparkSession.sparkContext.broadcast((net, fleet, schedule(transit_tables) if transit_tables is not None else None))
+    shared = elements.sparkSession.sparkContext.broadcast((net, fleet, schedule(transit_tables) if transit_tables is not None else None, graph))
     kind = elements.schema[scenario].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        net_, fleet_, buses = shared.value
+        net_, fleet_, buses, g = shared.value
         key = pdf[scenario].iloc[0]
         clean = pdf.drop(columns=scenario).astype(object)
         clean = clean.where(clean.map(lambda v: isinstance(v, (list, np.ndarray)) or not pd.isna(v)), None)
-        for c in ("end_ns", "max_dur_ns", "trav_ns", "route_trav_ns", "boarding_ns"):
+        for c in ("end_ns", "max_dur_ns", "trav_ns", "route_trav_ns", "boarding_ns", "horizon_ns"):
             clean[c] = clean[c].map(lambda v: None if v is None else int(v)).astype(object)
             clean[c] = clean[c].where(clean[c].notna(), None)
-        log = Simulation(net_, clean, fleet_, settings, copy.deepcopy(buses)).run()
+        cost = routing.free_cost(g) if g is not None else None
+
+        def route(a: str, z: str, at: float) -> list[str] | None:
+            found = routing.path(g, a, z, at, cost, False)
+            return None if found is None else [a, *found[0]]
+
+        log = Simulation(net_, clean, fleet_, settings, copy.deepcopy(buses), route if g is not None else None).run()
         out = {scenario: [key] * len(log), "time_ns": [e[0] for e in log], "seq": range(len(log)), "type": [e[1] for e in log]}
         for c in COLUMNS:
             v = [e[2].get(c) for e in log]
