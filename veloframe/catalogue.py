@@ -180,8 +180,8 @@ def elapsed_trip(spark, sf):
 
 
 def order_check(spark, sf):
-    """WIN-11: events of a user that stand before an earlier one by number."""
-    e = log(spark, sf).withColumn("seq", F.col("event_id"))
+    """WIN-11: events of a user that stand right after a later one, in a shuffled order."""
+    e = log(spark, sf).withColumn("seq", F.col("event_id") * 7919 % 1_000_003)
     return ev.out_of_order(e, "vehicle").select("event_id", "time_ns", "previous_ns")
 
 
@@ -630,7 +630,7 @@ select person, elem as elem_idx, round(case when n = 1 then 0.0 when i = 1 then
 b as (select *, e - s as d, 28800 * exp(-1.0) as z, 6.0::double / 3600 as b from a)
 select o_orderkey, round(case when d >= z then b * 28800 * (ln(d / 28800) + 1) else -(b * 28800 / z) * (z - d) end, 6) as utility, round(greatest(s, 0.0) + greatest(p - e, 0.0), 6) as waiting_s from b""",
     "elapsed_trip": f"{_EL} select person, cast(trip as bigint) as trip, max(end_ns) - min(end_ns) as elapsed_ns from tr where kind = 'leg' group by person, trip",
-    "order_check": f"with {_LOG}, v as (select event_id, us * 1000 as time_ns, lag(us * 1000) over (partition by vehicle order by event_id) as previous_ns from log) select * from v where previous_ns > time_ns",
+    "order_check": f"with {_LOG}, v as (select event_id, us * 1000 as time_ns, lag(us * 1000) over (partition by vehicle order by event_id * 7919 % 1000003) as previous_ns from log) select * from v where previous_ns > time_ns",
     "keep_last": f"with {_PLANS} select person, plan_idx from p where selected",
     "best_plan": f"with {_PLANS} select person, arg_max(plan_idx, {{'a': score, 'b': plan_idx}}) as plan_idx from p where score is not null group by person",
     "worst_plan": f"with {_PLANS}, r as (select *, row_number() over (partition by person order by selected, score nulls first, plan_idx) as r from p) select person, plan_idx from r where r = 1",

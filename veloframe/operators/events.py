@@ -6,9 +6,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veloframe.operators.ordered import with_previous
+
 #: The event types and their fields besides time.
 FIELDS = {
     "generic": [],
@@ -53,21 +56,18 @@ def merged(logs: list[DataFrame]) -> DataFrame:
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with consecutive numbers from 0 in a total order, without a window over everything."""
-    from pyspark import StorageLevel
-
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)).persist(StorageLevel.DISK_ONLY)
-    upto, starts = 0, {}
+    upto, starts = 0, []
     for r in sorted(rows.groupBy("_pid").count().collect(), key=lambda r: r["_pid"]):  # one row a partition
-        starts[r["_pid"]] = upto
+        starts.append((r["_pid"], upto))
         upto += r["count"]
-    start = F.create_map(*(F.lit(x).cast("long") for kv in starts.items() for x in kv))[F.col("_pid").cast("long")] if starts else F.lit(0)
-    return rows.withColumn(name, (start + F.col("_in")).cast("long")).drop("_pid", "_in")
+    at = F.broadcast(df.sparkSession.createDataFrame(starts, "_pid int, _start long"))
+    return rows.join(at, "_pid").withColumn(name, (F.col("_start") + F.col("_in")).cast("long")).drop("_pid", "_in", "_start")
 
 
 def out_of_order(events: DataFrame, source: str | None = None) -> DataFrame:
-    """Events before which, in ``seq`` order of their source, a later time stands right before."""
-    w = Window.partitionBy(*([source] if source else [F.lit(0)])).orderBy("seq")
-    return events.withColumn("previous_ns", F.lag("time_ns").over(w)).filter("previous_ns > time_ns")
+    """Events before which, in ``seq`` order of their source, a later time stands right before, with that ``previous_ns``."""
+    return with_previous(events, [source] if source else [], ["seq"], "time_ns", "previous_ns", "previous_ns > time_ns")
 
 
 def _identity(df: DataFrame, fields: list[str]) -> Column:
@@ -92,7 +92,7 @@ def compare(a: DataFrame, b: DataFrame) -> str:
     """``equal``, or why not at the first time at which the logs differ: ``order``, ``count``, ``time`` or ``missing``.
 
     One side exhausted is a matter of count; a time that decreases in a log of order; then other times, other counts and missing events."""
-    order = [df.agg(F.min(F.when(F.col("bad"), F.col("previous_ns"))).alias("t")).first()["t"] for df in (x.withColumn("previous_ns", F.lag("time_ns").over(Window.orderBy("seq"))).withColumn("bad", F.col("previous_ns") > F.col("time_ns")) for x in (a, b))]
+    order = [out_of_order(x.select("time_ns", "seq")).agg(F.min("previous_ns").alias("t")).first()["t"] for x in (a, b)]
     times = lambda df, n: df.groupBy("time_ns").agg(F.count(F.lit(1)).alias(n))
     per = times(a, "na").join(times(b, "nb"), "time_ns", "full_outer")
     first = per.filter(F.col("na").isNull() | F.col("nb").isNull()).agg(F.min("time_ns").alias("t"), F.max("time_ns").alias("z")).first()

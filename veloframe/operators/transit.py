@@ -71,13 +71,19 @@ def delayed(table: DataFrame, extra: Column) -> DataFrame:
 
 def boardings(waiting: DataFrame, calls: DataFrame) -> DataFrame:
     """The departure each waiting passenger takes: the first that calls at the stop at or after the time and later calls at the passenger's
-    egress stop, of the line if one is named. waiting: ``agent, stop, egress, line, time_ns``; calls: a timetable."""
-    later = calls.groupBy(*ROUTE, "departure").agg(F.collect_list(F.struct("pos", "facility")).alias("all"))  # bounded by the stops of a route
-    c = calls.join(later, [*ROUTE, "departure"]).select(*(F.col(x).alias(f"c_{x}") for x in (*ROUTE, "departure", "pos", "facility", "dep_ns")), "all")
-    on = (F.col("stop") == F.col("c_facility")) & (F.col("c_dep_ns") >= F.col("time_ns")) & (F.col("line").isNull() | (F.col("line") == F.col("c_line")))
-    fits = waiting.join(c, on).filter(F.exists("all", lambda s: (s["pos"] > F.col("c_pos")) & (s["facility"] == F.col("egress"))))
-    best = fits.groupBy("agent").agg(F.min(F.struct("c_dep_ns", "c_line", "c_route", "c_departure")).alias("b"))
-    return best.select("agent", F.col("b.c_line").alias("line"), F.col("b.c_route").alias("route"), F.col("b.c_departure").alias("departure"), F.col("b.c_dep_ns").alias("boarding_ns"))
+    egress stop, of the line if one is named. waiting: ``agent, stop, egress, line, time_ns``; calls: a timetable.
+
+    A call stands once for each later stop of its departure, so passengers and calls meet on stop, egress and line, and one sorted window
+    looks ahead; nothing is compared with all departures of a stop."""
+    stops = F.array_sort(F.collect_list(F.struct("pos", "facility", "dep_ns")))
+    trips = calls.groupBy(*ROUTE, "departure").agg(stops.alias("s"))  # bounded by the stops of a route
+    at = trips.select(*ROUTE, "departure", F.posexplode("s").alias("i", "c"), "s").select(*ROUTE, "departure", "c", F.explode(F.array_distinct(F.transform(F.slice("s", F.col("i") + 2, F.size("s")), lambda x: x["facility"]))).alias("egress"))
+    call = F.struct(F.col("c.dep_ns").alias("dep_ns"), *ROUTE, "departure")
+    at = at.select(F.col("c.facility").alias("stop"), "egress", F.explode(F.array(F.col("line"), F.lit(None).cast("string"))).alias("key"), F.col("c.dep_ns").alias("t"), F.lit(1).alias("o"), F.lit(None).cast(waiting.schema["agent"].dataType).alias("agent"), call.alias("call"))
+    who = waiting.select("stop", "egress", F.col("line").alias("key"), F.col("time_ns").alias("t"), F.lit(0).alias("o"), "agent", F.lit(None).cast(at.schema["call"].dataType).alias("call"))
+    ahead = Window.partitionBy("stop", "egress", "key").orderBy("t", "o", "call.line", "call.route", "call.departure").rowsBetween(0, Window.unboundedFollowing)
+    found = who.unionByName(at).withColumn("b", F.first("call", ignorenulls=True).over(ahead)).filter("o = 0 and b is not null")
+    return found.select("agent", F.col("b.line").alias("line"), F.col("b.route").alias("route"), F.col("b.departure").alias("departure"), F.col("b.dep_ns").alias("boarding_ns"))
 
 
 def ride_distance(rides: DataFrame, routes: DataFrame, links: DataFrame) -> DataFrame:
