@@ -75,3 +75,8 @@ def is_interaction(act_type: Column) -> Column:
 def is_interaction_parameter(act_type: Column) -> Column:
     """In scoring parameters: only at the end of the type."""
     return act_type.endswith("interaction")
+
+
+def vehicle_of(attributes: Column, mode: str, name: str = "vehicles") -> Column:
+    """The vehicle (or, by another name, vehicle type) of a person for a mode, from the JSON map in the attribute; null if there is none."""
+    return F.get_json_object(F.try_element_at(attributes, F.lit(name)), f"$['{mode}']")

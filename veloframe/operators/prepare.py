@@ -90,3 +90,14 @@ def prepared(elements: DataFrame, links: DataFrame, nodes: DataFrame, graph: rou
     new = materialize(routed(requests, links, nodes, graph, network_modes, teleported, max_speed=max_speed), "routed")
     spans = requests.join(new.select(*PLAN, "origin_idx").distinct(), [*PLAN, "origin_idx"], "left_semi")
     return planops.spliced(e, spans, new)
+
+
+def answered(responses: DataFrame, legs: str = "legs", activities: str = "activities") -> DataFrame:
+    """``request, pos, kind, leg, activity`` of a router's answers: legs and the activities between them in turn. ``request`` rows whose
+    activities aren't fewer than their legs are errors and come out with kind ``error``."""
+    wrong = F.size(activities) >= F.greatest(F.size(legs), F.lit(1))
+    pairs = F.arrays_zip(F.col(legs).alias("leg"), F.col(activities).alias("activity"))
+    rows = responses.select("request", wrong.alias("_w"), F.posexplode_outer(pairs).alias("_i", "_p")).filter("not _w or coalesce(_i, 0) = 0")
+    parts = F.array_compact(F.array(F.when(~F.col("_w") & F.col("_p.leg").isNotNull(), F.struct((F.col("_i") * 2).alias("pos"), F.lit("leg").alias("kind"))), F.when(~F.col("_w") & F.col("_p.activity").isNotNull(), F.struct((F.col("_i") * 2 + 1).alias("pos"), F.lit("act").alias("kind"))), F.when(F.col("_w"), F.struct(F.lit(0).alias("pos"), F.lit("error").alias("kind")))))
+    out = rows.select("request", "_p", F.explode(parts).alias("e"))
+    return out.select("request", "e.pos", "e.kind", F.when(F.col("e.kind") == "leg", F.col("_p.leg")).alias("leg"), F.when(F.col("e.kind") == "act", F.col("_p.activity")).alias("activity"))
