@@ -356,27 +356,22 @@ def _network(spark, sf):
     return l.groupBy("id").agg(*(F.min(c).alias(c) for c in ("from_node", "to_node", "length_m", "freespeed")), F.first("modes").alias("modes"))
 
 
-def _sparse(spark, sf):
-    """A thin part of the network: one link in three, so that there are dead ends and several parts."""
-    return _network(spark, sf).filter("cast(substring_index(id, '_', -1) as int) % 3 = 0")
-
-
-_SPARSE = "l as (select id, min(from_node) as f, min(to_node) as t, min(length_m) as len, min(freespeed) as sp from links where cast(regexp_extract(id, '([0-9]+)$', 1) as int) % 3 = 0 group by id)"
+_LINKS = "l as (select id, min(from_node) as f, min(to_node) as t, min(length_m) as len, min(freespeed) as sp from links group by id)"
 
 
 def kcore_dead_ends(spark, sf):
     """RTE-07."""
-    return network.dead_ends(table(spark, sf, "nodes"), _sparse(spark, sf))
+    return network.dead_ends(table(spark, sf, "nodes"), _network(spark, sf))
 
 
 def node_components(spark, sf):
     """RTE-07: labels of connected parts."""
-    return network.components(table(spark, sf, "nodes"), _sparse(spark, sf))
+    return network.components(table(spark, sf, "nodes"), _network(spark, sf))
 
 
 def hop_distance(spark, sf):
     """SEL-16: undirected hops from the smallest node that has a link."""
-    l = _sparse(spark, sf)  # noqa: E741
+    l = _network(spark, sf)  # noqa: E741
     first = l.agg(F.min("from_node").alias("node"))
     return network.hop_distances(table(spark, sf, "nodes"), l, first)
 
@@ -595,8 +590,8 @@ _NODE_PTS = "f as (select distinct id, x, y, link from facilities where x is not
 _NEAR_BIKE = f"""{_NODE_PTS}, l as (select distinct l.id, p.x as x0, p.y as y0, q.x as x1, q.y as y1 from links l join n p on p.id = l.from_node join n q on q.id = l.to_node where list_contains(l.modes, 'bike')),
 t as (select f.id, l.id as link, f.x, f.y, x0, y0, x1 - x0 as dx, y1 - y0 as dy, case when (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) > 0 then least(1.0, greatest(0.0, ((f.x - x0) * (x1 - x0) + (f.y - y0) * (y1 - y0)) / ((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)))) else 0.0 end as t from f, l),
 d as (select id, link, sqrt((x - (x0 + t * dx)) * (x - (x0 + t * dx)) + (y - (y0 + t * dy)) * (y - (y0 + t * dy))) as d from t), nb as (select id, arg_min(link, {{'d': d, 'l': link}}) as link, min(d) as d from d group by id)"""
-_E = f"with recursive {_SPARSE}, e as (select distinct f, t from l where f <> t union select distinct t, f from l where f <> t)"
-_COSTS = """with recursive l as (select id, min(from_node) as f, min(to_node) as t, min(length_m) as len, min(freespeed) as sp from links group by id), e as (select f, t, min(case when len < 1e-9 then 0 else len / sp end) as c from l group by f, t), s as (select min(f) as s, max(f) as z from l),
+_E = f"with recursive {_LINKS}, e as (select distinct f, t from l where f <> t union select distinct t, f from l where f <> t)"
+_COSTS = f"""with recursive {_LINKS}, e as (select f, t, min(case when len < 1e-9 then 0 else len / sp end) as c from l group by f, t), s as (select min(f) as s, max(f) as z from l),
 r as (select s as src, s as node, 0.0::double as cost, 0 as d from s union all select z, z, 0.0, 0 from s union all select src, node, cost, d from (select r.src, e.t as node, min(r.cost + e.c) as cost, min(r.d) + 1 as d from r join e on e.f = r.node where r.d < 70 group by r.src, e.t)),
 best as (select src, node, min(cost) as cost from r group by src, node)"""
 
