@@ -48,6 +48,18 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert sum(r.n for r in validation(model, docs).collect()) == 299  # label 9 has two levels
 
 
+def test_labelled_texts_are_read_whole(spark):
+    rng = random.Random(8)
+    easy = lambda n: "".join(f"# {rng.choice(EASY).capitalize()}.\n" for _ in range(n))
+    hard = "".join(f"# {HARD[0].capitalize()}.\n" for _ in range(60))
+    rows = [(i, easy(400) + (hard if i % 2 else ""), f"s{i % 3}") for i in range(60)]  # the first 5,000 characters tell nothing
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, 5 * (i % 2)) for i in range(60)], "doc_id long, reading_level int")
+    model = train(docs, labels)
+    assert all(r.accuracy >= 0.9 for r in validation(model, docs).collect())
+    assert np.mean([r.reading_level == 5 * (r.doc_id % 2) for r in grade(docs, model).collect()]) >= 0.9
+
+
 def test_no_labels_and_no_documents(spark):
     docs = spark.createDataFrame([(1, "The dog sees one red box and runs.", "s")], "doc_id long, text string, source string")
     none = spark.createDataFrame([], "doc_id long, reading_level int")

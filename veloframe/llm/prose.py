@@ -108,8 +108,12 @@ def distributions(text: str, n_chars: int) -> tuple[list[float], list[str]]:
 
 def vocabulary(content: list[str], grades: dict[str, float]) -> list[float]:
     """How the grades of the content words are distributed. grades: words with the mean level of texts that have them."""
-    graded = [g for w in content if (g := grades.get(w)) is not None]
-    return _spread(graded, (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)) + _beyond(graded, (1.5, 2.5, 3.0, 3.5, 4.0, 4.5)) + [1 - len(graded) / (len(content) or 1)]
+    return spread_of_grades([g for w in content if (g := grades.get(w)) is not None], len(content))
+
+
+def spread_of_grades(graded: list[float], n: int) -> list[float]:
+    """graded: the grades of those of the n content words that have one."""
+    return _spread(graded, (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)) + _beyond(graded, (1.5, 2.5, 3.0, 3.5, 4.0, 4.5)) + [1 - len(graded) / (n or 1)]
 
 
 N_DISTRIBUTIONS = 3 + 6 + 5 + 5 + 4 + 2 + 5 + 4 + 8 + 4 + 2

@@ -3,6 +3,7 @@ cross-validated source by source and calibrated to grades on the held-out predic
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,13 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veloframe.llm.prose import N_FEATURES, distributions, features, prose, vocabulary
+from veloframe.llm.prose import N_FEATURES, distributions, features, prose, spread_of_grades
 from veloframe.llm.trees import Boosted, boost
 
 #: The model is trained on at most this many labelled rows, those of the least hash of their id; the bound keeps training on the driver
-#: small (prose of at most SAMPLE_CHARS characters a row is looked at for training; documents to be graded are read whole).
+#: small. Their texts are read whole, on the executors, like those to be graded; the driver gets distributions and counts of distinct words.
 MAX_LABELLED = 20_000
-SAMPLE_CHARS = 5_000
 #: A word gets a grade once this many labelled texts have it; the most frequent WORDS words are kept.
 LEAST_TEXTS, WORDS = 3, 30_000
 #: Sources are dealt into at most this many folds.
@@ -37,17 +37,43 @@ class ReadingModel:
         return np.where(empty, 0, np.searchsorted(self.cuts, score)).astype(np.int32)
 
 
-def _grades(bags: list[set[str]], y: np.ndarray, rows: np.ndarray) -> dict[str, float]:
-    """Words with the mean level, drawn to the general mean, of the texts that have them."""
-    total: dict[str, list[float]] = {}
-    for i in rows.tolist():
-        for w in bags[i]:
-            t = total.setdefault(w, [0.0, 0.0])
-            t[0] += y[i]
-            t[1] += 1
-    mean = float(y[rows].mean()) if len(rows) else 0.0
-    kept = sorted((w for w, t in total.items() if t[1] >= LEAST_TEXTS), key=lambda w: (-total[w][1], w))[:WORDS]
-    return {w: (total[w][0] + mean) / (total[w][1] + 1) for w in kept}
+@dataclass(frozen=True)
+class Bags:
+    """Distinct content words of texts and how often each occurs: ``ids[start[i]:start[i + 1]]`` are those of text i, numbers of ``names``."""
+
+    names: np.ndarray
+    ids: np.ndarray
+    counts: np.ndarray
+    start: np.ndarray
+
+    @staticmethod
+    def of(texts: list[str], counts: list[np.ndarray]) -> Bags:
+        """texts: the distinct words of each text, separated by spaces."""
+        number: dict[str, int] = {}
+        ids = [np.array([number.setdefault(w, len(number)) for w in t.split()], np.int32) for t in texts]
+        flat = lambda parts: np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32)
+        return Bags(np.array(list(number), object), flat(ids), flat(counts), np.cumsum([0, *map(len, ids)]))
+
+    def graded(self, i: int, grades: np.ndarray) -> tuple[list[float], int]:
+        """The grades of the graded words of text i, as often as they occur, and the number of all its words."""
+        at = slice(self.start[i], self.start[i + 1])
+        g, n = grades[self.ids[at]], self.counts[at]
+        has = ~np.isnan(g)
+        return np.repeat(g[has], n[has]).tolist(), int(n.sum())
+
+
+def _grades(bags: Bags, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """By word, the mean level, drawn to the general mean, of the texts that have it; NaN for words without a grade."""
+    taken = np.zeros(len(y), bool)
+    taken[rows] = True
+    size = np.diff(bags.start)
+    ids = bags.ids[np.repeat(taken, size)]
+    n = np.bincount(ids, minlength=len(bags.names))
+    total = np.bincount(ids, np.repeat(np.where(taken, y, 0.0), size)[np.repeat(taken, size)], minlength=len(bags.names))
+    kept = np.array(sorted(np.flatnonzero(n >= LEAST_TEXTS).tolist(), key=lambda w: (-n[w], bags.names[w]))[:WORDS], int)
+    out = np.full(len(bags.names), np.nan)
+    out[kept] = (total[kept] + (float(y[rows].mean()) if len(rows) else 0.0)) / (n[kept] + 1)
+    return out
 
 
 def _cuts(score: np.ndarray, y: np.ndarray) -> list[float]:
@@ -71,12 +97,14 @@ def train(documents: DataFrame, labels: DataFrame, id: str = "doc_id", text: str
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"].astype(str), "source": pdf["source"], "y": pdf["y"].astype(float), "prose": [prose(t)[:SAMPLE_CHARS] for t in pdf["text"]], "n_chars": pdf["text"].str.len().fillna(0).astype("int64")})
-
-    sample = rows.mapInPandas(read, "id string, source string, y double, prose string, n_chars long").toPandas().sort_values("id", ignore_index=True)  # bounded, see above
-    y, texts, chars = sample["y"].to_numpy(), sample["prose"].tolist(), sample["n_chars"].tolist()
-    plain = [distributions(t, n) for t, n in zip(texts, chars, strict=True)]
-    bags = [set(content) for _, content in plain]
+            found = [prose(t) for t in pdf["text"]]
+            plain = [distributions(p, len(t or "")) for p, t in zip(found, pdf["text"], strict=True)]
+            bags = [Counter(content) for _, content in plain]
+            yield pd.DataFrame({"id": pdf["id"].astype(str), "source": pdf["source"], "y": pdf["y"].astype(float), "empty": [not p for p in found], "plain": [d for d, _ in plain], "words": [" ".join(b) for b in bags], "counts": [list(b.values()) for b in bags]})
+
+    sample = rows.mapInPandas(read, "id string, source string, y double, empty boolean, plain array<double>, words string, counts array<int>").toPandas().sort_values("id", ignore_index=True)  # bounded, see above
+    y, plain, empty = sample["y"].to_numpy(float), [list(x) for x in sample["plain"]], sample["empty"].to_numpy(bool)
+    bags = Bags.of(sample["words"].tolist(), sample["counts"].tolist())
     origin = sample["source"].where(sample["source"].notna(), None)
     names = sorted(origin.dropna().unique())
     if len(names) + origin.isna().any() > 1:
@@ -85,8 +113,8 @@ def train(documents: DataFrame, labels: DataFrame, id: str = "doc_id", text: str
         fold = np.arange(len(y)) % FOLDS
     present = sorted(set(fold.tolist()))
 
-    def table(rows_: np.ndarray, grades: dict[str, float]) -> np.ndarray:
-        return np.array([plain[i][0] + vocabulary(plain[i][1], grades) for i in rows_.tolist()]).reshape(len(rows_), N_FEATURES)
+    def table(rows_: np.ndarray, grades: np.ndarray) -> np.ndarray:
+        return np.array([plain[i] + spread_of_grades(*bags.graded(i, grades)) for i in rows_.tolist()]).reshape(len(rows_), N_FEATURES)
 
     def held(outer: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Rows of all folds but one, each with words graded on the other folds that may be seen."""
@@ -105,8 +133,9 @@ def train(documents: DataFrame, labels: DataFrame, id: str = "doc_id", text: str
         score[out] = boost(x, y[at]).predict(table(out, _grades(bags, y, np.flatnonzero(fold != f))))
     cuts = _cuts(score, y)
     x, at = held(None)
-    model = ReadingModel(_grades(bags, y, np.arange(len(y))), boost(x, y[at]), cuts, [])
-    got = model.level(score, np.array([not t for t in texts], bool))
+    grades = _grades(bags, y, np.arange(len(y)))
+    model = ReadingModel({bags.names[w]: float(grades[w]) for w in np.flatnonzero(~np.isnan(grades)).tolist()}, boost(x, y[at]), cuts, [])
+    got = model.level(score, empty)
     report = []
     for s in [*names, None]:
         m = (origin.isna() if s is None else origin == s).to_numpy()
