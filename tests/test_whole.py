@@ -64,6 +64,26 @@ def test_iterations(spark, tmp_path):
     assert not list(Path(c.output.output_dir).iterdir())
 
 
+def test_reroute_avoids_what_was_congested(spark, tmp_path):
+    nodes = spark.createDataFrame([("n1", 0.0, 0.0), ("n2", 100.0, 0.0), ("n3", 1000.0, 0.0), ("n4", 1100.0, 0.0)], "id string, x double, y double")
+    net = [("a", "n1", "n2", 100.0, 3600.0), ("b", "n2", "n3", 1000.0, 12.0), ("d", "n2", "n3", 1100.0, 3600.0), ("c", "n3", "n4", 100.0, 3600.0)]  # d is longer, b lets a car pass every 300 s
+    links = spark.createDataFrame([(i, f, t, n, 10.0, k, 1.0, ["car"]) for i, f, t, n, k in net], "id string, from_node string, to_node string, length_m double, freespeed double, capacity double, permlanes double, modes array<string>")
+    act = '<activity type="{}" link="{}" x="{}" y="0" {}/>'
+    persons = "".join(f'<person id="{i}"><plan selected="yes">{act.format("home", "a", 50, f"""end_time="08:00:0{i}" """)}<leg mode="car"/>{act.format("work", "c", 1050, "")}</plan></person>' for i in range(5))
+    (tmp_path / "p.xml").write_text(f"<population>{persons}</population>")
+    p = xml.population(spark, f"{tmp_path}/p.xml")
+    c = config.Config()
+    c.controller.last_iteration, c.qsim.main_modes = 1, ["car"]
+    s = controller.Scenario(nodes, links, p, xml.persons(p), None, spark.createDataFrame([("person", "ReRoute", 1.0)], "subpopulation string, strategy string, weight double"), {"car": 5.0})
+    driven = []
+    bus = controller.Bus()
+    bus.on("simulated", lambda e: driven.append({r.link: r["count"] for r in e["events"].filter("type = 'entered link'").groupBy("link").count().collect()}))
+    st = controller.run(s, c, controller.travel_time_scorer, bus, write=False)
+    assert driven == [{"b": 5, "c": 5}, {"d": 5, "c": 5}]
+    times = {(r.plan_idx, r.route_trav_ns) for r in st.elements.filter("mode = 'car'").collect()}
+    assert (0, 220_000_000_000) in times  # 1,100 m at the vehicle's 5 m/s
+
+
 def test_xml_round_trips(spark, tmp_path):
     for codec, name in ((None, "e.xml"), ("gzip", "e.xml.gz")):
         sinks.write_events_xml(events(spark), f"{tmp_path}/{name}", codec)

@@ -42,7 +42,7 @@ def trip_requests(elements: DataFrame, trips: DataFrame | None = None) -> DataFr
     return rows
 
 
-def routed(requests: DataFrame, links: DataFrame, nodes: DataFrame, graph: routing.Graph, network_modes: list[str], teleported: dict[str, tuple[float, float]] = TELEPORTED, access: str = "walk", max_speed: float = float("inf")) -> DataFrame:
+def routed(requests: DataFrame, links: DataFrame, nodes: DataFrame, graph: routing.Graph, network_modes: list[str], teleported: dict[str, tuple[float, float]] = TELEPORTED, access: str = "walk", max_speed: float = float("inf"), observed: dict | None = None, bin_s: float = 900.0) -> DataFrame:
     """New elements between origin and destination of each request (``person, plan_idx, origin_idx, pos`` and element columns).
 
     Network modes: a walk to the nearest point of the origin's link, an interaction, the least-cost path, an interaction, a walk. Other modes: one
@@ -56,7 +56,7 @@ def routed(requests: DataFrame, links: DataFrame, nodes: DataFrame, graph: routi
     far = lambda s: F.sqrt((F.col(f"{s}_x") - F.col(f"{s}_at.x")) ** 2 + (F.col(f"{s}_y") - F.col(f"{s}_at.y")) ** 2)
     r = r.withColumns({"o_far": far("o"), "d_far": far("d")}).withColumns({"o_ns": beeline_time_ns(F.col("o_far"), factor, speed), "d_ns": beeline_time_ns(F.col("d_far"), factor, speed)})
     r = r.withColumn("request", F.concat_ws("\u0001", *PLAN, "origin_idx"))
-    paths = routing.least_cost_paths(r.select("request", F.col("o_link").alias("from_link"), F.col("d_link").alias("to_link"), ((F.coalesce("departure_ns", F.lit(0)) + F.col("o_ns")) / NS).alias("dep_s")), graph, max_speed)
+    paths = routing.least_cost_paths(r.select("request", F.col("o_link").alias("from_link"), F.col("d_link").alias("to_link"), ((F.coalesce("departure_ns", F.lit(0)) + F.col("o_ns")) / NS).alias("dep_s")), graph, max_speed, observed=observed, bin_s=bin_s)
     r = r.join(paths.filter("links is not null"), "request")
     mode, walk, ns = F.col("main_mode"), F.lit(access), F.floor(F.col("travel_s") * NS).cast("long")
     stop = F.concat(mode, F.lit(" interaction"))
@@ -79,15 +79,15 @@ def unrouted(requests: DataFrame, new: DataFrame) -> DataFrame:
     return requests.join(new.select(*PLAN, "origin_idx").distinct(), [*PLAN, "origin_idx"], "left_anti")
 
 
-def prepared(elements: DataFrame, links: DataFrame, nodes: DataFrame, graph: routing.Graph, network_modes: list[str], teleported: dict[str, tuple[float, float]] = TELEPORTED, ignore: tuple[str, ...] = (), max_speed: float = float("inf")) -> DataFrame:
+def prepared(elements: DataFrame, links: DataFrame, nodes: DataFrame, graph: routing.Graph, network_modes: list[str], teleported: dict[str, tuple[float, float]] = TELEPORTED, ignore: tuple[str, ...] = (), max_speed: float = float("inf"), observed: dict | None = None, bin_s: float = 900.0) -> DataFrame:
     """Plans in which every trip that isn't valid, but for those of ignored modes, has been routed; travel times and distances are filled.
 
-    Trips that can't be routed stay as they are."""
+    Trips that can't be routed stay as they are. max_speed, observed, bin_s: see ``routing.least_cost_paths``."""
     e = materialize(planops.filled_distances(planops.synchronised(normal(elements)), links), "elements")  # used five times below
     bad = planops.trip_validity(e, links, network_modes).filter("not valid")
     requests = trip_requests(e, materialize(bad, "invalid")).filter(~F.coalesce(F.col("main_mode").isin(*ignore), F.lit(False)) if ignore else F.lit(True))
     requests = materialize(requests, "requests")
-    new = materialize(routed(requests, links, nodes, graph, network_modes, teleported, max_speed=max_speed), "routed")
+    new = materialize(routed(requests, links, nodes, graph, network_modes, teleported, max_speed=max_speed, observed=observed, bin_s=bin_s), "routed")
     spans = requests.join(new.select(*PLAN, "origin_idx").distinct(), [*PLAN, "origin_idx"], "left_semi")
     return planops.spliced(e, spans, new)
 

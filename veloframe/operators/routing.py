@@ -18,6 +18,8 @@ from veloframe.functions.geometry import beeline_time_ns
 
 #: Graphs of more links than this are not broadcast (about 60 bytes a link).
 MOST_LINKS = 20_000_000
+#: Bins of observed links that are collected and broadcast (800 MB).
+MOST_BINS = 100_000_000
 
 
 @dataclass
@@ -88,7 +90,7 @@ def free_cost(g: Graph, max_speed: float = float("inf"), per_second: float = 1.0
     return lambda link, _: (t[link], c[link])
 
 
-def observed_cost(g: Graph, bins: dict[int, list[float]], bin_s: float, max_speed: float = float("inf"), per_second: float = 1.0, per_metre: float = 0.0) -> Cost:
+def observed_cost(g: Graph, bins: dict[int, list[float] | np.ndarray], bin_s: float, max_speed: float = float("inf"), per_second: float = 1.0, per_metre: float = 0.0) -> Cost:
     """Times of observed links by the bin of entering (the last one open-ended), never faster than the vehicle; free speed elsewhere."""
     free, length = free_cost(g, max_speed), g.length.tolist()
 
@@ -102,6 +104,19 @@ def observed_cost(g: Graph, bins: dict[int, list[float]], bin_s: float, max_spee
     return cost
 
 
+def observed_bins(travel_times: DataFrame, g: Graph, mode: str, bins: int) -> dict[int, np.ndarray]:
+    """Seconds by bin of the mode's observed links, from ``mode, link, bin, mean_ns``. Raises beyond MOST_BINS."""
+    rows = travel_times.filter(F.col("mode") == mode).select("link", "bin", (F.col("mean_ns") / 1e9).alias("s"))
+    n = rows.count()
+    if n > MOST_BINS:
+        raise ValueError(f"{n} bins of observed links are too many to broadcast; use longer bins")
+    found = rows.toPandas()
+    names, at = np.unique(found["link"].to_numpy(str), return_inverse=True)
+    table = np.zeros((len(names), bins))
+    table[at, found["bin"].to_numpy(int)] = found["s"].to_numpy(float)
+    return {link: table[i] for i, x in enumerate(names.tolist()) if (link := g.link(x)) >= 0}
+
+
 def search(g: Graph, source: int, target: int, at: float, cost: Cost, bound: Callable[[int], float] | None = None, backward: bool = False, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Costs, times and the last link of the best path of all nodes settled before the target (-1: all nodes).
 
@@ -218,15 +233,16 @@ def path(g: Graph, from_link: str, to_link: str, at: float, cost: Cost, heuristi
     return [str(g.links[x]) for x in links[::-1]], float(when[t] - at), float(best[t])
 
 
-def least_cost_paths(requests: DataFrame, graph: Graph, max_speed: float = float("inf"), per_second: float = 1.0, per_metre: float = 0.0, heuristic: bool = True) -> DataFrame:
+def least_cost_paths(requests: DataFrame, graph: Graph, max_speed: float = float("inf"), per_second: float = 1.0, per_metre: float = 0.0, heuristic: bool = True, observed: dict[int, np.ndarray] | None = None, bin_s: float = 900.0) -> DataFrame:
     """``request, links, travel_s, cost, distance_m`` of ``request, from_link, to_link, dep_s``; nulls where there is no way.
 
-    The network leg's time is that of the path and of the last link at the vehicle's speed; its distance is that of all links but the first."""
-    shared = requests.sparkSession.sparkContext.broadcast(graph)
+    The network leg's time is that of the path and of the last link at the vehicle's speed; its distance is that of all links but the first.
+    observed: times of links by bin, see ``observed_bins``; without, every link is driven at free speed."""
+    shared = requests.sparkSession.sparkContext.broadcast((graph, observed))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = shared.value
-        cost = free_cost(g, max_speed, per_second, per_metre)
+        g, bins = shared.value
+        cost = free_cost(g, max_speed, per_second, per_metre) if bins is None else observed_cost(g, bins, bin_s, max_speed, per_second, per_metre)
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):

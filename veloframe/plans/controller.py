@@ -45,7 +45,8 @@ class Bus:
 
 @dataclass
 class Scenario:
-    """elements: plan rows with ``selected, score``; weights: ``subpopulation, strategy, weight``."""
+    """elements: plan rows with ``selected, score``; weights: ``subpopulation, strategy, weight``; max_speeds: m/s by network mode;
+    travel_time_modes: network modes with the mode whose observed travel times their router uses, by default their own."""
 
     nodes: DataFrame
     links: DataFrame
@@ -53,6 +54,8 @@ class Scenario:
     persons: DataFrame
     vehicles: DataFrame | None = None
     weights: DataFrame | None = None
+    max_speeds: dict[str, float] = field(default_factory=dict)
+    travel_time_modes: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass
@@ -108,6 +111,8 @@ def run(s: Scenario, c: Config, scorer: Scorer | None = None, bus: Bus | None =
     if write:
         sinks.prepare_folder(c.output.output_dir, c.output.overwrite_files)
     links = s.links.dropDuplicates(["id"])
+    if unknown := sorted(set(s.travel_time_modes) - set(c.routing.network_modes)):
+        raise ValueError(f"travel times are mapped to {unknown}, which are not network modes")
     graphs = {m: routing.build_graph(s.nodes, links, m) for m in c.routing.network_modes}
     settings = mobsim.Settings(c.qsim.start_time, c.qsim.end_time, c.qsim.ticks_per_second, c.qsim.sample_size, c.qsim.stuck_threshold, tuple(c.qsim.main_modes), tuple(c.transit.passenger_modes), c.qsim.traffic_dynamics == "KinematicWaves", c.qsim.link_dynamics == "PassingQ", seed=c.computational_setup.random_seed)
     st = initial(s)
@@ -115,12 +120,13 @@ def run(s: Scenario, c: Config, scorer: Scorer | None = None, bus: Bus | None =
         bus.publish("iteration_starts", i)
         chosen = selected_elements(st)
         for m, g in graphs.items():
-            chosen = materialize(prepare.prepared(chosen, links, s.nodes, g, [m], {k: tuple(v) for k, v in c.routing.teleported.items()}) if m else chosen, "prepared")
+            seen = routing.observed_bins(st.travel_times, g, s.travel_time_modes.get(m, m), traveltime.bin_count(c.qsim.end_time * NS, c.travel_time_bin_s * NS)) if m and st.travel_times is not None else None
+            chosen = materialize(prepare.prepared(chosen, links, s.nodes, g, [m], {k: tuple(v) for k, v in c.routing.teleported.items()}, max_speed=s.max_speeds.get(m, float("inf")), observed=seen, bin_s=c.travel_time_bin_s) if m else chosen, "prepared")
         rest = st.elements.join(st.plans.filter("selected").select("person", "plan_idx"), ["person", "plan_idx"], "left_anti")
         st.elements = materialize(rest.unionByName(chosen.select(*rest.columns)), "elements")
         st.events = materialize(mobsim.simulate(chosen.withColumn("scenario", F.lit(0)), links, s.vehicles, settings).drop("scenario"), "events")
         bus.publish("simulated", i, events=st.events)
-        st.travel_times = traveltime.travel_times(st.events, links, c.travel_time_bin_s * NS, c.qsim.end_time * NS)
+        st.travel_times = materialize(traveltime.travel_times(st.events, links, c.travel_time_bin_s * NS, c.qsim.end_time * NS), "travel_times")  # of the next routing
         st.experienced = materialize(experienced.experienced_plans(st.events, links), "experienced")
         if scorer is not None:
             start = selection.averaging_start(first, last, c.scoring.fraction_for_msa) if c.scoring.fraction_for_msa is not None else last + 1
