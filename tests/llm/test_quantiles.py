@@ -52,6 +52,21 @@ def test_bounds_hold_for_merged_days(spark, monkeypatch, sparse):
         assert r.rank_error <= 0.35 * len(v) + 200
 
 
+def test_bound_says_something_at_the_tail(spark):
+    """A constant group, and days of far more codes than are kept, half of them one value."""
+    wide = spark.range(120_000).selectExpr("'wide' as g", "cast(id % 3 as int) as day", "case when rand(5) < 0.5 then 7 else cast(pow(2.0D, 11 + 36 * rand(6)) as bigint) end as v")
+    df = wide.unionByName(spark.range(3000).selectExpr("'const' as g", "0 as day", "123456789L as v")).cache()
+    days = sketch(df, ["g", "day"], "v")
+    assert days.filter("cell >= 0").count() > 0
+    exact = {}
+    for r in df.collect():
+        exact.setdefault(r.g, []).append(r.v)
+    for r in percentiles(merge(days, ["g"]), ["g"], [0.3, 0.75, 0.9, 0.99]).collect():
+        v = sorted(exact[r.g])
+        assert r.rank_error <= 0.004 * r.n and r.lower <= v[math.ceil(r.q * len(v) - 1e-9) - 1] <= r.upper
+        assert r.upper < v[-1] if r.g == "wide" else (r.rank_error == 0 and r.upper - r.lower <= 123456789 / 1024)
+
+
 def code_range_of(v):
     width = max(abs(v) // 1024, 1)
     return v - width, v + width
