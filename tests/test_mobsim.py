@@ -34,6 +34,17 @@ def plan(spark, files):
     return xml.population(spark, f"{files}/population.xml").filter("selected").withColumn("scenario", F.lit("s"))
 
 
+def test_more_links_or_vehicles_than_a_task_takes_are_an_error(spark, files, monkeypatch):
+    monkeypatch.setattr(mobsim, "MOST_ELEMENTS", 10)
+    fleet = lambda n: spark.range(n).selectExpr("cast(id as string) as vehicle", "1.0D as pce", "5.0D as max_v")
+    assert mobsim.simulate(plan(spark, files), links(spark), fleet(10)).count() == len(LOG)
+    with pytest.raises(ValueError, match="11 vehicles"):
+        mobsim.simulate(plan(spark, files), links(spark), fleet(11))
+    net = spark.range(11).selectExpr("cast(id as string) as id", "'n1' as from_node", "'n2' as to_node", "1.0D as length_m", "1.0D as freespeed", "1.0D as capacity", "1.0D as permlanes")
+    with pytest.raises(ValueError, match="11 links"):
+        mobsim.simulate(plan(spark, files), net)
+
+
 def test_exact_log(spark, files):
     got = mobsim.simulate(plan(spark, files), links(spark))
     assert ev.difference(got.drop("x", "y"), events(spark), FIELDS).collect() == []

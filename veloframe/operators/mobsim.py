@@ -499,12 +499,20 @@ class Simulation:
 _NEED = ["person", "elem_idx", "kind", "act_type", "link", "x", "y", "end_ns", "max_dur_ns", "mode", "routing_mode", "trav_ns", "route_trav_ns", "start_link", "end_link", "distance", "vehicle", "links", "line", "route", "access_facility", "egress_facility", "boarding_ns", "horizon_ns"]
 
 
+def _counted(df: DataFrame, what: str) -> DataFrame:
+    """The table, which is to be collected, unless it has more than MOST_ELEMENTS rows."""
+    n = df.count()
+    if n > MOST_ELEMENTS:
+        raise ValueError(f"{n} {what}, more than one task is given")
+    return df
+
+
 def schedule(tables: dict[str, DataFrame]) -> list[Bus]:
     """The departures of transit tables (``departures, route_stops, routes, stop_facilities``), each with a driver and a vehicle of its own."""
     d = transit.own_vehicles(transit.sequences(tables["departures"])).join(tables["routes"].select("line", "route", "mode"), ["line", "route"])
     d = d.join(transit.end_links(tables["route_stops"], tables["stop_facilities"]), ["line", "route"])
     stops = transit.offsets(tables["route_stops"]).groupBy("line", "route").agg(F.array_sort(F.collect_list(F.struct("pos", "facility", "arr_off_ns", "dep_off_ns"))).alias("stops"))
-    rows = d.join(stops, ["line", "route"]).orderBy("line", "route", "sequence").limit(MOST_ELEMENTS).collect()
+    rows = _counted(d.join(stops, ["line", "route"]), "departures").orderBy("line", "route", "sequence").collect()
     out = []
     for r in rows:
         at = [(s["facility"], r["dep_ns"] + s["arr_off_ns"], r["dep_ns"] + s["dep_off_ns"]) for s in r["stops"]]
@@ -524,8 +532,8 @@ def simulate(elements: DataFrame, links: DataFrame, vehicles: DataFrame | None =
         raise ValueError(f"scenario {over[0][0]} has {over[0][1]} elements, more than one task is given")
     missing = {c: F.lit(None).cast("bigint" if c.endswith("_ns") else "array<string>" if c == "links" else "double" if c in ("x", "y", "distance") else "string").alias(c) for c in _NEED if c not in elements.columns}
     rows = elements.select(scenario, *(missing.get(c, F.col(c)) for c in _NEED))
-    net = links.select("id", "from_node", "to_node", "length_m", "capacity", "freespeed", "permlanes").dropDuplicates(["id"]).limit(MOST_ELEMENTS).toPandas()
-    fleet = {r.vehicle: (float(r.pce), float(r.max_v)) for r in vehicles.select("vehicle", "pce", "max_v").dropDuplicates(["vehicle"]).limit(MOST_ELEMENTS).collect()} if vehicles is not None else {}
+    net = _counted(links.select("id", "from_node", "to_node", "length_m", "capacity", "freespeed", "permlanes").dropDuplicates(["id"]), "links").toPandas()
+    fleet = {r.vehicle: (float(r.pce), float(r.max_v)) for r in _counted(vehicles.select("vehicle", "pce", "max_v").dropDuplicates(["vehicle"]), "vehicles").collect()} if vehicles is not None else {}
     shared = elements.sparkSession.sparkContext.broadcast((net, fleet, schedule(transit_tables) if transit_tables is not None else None, graph))
     kind = elements.schema[scenario].dataType.simpleString()
 
