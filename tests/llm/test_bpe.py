@@ -60,6 +60,20 @@ def test_speculation_agrees_with_exact_merging(encoder):
     assert any(encoder.propose(w) != encoder.exact(w) for w in words)  # some words do fail the check
 
 
+def test_words_whose_hashes_collide(encoder, public, monkeypatch):
+    """Thue-Morse words and their complements have one hash modulo 2^64 from 512 letters on."""
+    a, b = "a", "b"
+    texts = []
+    while len(a) < 4096:
+        a, b = a + b, b + a
+        if len(a) >= 128:
+            texts += [a, b, f"{a} {b} x {a}"]
+    same(encoder, public, texts)
+    same(encoder, public, [" ".join(texts)])
+    monkeypatch.setattr(bpe.Encoder, "_hashes", lambda self, buf, start, end: np.zeros(len(start), np.uint64))  # all collide
+    same(encoder, public, ["one two one three", "two é one", "x" * 70])
+
+
 def test_forgetting_changes_nothing(encoder, public, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 5)
     same(encoder, public, ["one two three four five six seven", "eight nine ten one two"])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Bytes of text that are split at a time.
 CHUNK = 1 << 20
-#: Distinct words a worker remembers before it starts afresh; this bounds memory and changes no result.
+#: Distinct words, and pairs of tokens, a worker remembers before it starts afresh; this bounds memory and changes no result.
 REMEMBERED = 400_000
 
 LETTER, NUMBER, SPACE = 1, 2, 3
@@ -112,6 +112,8 @@ class Encoder:
 
     def compatible(self, pairs: np.ndarray) -> np.ndarray:
         """Of distinct pairs a << 32 | b, whether the encoding of a's and b's bytes is a, b."""
+        if len(self.pairs) + len(pairs) > REMEMBERED:
+            self.pairs.clear()
         known, bytes_ = self.pairs, self.bytes
         ok = []
         for p in pairs.tolist():
@@ -208,13 +210,31 @@ class Encoder:
         h = (total[end] - total[start]) * self.inverse[start]
         return h ^ ((end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
+    def distinct(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One word of each distinct one, and which of those every word is. Hashes only propose: the bytes of every word are compared with
+        those of the word that stands for it, and words that differ (hashes collide for repetitive words) are told apart by their bytes."""
+        _, rep, which = np.unique(self._hashes(buf, start, end), return_index=True, return_inverse=True)
+        size = end - start
+        other = size[rep][which] != size
+        shift = np.where(other, 0, start[rep][which] - start)
+        same = buf[np.arange(len(buf)) + np.repeat(shift, size)] == buf
+        if other.any() or not same.all():
+            other[np.repeat(np.arange(len(start)), size)[~same]] = True
+            number: dict[bytes, int] = {}
+            more = []
+            for w in np.flatnonzero(other).tolist():
+                at = number.setdefault(buf[start[w] : end[w]].tobytes(), len(rep) + len(number))
+                if at == len(rep) + len(more):
+                    more.append(w)
+                which[w] = at
+            rep = np.concatenate([rep, np.array(more, rep.dtype)])
+        return rep, which
+
     def encode(self, buf: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a chunk of non-empty texts, and the number of ids of each text."""
         start = self.split(buf, texts)
         end = np.append(start[1:], len(buf))
-        _, rep, which = np.unique(self._hashes(buf, start, end), return_index=True, return_inverse=True)
-        if not np.array_equal((end - start)[rep][which], end - start):
-            raise AssertionError("two words of different lengths have one hash")
+        rep, which = self.distinct(buf, start, end)
         raw = buf.tobytes()
         words = [raw[a:b] for a, b in zip(start[rep].tolist(), end[rep].tolist(), strict=True)]
         known = self.known
