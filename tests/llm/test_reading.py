@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from veloframe.llm.prose import N_FEATURES, features, prose
+from veloframe.llm.prose import N_FEATURES, Grades, Lexicon, features, prose
 from veloframe.llm.reading import grade, train, validation
 from veloframe.llm.trees import boost
 
@@ -22,7 +22,22 @@ def test_prose():
     assert prose("int f(int a) { return a; }\nfor (int i = 0; i < 3; i++) { x(); }") == ""
     got = prose("# The cold light fills each lock and\n# one day holds it.\nx = f(3)\n// Here nobody stops the pen.\n")
     assert got.split() == "The cold light fills each lock and one day holds it. . Here nobody stops the pen. .".split()
-    assert len(features("", 0, {})) == len(features("The dog sees one red box.", 30, {"dog": 1.0})) == N_FEATURES
+    assert prose("x = 1\n# It is not known what came before it\nend it\n\ny = 2") == "It is not known what came before it end it"
+
+
+def test_features_of_a_batch_are_those_of_each_text():
+    rng = random.Random(3)
+    texts = [prose(text(rng, i % 6)) for i in range(40)] + ["", "one", "One dog. Sees; a box, (red): a box."]
+    grades = Grades({"dog": 1.0, "box": 2.5}, {"ence": 4.0}, {"stra": 5.0}, frozenset({"the", "a", "in"}))
+    both = features(texts, np.full(len(texts), 999), Lexicon(grades))
+    assert both.shape == (len(texts), N_FEATURES) and not np.isnan(both).any()
+    for i, t in enumerate(texts):
+        assert np.allclose(both[i], features([t], np.array([999]), Lexicon(grades))[0])
+    words, sentences = np.expm1(both[-1, 0]), np.expm1(both[-1, 1])
+    assert (round(words), round(sentences)) == (8, 2) and both[-1, 2] == len(texts[-1]) / 999
+    overlap = both[-1, 35]
+    assert overlap == 0.0 and np.isclose(both[-1, 36], 5 / 6)  # dog, sees, box, red and one once, box twice
+    assert not both[-2].any() and not both[-3].any()
 
 
 def test_boosting_fits_steps():
@@ -60,6 +75,15 @@ def test_labelled_texts_are_read_whole(spark):
     assert np.mean([r.reading_level == 5 * (r.doc_id % 2) for r in grade(docs, model).collect()]) >= 0.9
 
 
+def test_repeated_documents_are_learned_once(spark):
+    rng = random.Random(9)
+    rows = [(i, text(rng, i % 6), "s") for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[:30] * 5, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, i % 6) for i in range(60)], "doc_id long, reading_level int")
+    model = train(docs, labels)
+    assert sum(r.n for r in validation(model, docs).collect()) == 60 and grade(docs, model).count() == 210
+
+
 def test_no_labels_and_no_documents(spark):
     docs = spark.createDataFrame([(1, "The dog sees one red box and runs.", "s")], "doc_id long, text string, source string")
     none = spark.createDataFrame([], "doc_id long, reading_level int")

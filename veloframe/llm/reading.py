@@ -10,17 +10,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veloframe.llm.prose import N_FEATURES, distributions, features, prose, spread_of_grades
+from veloframe.llm.prose import N_DISTRIBUTIONS, N_FEATURES, Grades, Lexicon, beginning, distinct_words, distributions, ending, features, proses, vocabulary
 from veloframe.llm.trees import Boosted, boost
+from veloframe.storage import materialize
 
 #: The model is trained on at most this many labelled rows, those of the least hash of their id; the bound keeps training on the driver
 #: small. Their texts are read whole, on the executors, like those to be graded; the driver gets distributions and counts of distinct words.
 MAX_LABELLED = 20_000
-#: A word gets a grade once this many labelled texts have it; the most frequent WORDS words are kept.
-LEAST_TEXTS, WORDS = 3, 30_000
+#: A word, ending or beginning gets a grade once this many labelled texts have it.
+LEAST_TEXTS = 3
+#: So many words that occur in the most labelled texts count as function words.
+COMMON = 150
 #: Sources are dealt into at most this many folds.
 FOLDS = 8
 LEVELS = 5
@@ -28,7 +32,7 @@ LEVELS = 5
 
 @dataclass(frozen=True)
 class ReadingModel:
-    grades: dict[str, float]
+    grades: Grades
     trees: Boosted
     cuts: list[float]
     validation: list[tuple[str | None, int, float, float, int, int, int]]  # source, n, rmse, accuracy, and of the top level: cases, found, right
@@ -37,43 +41,47 @@ class ReadingModel:
         return np.where(empty, 0, np.searchsorted(self.cuts, score)).astype(np.int32)
 
 
-@dataclass(frozen=True)
 class Bags:
-    """Distinct content words of texts and how often each occurs: ``ids[start[i]:start[i + 1]]`` are those of text i, numbers of ``names``."""
-
-    names: np.ndarray
-    ids: np.ndarray
-    counts: np.ndarray
-    start: np.ndarray
+    """Distinct words of texts and how often each occurs, as flat arrays; ``parts`` are what gets a grade: words, endings, beginnings."""
 
-    @staticmethod
-    def of(texts: list[str], counts: list[np.ndarray]) -> Bags:
+    def __init__(self, texts: list[str], counts: list[np.ndarray], common: frozenset[str]):
         """texts: the distinct words of each text, separated by spaces."""
         number: dict[str, int] = {}
-        ids = [np.array([number.setdefault(w, len(number)) for w in t.split()], np.int32) for t in texts]
-        flat = lambda parts: np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32)
-        return Bags(np.array(list(number), object), flat(ids), flat(counts), np.cumsum([0, *map(len, ids)]))
-
-    def graded(self, i: int, grades: np.ndarray) -> tuple[list[float], int]:
-        """The grades of the graded words of text i, as often as they occur, and the number of all its words."""
-        at = slice(self.start[i], self.start[i + 1])
-        g, n = grades[self.ids[at]], self.counts[at]
-        has = ~np.isnan(g)
-        return np.repeat(g[has], n[has]).tolist(), int(n.sum())
-
-
-def _grades(bags: Bags, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """By word, the mean level, drawn to the general mean, of the texts that have it; NaN for words without a grade."""
-    taken = np.zeros(len(y), bool)
-    taken[rows] = True
-    size = np.diff(bags.start)
-    ids = bags.ids[np.repeat(taken, size)]
-    n = np.bincount(ids, minlength=len(bags.names))
-    total = np.bincount(ids, np.repeat(np.where(taken, y, 0.0), size)[np.repeat(taken, size)], minlength=len(bags.names))
-    kept = np.array(sorted(np.flatnonzero(n >= LEAST_TEXTS).tolist(), key=lambda w: (-n[w], bags.names[w]))[:WORDS], int)
-    out = np.full(len(bags.names), np.nan)
-    out[kept] = (total[kept] + (float(y[rows].mean()) if len(rows) else 0.0)) / (n[kept] + 1)
-    return out
+        ids = [np.array([number.setdefault(w, len(number)) for w in t.split()], np.int64) for t in texts]
+        none = [np.zeros(0, np.int64)]
+        self.names, self.common = list(number), common
+        self.ids = np.concatenate(none + ids)
+        self.text = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+        self.counts = np.concatenate(none + [np.asarray(c, np.int64) for c in counts])
+        self.parts = []
+        for of in (lambda w: w, ending, beginning):
+            names = [of(w) for w in self.names]
+            kinds = {x: i for i, x in enumerate(dict.fromkeys(names))}
+            self.parts.append((list(kinds), np.array([kinds[x] for x in names], np.int64)))
+
+    def grades(self, y: np.ndarray, taken: np.ndarray) -> list[np.ndarray]:
+        """By word, ending and beginning the mean level, drawn to the general mean, of the taken texts that have it; NaN without a grade."""
+        mean, out = float(y[taken].mean()) if taken.any() else 0.0, []
+        for names, of in self.parts:
+            pairs = np.unique(self.text[taken[self.text]] * max(len(names), 1) + of[self.ids[taken[self.text]]])
+            kind, text = pairs % max(len(names), 1), pairs // max(len(names), 1)
+            n, total = np.bincount(kind, minlength=len(names)), np.bincount(kind, y[text], len(names))
+            g = np.where(n >= LEAST_TEXTS, (total + mean) / (n + 1), np.nan)
+            out.append(np.where(np.array(names, object) == "", np.nan, g))
+        return out
+
+    def table(self, grades: list[np.ndarray], texts: np.ndarray) -> np.ndarray:
+        """Rows of the vocabulary features of these texts."""
+        columns = [np.zeros(len(self.names))] * 2 + [np.array([w in self.common for w in self.names], float)] + [g[of] for g, (_, of) in zip(grades, self.parts, strict=True)]
+        place = np.full(int(self.text.max(initial=-1)) + 1 if len(self.text) else 0, -1)
+        place = np.full(max(len(place), int(texts.max(initial=-1)) + 1), -1)
+        place[texts] = np.arange(len(texts))
+        mine = place[self.text] >= 0
+        return vocabulary(np.repeat(self.ids[mine], self.counts[mine]), np.repeat(place[self.text[mine]], self.counts[mine]), len(texts), np.stack(columns, 1))
+
+    def learned(self, grades: list[np.ndarray]) -> Grades:
+        named = [{names[i]: float(g[i]) for i in np.flatnonzero(~np.isnan(g)).tolist()} for g, (names, _) in zip(grades, self.parts, strict=True)]
+        return Grades(*named, self.common)
 
 
 def _cuts(score: np.ndarray, y: np.ndarray) -> list[float]:
@@ -88,23 +96,39 @@ def _cuts(score: np.ndarray, y: np.ndarray) -> list[float]:
 
 
 def train(documents: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", level: str = "reading_level", source: str = "source") -> ReadingModel:
-    """A model from labelled documents. Words are graded, for the rows of a fold, on the other folds only; folds are whole sources (rows of one
-    source alone are dealt by id instead). Labels that are null or outside 0..5, of unknown documents, or repeated with another level, are
-    left out; without labels every document with prose gets level 0."""
+    """A model from labelled documents. Words, endings and beginnings are graded, for the rows of a fold, on the other folds only; folds are
+    whole sources (rows of one source alone are dealt by id instead). Labels that are null or outside 0..5, of unknown documents, or repeated
+    with another level, are left out, and of documents with one id one text counts; without labels every document with prose gets level 0."""
     ok = labels.filter(F.col(level).between(0, LEVELS) & F.col(id).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.min(level).alias("y"), F.max(level).alias("z")).filter("y = z")
     ok = ok.orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED).select("id", "y")
     rows = documents.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.col(source).cast("string").alias("source")).join(F.broadcast(ok), "id")
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(2), b.column(3).cast(pa.float64()), pc.utf8_length(texts.fill_null("")).cast(pa.int64()), pa.array(proses(texts), pa.string())], names=["id", "source", "y", "n_chars", "prose"])
+
+    found = rows.select("id", "text", "source", "y").mapInArrow(find, "id string, source string, y double, n_chars long, prose string")
+    found = materialize(found.groupBy("id").agg(F.min(F.struct("prose", "n_chars", "source", "y")).alias("r")).select("id", "r.*"), "labelled")  # MAX_LABELLED rows at most
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"word": [w for p in pdf["prose"] for w in distinct_words(p)]})
+
+    common = frozenset(r["word"] for r in found.select("prose").mapInPandas(split, "word string").groupBy("word").count().orderBy(F.desc("count"), "word").limit(COMMON).collect())
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [prose(t) for t in pdf["text"]]
-            plain = [distributions(p, len(t or "")) for p, t in zip(found, pdf["text"], strict=True)]
-            bags = [Counter(content) for _, content in plain]
-            yield pd.DataFrame({"id": pdf["id"].astype(str), "source": pdf["source"], "y": pdf["y"].astype(float), "empty": [not p for p in found], "plain": [d for d, _ in plain], "words": [" ".join(b) for b in bags], "counts": [list(b.values()) for b in bags]})
-
-    sample = rows.mapInPandas(read, "id string, source string, y double, empty boolean, plain array<double>, words string, counts array<int>").toPandas().sort_values("id", ignore_index=True)  # bounded, see above
-    y, plain, empty = sample["y"].to_numpy(float), [list(x) for x in sample["plain"]], sample["empty"].to_numpy(bool)
-    bags = Bags.of(sample["words"].tolist(), sample["counts"].tolist())
+            lexicon, p = Lexicon(Grades(common=common)), pdf["prose"].tolist()
+            tokens, of = lexicon.tokens(p)
+            plain, w, d = distributions(tokens, of, len(p), lexicon.table, np.array([len(x) for x in p]), pdf["n_chars"].to_numpy())
+            bags = [Counter(x.tolist()) for x in np.split(w, np.searchsorted(d, np.arange(1, len(p))))] if len(p) else []
+            yield pd.DataFrame({"id": pdf["id"], "source": pdf["source"], "y": pdf["y"], "empty": [not x for x in p], "plain": list(plain), "words": [" ".join(lexicon.word[i] for i in b) for b in bags], "counts": [list(b.values()) for b in bags]})
+
+    sample = found.mapInPandas(read, "id string, source string, y double, empty boolean, plain array<double>, words string, counts array<int>").toPandas().sort_values("id", ignore_index=True)  # bounded, see above
+    y, empty = sample["y"].to_numpy(float), sample["empty"].to_numpy(bool)
+    plain = np.array(sample["plain"].tolist(), float).reshape(len(y), N_DISTRIBUTIONS)
+    bags = Bags(sample["words"].tolist(), sample["counts"].tolist(), common)
     origin = sample["source"].where(sample["source"].notna(), None)
     names = sorted(origin.dropna().unique())
     if len(names) + origin.isna().any() > 1:
@@ -113,16 +137,16 @@ def train(documents: DataFrame, labels: DataFrame, id: str = "doc_id", text: str
         fold = np.arange(len(y)) % FOLDS
     present = sorted(set(fold.tolist()))
 
-    def table(rows_: np.ndarray, grades: np.ndarray) -> np.ndarray:
-        return np.array([plain[i] + spread_of_grades(*bags.graded(i, grades)) for i in rows_.tolist()]).reshape(len(rows_), N_FEATURES)
+    def table(rows_: np.ndarray, grades: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate([plain[rows_], bags.table(grades, rows_)], 1) if len(rows_) else np.zeros((0, N_FEATURES))
 
     def held(outer: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Rows of all folds but one, each with words graded on the other folds that may be seen."""
         parts, at = [], []
         for g in present:
             if g != outer:
-                mine, others = np.flatnonzero(fold == g), np.flatnonzero((fold != g) & (fold != outer))
-                parts.append(table(mine, _grades(bags, y, others)))
+                mine = np.flatnonzero(fold == g)
+                parts.append(table(mine, bags.grades(y, (fold != g) & (fold != outer))))
                 at.append(mine)
         return (np.concatenate(parts), np.concatenate(at)) if parts else (np.zeros((0, N_FEATURES)), np.zeros(0, int))
 
@@ -130,11 +154,10 @@ def train(documents: DataFrame, labels: DataFrame, id: str = "doc_id", text: str
     for f in present:
         out = np.flatnonzero(fold == f)
         x, at = held(f)
-        score[out] = boost(x, y[at]).predict(table(out, _grades(bags, y, np.flatnonzero(fold != f))))
+        score[out] = boost(x, y[at]).predict(table(out, bags.grades(y, fold != f)))
     cuts = _cuts(score, y)
     x, at = held(None)
-    grades = _grades(bags, y, np.arange(len(y)))
-    model = ReadingModel({bags.names[w]: float(grades[w]) for w in np.flatnonzero(~np.isnan(grades)).tolist()}, boost(x, y[at]), cuts, [])
+    model = ReadingModel(bags.learned(bags.grades(y, np.ones(len(y), bool))), boost(x, y[at]), cuts, [])
     got = model.level(score, empty)
     report = []
     for s in [*names, None]:
@@ -151,15 +174,14 @@ def grade(documents: DataFrame, model: ReadingModel, id: str = "doc_id", text: s
 
     Whole texts are read. Null and empty texts, and texts without running English prose, have level 0; repeated rows are graded alike."""
     kind = documents.schema[id].dataType.simpleString()
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # WORDS words and the trees at most: about 2 MB
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # grades of the words of MAX_LABELLED texts and the trees: a few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        lexicon = Lexicon(m.grades)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            found = [prose(t) for t in texts]
-            x = np.array([features(p, len(t or ""), m.grades) for p, t in zip(found, texts, strict=True)]).reshape(len(found), N_FEATURES)
-            score = m.trees.predict(x)
+            found = proses(b.column(1))
+            score = m.trees.predict(features(found, pc.utf8_length(b.column(1).fill_null("")).to_numpy(zero_copy_only=False), lexicon))
             level = m.level(score, np.array([not p for p in found], bool))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(level, pa.int32())], names=["id", "reading_score", "reading_level"])
 
