@@ -1,6 +1,6 @@
 import random
 
-from scenario import LOG, P, events, links
+from scenario import LOG, P, ROUTE, events, links
 from veloframe.operators import events as ev
 from veloframe.operators import experienced, traveltime
 from veloframe.functions.times import NS
@@ -17,8 +17,8 @@ def test_comparison(spark):
     a = events(spark)
     swap = LOG[:2][::-1] + LOG[2:]
     late = LOG[:3] + [LOG[9]] + LOG[3:9] + LOG[10:]
-    other = LOG[:2] + [(32408, "travelled", dict(person=P, distance=11.0, mode="walk"))] + LOG[3:]
-    moved = LOG[:-1] + [(32540, *LOG[-1][1:])]
+    other = LOG[:2] + [(21000, "travelled", dict(person=P, distance=11.0, mode="ferry"))] + LOG[3:]
+    moved = LOG[:-1] + [(22448, *LOG[-1][1:])]
     assert ev.compare(a, events(spark, swap)) == "equal"
     assert ev.compare(a, events(spark, late)) == "order"
     assert ev.compare(a, events(spark, other)) == "missing"
@@ -43,9 +43,9 @@ def test_merge_and_order(spark):
 
 def test_travel_times(spark):
     obs = traveltime.observations(events(spark)).collect()
-    assert [tuple(r) for r in obs] == [("car", "b", 32410 * NS, 101 * NS)]
-    tt = {r.bin: r.mean_ns / NS for r in traveltime.travel_times(events(spark), links(spark), 900 * NS, 86_399 * NS).collect()}
-    assert len(tt) == 96 and tt[35] == 100 and tt[36] == 101 and tt[37] == 100
+    assert sorted(tuple(r) for r in obs) == [("car", "loop", 22284 * NS, 81 * NS), ("car", "rise", 22233 * NS, 51 * NS)]
+    tt = {(r.link, r.bin): r.mean_ns / NS for r in traveltime.travel_times(events(spark), links(spark), 900 * NS, 86_399 * NS).collect()}
+    assert len(tt) == 192 and [tt["rise", b] for b in (23, 24, 25)] == [50, 51, 50] and [tt["loop", b] for b in (23, 24, 25)] == [80, 81, 80]
 
 
 def test_decay_is_the_loop(spark):
@@ -72,20 +72,20 @@ def rows_of(df):
 def test_experienced_plan(spark):
     s = lambda x: x * NS
     assert rows_of(experienced.experienced_plans(events(spark), links(spark))) == [
-        ("act", "home", None, s(32400), None, None, None, None, None, False), ("leg", "walk", None, None, s(32400), s(8), "generic", 10.0, None, False), ("act", "car interaction", s(32409), s(32409), None, None, None, None, None, False), ("leg", "car", None, None, s(32409), s(112), "links", 1100.0, ["a", "b", "c"], False),
-        ("act", "car interaction", s(32522), s(32522), None, None, None, None, None, False), ("leg", "walk", None, None, s(32522), s(16), "generic", 20.0, None, False), ("act", "errands", s(32539), None, None, None, None, None, None, False),
+        ("act", "cabin", None, s(20400), None, None, None, None, None, False), ("leg", "ferry", None, None, s(20400), s(600), "generic", 5000.0, None, False), ("act", "bakery", s(21001), s(22201), None, None, None, None, None, False), ("leg", "walk", None, None, s(22201), s(30), "generic", 13.0, None, False),
+        ("act", "car interaction", s(22232), s(22232), None, None, None, None, None, False), ("leg", "car", None, None, s(22232), s(153), "links", 1300.0, ROUTE, False), ("act", "car interaction", s(22386), s(22386), None, None, None, None, None, False), ("leg", "walk", None, None, s(22386), s(60), "generic", 26.0, None, False), ("act", "kiln", s(22447), None, None, None, None, None, None, False),
     ]
 
 
 def test_stuck_plans(spark):
     stuck = lambda n: LOG[:n] + [(86400, "stuckAndAbort", dict(person=P))]
     plan = lambda n: rows_of(experienced.experienced_plans(events(spark, stuck(n)), links(spark)))
-    on_road = plan(11)
-    assert on_road[-1][0] == "leg" and on_road[-1][-1] and on_road[-1][8] == ["a", "b"] and [r[-1] for r in on_road[:-1]] == [False] * 3
+    on_road = plan(18)
+    assert on_road[-1][0] == "leg" and on_road[-1][-1] and on_road[-1][8] == ROUTE[:3] and [r[-1] for r in on_road[:-1]] == [False] * 5
     between = plan(4)
     assert [r[-1] for r in between] == [False, True]
     doing = plan(5)
-    assert doing[-1][1] == "car interaction" and [r[-1] for r in doing] == [False, False, True]
+    assert doing[-1][1] == "bakery" and [r[-1] for r in doing] == [False, False, True]
 
 
 def test_transit_ride(spark):

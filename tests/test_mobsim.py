@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from scenario import LOG, NETWORK, P, POPULATION, V, VEHICLES, events, links, nodes
+from scenario import LOG, NETWORK, P, POPULATION, ROUTE, V, VEHICLES, events, links, nodes
 from veloframe.operators import events as ev
 from veloframe.operators import mobsim, planops, prepare, routing
 from veloframe.sources import xml
@@ -19,15 +19,15 @@ def files(tmp_path_factory):
 
 def test_scans(spark, files):
     n, l, cell = xml.network(spark, f"{files}/network.xml")  # noqa: E741
-    assert cell == 7.5 and {(r.id, r.partition_no, r.weight) for r in n.collect()} == {("n1", 0, 1), ("n2", 1, 1), ("n3", 0, 1), ("n4", 0, 1)}
-    assert {r.id: r.modes for r in l.collect()} == {"a": ["car", "bike"], "b": ["car", "bike"], "c": ["car"]}
+    assert cell == 7.5 and {(r.id, r.partition_no, r.weight) for r in n.collect()} == {("dock", 0, 1), ("mill", 1, 1), ("gate", 0, 1), ("fork", 0, 1), ("hill", 0, 1)}
+    assert {r.id: r.modes for r in l.collect()} == {"quay": ["car", "bike"], "rise": ["car", "bike"], "loop": ["car"], "spur": ["car"], "back": ["bike"]}
     p = xml.population(spark, f"{files}/population.xml").orderBy("plan_idx", "elem_idx").collect()
     chosen = [r for r in p if r.person == P and r.plan_idx == 0]
-    assert [r.kind for r in chosen] == ["act", "leg", "act", "leg", "act", "leg", "act"] and chosen[3].links == ["a", "b", "c"] and chosen[3].vehicle == V and chosen[3].trav_ns is None and chosen[1].route_trav_ns == 8_000_000_000
-    assert chosen[0].score == 9.5 and chosen[0].person_attributes == {"age": "40"} and {r.person for r in p} == {P, "idle"}
-    assert {(r.person, r.subpopulation) for r in xml.persons(spark.createDataFrame(p, xml.population(spark, f"{files}/population.xml").schema)).collect()} == {(P, "person"), ("idle", "person")}
+    assert [r.kind for r in chosen] == ["act", "leg"] * 4 + ["act"] and chosen[5].links == ROUTE and chosen[5].vehicle == V and chosen[5].trav_ns is None and chosen[3].route_trav_ns == 30_000_000_000
+    assert chosen[0].score == 7.25 and chosen[0].person_attributes == {"age": "33"} and {r.person for r in p} == {P, "rest"}
+    assert {(r.person, r.subpopulation) for r in xml.persons(spark.createDataFrame(p, xml.population(spark, f"{files}/population.xml").schema)).collect()} == {(P, "person"), ("rest", "person")}
     t, v = xml.vehicles(spark, f"{files}/vehicles.xml")
-    assert {(r.id, r.length, r.max_v, r.pce) for r in t.collect()} == {("car", 5.0, 42.0, 1.0), ("plain", 7.5, float("inf"), 1.0)} and [tuple(r) for r in v.collect()] == [(V, "car", 42.0, 1.0)]
+    assert {(r.id, r.length, r.max_v, r.pce) for r in t.collect()} == {("car", 5.0, 33.0, 1.0), ("plain", 7.5, float("inf"), 1.0)} and [tuple(r) for r in v.collect()] == [(V, "car", 33.0, 1.0)]
 
 
 def plan(spark, files):
@@ -40,7 +40,7 @@ def test_more_links_or_vehicles_than_a_task_takes_are_an_error(spark, files, mon
     assert mobsim.simulate(plan(spark, files), links(spark), fleet(10)).count() == len(LOG)
     with pytest.raises(ValueError, match="11 vehicles"):
         mobsim.simulate(plan(spark, files), links(spark), fleet(11))
-    net = spark.range(11).selectExpr("cast(id as string) as id", "'n1' as from_node", "'n2' as to_node", "1.0D as length_m", "1.0D as freespeed", "1.0D as capacity", "1.0D as permlanes")
+    net = spark.range(11).selectExpr("cast(id as string) as id", "'p' as from_node", "'q' as to_node", "1.0D as length_m", "1.0D as freespeed", "1.0D as capacity", "1.0D as permlanes")
     with pytest.raises(ValueError, match="11 links"):
         mobsim.simulate(plan(spark, files), net)
 
@@ -56,32 +56,32 @@ def test_many_scenarios_and_storage(spark, files):
     crowd = p.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(60)))).withColumns({"person": F.concat(F.lit("q"), F.lpad(F.col("i").cast("string"), 3, "0")), "vehicle": F.when(F.col("vehicle").isNotNull(), F.concat(F.lit("w"), F.col("i").cast("string"))), "scenario": F.lit("crowd")}).drop("i")
     log = mobsim.simulate(p.unionByName(crowd), links(spark), settings=mobsim.Settings(sample=0.1)).cache()
     assert ev.difference(log.filter("scenario = 's'"), mobsim.simulate(p, links(spark), settings=mobsim.Settings(sample=0.1)), FIELDS).collect() == []
-    out = [r.time_ns // 10**9 for r in log.filter("scenario = 'crowd' and type = 'left link' and link = 'b'").orderBy("time_ns").collect()]
-    assert len(out) == 60 and min(b - a for a, b in zip(out, out[1:])) >= 9  # a tenth of a vehicle a second
+    out = [r.time_ns // 10**9 for r in log.filter("scenario = 'crowd' and type = 'left link' and link = 'rise'").orderBy("time_ns").collect()]
+    assert len(out) == 60 and min(b - a for a, b in zip(out, out[1:])) >= 39  # the quay lets a car pass every 40 s
     assert log.filter("type = 'stuckAndAbort'").count() == 0
-    inside = log.filter("scenario = 'crowd' and link = 'b' and type in ('entered link', 'left link')").orderBy("seq").collect()
+    inside = log.filter("scenario = 'crowd' and link = 'rise' and type in ('entered link', 'left link')").orderBy("seq").collect()
     load = most = 0
     for r in inside:
         load += 1 if r.type == "entered link" else -1
         most = max(most, load)
-    assert most <= 1000 / 7.5 * 0.1 + 2
+    assert most <= 600 / 7.5 * 0.1
 
 
 def test_kinematic_waves_passing_and_stuck(spark, files):
     p = plan(spark, files)
     for s in (mobsim.Settings(kinematic=True), mobsim.Settings(passing=True)):
         assert ev.difference(mobsim.simulate(p, links(spark), settings=s), events(spark), FIELDS).collect() == []
-    early = mobsim.simulate(p, links(spark), settings=mobsim.Settings(end_s=32450))
+    early = mobsim.simulate(p, links(spark), settings=mobsim.Settings(end_s=22300))
     last = early.orderBy(F.desc("seq")).first()
-    assert (last.type, last.person, last.link, last.leg_mode, last.time_ns) == ("stuckAndAbort", P, "b", "car", 32450 * 10**9)
+    assert (last.type, last.person, last.link, last.leg_mode, last.time_ns) == ("stuckAndAbort", P, "loop", "car", 22300 * 10**9)
     sleeping = mobsim.simulate(p, links(spark), settings=mobsim.Settings(end_s=100)).collect()
     assert [(r.type, r.link) for r in sleeping] == [("stuckAndAbort", None)]
 
 
 def test_teleported_plans_need_no_kernel(spark, files):
-    p = plan(spark, files).filter("mode is null or mode <> 'car'").filter("elem_idx in (0, 1, 2)").union(plan(spark, files).filter("elem_idx = 5")).withColumn("scenario", F.lit("t"))
-    flat = p.withColumn("elem_idx", F.when(F.col("elem_idx") == 5, 3).otherwise(F.col("elem_idx"))).withColumn("plan_idx", F.lit(0))
-    flat = flat.withColumn("end_ns", F.when(F.col("elem_idx") == 2, F.lit(32_000 * 10**9)).otherwise(F.col("end_ns")))
+    p = plan(spark, files).filter("elem_idx in (0, 1, 2, 3, 8)").withColumn("scenario", F.lit("t"))
+    flat = p.withColumn("elem_idx", F.least("elem_idx", F.lit(4))).withColumn("plan_idx", F.lit(0))
+    flat = flat.withColumn("end_ns", F.when(F.col("elem_idx") == 2, F.lit(20_000 * 10**9)).otherwise(F.col("end_ns")))  # over before it begins
     log = mobsim.simulate(flat.withColumn("max_dur_ns", F.lit(None).cast("long")), links(spark)).collect()
     want = sorted((r.time_ns, r.type) for r in log if r.type in ("departure", "arrival"))
     got = planops.teleport_schedule(flat).collect()
@@ -90,12 +90,12 @@ def test_teleported_plans_need_no_kernel(spark, files):
 
 def test_prepared_plans(spark, files):
     """Without access legs and routes a trip is routed; the result can be simulated and is valid."""
-    raw = plan(spark, files).filter("elem_idx in (0, 3, 6)").withColumn("elem_idx", (F.col("elem_idx") / 3).cast("int")).withColumns({"links": F.lit(None).cast("array<string>"), "distance": F.lit(None).cast("double")})
+    raw = plan(spark, files).filter("elem_idx in (2, 5, 8)").withColumn("elem_idx", ((F.col("elem_idx") - 2) / 3).cast("int")).withColumns({"links": F.lit(None).cast("array<string>"), "distance": F.lit(None).cast("double")})
     g = routing.build_graph(nodes(spark), links(spark), "car")
     ready = prepare.prepared(raw, links(spark), nodes(spark), g, ["car"])
     rows = ready.orderBy("elem_idx").collect()
-    assert [r["mode"] or r.act_type for r in rows] == ["home", "walk", "car interaction", "car", "car interaction", "walk", "errands"]
-    assert rows[3].links == ["a", "b", "c"] and rows[3].distance == 1100 and rows[3].vehicle == f"{P}_car" and rows[1].distance == 13.0 and rows[2].x == 5 and rows[2].y == 0
+    assert [r["mode"] or r.act_type for r in rows] == ["bakery", "walk", "car interaction", "car", "car interaction", "walk", "kiln"]
+    assert rows[3].links == ROUTE and rows[3].distance == 1300 and rows[3].vehicle == f"{P}_car" and [rows[1].distance, rows[2].x, rows[2].y, rows[5].distance] == pytest.approx([13.0, 150, 200, 26.0])
     assert [r.valid for r in planops.trip_validity(ready, links(spark), ["car"]).collect()] == [True]
     log = mobsim.simulate(ready.withColumn("scenario", F.lit(0)), links(spark))
     assert log.filter("type = 'arrival'").count() == 3
@@ -106,15 +106,15 @@ def transit_tables(spark, n=3, gap=60):
     ns = 10**9
     return {
         "departures": df([("L", "R", f"d{i}", (100 + gap * i) * ns, "bus") for i in range(n)], "line string, route string, id string, dep_ns long, vehicle string"),
-        "routes": df([("L", "R", "train", ["a", "b", "c"])], "line string, route string, mode string, links array<string>"),
+        "routes": df([("L", "R", "train", ROUTE[:3])], "line string, route string, mode string, links array<string>"),
         "route_stops": df([("L", "R", 0, "s1", None, 0), ("L", "R", 1, "s2", 50 * ns, 70 * ns), ("L", "R", 2, "s3", 100 * ns, None)], "line string, route string, pos int, facility string, arr_ns long, dep_ns long"),
-        "stop_facilities": df([("s1", "a"), ("s2", "b"), ("s3", "c")], "id string, link string"),
+        "stop_facilities": df([("s1", "quay"), ("s2", "rise"), ("s3", "loop")], "id string, link string"),
     }
 
 
 def rider(name, egress, at, line="L"):
-    leg = dict(person=name, elem_idx=1, kind="leg", mode="pt", routing_mode="pt", start_link="a", end_link="c", line=line, route="R", access_facility="s1", egress_facility=egress, route_type="default_pt")
-    return [dict(person=name, elem_idx=0, kind="act", act_type="home", link="a", end_ns=at * 10**9), leg, dict(person=name, elem_idx=2, kind="act", act_type="work", link="c")]
+    leg = dict(person=name, elem_idx=1, kind="leg", mode="pt", routing_mode="pt", start_link="quay", end_link="loop", line=line, route="R", access_facility="s1", egress_facility=egress, route_type="default_pt")
+    return [dict(person=name, elem_idx=0, kind="act", act_type="home", link="quay", end_ns=at * 10**9), leg, dict(person=name, elem_idx=2, kind="act", act_type="work", link="loop")]
 
 
 def test_schedule_based_transit(spark):
@@ -148,10 +148,10 @@ def test_transit_never_overtakes(spark):
 def test_agents_who_look_for_a_route(spark, files):
     """A planned route over a slow link is replaced before the departure, in the agent's own copy only."""
     l = links(spark)  # noqa: E741
-    two = l.union(spark.createDataFrame([("fast", "n2", "n3", 100.0, 10.0, 3600.0, 1.0, ["car"])], l.schema))
-    p = plan(spark, files).withColumn("horizon_ns", F.when(F.col("act_type") == "home", F.lit(600 * 10**9)))
+    two = l.union(spark.createDataFrame([("fast", "mill", "gate", 100.0, 10.0, 3600.0, 1.0, ["car"])], l.schema))
+    p = plan(spark, files).withColumn("horizon_ns", F.when(F.col("act_type") == "bakery", F.lit(600 * 10**9)))
     went = lambda df: [r.link for r in df.filter("type = 'entered link'").orderBy("seq").collect()]
     g = routing.build_graph(nodes(spark), two, "car")
-    assert went(mobsim.simulate(p, two, graph=g)) == ["fast", "c"]
-    assert went(mobsim.simulate(p.drop("horizon_ns"), two, graph=g)) == ["b", "c"]
-    assert went(mobsim.simulate(p, two)) == ["b", "c"]
+    assert went(mobsim.simulate(p, two, graph=g)) == ["fast", "loop", "spur"]
+    assert went(mobsim.simulate(p.drop("horizon_ns"), two, graph=g)) == ROUTE[1:]
+    assert went(mobsim.simulate(p, two)) == ROUTE[1:]

@@ -78,25 +78,25 @@ def test_dead_ends_components_hops(spark):
 
 def test_time_dependent_costs_and_requests(spark):
     g = routing.build_graph(nodes(spark), links(spark), "car")
-    slow = routing.observed_cost(g, {g.link("b"): [100.0, 300.0]}, 900.0)
-    assert slow(g.link("b"), 10.0)[0] == 100 and slow(g.link("b"), 5000.0)[0] == 300 and routing.observed_cost(g, {g.link("b"): [100.0]}, 900.0, 2.0)(g.link("b"), 0.0)[0] == 500
-    q = spark.createDataFrame([("x", "a", "c", 0.0), ("same", "b", "b", 0.0), ("back", "c", "a", 0.0), ("unknown", "zz", "a", 0.0), ("none", None, "a", 0.0)], "request string, from_link string, to_link string, dep_s double")
+    slow = routing.observed_cost(g, {g.link("rise"): [100.0, 300.0]}, 900.0)
+    assert slow(g.link("rise"), 10.0)[0] == 100 and slow(g.link("rise"), 5000.0)[0] == 300 and routing.observed_cost(g, {g.link("rise"): [100.0]}, 900.0, 2.0)(g.link("rise"), 0.0)[0] == 300
+    q = spark.createDataFrame([("x", "quay", "loop", 0.0), ("same", "rise", "rise", 0.0), ("return", "loop", "quay", 0.0), ("unknown", "zz", "quay", 0.0), ("none", None, "quay", 0.0)], "request string, from_link string, to_link string, dep_s double")
     got = {r.request: (r.links, r.travel_s, r.distance_m) for r in routing.least_cost_paths(q, g).collect()}
-    assert got == {"x": (["a", "b", "c"], 110.0, 1100.0), "same": (["b"], 0.0, 0.0), "back": (None, None, None), "unknown": (None, None, None), "none": (None, None, None)}
+    assert got == {"x": (["quay", "rise", "loop"], 130.0, 1000.0), "same": (["rise"], 0.0, 0.0), "return": (None, None, None), "unknown": (None, None, None), "none": (None, None, None)}
     with pytest.raises(ValueError):
         routing.routed_by_mode(q.withColumn("mode", F.lit("fly")), {"walk": lambda df: df})
 
 
 def test_edits_partitions_routes(spark):
-    n, l, bad = network.edited(nodes(spark), links(spark), add_links=links(spark).limit(1), drop_nodes=spark.createDataFrame([("n4",)], "id string"))  # noqa: E741
-    assert {r.id for r in l.collect()} == {"a", "b"} and {(r.kind, r.id) for r in bad.collect()} == {("repeated link", "a")}
+    n, l, bad = network.edited(nodes(spark), links(spark), add_links=links(spark).limit(1), drop_nodes=spark.createDataFrame([("fork",)], "id string"))  # noqa: E741
+    assert {r.id for r in l.collect()} == {"quay", "rise"} and {(r.kind, r.id) for r in bad.collect()} == {("repeated link", "quay")}
     parts = network.partitions(nodes(spark), 2)
-    assert sorted(r["count"] for r in parts.groupBy("partition_no").count().collect()) == [2, 2]
-    got = network.partition_rest(nodes(spark), links(spark), parts.filter("node <> 'n4'"), ["car"])
-    assert {r.node: r.partition_no for r in got.collect()}["n4"] == {r.node: r.partition_no for r in parts.collect()}["n3"]
-    r = spark.createDataFrame([("one", ["a"]), ("all", ["a", "b", "c"]), ("gap", ["a", "c"]), ("odd", ["a", "zz"])], "route_id string, links array<string>")
-    assert {x.route_id: x.distance for x in network.route_distance(r, links(spark)).collect()} == {"one": 0.0, "all": 1100.0, "gap": 100.0, "odd": None}
-    assert {x.route_id: x.distance for x in network.route_distance(r, links(spark), from_position=F.lit(0.25), to_position=F.lit(0.5)).collect()}["all"] == 75 + 1000 + 50
+    assert sorted(r["count"] for r in parts.groupBy("partition_no").count().collect()) == [1, 4]
+    got = network.partition_rest(nodes(spark), links(spark), parts.filter("node <> 'hill'"), ["car"])
+    assert {r.node: r.partition_no for r in got.collect()}["hill"] == {r.node: r.partition_no for r in parts.collect()}["fork"]
+    r = spark.createDataFrame([("one", ["quay"]), ("all", ["quay", "rise", "loop"]), ("gap", ["quay", "loop"]), ("odd", ["quay", "zz"])], "route_id string, links array<string>")
+    assert {x.route_id: x.distance for x in network.route_distance(r, links(spark)).collect()} == {"one": 0.0, "all": 1000.0, "gap": 400.0, "odd": None}
+    assert {x.route_id: x.distance for x in network.route_distance(r, links(spark), from_position=F.lit(0.25), to_position=F.lit(0.5)).collect()}["all"] == 375 + 600 + 200
     assert {x.route_id: x.valid for x in network.connected(r, links(spark), mode="bike").collect()} == {"one": True, "all": False, "gap": False, "odd": False}
 
 
@@ -124,8 +124,8 @@ def test_transit_tables(spark):
     assert [r.delay_ns for r in late.filter("departure = 'd1'").orderBy("pos").collect()] == [50, 20, 20]
     w = spark.createDataFrame([("x", "s2", "s3", None, 140), ("y", "s3", "s1", None, 0), ("z", "s1", "s3", "Q", 0)], "agent string, stop string, egress string, line string, time_ns long")
     assert [tuple(r) for r in transit.boardings(w, t).collect()] == [("x", "L", "R", "d2", 1130)]
-    rides = spark.createDataFrame([("r", "L", "R", "a", "c"), ("s", "L", "R", "b", "b")], "ride string, line string, route string, access_link string, egress_link string")
-    routes = spark.createDataFrame([("L", "R", ["a", "b", "c"])], "line string, route string, links array<string>")
-    assert {r.ride: r.distance for r in transit.ride_distance(rides, routes, links(spark)).collect()} == {"r": 1100.0, "s": 0.0}
-    fac = spark.createDataFrame([("s1", "a"), ("s2", None)], "id string, link string")
+    rides = spark.createDataFrame([("r", "L", "R", "quay", "loop"), ("s", "L", "R", "rise", "rise")], "ride string, line string, route string, access_link string, egress_link string")
+    routes = spark.createDataFrame([("L", "R", ["quay", "rise", "loop"])], "line string, route string, links array<string>")
+    assert {r.ride: r.distance for r in transit.ride_distance(rides, routes, links(spark)).collect()} == {"r": 1000.0, "s": 0.0}
+    fac = spark.createDataFrame([("s1", "quay"), ("s2", None)], "id string, link string")
     assert {(r.kind, r.what) for r in transit.schedule_errors(stops, fac, dep, routes).collect()} == {("stop without link", "s2"), ("unknown stop", "s3")}

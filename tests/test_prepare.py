@@ -25,25 +25,25 @@ def leg(mode, **kw):
 
 
 def test_locations(spark):
-    fac = spark.createDataFrame([("f", 90.0, 5.0, "b")], "id string, x double, y double, link string")
-    e = table(spark, [act("home", facility="f", link="a", x=1.0, y=1.0), act("mid", link="b"), act("near", x=1050.0, y=3.0), act("own", link="c", x=7.0, y=8.0), act("lost"), act("odd", facility="zz")])
+    fac = spark.createDataFrame([("f", 90.0, 5.0, "rise")], "id string, x double, y double, link string")
+    e = table(spark, [act("home", facility="f", link="quay", x=1.0, y=1.0), act("mid", link="rise"), act("near", x=500.0, y=1004.0), act("own", link="loop", x=7.0, y=8.0), act("lost"), act("odd", facility="zz")])
     got = {r.act_type: (r.link, r.x, r.y) for r in planops.located_activities(e, fac, links(spark), nodes(spark)).collect()}
-    assert got == {"home": ("b", 90.0, 5.0), "mid": ("b", 550.0, 0.0), "near": ("c", 1050.0, 3.0), "own": ("c", 7.0, 8.0), "lost": (None, None, None), "odd": (None, None, None)}
+    assert got == {"home": ("rise", 90.0, 5.0), "mid": ("rise", 300.0, 700.0), "near": ("loop", 500.0, 1004.0), "own": ("loop", 7.0, 8.0), "lost": (None, None, None), "odd": (None, None, None)}
     found = planops.issues(e, fac)
     assert {(r.elem_idx, r.message) for r in found.collect()} >= {(5, "unknown facility"), (4, "no place")}
     assert {r.message: (r.n, len(r.examples)) for r in planops.issue_report(found, 1).collect()}["no place"] == (1, 1)
 
 
 def test_facilities_and_modal_links(spark):
-    fac = spark.createDataFrame([("near c", 1060.0, 4.0, None), ("on a", 50.0, 0.0, "a")], "id string, x double, y double, link string")
+    fac = spark.createDataFrame([("near loop", 510.0, 1004.0, None), ("on quay", 30.0, 40.0, "quay")], "id string, x double, y double, link string")
     got = {r.id: (r.link, r.mode_links) for r in planops.prepared_facilities(fac, links(spark), nodes(spark), ["car", "bike"]).collect()}
-    assert got == {"near c": ("c", {"bike": "b"}), "on a": ("a", {})}
+    assert got == {"near loop": ("loop", {"bike": "back"}), "on quay": ("quay", {})}
 
 
 def test_distances_times_vehicles(spark):
-    e = table(spark, [act("home"), leg("car", route_type="links", links=["a", "b"], distance=1.0, trav_ns=5), act("car interaction"), leg("car", route_type="links", links=["b", "c"], vehicle="own"), act("work"), leg("walk", distance=3.0, route_type="generic", route_trav_ns=9), act("home")])
+    e = table(spark, [act("home"), leg("car", route_type="links", links=["quay", "rise"], distance=1.0, trav_ns=5), act("car interaction"), leg("car", route_type="links", links=["rise", "loop"], vehicle="own"), act("work"), leg("walk", distance=3.0, route_type="generic", route_trav_ns=9), act("home")])
     d = [r.distance for r in planops.filled_distances(e, links(spark)).orderBy("elem_idx").collect()]
-    assert d == [None, 1000.0, None, 100.0, None, 3.0, None]
+    assert d == [None, 600.0, None, 400.0, None, 3.0, None]
     s = planops.synchronised(e).orderBy("elem_idx").collect()
     assert (s[1].trav_ns, s[1].route_trav_ns, s[5].trav_ns) == (5, 5, 9)
     v = planops.resolved_vehicles(e, spark.createDataFrame([("own",)], "vehicle string"), ["car"]).orderBy("elem_idx").collect()
@@ -56,10 +56,10 @@ def test_distances_times_vehicles(spark):
 
 @pytest.mark.parametrize(
     ("change", "valid"),
-    [({}, True), ({1: dict(distance=-1.0)}, False), ({1: dict(distance=None)}, False), ({1: dict(route_trav_ns=None)}, False), ({3: dict(links=["a", "c"])}, False), ({3: dict(links=["zz"])}, False), ({5: dict(start_link="b")}, False), ({3: dict(routing_mode="bike")}, False), ({1: dict(mode="car", route_type="links", links=["a"])}, False)],
+    [({}, True), ({1: dict(distance=-1.0)}, False), ({1: dict(distance=None)}, False), ({1: dict(route_trav_ns=None)}, False), ({3: dict(links=["quay", "loop"])}, False), ({3: dict(links=["zz"])}, False), ({5: dict(start_link="rise")}, False), ({3: dict(routing_mode="bike")}, False), ({1: dict(mode="car", route_type="links", links=["quay"])}, False)],
 )
 def test_trip_validity(spark, change, valid):
-    rows = [act("home"), leg("walk", route_type="generic", start_link="a", end_link="a", distance=1.0, route_trav_ns=1), act("car interaction"), leg("car", route_type="links", start_link="a", end_link="c", links=["a", "b", "c"], distance=1100.0), act("car interaction"), leg("walk", route_type="generic", start_link="c", end_link="c", distance=1.0, route_trav_ns=1), act("work")]
+    rows = [act("home"), leg("walk", route_type="generic", start_link="quay", end_link="quay", distance=1.0, route_trav_ns=1), act("car interaction"), leg("car", route_type="links", start_link="quay", end_link="loop", links=["quay", "rise", "loop"], distance=1000.0), act("car interaction"), leg("walk", route_type="generic", start_link="loop", end_link="loop", distance=1.0, route_trav_ns=1), act("work")]
     for i, c in change.items():
         rows[i] = dict(rows[i], **c)
     assert [r.valid for r in planops.trip_validity(table(spark, rows), links(spark), ["car"]).collect()] == [valid]
@@ -67,7 +67,7 @@ def test_trip_validity(spark, change, valid):
 
 def test_transit_trips(spark):
     served = spark.createDataFrame([("L", "R", ["s1", "s2"])], "line string, route string, stops array<string>")
-    trip = lambda a, z: table(spark, [act("home"), leg("pt", routing_mode="pt", route_type="default_pt", start_link="a", end_link="b", distance=5.0, trav_ns=7, line="L", route="R", access_facility=a, egress_facility=z), act("work")])
+    trip = lambda a, z: table(spark, [act("home"), leg("pt", routing_mode="pt", route_type="default_pt", start_link="quay", end_link="rise", distance=5.0, trav_ns=7, line="L", route="R", access_facility=a, egress_facility=z), act("work")])
     ok = lambda a, z: planops.trip_validity(trip(a, z), links(spark), ["car"], transit=served).first().valid
     assert ok("s1", "s2") and not ok("s2", "s1") and not ok("s1", "s9")
 
@@ -105,7 +105,7 @@ def test_other_sinks(spark, tmp_path):
     assert {r.id: r.attributes for r in both.collect()} == {"a": {"k": "2", "z": "3"}, "b": {}}
     (tmp_path / "net.xml").write_text(NETWORK)
     n, l, _ = xml.network(spark, f"{tmp_path}/net.xml")  # noqa: E741
-    assert {(r.kind, r.ord, r.id) for r in folders.id_table({"link": l, "node": n.limit(2)}).collect()} == {("link", 0, "a"), ("link", 1, "b"), ("link", 2, "c"), ("node", 0, "n1"), ("node", 1, "n2")}
+    assert {(r.kind, r.ord, r.id) for r in folders.id_table({"link": l, "node": n.limit(2)}).collect()} == {("link", 0, "quay"), ("link", 1, "rise"), ("link", 2, "loop"), ("link", 3, "spur"), ("link", 4, "back"), ("node", 0, "dock"), ("node", 1, "mill")}
     assert folders.fetched("local.xml") == "local.xml"
 
 

@@ -8,7 +8,7 @@ from veloframe.operators import scoring
 from veloframe.operators.experienced import experienced_plans
 from veloframe.sources import config
 
-SETS = [{"activity_params": [{"activity_type": "home", "typical_duration_s": 43200}, {"activity_type": "errands", "typical_duration_s": 7200, "opening_time_s": 36000, "closing_time_s": 64800}, {"activity_type": "free", "activity_scoring": "ignore"}], "mode_params": [{"mode": "walk", "marginal_utility_of_traveling": -6, "constant": -0.5}, {"mode": "car", "marginal_utility_of_traveling": -3, "marginal_utility_of_distance": -0.001, "monetary_distance_cost_rate": -0.0002, "daily_money_constant": -5, "daily_utility_constant": -1}, {"mode": "pt", "marginal_utility_of_traveling": -2}]}, {"subpopulation": "rich", "marginal_utility_of_money": 0.5, "activity_params": [{"activity_type": "home", "typical_duration_s": 43200}], "mode_params": []}]
+SETS = [{"activity_params": [{"activity_type": "home", "typical_duration_s": 43200}, {"activity_type": "cabin", "typical_duration_s": 43200}, {"activity_type": "bakery", "typical_duration_s": 3600, "opening_time_s": 21600, "closing_time_s": 64800}, {"activity_type": "kiln", "typical_duration_s": 36000}, {"activity_type": "free", "activity_scoring": "ignore"}], "mode_params": [{"mode": "walk", "marginal_utility_of_traveling": -6, "constant": -0.5}, {"mode": "car", "marginal_utility_of_traveling": -3, "marginal_utility_of_distance": -0.001, "monetary_distance_cost_rate": -0.0002, "daily_money_constant": -5, "daily_utility_constant": -1}, {"mode": "ferry", "marginal_utility_of_traveling": -1, "constant": -0.25}, {"mode": "pt", "marginal_utility_of_traveling": -2}]}, {"subpopulation": "rich", "marginal_utility_of_money": 0.5, "activity_params": [{"activity_type": "home", "typical_duration_s": 43200}], "mode_params": []}]
 
 
 def parameters(spark):
@@ -21,7 +21,7 @@ def utility(d, t, b=6 / 3600):
     return b * t * (math.log(d / t) + 1) if d >= z else -(b * t / z) * (z - d)
 
 
-def score(spark, elements, who="p&1", sub="person"):
+def score(spark, elements, who="ana&co", sub="person"):
     persons = spark.createDataFrame([(who, sub)], "person string, subpopulation string")
     return scoring.scores(elements, persons, parameters(spark), ["pt"], 86400 * 10**9).first().score
 
@@ -33,13 +33,14 @@ def test_utility(spark):
 
 def test_experienced_plan(spark):
     e = experienced_plans(events(spark), links(spark))
-    want = utility(32400, 43200) + utility(64800 - 36000, 7200) + 0 * ((36000 - 32539) + (86400 - 64800))
-    want += (8 + 16) * -6 / 3600 - 2 * 0 - 0.5  # one trip: the constant of walking counts once
-    want += 112 * -3 / 3600 + 1100 * -0.001 + 1100 * -0.0002 - 5 - 1
+    want = utility(20400, 43200) + utility(22201 - 21600, 3600) + utility(86400 - 22447, 36000)  # the bakery opens at six
+    want += (30 + 60) * -6 / 3600 - 0.5  # one trip: the constant of walking counts once
+    want += 153 * -3 / 3600 + 1300 * -0.001 + 1300 * -0.0002 - 5 - 1
+    want += 600 * -1 / 3600 - 0.25
     assert score(spark, e) == pytest.approx(want)
     assert score(spark, e, sub="rich") is None  # a set of its own without the modes
     assert score(spark, e.filter("false")) == 0
-    assert scoring.travel_time_scores(e).first().score == -(32538 - 32400)
+    assert scoring.travel_time_scores(e).first().score == -(600 + 22446 - 22201)
 
 
 def test_aborted_single_and_overnight(spark):

@@ -7,10 +7,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
-#: The parameters of FNV-1a-64 and SplitMix64 and the tag of the seed format.
+#: The parameters of FNV-1a-64 and SplitMix64.
 FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 GOLDEN, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-SEED_FORMAT = b"parallel_qsim.rng.v1"
+#: Tag of the format in which a seed is made of its parts; results of another tag are other streams.
+TAG = b"rng.v1"
 
 
 def fnv1a64(data: bytes) -> int:
@@ -20,9 +21,9 @@ def fnv1a64(data: bytes) -> int:
     return h
 
 
-def seed(base: int, purpose: str, stream: str) -> int:
+def seed(base: int, purpose: str, stream: str, tag: bytes = TAG) -> int:
     p, s = purpose.encode(), stream.encode()
-    return fnv1a64(SEED_FORMAT + base.to_bytes(8, "little") + len(p).to_bytes(8, "little") + p + len(s).to_bytes(8, "little") + s)
+    return fnv1a64(tag + base.to_bytes(8, "little") + len(p).to_bytes(8, "little") + p + len(s).to_bytes(8, "little") + s)
 
 
 class Stream:
@@ -37,8 +38,8 @@ class Stream:
             self.s.append(z ^ (z >> 31))
 
     @classmethod
-    def of(cls, base: int, purpose: str, stream: str) -> Stream:
-        return cls(seed(base, purpose, stream))
+    def of(cls, base: int, purpose: str, stream: str, tag: bytes = TAG) -> Stream:
+        return cls(seed(base, purpose, stream, tag))
 
     def u64(self) -> int:
         s = self.s
