@@ -11,7 +11,7 @@ from veloframe.operators import events as ev
 from veloframe.operators import network, planops
 from veloframe.plans import controller
 from veloframe.sources import config, folders, sinks, xml
-from veloframe.storage import session
+from veloframe.storage import parameters, session
 
 
 def _log(spark, path):
@@ -27,7 +27,7 @@ def run(spark, a) -> int:
     persons = xml.persons(elements)
     types, vehicles = xml.vehicles(spark, c.path(c.files.vehicles))
     modes = types.filter(F.col("id").isin(*c.qsim.main_modes)).select(F.col("id").alias("mode"), "pce", "max_v")
-    named = planops.generated_vehicles(persons, modes).join(F.broadcast(modes.limit(1000)), "mode").select("vehicle", "pce", "max_v")
+    named = planops.generated_vehicles(persons, modes).join(parameters(modes), "mode").select("vehicle", "pce", "max_v")
     fleet = vehicles.select("vehicle", "pce", "max_v").unionByName(named).dropDuplicates(["vehicle"])
     speeds = {r.id: r.max_v for r in types.filter(F.col("id").isin(*c.routing.network_modes)).select("id", "max_v").dropDuplicates(["id"]).collect()}
     weights = [(s.get("subpopulation"), x.get("strategy", x.get("name")), float(x.get("weight", 1))) for s in c.replanning.strategies for x in s.get("strategies", [s])]

@@ -6,11 +6,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veloframe.operators.ordered import with_previous
+from veloframe.storage import materialize
 
 #: The event types and their fields besides time.
 FIELDS = {
@@ -56,12 +56,14 @@ def merged(logs: list[DataFrame]) -> DataFrame:
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with consecutive numbers from 0 in a total order, without a window over everything."""
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)).persist(StorageLevel.DISK_ONLY)
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    rows = materialize(rows, "sorted")
     upto, starts = 0, []
     for r in sorted(rows.groupBy("_pid").count().collect(), key=lambda r: r["_pid"]):  # one row a partition
         starts.append((r["_pid"], upto))
         upto += r["count"]
-    at = F.broadcast(df.sparkSession.createDataFrame(starts, "_pid int, _start long"))
+    at = df.sparkSession.createDataFrame(starts, "_pid int, _start long")
+    at = F.broadcast(at)  # one row a partition
     return rows.join(at, "_pid").withColumn(name, (F.col("_start") + F.col("_in")).cast("long")).drop("_pid", "_in", "_start")
 
 

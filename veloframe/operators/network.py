@@ -174,7 +174,7 @@ def partitions(nodes: DataFrame, parts: int) -> DataFrame:
     depth = 0
     while 1 << depth < parts:
         e = rows.groupBy("partition_no").agg(F.percentile_approx("x", 0.5).alias("mx"), F.percentile_approx("y", 0.5).alias("my"), ((F.max("x") - F.min("x")) >= (F.max("y") - F.min("y"))).alias("wide"))
-        rows = rows.join(F.broadcast(e.limit(1 << 20)), "partition_no")  # one row a part
+        rows = rows.join(e, "partition_no")  # one row a part
         rows = rows.withColumn("partition_no", F.col("partition_no") * 2 + F.when(F.col("wide"), F.col("x") > F.col("mx")).otherwise(F.col("y") > F.col("my")).cast("int")).select("node", "x", "y", "partition_no")
         depth += 1
     return rows.select("node", "partition_no")

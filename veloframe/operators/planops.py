@@ -16,6 +16,8 @@ from veloframe.functions.times import NS
 from veloframe.operators.network import connected, modal_link, nearest_link, route_distance
 
 PLAN = ["person", "plan_idx"]
+#: More modes than this are refused where every person gets something of each.
+MOST_MODES = 10_000
 
 
 def _plan() -> Window:
@@ -158,9 +160,14 @@ def prepared_facilities(facilities: DataFrame, links: DataFrame, nodes: DataFram
 
 
 def generated_vehicles(persons: DataFrame, modes: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """``vehicle, person, mode`` named ``<person>_<mode>`` for every person and mode (a small table ``mode``) that isn't there yet."""
-    kinds = [r["mode"] for r in modes.select("mode").distinct().orderBy("mode").limit(1_000).collect()]
-    every = persons.select("person").distinct().select("person", F.explode(F.array(*map(F.lit, kinds))).alias("mode")) if kinds else persons.select("person", F.lit("").alias("mode")).limit(0)
+    """``vehicle, person, mode`` named ``<person>_<mode>`` for every person and mode (a small table ``mode``) that isn't there yet.
+
+    More than MOST_MODES modes are an error, as every person gets a vehicle of each."""
+    named = modes.select("mode").filter("mode is not null").distinct()
+    if (n := named.count()) > MOST_MODES:
+        raise ValueError(f"{n} modes are too many for vehicles of each person")
+    kinds = "\u0001".join(sorted(r["mode"] for r in named.collect()))
+    every = persons.select("person").distinct().filter(F.lit(n > 0)).select("person", F.explode(F.split(F.lit(kinds), "\u0001")).alias("mode"))
     every = every.select(F.concat_ws("_", "person", "mode").alias("vehicle"), "person", "mode")
     return every.join(existing.select("vehicle").distinct(), "vehicle", "left_anti") if existing is not None else every
 

@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from veloframe.functions.attributes import is_interaction
 from veloframe.functions.times import NS
+from veloframe.storage import parameters
 
 DAY_S = 86_400.0
-#: Parameter tables with more rows than this are no parameters and are not broadcast.
-MOST_PARAMETERS = 100_000
 
 
 @dataclass(frozen=True)
@@ -56,8 +55,8 @@ def opened(arrival: Column, departure: Column, opens: Column, closes: Column) ->
 
 def set_or_default(persons: DataFrame, sets: DataFrame) -> DataFrame:
     """``persons`` with ``_set``: their subpopulation if it has a set, else the default (null), and ``_known``, false where there is neither."""
-    names = sets.select(F.col("subpopulation").alias("_n")).distinct().limit(MOST_PARAMETERS)
-    own = persons.join(F.broadcast(names.filter("_n is not null")), F.col("subpopulation") == F.col("_n"), "left").withColumnRenamed("_n", "_set")
+    names = sets.select(F.col("subpopulation").alias("_n")).distinct()
+    own = persons.join(parameters(names.filter("_n is not null")), F.col("subpopulation") == F.col("_n"), "left").withColumnRenamed("_n", "_set")
     default = bool(names.filter("_n is null").take(1))
     return own.withColumn("_known", F.col("_set").isNotNull() | F.lit(default))
 
@@ -87,9 +86,9 @@ def intervals(elements: DataFrame) -> DataFrame:
 def activity_scores(elements: DataFrame, persons: DataFrame, p: Parameters) -> DataFrame:
     """``person, part, score``: one row per scored interval; a null score could not be computed (no parameters, a missing time)."""
     rows = intervals(elements).join(persons.select("person", "_set"), "person")
-    a = p.activities.select(F.col("subpopulation").alias("_as"), F.col("act_type").alias("_at"), "typical_s", "scored", "open_s", "close_s").limit(MOST_PARAMETERS)
-    s = p.sets.select(F.col("subpopulation").alias("_ss"), "performing", "waiting").limit(MOST_PARAMETERS)
-    rows = rows.join(F.broadcast(a), F.col("_set").eqNullSafe(F.col("_as")) & (F.col("act_type") == F.col("_at")), "left").join(F.broadcast(s), F.col("_set").eqNullSafe(F.col("_ss")), "left")
+    a = p.activities.select(F.col("subpopulation").alias("_as"), F.col("act_type").alias("_at"), "typical_s", "scored", "open_s", "close_s")
+    s = p.sets.select(F.col("subpopulation").alias("_ss"), "performing", "waiting")
+    rows = rows.join(parameters(a), F.col("_set").eqNullSafe(F.col("_as")) & (F.col("act_type") == F.col("_at")), "left").join(parameters(s), F.col("_set").eqNullSafe(F.col("_ss")), "left")
     duration, waited = opened(F.col("arrival_s"), F.col("departure_s"), F.col("open_s"), F.col("close_s"))
     score = activity_utility(duration, F.col("typical_s"), F.col("performing") / 3600) + F.when(waited > 0, F.col("waiting") / 3600 * waited).otherwise(0.0)
     return rows.select("person", F.lit("activity").alias("part"), F.when(~F.col("scored"), 0.0).otherwise(score).alias("score"))
@@ -111,10 +110,10 @@ def leg_scores(elements: DataFrame, persons: DataFrame, p: Parameters, passenger
     run = Window.partitionBy("person", "trip").orderBy("elem_idx").rowsBetween(Window.unboundedPreceding, 0)
     transit = F.col("mode").isin(*passenger_modes) if passenger_modes else F.lit(False)
     legs = legs.withColumns({"_in_trip": F.row_number().over(by), "_in_day": F.row_number().over(day), "_transit": F.sum(transit.cast("int")).over(run)})
-    m = p.modes.select(F.col("subpopulation").alias("_ms"), F.col("mode").alias("_mm"), "travelling_h", "distance_m", "money_rate_m", "daily_money", "daily_utility", "constant").limit(MOST_PARAMETERS)
+    m = p.modes.select(F.col("subpopulation").alias("_ms"), F.col("mode").alias("_mm"), "travelling_h", "distance_m", "money_rate_m", "daily_money", "daily_utility", "constant")
     pt = m.filter("_mm = 'pt'").select(F.col("_ms").alias("_ps"), F.col("travelling_h").alias("pt_travelling_h"))
-    s = p.sets.select(F.col("subpopulation").alias("_ss"), "money", "waiting_pt", "line_switch").limit(MOST_PARAMETERS)
-    rows = legs.join(F.broadcast(m), F.col("_set").eqNullSafe(F.col("_ms")) & (F.col("mode") == F.col("_mm")), "left").join(F.broadcast(pt), F.col("_set").eqNullSafe(F.col("_ps")), "left").join(F.broadcast(s), F.col("_set").eqNullSafe(F.col("_ss")), "left")
+    s = p.sets.select(F.col("subpopulation").alias("_ss"), "money", "waiting_pt", "line_switch")
+    rows = legs.join(parameters(m), F.col("_set").eqNullSafe(F.col("_ms")) & (F.col("mode") == F.col("_mm")), "left").join(parameters(pt), F.col("_set").eqNullSafe(F.col("_ps")), "left").join(parameters(s), F.col("_set").eqNullSafe(F.col("_ss")), "left")
     trav = F.col("travelling_h") / 3600
     far = F.when((F.col("distance_m") != 0) | (F.col("money_rate_m") != 0), F.col("distance") * F.col("distance_m") + F.col("distance") * F.col("money_rate_m") * F.col("money")).otherwise(0.0)
     wait = F.when(F.col("route_type") == "default_pt", (F.col("boarding_ns") - F.col("dep_ns")) / NS * (F.coalesce("waiting_pt", "pt_travelling_h") / 3600 - trav)).otherwise(0.0)
@@ -129,8 +128,8 @@ def scores(elements: DataFrame, persons: DataFrame, p: Parameters, passenger_mod
     A person whose score can't be computed (no parameters, a missing time or distance) has a null score; persons without elements score 0."""
     known = set_or_default(persons.select("person", "subpopulation"), p.sets)
     parts = activity_scores(elements, known, p).unionByName(leg_scores(elements, known, p, passenger_modes))
-    s = p.sets.select(F.col("subpopulation").alias("_ss"), "aborted").limit(MOST_PARAMETERS)
-    stuck = elements.filter("aborted").select("person").distinct().join(known, "person").join(F.broadcast(s.withColumnRenamed("aborted", "_a")), F.col("_set").eqNullSafe(F.col("_ss")), "left")
+    s = p.sets.select(F.col("subpopulation").alias("_ss"), "aborted")
+    stuck = elements.filter("aborted").select("person").distinct().join(known, "person").join(parameters(s.withColumnRenamed("aborted", "_a")), F.col("_set").eqNullSafe(F.col("_ss")), "left")
     parts = parts.unionByName(stuck.select("person", F.lit("aborted").alias("part"), (F.lit(simulation_end_ns / NS / 3600) * F.col("_a")).alias("score")))
     total = parts.groupBy("person").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("n"), F.count("score").alias("k"))
     rows = known.join(total, "person", "left")

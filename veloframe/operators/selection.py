@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veloframe.functions.rng import uniform
+from veloframe.storage import parameters
 
 
 def _finite(c: Column) -> Column:
@@ -104,7 +105,7 @@ def strategies(persons: DataFrame, weights: DataFrame, u: Column, innovation: bo
     that of persons without one). Without innovation only selectors take part; persons for whom no weight is left have no row."""
     w = weights if innovation else weights.filter(F.col("strategy").isin(*SELECTORS))
     w = w.filter("weight > 0").select(F.col("subpopulation").alias("_s"), "strategy", "weight")
-    rows = persons.join(F.broadcast(w.limit(10_000)), F.col("subpopulation").eqNullSafe(F.col("_s")))  # a configuration table
+    rows = persons.join(parameters(w), F.col("subpopulation").eqNullSafe(F.col("_s")))
     return draw(rows, "weight", u, "person", "strategy").select("person", "strategy")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from veloframe.functions import attributes as at
 from veloframe.functions.times import parse_time
 from veloframe.operators.events import COLUMNS, KINDS
+from veloframe.storage import parameters
 
 _ATTRS = "attributes struct<attribute:array<struct<_name:string,_class:string,_VALUE:string>>>"
 
@@ -123,7 +124,7 @@ def vehicles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     t = scan(spark, path, "vehicleType", "_id string, " + ", ".join(map(num, (("length", "meter"), ("width", "meter"), ("maximumVelocity", "meterPerSecond"), ("passengerCarEquivalents", "pce"), ("flowEfficiencyFactor", "factor")))) + ", networkMode struct<_networkMode:string>")
     types = t.select(F.col("_id").alias("id"), F.coalesce("length._meter", F.lit(7.5)).alias("length"), F.coalesce("width._meter", F.lit(1.0)).alias("width"), F.coalesce("maximumVelocity._meterPerSecond", F.lit(float("inf"))).alias("max_v"), F.coalesce("passengerCarEquivalents._pce", F.lit(1.0)).alias("pce"), F.coalesce("flowEfficiencyFactor._factor", F.lit(1.0)).alias("fef"), F.coalesce("networkMode._networkMode", F.lit("car")).alias("net_mode"))
     v = scan(spark, path, "vehicle", "_id string, _type string").select(F.col("_id").alias("vehicle"), F.col("_type").alias("type"))
-    return types, v.join(F.broadcast(types.limit(100_000).select(F.col("id").alias("type"), "max_v", "pce")), "type").select("vehicle", "type", "max_v", "pce")
+    return types, v.join(parameters(types.select(F.col("id").alias("type"), "max_v", "pce")), "type").select("vehicle", "type", "max_v", "pce")
 
 
 def facilities(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -8,6 +8,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables of parameters with at most this many rows are broadcast; beyond it they are joined like any other.
+BROADCAST_ROWS = 100_000
 
 
 def session(name: str = "veloframe", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,10 +32,13 @@ def session(name: str = "veloframe", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster: ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary folder."""
+    """The shared folder of the cluster: ``spark.checkpoint.dir``. Where that is unset a temporary folder serves a local session; on a cluster,
+    whose machines don't share one, it is an error."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="veloframe-")
         sc.setCheckpointDir(path)
     return path
@@ -51,5 +58,10 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parameters(df: DataFrame) -> DataFrame:
+    """A table of parameters for a join: marked for broadcast if it is counted to be small, else as it is. No row is dropped."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
