@@ -61,10 +61,17 @@ def p4_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return references.orphan_counts(references.orphans(reference_graph(spark, sf)))
 
 
-def _feature_state(spark: SparkSession, sf: str) -> DataFrame:
+def _deltas(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "act_starts").select("seq", "iteration", "time_ns", "person", "act_type", "logged_at")
-    deltas = materialize(features.signed_deltas(rows, "seq", "logged_at", ["person", "act_type", "iteration", "time_ns"]).drop("_at"), "deltas")
-    return features.maintain(None, deltas, deltas, ["person", "act_type"], "seq", ["iteration", "time_ns"])
+    return materialize(features.signed_deltas(rows, "seq", "logged_at", ["person", "act_type", "iteration", "time_ns"]).withColumn("time_s", F.expr("time_ns div 1000000000")), "deltas")
+
+
+_STATE = (["person", "act_type"], "seq", ["iteration", "time_ns"], ("time_s",))
+
+
+def _feature_state(spark: SparkSession, sf: str) -> DataFrame:
+    deltas = _deltas(spark, sf)
+    return features.maintain(None, deltas, deltas, *_STATE)
 
 
 def p5_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,6 +82,22 @@ def p5_features_long(spark: SparkSession, sf: str) -> DataFrame:
     return features.feature_rows(_feature_state(spark, sf), "person", "act_type").filter("person is not null")
 
 
+def p5_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """The totals of each person over all types."""
+    return p5_features(spark, sf).drop("features")
+
+
+def p5_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """The same features in two steps: a state of what was logged up to the middle of the log, then the rest of the log, whose newer versions
+    retract events that the state has."""
+    deltas = _deltas(spark, sf)
+    middle = F.lit(deltas.agg(F.percentile_approx("_at", 0.5).alias("m")).first()["m"])
+    first = deltas.filter(F.col("_at") <= middle)
+    state = features.maintain(None, first, first, *_STATE)
+    state = features.maintain(state, deltas.filter(F.col("_at") > middle), deltas, *_STATE)
+    return features.feature_rows(state, "person", "act_type").filter("person is not null")
+
+
 def _day_periods(spark: SparkSession, sf: str) -> DataFrame:
     rows = intervals.single_days(table(spark, sf, "opening_times"))
     return intervals.islands(rows, ["facility", "act_type", "open_day"], "start_ns", "end_ns")
@@ -119,8 +142,10 @@ allrows as (select table_name, field_name, t as period, kind, false as inherited
  union all select 'opening_times', 'facility', null, 'inherited', true from ot where facility in (select id from bad_fac union select k from inh1 where table_name = 'facilities'))
 select table_name, field_name, cast(period as bigint) as period, kind, inherited, count(*) as n_cases from allrows group by all"""
 _P5 = f"""with c as {_CURRENT.format("act_starts")}, k as (select person, act_type, iteration, time_ns, case when time_ns is not null and iteration is not null then {{'i': iteration, 't': time_ns}} end as l from c),
-e as (select max(l) as e from k), g as (select person, act_type, count(*) as n, max(l) as l from k group by all)
-select person, act_type, n, l.i as last_iteration, l.t as last_time_ns, (cast(e.e.i as bigint) - l.i) * 86400000000000 + (e.e.t - l.t) as distance_ns from g, e where person is not null"""
+e as (select max(l) as e from k), g as (select person, act_type, count(*) as n, max(l) as l, cast(sum(time_ns // 1000000000) as bigint) as total_time_s from k group by all)
+select person, act_type, n, l.i as last_iteration, l.t as last_time_ns, (cast(e.e.i as bigint) - l.i) * 86400000000000 + (e.e.t - l.t) as distance_ns, total_time_s from g, e where person is not null"""
+_P5_ENTITIES = f"""select person, cast(sum(n) as bigint) as n_events, count(*) as n_kinds, max(last_iteration) as last_iteration, max(case when last_iteration = m then last_time_ns end) as last_time_ns,
+ min(distance_ns) as distance_ns, cast(sum(total_time_s) as bigint) as total_time_s from (select *, max(last_iteration) over (partition by person) as m from ({_P5})) group by person"""
 _DAYS = """days as (select d, x from (values ('mon'), ('tue'), ('wed'), ('thu'), ('fri'), ('sat'), ('sun')) v(d), (values ('one'), ('wkday'), ('wkend'), ('wk')) w(x)
  where x in ('one', 'wk') or (x = 'wkday' and d not in ('sat', 'sun')) or (x = 'wkend' and d in ('sat', 'sun'))),
 o as (select facility, act_type, lower(coalesce(open_day, 'wk')) as od, start_ns, end_ns from opening_times where start_ns is not null and end_ns > start_ns),
@@ -137,5 +162,5 @@ t as (select f.id as facility, l.id as link, f.x, f.y, x0, y0, x1 - x0 as dx, y1
 d as (select facility, link, sqrt((x - (x0 + t * dx)) * (x - (x0 + t * dx)) + (y - (y0 + t * dy)) * (y - (y0 + t * dy))) as d from t)
 select facility, arg_min(link, {'d': d, 'l': link}) as link, round(min(d), 6) as distance_m from d group by facility"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p3_found, p3_closest_link, p4_found, p4_cascade, p5_features, p5_features_long, p6_found, p6_periods)}
-SQL = {"p1_found": _P1, "p1_summary": f"select field_name, count(*) as n_cases from ({_P1}) group by field_name", "p3_found": _P3, "p3_closest_link": _P3_LINK, "p4_found": _P4, "p4_cascade": _P4_CASCADE, "p5_features_long": _P5, "p6_found": _P6, "p6_periods": _P6_PERIODS}
+QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p3_found, p3_closest_link, p4_found, p4_cascade, p5_features, p5_features_long, p5_entities, p5_incremental, p6_found, p6_periods)}
+SQL = {"p1_found": _P1, "p1_summary": f"select field_name, count(*) as n_cases from ({_P1}) group by field_name", "p3_found": _P3, "p3_closest_link": _P3_LINK, "p4_found": _P4, "p4_cascade": _P4_CASCADE, "p5_features_long": _P5, "p5_entities": _P5_ENTITIES, "p5_incremental": _P5, "p6_found": _P6, "p6_periods": _P6_PERIODS}

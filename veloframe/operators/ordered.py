@@ -42,7 +42,7 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], column: str,
     for r in sorted(last, key=lambda r: r["_pid"]):
         if carry is not None:
             before[r["_pid"]] = carry
-        carry = tuple(r["s"])
+        carry = tuple(x.asDict(recursive=True) if isinstance(x, T.Row) else x for x in r["s"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = started = None
