@@ -38,6 +38,24 @@ def p3_closest_link(spark: SparkSession, sf: str) -> DataFrame:
     return best.select(F.col("id").alias("facility"), F.col("segment").alias("link"), F.round("distance", 6).alias("distance_m"))
 
 
+def p3_near_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many other facilities are at most 50 m away from each located one, near nodes counted as wholes."""
+    return dualtree.near_counts(table(spark, sf, "facilities"), "id", "x", "y", 50.0).select(F.col("id").alias("facility"), "n_near")
+
+
+def p3_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """The regions that each located facility lies in: a rhombus around the nodes of each partition, less the rhombus of half its size."""
+    box = table(spark, sf, "nodes").groupBy("partition_no").agg(*(f(c).alias(f"{p}{c}") for c in ("x", "y") for p, f in (("a", F.min), ("z", F.max))))
+    mid = lambda c: (F.col(f"a{c}") + F.col(f"z{c}")) / 2
+    half = lambda c: (F.col(f"z{c}") - F.col(f"a{c}")) / 2
+    turn = [(1, 0), (0, 1), (-1, 0), (0, -1), (1, 0)]
+    corner = lambda i, j, by: (mid("x") + half("x") * (i * by), mid("y") + half("y") * (j * by))
+    side = lambda p, q, by: F.struct(*(c.alias(n) for c, n in zip((*corner(*p, by), *corner(*q, by)), ("x0", "y0", "x1", "y1"), strict=True)))
+    rings = F.explode(F.array(*(side(p, q, by) for by in (1.0, 0.5) for p, q in zip(turn, turn[1:], strict=False)))).alias("e")
+    edges = box.select(F.col("partition_no").alias("region"), rings).select("region", "e.*")
+    return dualtree.containing_regions(table(spark, sf, "facilities").select("id", "x", "y"), edges).select(F.col("id").alias("facility"), F.col("region").cast("int").alias("region"))
+
+
 def reference_graph(spark: SparkSession, sf: str) -> dict[str, references.Table]:
     t = lambda name: table(spark, sf, name)
     return {
@@ -162,5 +180,12 @@ t as (select f.id as facility, l.id as link, f.x, f.y, x0, y0, x1 - x0 as dx, y1
 d as (select facility, link, sqrt((x - (x0 + t * dx)) * (x - (x0 + t * dx)) + (y - (y0 + t * dy)) * (y - (y0 + t * dy))) as d from t)
 select facility, arg_min(link, {'d': d, 'l': link}) as link, round(min(d), 6) as distance_m from d group by facility"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p3_found, p3_closest_link, p4_found, p4_cascade, p5_features, p5_features_long, p5_entities, p5_incremental, p6_found, p6_periods)}
-SQL = {"p1_found": _P1, "p1_summary": f"select field_name, count(*) as n_cases from ({_P1}) group by field_name", "p3_found": _P3, "p3_closest_link": _P3_LINK, "p4_found": _P4, "p4_cascade": _P4_CASCADE, "p5_features_long": _P5, "p5_entities": _P5_ENTITIES, "p5_incremental": _P5, "p6_found": _P6, "p6_periods": _P6_PERIODS}
+_P3_COUNTS = f"""with p as ({_P3}), f as (select distinct id from facilities where x is not null and y is not null and not (x = 0 and y = 0)),
+e as (select facility_a as id from p union all select facility_b from p), n as (select id, count(*) as n from e group by id)
+select f.id as facility, coalesce(n.n, 0) as n_near from f left join n on n.id = f.id"""
+_P3_REGIONS = """with b as (select partition_no as region, (min(x) + max(x)) / 2 as mx, (min(y) + max(y)) / 2 as my, (max(x) - min(x)) / 2 as hx, (max(y) - min(y)) / 2 as hy from nodes group by 1),
+f as (select distinct id, x, y from facilities where x is not null and y is not null and not (x = 0 and y = 0)), d as (select id, region, abs(x - mx) / hx + abs(y - my) / hy as d from f, b)
+select id as facility, region from d where d <= 1 and d > 0.5"""
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p3_found, p3_closest_link, p3_near_counts, p3_regions, p4_found, p4_cascade, p5_features, p5_features_long, p5_entities, p5_incremental, p6_found, p6_periods)}
+SQL = {"p1_found": _P1, "p1_summary": f"select field_name, count(*) as n_cases from ({_P1}) group by field_name", "p3_found": _P3, "p3_closest_link": _P3_LINK, "p3_near_counts": _P3_COUNTS, "p3_regions": _P3_REGIONS, "p4_found": _P4, "p4_cascade": _P4_CASCADE, "p5_features_long": _P5, "p5_entities": _P5_ENTITIES, "p5_incremental": _P5, "p6_found": _P6, "p6_periods": _P6_PERIODS}
