@@ -85,22 +85,22 @@ def test_reroute_avoids_what_was_congested(spark, tmp_path):
 
 
 def test_xml_round_trips(spark, tmp_path):
-    for codec, name in ((None, "e.xml"), ("gzip", "e.xml.gz")):
-        sinks.write_events_xml(events(spark), f"{tmp_path}/{name}", codec)
+    for codec, name in ((None, "e.xml"), ("gzip", "e.xml.gz"), ("zstd", "e.xml.zst"), (None, "parts.xml"), ("gzip", "packed.xml.gz")):
+        sinks.write_events_xml(events(spark), f"{tmp_path}/{name}", codec, single_file=name.startswith("e."))
         assert ev.compare(folders.read_events(spark, f"{tmp_path}/{name}").drop("file"), events(spark)) == "equal"
     s = scenario(spark, tmp_path)
-    sinks.write_population_xml(s.elements, f"{tmp_path}/again.xml")
+    sinks.write_population_xml(s.elements, f"{tmp_path}/again.xml", single_file=True)
     cols = [c for c in s.elements.columns if c not in ("seq", "plan_attributes", "attributes", "person_attributes", "trav_ns")]
     again = xml.population(spark, f"{tmp_path}/again.xml")
     assert sorted(map(str, again.select(cols).collect())) == sorted(map(str, s.elements.select(cols).collect()))
-    sinks.write_network_xml(s.nodes, s.links, f"{tmp_path}/net2.xml", 7.0)
+    sinks.write_network_xml(s.nodes, s.links, f"{tmp_path}/net2.xml", 7.0, single_file=True)
     n, l, cell = xml.network(spark, f"{tmp_path}/net2.xml")  # noqa: E741
     assert cell == 7.0 and sorted(map(str, l.drop("seq", "attributes", "partition_no").collect())) == sorted(map(str, s.links.drop("seq", "attributes", "partition_no").collect())) and n.count() == 5
 
 
 def test_event_folders(spark, tmp_path):
     for i, rows in enumerate((LOG[::2], LOG[1::2])):
-        sinks.write_events_xml(events(spark, rows), f"{tmp_path}/events.{i}.xml")
+        sinks.write_events_xml(events(spark, rows), f"{tmp_path}/events.{i}.xml", single_file=True)
     log = folders.read_folder(spark, str(tmp_path))
     assert log.count() == len(LOG) and ev.out_of_order(log).count() == 0 and ev.difference(log, events(spark), ["person", "link", "act_type"]).count() == 0
     (tmp_path / "events.3.xml").write_text("<events/>")
@@ -133,8 +133,8 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     from veloframe import cli
 
     monkeypatch.setattr(cli, "session", lambda *_: spark)
-    sinks.write_events_xml(events(spark), f"{tmp_path}/a.xml")
-    sinks.write_events_xml(events(spark, LOG[:-1]), f"{tmp_path}/b.xml")
+    sinks.write_events_xml(events(spark), f"{tmp_path}/a.xml", single_file=True)
+    sinks.write_events_xml(events(spark, LOG[:-1]), f"{tmp_path}/b.xml", single_file=True)
     assert cli.main(["compare-events", f"{tmp_path}/a.xml", f"{tmp_path}/a.xml"]) == 0 and cli.main(["compare-events", f"{tmp_path}/a.xml", f"{tmp_path}/b.xml"]) == 1
     scenario(spark, tmp_path)
     assert cli.main(["filter-population", f"{tmp_path}/population.xml", f"{tmp_path}/one.xml", "-n", "1"]) == 0

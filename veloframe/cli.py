@@ -47,7 +47,7 @@ def compare_events(spark, a) -> int:
 
 def merge_events(spark, a) -> int:
     log = _log(spark, a.folder)
-    sinks.write_events_xml(log, a.output) if a.output.endswith(".xml") else log.write.mode("overwrite").parquet(a.output)
+    sinks.write_events_xml(log, a.output, single_file=True) if a.output.endswith(".xml") else log.write.mode("overwrite").parquet(a.output)
     return 0
 
 
@@ -64,8 +64,8 @@ def convert(spark, a) -> int:
 
 def convert_to_xml(spark, a) -> int:
     t = folders.read_scenario(spark, a.folder, ["nodes", "links", "plan_elements"])
-    sinks.write_network_xml(t["nodes"], t["links"], f"{a.output}/network.xml")
-    sinks.write_population_xml(t["plan_elements"], f"{a.output}/population.xml")
+    sinks.write_network_xml(t["nodes"], t["links"], f"{a.output}/network.xml", single_file=True)
+    sinks.write_population_xml(t["plan_elements"], f"{a.output}/population.xml", single_file=True)
     return 0
 
 
@@ -84,7 +84,7 @@ def neighbors(spark, a) -> int:
 
 
 def filter_population(spark, a) -> int:
-    sinks.write_population_xml(folders.first_persons(xml.population(spark, a.population), a.n), a.output)
+    sinks.write_population_xml(folders.first_persons(xml.population(spark, a.population), a.n), a.output, single_file=True)
     return 0
 
 

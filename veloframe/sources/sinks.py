@@ -1,14 +1,17 @@
 """Sinks: event logs, plans and networks as XML text, Parquet tables, profiles, output names and the policy for output folders.
 
-Text is made in the executors and written in the partitions of a range-sorted table; ``single_file`` asks for one file, which is for exports of
-moderate size, the engine's own format being Parquet."""
+Text is made in the executors and written in the partitions of a range-sorted table, one document a part; ``single_file`` asks for one file,
+which is for exports of moderate size, the engine's own format being Parquet."""
 
 from __future__ import annotations
 
 import gzip
 import shutil
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from veloframe.functions.times import format_hms, format_seconds
 from veloframe.operators.events import FIELDS
 from veloframe.sources.config import Overwrite
 from veloframe.sources.xml import EVENT_ATTRIBUTES
+from veloframe.storage import materialize
 
 
 def output_name(name: str, run_id: str | None = None, iteration: int | None = None) -> str:
@@ -71,10 +75,35 @@ def event_text(events: DataFrame) -> Column:
 
 
 def _write_text(lines: DataFrame, path: str, head: str, tail: str, codec: str | None, single_file: bool) -> None:
-    """lines: ``text`` in its order."""
+    """lines: ``text`` in its order. By default a folder of parts, each of them in its order and a document of its own, written by the executors;
+    one file is put together on the driver and takes its disk. Members of gzip and zstd may follow each other in a file."""
+    codec = {"gz": "gzip", "zst": "zstd"}.get(codec, codec)
+    if codec not in (None, "gzip", "zstd"):
+        raise ValueError(f"unknown codec {codec}")
     folder = f"{path}.parts" if single_file else path
-    lines.select("text").write.mode("overwrite").option("compression", codec or "none").text(folder)
-    if single_file:  # parts stand in the order of their numbers; gzip members may follow each other
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress("".join(f"{x}\n" for x in b.column(0).to_pylist()).encode())], pa.binary())], names=["member"])
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([head])], names=["text"])
+        yield from batches
+        yield pa.RecordBatch.from_arrays([pa.array([tail])], names=["text"])
+
+    lines = lines.select("text")
+    if codec == "zstd":  # the text writer needs a library of the platform for it
+        if not single_file:
+            raise ValueError("parts are written plain or as gzip; zstd is for one file")
+        members = materialize(lines.mapInArrow(packed, "member binary").withColumn("at", F.monotonically_increasing_id()), "members")
+        with open(path, "wb") as out:
+            out.write(zstandard.compress(f"{head}\n".encode()))
+            for r in members.orderBy("at").toLocalIterator():
+                out.write(r["member"])
+            out.write(zstandard.compress(f"{tail}\n".encode()))
+        return
+    (lines if single_file else lines.mapInArrow(framed, "text string")).write.mode("overwrite").option("compression", codec or "none").text(folder)
+    if single_file:  # parts stand in the order of their numbers
         pack = gzip.compress if codec == "gzip" else bytes
         with open(path, "wb") as out:
             out.write(pack(f"{head}\n".encode()))
@@ -85,7 +114,7 @@ def _write_text(lines: DataFrame, path: str, head: str, tail: str, codec: str |
         shutil.rmtree(folder)
 
 
-def write_events_xml(events: DataFrame, path: str, codec: str | None = None, single_file: bool = True) -> None:
+def write_events_xml(events: DataFrame, path: str, codec: str | None = None, single_file: bool = False) -> None:
     """An event log as XML in order of time and ``seq``; codec: None or gzip."""
     lines = events.select("time_ns", "seq", event_text(events).alias("text")).orderBy("time_ns", "seq")
     _write_text(lines, path, '<?xml version="1.0" encoding="utf-8"?>\n<events version="1.0">', "</events>", codec, single_file)
@@ -121,7 +150,7 @@ def population_lines(elements: DataFrame) -> DataFrame:
     return per.select("person", F.concat(F.lit("<person"), _attr("id", F.col("person")), F.lit(">"), _attributes(F.col("pa")), F.lit("\n"), F.col("t"), F.lit("\n</person>")).alias("text"))
 
 
-def write_population_xml(elements: DataFrame, path: str, codec: str | None = None, single_file: bool = True) -> None:
+def write_population_xml(elements: DataFrame, path: str, codec: str | None = None, single_file: bool = False) -> None:
     """Plans as XML in order of the person id."""
     _write_text(population_lines(elements).orderBy("person"), path, '<?xml version="1.0" encoding="utf-8"?>\n<population>', "</population>", codec, single_file)
 
@@ -134,30 +163,30 @@ def merged_attributes(rows: DataFrame, overrides: DataFrame, key: str = "id") ->
     return rows.join(o, F.col(key) == F.col("_k"), "left").withColumn("attributes", merged(F.col("attributes"), F.col("_a"))).drop("_k", "_a")
 
 
-def write_network_xml(nodes: DataFrame, links: DataFrame, path: str, cell: float = 7.5, codec: str | None = None) -> None:
+def write_network_xml(nodes: DataFrame, links: DataFrame, path: str, cell: float = 7.5, codec: str | None = None, single_file: bool = False) -> None:
     n = nodes.select(F.lit(0).alias("o"), "seq", F.concat(F.lit("<node"), _attr("id", F.col("id")), _attr("x", F.col("x")), _attr("y", F.col("y")), F.lit("/>")).alias("text"))
     l = links.select(F.lit(2).alias("o"), "seq", F.concat(F.lit("<link"), *(_attr(a, F.col(c)) for a, c in (("id", "id"), ("from", "from_node"), ("to", "to_node"), ("length", "length_m"), ("capacity", "capacity"), ("freespeed", "freespeed"), ("permlanes", "permlanes"))), _attr("modes", F.array_join("modes", ",")), F.lit(">"), _attributes(F.col("attributes")) if "attributes" in links.columns else F.lit(""), F.lit("</link>")).alias("text"))  # noqa: E741
     spark = nodes.sparkSession
     mid = spark.createDataFrame([(1, 0, f'</nodes>\n<links effectivecellsize="{cell}">')], "o int, seq long, text string")
     lines = n.unionAll(mid.select("o", "seq", "text")).unionAll(l).orderBy("o", "seq")
-    _write_text(lines, path, '<?xml version="1.0" encoding="utf-8"?>\n<network>\n<nodes>', "</links>\n</network>", codec, True)
+    _write_text(lines, path, '<?xml version="1.0" encoding="utf-8"?>\n<network>\n<nodes>', "</links>\n</network>", codec, single_file)
 
 
-def write_vehicles_xml(types: DataFrame, vehicles: DataFrame, path: str) -> None:
+def write_vehicles_xml(types: DataFrame, vehicles: DataFrame, path: str, codec: str | None = None, single_file: bool = False) -> None:
     one = lambda tag, a, c: F.concat(F.lit(f"<{tag}"), _attr(a, F.col(c)), F.lit("/>"))
     t = types.select(F.lit(0).alias("o"), F.col("id").alias("k"), F.concat(F.lit("<vehicleType"), _attr("id", F.col("id")), F.lit(">"), one("length", "meter", "length"), one("width", "meter", "width"), one("maximumVelocity", "meterPerSecond", "max_v"), one("passengerCarEquivalents", "pce", "pce"), one("networkMode", "networkMode", "net_mode"), one("flowEfficiencyFactor", "factor", "fef"), F.lit("</vehicleType>")).alias("text"))
     v = vehicles.select(F.lit(1).alias("o"), F.col("vehicle").alias("k"), F.concat(F.lit("<vehicle"), _attr("id", F.col("vehicle")), _attr("type", F.col("type")), F.lit("/>")).alias("text"))
-    _write_text(t.unionAll(v).orderBy("o", "k"), path, '<?xml version="1.0" encoding="utf-8"?>\n<vehicleDefinitions>', "</vehicleDefinitions>", None, True)
+    _write_text(t.unionAll(v).orderBy("o", "k"), path, '<?xml version="1.0" encoding="utf-8"?>\n<vehicleDefinitions>', "</vehicleDefinitions>", codec, single_file)
 
 
-def write_facilities_xml(facilities: DataFrame, opening: DataFrame, path: str) -> None:
+def write_facilities_xml(facilities: DataFrame, opening: DataFrame, path: str, codec: str | None = None, single_file: bool = False) -> None:
     """Facilities with their activity types and opening times."""
     o = F.concat(F.lit("<opentime"), _attr("day", F.col("open_day")), _attr("start_time", format_hms(F.col("start_ns"))), _attr("end_time", format_hms(F.col("end_ns"))), F.lit("/>"))
     a = opening.groupBy("facility", "act_type").agg(F.array_join(F.array_sort(F.collect_list(o)), "").alias("t"))
     a = a.groupBy("facility").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<activity"), _attr("type", F.col("act_type")), F.lit(">"), F.col("t"), F.lit("</activity>")))), "").alias("t"))
     f = facilities.join(a.withColumnRenamed("facility", "id"), "id", "left")
     text = F.concat(F.lit("<facility"), _attr("id", F.col("id")), _attr("x", F.col("x")), _attr("y", F.col("y")), _attr("linkId", F.col("link")), F.lit(">"), F.coalesce("t", F.lit("")), F.lit("</facility>"))
-    _write_text(f.select("id", text.alias("text")).orderBy("id"), path, '<?xml version="1.0" encoding="utf-8"?>\n<facilities>', "</facilities>", None, True)
+    _write_text(f.select("id", text.alias("text")).orderBy("id"), path, '<?xml version="1.0" encoding="utf-8"?>\n<facilities>', "</facilities>", codec, single_file)
 
 
 #: Columns of the two profiles.

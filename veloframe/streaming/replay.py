@@ -59,7 +59,8 @@ def stream_observations(events: DataFrame, timeout: str | None = None) -> DataFr
             state.update((mode, link, None if at is None else int(at)))
             if timeout:
                 state.setTimeoutTimestamp(int(rows_["event_time"].max().timestamp() * 1000) + 1 + int(state.getCurrentWatermarkMs() > 0))
-        yield pd.DataFrame(out, columns=["mode", "link", "enter_ns", "travel_ns", "event_time"])
+        if out:
+            yield pd.DataFrame(out, columns=["mode", "link", "enter_ns", "travel_ns", "event_time"])
 
     return rows.groupBy("vehicle").applyInPandasWithState(fold, "mode string, link string, enter_ns long, travel_ns long, event_time timestamp", "mode string, link string, at long", "append", GroupStateTimeout.EventTimeTimeout if timeout else GroupStateTimeout.NoTimeout)
 
