@@ -110,19 +110,6 @@ def asof_stop(spark, sf):
     return experienced.last_stop(e).filter("event_type = 'view'").select("event_id", F.col("at_line").alias("line"), F.col("at_stop_now").alias("stop"))
 
 
-def first_occurrence(spark, sf):
-    """WIN-07."""
-    e = log(spark, sf).withColumn("day", F.expr(f"seq div {DAY_US}"))
-    w = Window.partitionBy("user_id", "day", "event_type").orderBy("seq")
-    return e.withColumn("r", F.row_number().over(w)).filter("r = 1").select("user_id", "day", "event_type", "event_id")
-
-
-def nth_switch(spark, sf):
-    """WIN-08: purchases of a user after the first."""
-    w = Window.partitionBy("user_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return log(spark, sf).withColumn("n", F.sum((F.col("event_type") == "purchase").cast("int")).over(w)).filter("event_type = 'purchase' and n > 1").select("user_id", "event_id", "n")
-
-
 def _elements(spark, sf):
     """Sign-ups are main activities, errors interactions, the rest legs, of one plan per user."""
     w = Window.partitionBy("user_id").orderBy("seq")
@@ -146,18 +133,16 @@ def next_trips(spark, sf):
     return planops.next_trip(planops.trip_spans(_elements(spark, sf)), F.lit(10)).select("person", "origin_idx", "destination_idx")
 
 
-def plan_clock(spark, sf):
-    """WIN-05: every fourth element has a fixed end, interactions last a minute, legs ten minutes."""
+def clock_elements(spark, sf):
+    """Every fourth element has a fixed end, interactions last a minute, legs ten minutes, but for every seventh."""
     el = _elements(spark, sf)
     fixed = F.col("event_id") % 4 == 0
-    el = el.withColumns({"end_ns": F.when(fixed & (F.col("kind") == "act"), F.col("end_ns")), "max_dur_ns": F.when((F.col("kind") == "act") & (F.col("act_type") != "home"), F.lit(60 * times.NS).cast("long")), "trav_ns": F.when(F.col("event_id") % 7 != 0, F.lit(600 * times.NS).cast("long")), "route_trav_ns": F.lit(None).cast("long")})
-    return planops.plan_times(el).select("person", "elem_idx", "at_ns")
+    return el.withColumns({"end_ns": F.when(fixed & (F.col("kind") == "act"), F.col("end_ns")), "max_dur_ns": F.when((F.col("kind") == "act") & (F.col("act_type") != "home"), F.lit(60 * times.NS).cast("long")), "trav_ns": F.when(F.col("event_id") % 7 != 0, F.lit(600 * times.NS).cast("long")), "route_trav_ns": F.lit(None).cast("long")})
 
 
-def session_fold(spark, sf):
-    """STR-06: the ordered types between sign-ups."""
-    rows = planops.with_trips(_elements(spark, sf)).filter("not is_main")
-    return rows.groupBy("person", F.col("trip").cast("long").alias("trip")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("elem_idx", F.coalesce("mode", "act_type").alias("m")))), lambda s: s["m"]), ">").alias("types"))
+def plan_clock(spark, sf):
+    """WIN-05."""
+    return planops.plan_times(clock_elements(spark, sf)).select("person", "elem_idx", "at_ns")
 
 
 def overnight_wrap(spark, sf):
@@ -173,12 +158,6 @@ def activity_utility(spark, sf):
     return o.select("o_orderkey", F.round(scoring.activity_utility(d, F.lit(28_800.0), F.lit(6 / 3600)), 6).alias("utility"), F.round(w, 6).alias("waiting_s"))
 
 
-def elapsed_trip(spark, sf):
-    """WIN-10, SCO-09."""
-    legs = planops.with_trips(_elements(spark, sf)).filter("kind = 'leg'")
-    return legs.groupBy("person", F.col("trip").cast("long").alias("trip")).agg((F.max("end_ns") - F.min("end_ns")).alias("elapsed_ns"))
-
-
 def order_check(spark, sf):
     """WIN-11: events of a user that stand right after a later one, in a shuffled order."""
     e = log(spark, sf).withColumn("seq", F.col("event_id") * 7919 % 1_000_003)
@@ -244,12 +223,6 @@ def copied_plans(spark, sf):
     return selection.copy_selected(p, p.filter("person % 3 = 0").select("person")).select("person", "plan_idx", "score", "selected")
 
 
-def msa_running(spark, sf):
-    """WIN-13: the mean of a customer's prices so far."""
-    w = Window.partitionBy("person").orderBy("plan_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return plans(spark, sf).select("person", "plan_idx", F.round(F.avg("score").over(w), 6).alias("mean_score"))
-
-
 def event_multiset_diff(spark, sf):
     """SET-02: a copy in which every tenth event is another one, every 23rd missing and every 31st twice."""
     a = log(spark, sf).select("time_ns", "seq", "type", "link", "vehicle")
@@ -292,11 +265,6 @@ def set_or_default(spark, sf):
     return p.join(F.broadcast(sets.withColumnRenamed("subpopulation", "_n")), F.col("_set").eqNullSafe(F.col("_n"))).select("person", "performing")
 
 
-def anti_missing(spark, sf):
-    """JON-16."""
-    return table(spark, sf, "part").join(table(spark, sf, "lineitem").select("l_partkey"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
-
-
 def semi_partition(spark, sf):
     """JON-15, PLN-18, SRC-25: facilities by the partition of their link's end."""
     parts = table(spark, sf, "nodes").select(F.col("id").alias("node"), "partition_no").distinct()
@@ -394,19 +362,6 @@ def shortest_path_kernel(spark, sf):
     return routing.least_cost_paths(requests, g).select("request", F.round("cost", 4).alias("cost"))
 
 
-def alt_bound(spark, sf):
-    """RTE-04: triangle bounds from one landmark never exceed the cost."""
-    l = _network(spark, sf)  # noqa: E741
-    e = l.select("from_node", "to_node", geometry.routing_time(F.col("length_m"), F.col("freespeed")).alias("cost"))
-    two = l.agg(F.min("from_node").alias("a"), F.max("from_node").alias("b"))
-    c = network.relaxed_costs(e, two.select(F.explode(F.array("a", "b")).alias("node")))
-    s, t = two.first()
-    from_s, from_t = c.filter(F.col("source") == s).select("node", F.col("cost").alias("cs")), c.filter(F.col("source") == t).select("node", F.col("cost").alias("ct"))
-    st = from_s.filter(F.col("node") == t).first()  # one row; a landmark that can't be reached bounds nothing
-    j = from_s.join(from_t, "node").withColumn("bound", F.lit(float("inf") if st is None else st["cs"]) + F.col("ct"))
-    return j.select("node", (F.col("cs") <= F.col("bound") + 1e-6).alias("ok"))
-
-
 def departure_sequence(spark, sf):
     """WIN-03: ships of an order by date, then line."""
     l = table(spark, sf, "lineitem")  # noqa: E741
@@ -440,15 +395,6 @@ def delay_propagation(spark, sf):
     return transit.lindley(l, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "q"], F.col("q"), F.col("halt")).select("l_orderkey", "l_linenumber", "l_partkey", "delay")
 
 
-def point_queue(spark, sf):
-    """SIM-07, SIM-08: vehicles of a user leave a link one after another, at least a minute apart and ten after they came."""
-    l = log(spark, sf)  # noqa: E741
-    w = Window.partitionBy("vehicle").orderBy("seq")
-    i = F.row_number().over(w).cast("long")
-    rows = l.withColumn("i", i).withColumn("free", F.col("time_ns") + F.lit(600 * times.NS) - F.col("i") * F.lit(60 * times.NS))
-    return rows.withColumn("exit_ns", F.max("free").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("i") * F.lit(60 * times.NS)).select("event_id", "exit_ns")
-
-
 def teleport_arrivals(spark, sf):
     """RTE-13, FUN-17, SIM-05: walks between the ends of the links."""
     e = network.with_ends(table(spark, sf, "links").select("id", "from_node", "to_node").distinct(), table(spark, sf, "nodes"))
@@ -481,11 +427,6 @@ def time_format(spark, sf):
     return t.select("seq", "time_ns", times.format_hms(F.col("time_ns")).alias("clock"), times.to_tick(F.col("time_ns"), 10).alias("tick"), times.from_tick(times.to_tick(F.col("time_ns"), 3), 3).alias("tick_ns"))
 
 
-def attr_parse(spark, sf):
-    """PRJ-15, FUN-22, FUN-26."""
-    return log(spark, sf).select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
-
-
 def attr_default(spark, sf):
     """PRJ-17, FUN-21: persons' ages, 30 where there is none, and their attributes with one more."""
     p = table(spark, sf, "persons").groupBy("id").agg(F.max_by("attributes", F.struct("first_iter", F.to_json("attributes"))).alias("attributes"))
@@ -493,12 +434,6 @@ def attr_default(spark, sf):
     return p.select("id", attributes.with_default(F.col("attributes"), "age", "int", 30).alias("age"), F.size(more).alias("n"), more["age"].alias("new_age"))
 
 
-def profile_summary(spark, sf):
-    """SNK-12, SNK-14: spans by function."""
-    r = table(spark, sf, "routing_spans").filter("duration_ns is not null")
-    return r.groupBy("func_target", "func_name").agg(F.count(F.lit(1)).alias("n"), F.min("duration_ns").alias("least"), F.max("duration_ns").alias("most"))
-
-
 def start_summary(spark, sf):
     """PRJ-06, SEL-15: activity starts per iteration and hour, interactions apart."""
     a = table(spark, sf, "act_starts").filter("time_ns is not null")
@@ -526,13 +461,6 @@ def leg_scores(spark, sf):
     return scoring.leg_scores(el, persons, p, ["view"]).groupBy("person").agg(F.round(F.sum("score"), 6).alias("score"))
 
 
-def mode_unions(spark, sf):
-    """SET-04: modes of all links that leave a node, sorted and distinct."""
-    l = table(spark, sf, "links")  # noqa: E741
-    per = l.groupBy("from_node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("modes")))).alias("m"))
-    return per.select("from_node", F.array_join("m", ",").alias("modes"))
-
-
 def first_persons(spark, sf):
     """PRJ-10: all events of the ten users who come first."""
     from veloframe.sources.folders import first_persons as first
@@ -555,30 +483,12 @@ def node_weights(spark, sf):
     return network.node_weights(l, counts)
 
 
-def least_factors(spark, sf):
-    """AGG-09, FUN-12: least cost factors over market segments, of balances as utilities."""
-    c = table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.max("c_acctbal").alias("p"), F.min("c_acctbal").alias("t"))
-    return c.agg(F.round(F.min(geometry.time_factor(F.col("t"), F.col("p"))), 9).alias("t"), F.round(F.min(geometry.distance_factor(F.col("t"), F.col("p"), F.lit(0.1))), 6).alias("d"))
-
-
-def tumbling_windows(spark, sf):
-    """STR-04, STR-13: events per type and quarter of an hour, of the streaming operator in batch."""
-    e = replay.with_event_time(log(spark, sf))
-    per = e.groupBy("event_type", F.window("event_time", "15 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return per.select("event_type", F.expr("unix_seconds(w.start)").alias("start_s"), "n")
-
-
 def session_windows(spark, sf):
     """STR-13: sessions of users with pauses of more than six hours between them."""
     e = replay.with_event_time(log(spark, sf))
     return replay.sessions(e, "user_id", "6 hours").select("user_id", F.expr("unix_micros(session.start)").alias("start_us"), "n")
 
 
-def aborted_users(spark, sf):
-    """PRJ-13, AGG-14: users with an error, and whether all their values are positive."""
-    return log(spark, sf).groupBy("user_id").agg(F.bool_or(F.col("event_type") == "error").alias("aborted"), F.bool_and(F.col("value") > 0).alias("sound"))
-
-
 _P = "partition by person order by elem"
 _EL = f"""with {_LOG}, el as (select vehicle as person, row_number() over (partition by user_id order by us) - 1 as elem, case when event_type in ('signup', 'error') then 'act' else 'leg' end as kind,
  case event_type when 'signup' then 'home' when 'error' then 'car interaction' end as act_type, case when event_type not in ('signup', 'error') then event_type end as mode, case when event_type not in ('signup', 'error') and event_id % 2 = 0 then event_type end as rm, us * 1000 as end_ns, event_id from log),
@@ -608,8 +518,6 @@ select enter_ns, link, cast(round(case when p < 0 then case when pv is null then
     "tt_lookup_default": "with l as (select id, any_value(length_m) as len, any_value(freespeed) as sp from links group by id) select id as link, round(greatest(case when len > 5000 then 500e9 else len / sp * 1e9 end, len / 20.0 * 1e9), 0) as travel_ns from l",
     "interval_occupancy": f"with {_LOG}, r as (select vehicle, us as a, event_type, lead(event_type) over w as ne, lead(us) over w as z from log where event_type in ('signup', 'purchase') window w as (partition by vehicle order by us)) select 'p' || log.vehicle as person, event_id from log join r on r.vehicle = log.vehicle and r.event_type = 'signup' and r.ne = 'purchase' and log.us between r.a and r.z where log.event_type = 'view'",
     "asof_stop": f"with {_LOG}, v as (select *, last_value(case when event_type = 'signup' then m end ignore nulls) over w as line, last_value(case when event_type = 'click' then link end ignore nulls) over w as stop from log where vehicle in (select vehicle from log where event_type = 'signup') window w as (partition by vehicle order by us rows unbounded preceding)) select event_id, line, stop from v where event_type = 'view'",
-    "first_occurrence": f"with {_LOG} select user_id, us // 86400000000 as day, event_type, arg_min(event_id, us) as event_id from log group by all",
-    "nth_switch": f"with {_LOG}, v as (select *, sum(case when event_type = 'purchase' then 1 else 0 end) over (partition by user_id order by us rows unbounded preceding) as n from log) select user_id, event_id, cast(n as bigint) as n from v where event_type = 'purchase' and n > 1",
     "trip_segments": f"{_SPANS} select person, cast(trip as bigint) as trip, o as origin_idx, d as destination_idx from sp",
     "trip_main_mode": f"{_EL} select person, cast(trip as bigint) as trip, case when count(distinct rm) = 1 then min(rm) when count(distinct rm) = 0 and count(*) = 1 then min(mode) end as main_mode from tr where kind = 'leg' group by person, trip",
     "next_trips": f"{_SPANS} select person, min(o) as origin_idx, arg_min(d, o) as destination_idx from sp where o >= 10 group by person",
@@ -617,14 +525,12 @@ select enter_ns, link, cast(round(case when p < 0 then case when pv is null then
 g as (select *, count(fixed) over ({_P} rows unbounded preceding) as g from x),
 s as (select *, sum(case when fixed is null then coalesce(step, 0) else 0 end) over w as s, sum(case when fixed is null and step is null then 1 else 0 end) over w as gap, first_value(fixed) over w as base from g window w as (partition by person, g order by elem rows unbounded preceding))
 select person, elem as elem_idx, cast(case when gap = 0 then case when g = 0 then 0 else base end + s end as bigint) as at_ns from s""",
-    "session_fold": f"{_EL} select person, cast(trip as bigint) as trip, string_agg(coalesce(mode, act_type), '>' order by elem) as types from tr where not is_main group by person, trip",
     "overnight_wrap": f"""{_EL}, a as (select person, elem, (end_ns % 86400000000000) / 1e9::double as s, (end_ns % 86400000000000 + 60000000000) / 1e9::double as e, row_number() over ({_P}) as i, count(*) over (partition by person) as n from el where act_type = 'home'),
 b as (select *, last_value(s) over (partition by person order by elem rows between unbounded preceding and unbounded following) as ls from a)
 select person, elem as elem_idx, round(case when n = 1 then 0.0 when i = 1 then ls else s end, 6) as arrival_s, round(case when n = 1 then 86400.0 when i = 1 then e + 86400 else e end, 6) as departure_s from b where n = 1 or i < n""",
     "activity_utility": """with a as (select o_orderkey, o_totalprice as p, case when 50000 > o_totalprice then o_totalprice else 50000 end as s, case when 50000 > o_totalprice then o_totalprice else least(200000, o_totalprice) end as e from orders),
 b as (select *, e - s as d, 28800 * exp(-1.0) as z, 6.0::double / 3600 as b from a)
 select o_orderkey, round(case when d >= z then b * 28800 * (ln(d / 28800) + 1) else -(b * 28800 / z) * (z - d) end, 6) as utility, round(greatest(s, 0.0) + greatest(p - e, 0.0), 6) as waiting_s from b""",
-    "elapsed_trip": f"{_EL} select person, cast(trip as bigint) as trip, max(end_ns) - min(end_ns) as elapsed_ns from tr where kind = 'leg' group by person, trip",
     "order_check": f"with {_LOG}, v as (select event_id, us * 1000 as time_ns, lag(us * 1000) over (partition by vehicle order by event_id * 7919 % 1000003) as previous_ns from log) select * from v where previous_ns > time_ns",
     "keep_last": f"with {_PLANS} select person, plan_idx from p where selected",
     "best_plan": f"with {_PLANS} select person, arg_max(plan_idx, {{'a': score, 'b': plan_idx}}) as plan_idx from p where score is not null group by person",
@@ -635,14 +541,12 @@ select o_orderkey, round(case when d >= z then b * 28800 * (ln(d / 28800) + 1) e
     "softmax_pick": f"with {_PLANS}, w as (select *, exp(1e-5 * (score - max(score) over (partition by person))) as w, count(*) over (partition by person) = count(score) over (partition by person) as ok, min(plan_idx) over (partition by person) as f from p), q as (select person, plan_idx, case when ok then w / sum(w) over (partition by person) when plan_idx = f then 1.0 else 0.0 end as q from w), r as (select *, sum(q) over (partition by person order by plan_idx rows unbounded preceding) as run, sum(q) over (partition by person) as a from q where q > 0) select person, min(plan_idx) as plan_idx from r where {_U} * a < run group by person",
     "strategy_pick": f"with w(s, strategy, weight) as (values ('BUILDING', 'BestScore', 1.0), ('BUILDING', 'ReRoute', 3.0), ('MACHINERY', 'KeepLastSelected', 2.0), ('MACHINERY', 'SelectRandom', 5.0), ('FURNITURE', 'ReRoute', 1.0)), p as (select c_custkey as person, strategy, cast(weight as double) as weight from customer join w on s = c_mktsegment), r as (select *, sum(weight) over (partition by person order by strategy rows unbounded preceding) as run, sum(weight) over (partition by person) as a from p) select person, min(strategy) as strategy from r where {_U} * a < run group by person",
     "copied_plans": f"with {_PLANS}, t as (select person, max(plan_idx) + 1 as nw from p group by person) select person, plan_idx, score, selected and person % 3 <> 0 as selected from p union all select p.person, nw, null, true from p join t on t.person = p.person where selected and p.person % 3 = 0",
-    "msa_running": f"with {_PLANS} select person, plan_idx, round(avg(score) over (partition by person order by plan_idx rows unbounded preceding), 6) as mean_score from p",
     "event_multiset_diff": f"with {_LOG}, a as (select us * 1000 as time_ns, type, link, vehicle, 1 as x, 0 as y from log), b as (select us * 1000 as time_ns, type, case when event_id % 10 = 0 then 'other' else link end as link, vehicle, 0 as x, case when event_id % 31 = 0 then 2 else 1 end as y from log where event_id % 23 <> 0) select time_ns, link, vehicle, cast(sum(x) as bigint) as n_first, cast(sum(y) as bigint) as n_second from (select * from a union all select * from b) group by time_ns, type, link, vehicle having sum(x) <> sum(y)",
     "merge_sorted": f"with {_LOG} select event_id, row_number() over (order by us) - 1 as seq from log",
     "nearest_node": f"with {_NODE_PTS}, d as (select f.id, n.id as node, sqrt((f.x - n.x) * (f.x - n.x) + (f.y - n.y) * (f.y - n.y)) as d from f, n) select id, arg_min(node, {{'d': d, 'n': node}}) as node, round(min(d), 6) as distance from d group by id",
     "nearest_by_mode": f"with {_NEAR_BIKE} select id, link, round(d, 6) as distance from nb",
     "modal_fallback": f"with {_NEAR_BIKE} select f.id, case when f.link in (select id from links where list_contains(modes, 'bike')) then f.link else coalesce(nb.link, f.link) end as link from f left join nb on nb.id = f.id",
     "set_or_default": "select c_custkey as person, case c_mktsegment when 'BUILDING' then 8.0::double when 'AUTOMOBILE' then 4.0::double else 6.0::double end as performing from customer",
-    "anti_missing": "select p_partkey from part where p_partkey not in (select l_partkey from lineitem)",
     "semi_partition": "with n as (select distinct id, partition_no from nodes), l as (select distinct id, to_node from links), f as (select distinct id, x, y, link from facilities where x is not null and y is not null and not (x = 0 and y = 0)) select n.partition_no, count(*) as n from f join l on l.id = f.link join n on n.id = l.to_node group by 1",
     "route_counts": "select l_suppkey as link, count(*) as n from lineitem group by 1",
     "mode_links": "select mode, count(distinct id) as n from (select id, unnest(modes) as mode from links) group by 1 union all select 'none', count(distinct id) from links where len(modes) = 0",
@@ -657,7 +561,6 @@ select o_orderkey, round(case when d >= z then b * 28800 * (ln(d / 28800) + 1) e
     "transit_drivers": "select concat_ws('_', 'pt', o_custkey, o_orderpriority, o_orderkey) as driver from orders",
     "vehicles_per_mode": "with p as (select distinct id from persons) select id || '_' || mode as vehicle, id as person, mode from p, (values ('car'), ('bike')) m(mode) where not (mode = 'car' and length(id) % 2 = 0)",
     "delay_propagation": "with l as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, sum(cast(l_quantity as bigint) - l_partkey % 40) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity rows unbounded preceding) as s from lineitem) select l_orderkey, l_linenumber, l_partkey, cast(s - least(min(s) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity rows unbounded preceding), 0) as bigint) as delay from l",
-    "point_queue": f"with {_LOG}, i as (select *, row_number() over (partition by vehicle order by us) as i from log) select event_id, max(us * 1000 + 600000000000 - i * 60000000000) over (partition by vehicle order by us rows unbounded preceding) + i * 60000000000 as exit_ns from i",
     "teleport_arrivals": "with n as (select distinct id, x, y from nodes), l as (select distinct l.id, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) as d from links l join n a on a.id = l.from_node join n b on b.id = l.to_node) select id, round(d * 1.3, 6) as distance_m, cast(round(floor(d * 1.3 / (3 / 3.6::double) * 1e9) / 1e6, 0) as bigint) as travel_ms from l",
     "teleport_plans": f"""{_EL}, l as (select *, lag(case when kind = 'act' then end_ns end) over ({_P}) as e from el), g as (select *, row_number() over ({_P}) - 1 as k from l where kind = 'leg')
 select person, elem as elem_idx, max(coalesce(e, 0) - k * 601000000000) over w + k * 601000000000 as dep_ns, max(coalesce(e, 0) - k * 601000000000) over w + k * 601000000000 + 600000000000 as arr_ns from g window w as (partition by person order by elem rows unbounded preceding)""",
@@ -665,8 +568,6 @@ select person, elem as elem_idx, max(coalesce(e, 0) - k * 601000000000) over w +
     "time_parse": "select seq, 0::bigint as off_hms, 0::bigint as off_s from act_starts where time_ns is not null",
     "time_format": """with t as (select seq, time_ns, time_ns // 1000000000 as s, time_ns % 1000000000 as f from act_starts where time_ns is not null)
 select seq, time_ns, case when s // 3600 < 10 then '0' else '' end || (s // 3600) || ':' || lpad(cast(s // 60 % 60 as varchar), 2, '0') || ':' || lpad(cast(s % 60 as varchar), 2, '0') || case when f = 0 then '' else '.' || rtrim(lpad(cast(f as varchar), 9, '0'), '0') end as clock, (time_ns * 10 + 999999999) // 1000000000 as tick, ((time_ns * 3 + 999999999) // 1000000000) * 1000000000 // 3 as tick_ns from t""",
-    "attr_parse": "select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k from events",
-    "profile_summary": "select func_target, func_name, count(*) as n, min(duration_ns) as least, max(duration_ns) as most from routing_spans where duration_ns is not null group by all",
     "start_summary": "select iteration, least(time_ns // 3600000000000, 30) as hour, coalesce(contains(act_type, 'interaction'), false) as interaction, count(*) as n from act_starts where time_ns is not null group by all",
     "node_components": f"{_E}, r as (select id as node, id as root from nodes union select e.t, r.root from r join e on e.f = r.node) select node, min(root) as component from r group by node",
     "shortest_path": f"{_COSTS} select node, round(cost, 4) as cost from best, s where src = s.s",
@@ -677,20 +578,15 @@ l as (select *, row_number() over ({_P}) - 1 as k from d where kind = 'leg'), t
 select person, dep as time_ns, 'departure' as type from t union all select person, dep + 600000000000, 'arrival' from t""",
     "leg_scores": f"""{_EL}, l as (select person, trip, elem, mode, row_number() over (partition by person, trip, mode order by elem) as it, row_number() over (partition by person, mode order by elem) as id, sum(case when mode = 'view' then 1 else 0 end) over (partition by person, trip order by elem rows unbounded preceding) as tn from tr where kind = 'leg')
 select person, round(sum(case mode when 'view' then -1.0 - 1.0 + case when it = 1 then -0.5 else 0 end + case when id = 1 then -3.0 else 0 end + case when tn > 1 then -1.0 else 0 end when 'click' then -0.5 - 2.0 + case when id = 1 then -4.0 else 0 end else -1.0::double / 6 + case when it = 1 then -7.0 else 0 end end), 6) as score from l group by person""",
-    "mode_unions": "with x as (select from_node, unnest(modes) as m from links) select n.from_node, coalesce(string_agg(distinct m, ',' order by m), '') as modes from (select distinct from_node from links) n left join x on x.from_node = n.from_node group by 1",
     "first_persons": f"with {_LOG}, f as (select vehicle from log group by vehicle order by min(us) limit 10) select vehicle as person, us as seq from log where vehicle in (select vehicle from f)",
     "route_texts": "with r as (select l_orderkey, list_sort(list(l_suppkey)) as l from lineitem group by 1), t as (select l_orderkey, case when len(l) = 2 and l[1] = l[2] then [l[1]] else l end as l from r) select l_orderkey, array_to_string(l, ' ') as text, cast(len(l) as integer) as n from t",
     "node_weights": "with c as (select link, count(*) as n from act_starts group by 1) select to_node as node, max(n) as weight from (select distinct id, to_node from links) l join c on c.link = l.id group by 1",
-    "least_factors": "with c as (select max(c_acctbal) as p, min(c_acctbal) as t from customer group by c_mktsegment) select round(min((-t + p) / 3600), 9) as t, round(min(-t - p * 0.1), 6) as d from c",
-    "tumbling_windows": f"with {_LOG} select event_type, us // 900000000 * 900 + 946684800 as start_s, count(*) as n from log group by all",
     "session_windows": f"with {_LOG}, g as (select user_id, us, case when us - lag(us) over (partition by user_id order by us) < 21600000000 then 0 else 1 end as f from log), s as (select *, sum(f) over (partition by user_id order by us rows unbounded preceding) as s from g) select user_id, min(us) + 946684800000000 as start_us, count(*) as n from s group by user_id, s",
-    "aborted_users": "select user_id, bool_or(event_type = 'error') as aborted, bool_and(value > 0) as sound from events group by 1",
-    "alt_bound": f"{_COSTS}, x as (select b.node from best b, s where b.src = s.s and b.node in (select node from best, s where src = s.z)) select node, true as ok from x",
     "attr_default": "with p as (select id, arg_max(attributes, {'a': first_iter, 'b': cast(to_json(attributes) as varchar)}) as a from persons group by id) select id, coalesce(try_cast(a['age'] as integer), 30) as age, cast(cardinality(a) + 2 - case when a['age'] is null then 0 else 1 end as integer) as n, '1' as new_age from p",
 }
 
 QUERIES = {f.__name__: f for f in (
-    event_type_view, pair_enter_leave, asof_mode, asof_stop, interval_occupancy, tt_bins_mean, dense_bins, tt_decay_fill, tt_interpolate, tt_lookup_default, first_occurrence, nth_switch, trip_segments, trip_main_mode, next_trips, plan_clock, session_fold, overnight_wrap, activity_utility, elapsed_trip, order_check,
-    keep_last, best_plan, worst_plan, random_plan, plan_memory, softmax_probs, softmax_pick, strategy_pick, copied_plans, msa_running, event_multiset_diff, merge_sorted, nearest_node, nearest_by_mode, modal_fallback, set_or_default, anti_missing, semi_partition, route_counts, mode_links, undirected_edges, vertex_weights, neighbour_counts, route_lengths, route_validity,
-    kcore_dead_ends, node_components, hop_distance, shortest_path, shortest_path_kernel, alt_bound, departure_sequence, vehicle_copies, transit_drivers, vehicles_per_mode, delay_propagation, point_queue, teleport_arrivals, teleport_plans, capacities, time_parse, time_format, attr_parse, attr_default, profile_summary, start_summary, simulated_teleports, leg_scores, mode_unions, first_persons, route_texts, node_weights, least_factors, tumbling_windows, session_windows, aborted_users,
+    event_type_view, pair_enter_leave, asof_mode, asof_stop, interval_occupancy, tt_bins_mean, dense_bins, tt_decay_fill, tt_interpolate, tt_lookup_default, trip_segments, trip_main_mode, next_trips, plan_clock, overnight_wrap, activity_utility, order_check,
+    keep_last, best_plan, worst_plan, random_plan, plan_memory, softmax_probs, softmax_pick, strategy_pick, copied_plans, event_multiset_diff, merge_sorted, nearest_node, nearest_by_mode, modal_fallback, set_or_default, semi_partition, route_counts, mode_links, undirected_edges, vertex_weights, neighbour_counts, route_lengths, route_validity,
+    kcore_dead_ends, node_components, hop_distance, shortest_path, shortest_path_kernel, departure_sequence, vehicle_copies, transit_drivers, vehicles_per_mode, delay_propagation, teleport_arrivals, teleport_plans, capacities, time_parse, time_format, attr_default, start_summary, simulated_teleports, leg_scores, first_persons, route_texts, node_weights, session_windows,
 )}

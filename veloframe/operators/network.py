@@ -27,6 +27,12 @@ def modes_of(links: DataFrame) -> DataFrame:
     return links.select(F.explode("modes").alias("mode")).distinct()
 
 
+def mode_union(links: DataFrame, key: str) -> DataFrame:
+    """``key, modes``: the modes of all links of a key, sorted and distinct; empty where no link has any. Modes meet before the shuffle."""
+    per = links.select(key, F.explode_outer("modes").alias("m")).distinct().groupBy(key).agg(F.array_sort(F.collect_list("m")).alias("modes"))
+    return per
+
+
 def with_ends(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links with the coordinates ``x0, y0, x1, y1`` of their nodes; links with an unknown node are left out (see references)."""
     n = nodes.select("id", "x", "y").distinct()

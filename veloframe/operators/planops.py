@@ -24,6 +24,15 @@ def _plan() -> Window:
     return Window.partitionBy(*PLAN).orderBy("elem_idx")
 
 
+def united(shards: list[DataFrame]) -> DataFrame:
+    """Parts of a population as one; a person in more than one part is an error, found before anything is used."""
+    parts = [df.select("person").distinct() for df in shards]
+    twice = reduce(DataFrame.unionAll, parts).groupBy("person").count().filter("count > 1").select("person").limit(5).collect()
+    if twice:
+        raise ValueError(f"persons in several parts: {[r[0] for r in twice]}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), shards)
+
+
 def main_activities(elements: DataFrame) -> DataFrame:
     return elements.filter((F.col("kind") == "act") & ~is_interaction(F.col("act_type")))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veloframe.functions.attributes import is_interaction
+from veloframe.functions.geometry import distance_factor, time_factor
 from veloframe.functions.times import NS
 from veloframe.storage import parameters
 
@@ -37,6 +38,13 @@ class Parameters:
         return out
 
 
+def least_cost_factors(p: Parameters) -> DataFrame:
+    """``mode, per_second, per_metre``: the least of each cost factor over all parameter sets, a lower bound of what any person pays."""
+    s = p.sets.select(F.col("subpopulation").alias("_s"), "performing", "money")
+    rows = p.modes.join(parameters(s), F.col("subpopulation").eqNullSafe(F.col("_s")))
+    return rows.groupBy("mode").agg(F.min(time_factor(F.col("travelling_h"), F.col("performing"))).alias("per_second"), F.min(distance_factor(F.col("distance_m"), F.col("money_rate_m"), F.col("money"))).alias("per_metre"))
+
+
 def activity_utility(duration_s: Column, typical_s: Column, performing_s: Column) -> Column:
     """Logarithmic from the zero-utility duration typical/e on, linear with the slope at that point below it."""
     zero = typical_s * F.exp(F.lit(-1.0))
