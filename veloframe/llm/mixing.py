@@ -82,12 +82,15 @@ def mix(counts: DataFrame, targets: DataFrame, id: str, source: str = "source",
 
 
 def mix_report(counts: DataFrame, chosen: DataFrame, targets: DataFrame, source: str = "source", size: str = "n_tokens") -> DataFrame:
-    """Per source of either side: weight and limit, documents and tokens there are, documents and tokens chosen, mean repeats, and the shares
-    aimed at (weight over the sum of the weights) and reached."""
+    """Per source of either side: weight and limit, documents and tokens there are, documents and tokens chosen, mean repeats, the target share
+    (weight over the sum of the weights), the share aimed at (over the weights of sources that have tokens and may be used) and the actual one."""
     there = counts.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(size).cast("long").alias("tokens"))
     used = chosen.groupBy("source").agg(F.count(F.lit(1)).alias("chosen_docs"), F.sum("repeats").alias("chosen_copies"), F.sum(F.col("repeats") * F.col("n_tokens")).alias("chosen_tokens"))
+    usable = (F.col("weight") > 0) & (F.col("max_repeats") > 0) & (F.col("tokens") > 0)
     weights, total = targets.agg(F.sum("weight")).first()[0], used.agg(F.sum("chosen_tokens")).first()[0]  # one row each
     rows = there.join(targets.select(F.col("source").alias("_t"), "weight", "max_repeats"), F.col("source").eqNullSafe(F.col("_t")), "full_outer").withColumn("source", F.coalesce("source", "_t")).drop("_t")
     rows = rows.join(used.withColumnRenamed("source", "_u"), F.col("source").eqNullSafe(F.col("_u")), "left").drop("_u")
+    aimed = F.when(usable, F.col("weight"))
+    usable_sum = rows.agg(F.sum(aimed)).first()[0]  # one row
     zero = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_docs", "tokens", "chosen_docs", "chosen_copies", "chosen_tokens")]
-    return rows.select("source", "weight", "max_repeats", *zero, (F.coalesce("chosen_copies", F.lit(0)) / F.when(F.col("chosen_docs") > 0, F.col("chosen_docs"))).alias("mean_repeats"), (F.coalesce("weight", F.lit(0.0)) / F.lit(weights if weights else None).cast("double")).alias("target_share"), (F.coalesce("chosen_tokens", F.lit(0)) / F.lit(total if total else None).cast("double")).alias("actual_share"))
+    return rows.select("source", "weight", "max_repeats", *zero, (F.coalesce("chosen_copies", F.lit(0)) / F.when(F.col("chosen_docs") > 0, F.col("chosen_docs"))).alias("mean_repeats"), (F.coalesce("weight", F.lit(0.0)) / F.lit(weights if weights else None).cast("double")).alias("target_share"), (F.coalesce(aimed, F.lit(0.0)) / F.lit(usable_sum or None).cast("double")).alias("aimed_share"), (F.coalesce("chosen_tokens", F.lit(0)) / F.lit(total if total else None).cast("double")).alias("actual_share"))

@@ -50,12 +50,13 @@ def code_range(c: int) -> tuple[int, int]:
 SPARSE = 8_192
 
 
-def sketch(df: DataFrame, groups: list[str], value: str, sign: int = 1) -> DataFrame:
+def sketch(df: DataFrame, groups: list[str], value: str, sign: int = 1, kept: int | None = None) -> DataFrame:
     """``groups..., cell, n``: the non-zero counters of each group's sketch. Null values do not count; null groups are a group.
 
     Rows first meet per group and code, which a map-side sum does for hot groups; a group then has at most 2^17 codes. Groups with few
     codes are kept exactly (cell = -1 - code), as are the most frequent codes of the others, whose rest is spread over the counters. With ``sign=-1`` the sketch deletes the rows
-    from another one."""
+    from another one. kept: so many codes of a group stay exact, by default SPARSE; fewer make sketches smaller and the stated error greater."""
+    kept = SPARSE if kept is None else kept
     codes = df.select(*groups, code(F.col(value).cast("long")).alias("code")).filter("code is not null").groupBy(*groups, "code").agg((F.count(F.lit(1)) * sign).alias("n"))
     names, kinds = list(groups), dict(codes.dtypes)
 
@@ -63,11 +64,11 @@ def sketch(df: DataFrame, groups: list[str], value: str, sign: int = 1) -> DataF
         codes, n = pdf["code"].to_numpy(np.int64), pdf["n"].to_numpy()
         order = np.lexsort((codes, -np.abs(n)))
         codes, n = codes[order], n[order]
-        cell = -1 - codes[:SPARSE]
-        if len(codes) > SPARSE:
-            flat = counters(codes[SPARSE:], n[SPARSE:])
+        cell = -1 - codes[:kept]
+        if len(codes) > kept:
+            flat = counters(codes[kept:], n[kept:])
             at = np.flatnonzero(flat)
-            cell, n = np.concatenate([cell, at]), np.concatenate([n[:SPARSE], flat[at]])
+            cell, n = np.concatenate([cell, at]), np.concatenate([n[:kept], flat[at]])
         return pd.DataFrame({g: [pdf[g].iloc[0]] * len(cell) for g in names} | {"cell": cell.astype(np.int32), "n": n})
 
     return codes.groupBy(*groups).applyInPandas(spread, ", ".join(f"`{g}` {kinds[g]}" for g in groups) + ", cell int, n long")
