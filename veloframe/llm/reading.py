@@ -3,6 +3,7 @@ cross-validated source by source and calibrated to grades on the held-out predic
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -84,6 +85,32 @@ class Bags:
         return Grades(*named, self.common)
 
 
+@dataclass(frozen=True)
+class Training:
+    """The labelled rows: levels, folds, distributions and words."""
+
+    y: np.ndarray
+    fold: np.ndarray
+    plain: np.ndarray
+    bags: Bags
+
+    def table(self, rows: np.ndarray, grades: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate([self.plain[rows], self.bags.table(grades, rows)], 1) if len(rows) else np.zeros((0, N_FEATURES))
+
+    def fit(self, outer: int | None) -> Boosted | np.ndarray:
+        """Scores of the rows of a fold by a model of the others, or the model of all rows. Each row is described by grades of words from other folds
+        than its own."""
+        parts, at = [np.zeros((0, N_FEATURES))], [np.zeros(0, int)]
+        for g in sorted(set(self.fold.tolist()) - {outer}):
+            mine = np.flatnonzero(self.fold == g)
+            parts.append(self.table(mine, self.bags.grades(self.y, (self.fold != g) & (self.fold != outer))))
+            at.append(mine)
+        model = boost(np.concatenate(parts), self.y[np.concatenate(at)])
+        if outer is None:
+            return model
+        return model.predict(self.table(np.flatnonzero(self.fold == outer), self.bags.grades(self.y, self.fold != outer)))
+
+
 def _cuts(score: np.ndarray, y: np.ndarray) -> list[float]:
     """Between each two grades, the middle of the cut points with the fewest held-out rows on the wrong side; ascending."""
     out = []
@@ -101,6 +128,7 @@ def train(documents: DataFrame, labels: DataFrame, id: str = "doc_id", text: str
     with another level, are left out, and of documents with one id one text counts; without labels every document with prose gets level 0."""
     ok = labels.filter(F.col(level).between(0, LEVELS) & F.col(id).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.min(level).alias("y"), F.max(level).alias("z")).filter("y = z")
     ok = ok.orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED).select("id", "y")
+    spark = documents.sparkSession
     rows = documents.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.col(source).cast("string").alias("source")).join(F.broadcast(ok), "id")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,27 +165,19 @@ def train(documents: DataFrame, labels: DataFrame, id: str = "doc_id", text: str
         fold = np.arange(len(y)) % FOLDS
     present = sorted(set(fold.tolist()))
 
-    def table(rows_: np.ndarray, grades: list[np.ndarray]) -> np.ndarray:
-        return np.concatenate([plain[rows_], bags.table(grades, rows_)], 1) if len(rows_) else np.zeros((0, N_FEATURES))
+    # each fold, and at last the whole, is trained in a task of its own
+    shared = spark.sparkContext.broadcast((y, fold, plain, bags))
 
-    def held(outer: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of all folds but one, each with words graded on the other folds that may be seen."""
-        parts, at = [], []
-        for g in present:
-            if g != outer:
-                mine = np.flatnonzero(fold == g)
-                parts.append(table(mine, bags.grades(y, (fold != g) & (fold != outer))))
-                at.append(mine)
-        return (np.concatenate(parts), np.concatenate(at)) if parts else (np.zeros((0, N_FEATURES)), np.zeros(0, int))
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        data = Training(*shared.value)
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "found": [pickle.dumps(data.fit(present[i] if i < len(present) else None)) for i in pdf["id"]]})
 
+    found = {r["id"]: pickle.loads(r["found"]) for r in spark.range(0, len(present) + 1, 1, len(present) + 1).mapInPandas(fit, "id long, found binary").collect()}  # FOLDS + 1 rows
     score = np.zeros(len(y))
-    for f in present:
-        out = np.flatnonzero(fold == f)
-        x, at = held(f)
-        score[out] = boost(x, y[at]).predict(table(out, bags.grades(y, fold != f)))
-    cuts = _cuts(score, y)
-    x, at = held(None)
-    model = ReadingModel(bags.learned(bags.grades(y, np.ones(len(y), bool))), boost(x, y[at]), cuts, [])
+    for i, f in enumerate(present):
+        score[fold == f] = found[i]
+    model = ReadingModel(bags.learned(bags.grades(y, np.ones(len(y), bool))), found[len(present)], _cuts(score, y), [])
     got = model.level(score, empty)
     report = []
     for s in [*names, None]:

@@ -48,11 +48,18 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 150, depth: int = 4, rate:
     for _ in range(trees):
         f, c = np.full((1 << depth) - 1, -1), np.zeros((1 << depth) - 1, np.int64)
         node = np.zeros(n, np.int64)
+        counts = values = np.zeros((0, m, BINS))
         for level in range(depth):
             first, width = (1 << level) - 1, 1 << level
-            at = ((node - first)[:, None] * (m * BINS) + offset).ravel()
-            total = np.bincount(at, minlength=width * m * BINS).reshape(width, m, BINS).cumsum(2)
-            sums = np.bincount(at, weights=np.repeat(rest, m), minlength=width * m * BINS).reshape(width, m, BINS).cumsum(2)
+            # only the rows of left children are counted, the right ones are what is left of their parents
+            rows, of, half = (np.arange(n), node, 1) if not level else (np.flatnonzero(node & 1), (node - first) // 2, width // 2)
+            at = (of[rows][:, None] * (m * BINS) + offset[rows]).ravel()
+            left = np.bincount(at, minlength=half * m * BINS).reshape(half, m, BINS)
+            left_sum = np.bincount(at, weights=np.repeat(rest[rows], m), minlength=half * m * BINS).reshape(half, m, BINS)
+            if level:
+                left, left_sum = (np.stack([x, y - x], 1).reshape(width, m, BINS) for x, y in ((left, counts), (left_sum, values)))
+            counts, values = left, left_sum
+            total, sums = counts.cumsum(2), values.cumsum(2)
             nt, st = total[:, :, -1:], sums[:, :, -1:]
             gain = sums**2 / (total + ridge) + (st - sums) ** 2 / (nt - total + ridge) - st**2 / (nt + ridge)
             gain[(total < least) | (nt - total < least)] = -1
