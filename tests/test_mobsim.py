@@ -101,6 +101,16 @@ def test_prepared_plans(spark, files):
     assert log.filter("type = 'arrival'").count() == 3
 
 
+def test_routes_that_cannot_go_on(spark, files):
+    """Only the vehicle whose route is broken is taken out."""
+    p = plan(spark, files)
+    broken = lambda name, links_: p.withColumns({"person": F.lit(name), "vehicle": F.lit(None).cast("string"), "links": F.when(F.col("links").isNotNull(), F.array(*map(F.lit, links_)))})
+    log = mobsim.simulate(p.unionByName(broken("gap", ["quay", "loop"])).unionByName(broken("odd", ["quay", "zz"])).unionByName(broken("lost", ["zz", "rise"])), links(spark), settings=mobsim.Settings(sample=1.0)).cache()
+    got = {r.person: (r.link, r.leg_mode) for r in log.filter("type = 'stuckAndAbort'").collect()}
+    assert got == {"gap": ("quay", "car"), "odd": ("quay", "car"), "lost": ("zz", "car")}
+    assert log.filter(F.col("person") == P).filter("type = 'arrival'").count() == 4
+
+
 def transit_tables(spark, n=3, gap=60):
     df = spark.createDataFrame
     ns = 10**9

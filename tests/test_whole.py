@@ -84,6 +84,37 @@ def test_reroute_avoids_what_was_congested(spark, tmp_path):
     assert (0, 260_000_000_000) in times  # 1,300 m at the vehicle's 5 m/s
 
 
+def test_transit_facilities_and_horizons_in_a_run(spark, tmp_path):
+    """A rider waits for the bus, an agent with a horizon leaves the planned way, activities get their links from facilities."""
+    nodes = spark.createDataFrame([("west", 0.0, 0.0), ("ford", 0.0, 200.0), ("pass", 900.0, 500.0), ("east", 900.0, 800.0)], "id string, x double, y double")
+    net = [("in", "west", "ford", 200.0), ("low", "ford", "pass", 1000.0), ("high", "ford", "pass", 4000.0), ("out", "pass", "east", 300.0)]
+    links = spark.createDataFrame([(i, f, t, n, 10.0, 3600.0, 1.0, ["car"]) for i, f, t, n in net], "id string, from_node string, to_node string, length_m double, freespeed double, capacity double, permlanes double, modes array<string>")
+    walk = lambda l: f'<leg mode="walk"><attributes><attribute name="routingMode" class="java.lang.String">car</attribute></attributes><route type="generic" start_link="{l}" end_link="{l}" trav_time="00:00:10" distance="9"/></leg>'  # noqa: E731, E741
+    stop = lambda l: f'<activity type="car interaction" link="{l}" x="0" y="0" max_dur="00:00:00"/>'  # noqa: E731, E741
+    horizon = '<attributes><attribute name="preplanningHorizon" class="java.lang.Integer">600</attribute></attributes>'
+    drive = '<leg mode="car"><attributes><attribute name="routingMode" class="java.lang.String">car</attribute></attributes><route type="links" start_link="in" end_link="out" trav_time="00:10:00" distance="4300">in high out</route></leg>'
+    car = lambda n, more: f'<person id="{n}"><plan selected="yes"><activity type="home" facility="h" end_time="08:00:00">{more}</activity>{walk("in")}{stop("in")}{drive}{stop("out")}{walk("out")}<activity type="work" facility="w"/></plan></person>'
+    route = '{"transitLineId":"L","transitRouteId":"R","accessFacilityId":"s1","egressFacilityId":"s2","boardingTime":"undefined"}'
+    rider = f'<person id="rider"><plan selected="yes"><activity type="home" facility="h" end_time="08:00:00"/><leg mode="pt"><attributes><attribute name="routingMode" class="java.lang.String">pt</attribute></attributes><route type="default_pt" start_link="in" end_link="out" trav_time="00:20:00" distance="1500">{route}</route></leg><activity type="work" facility="w"/></plan></person>'
+    (tmp_path / "p.xml").write_text(f"<population>{car('planned', '')}{car('looking', horizon)}{rider}</population>")
+    p = xml.population(spark, f"{tmp_path}/p.xml")
+    fac = spark.createDataFrame([("h", 0.0, 50.0, "in"), ("w", 900.0, 700.0, "out")], "id string, x double, y double, link string")
+    df, ns = spark.createDataFrame, 10**9
+    transit = {"departures": df([("L", "R", "d1", 28_860 * ns, "bus")], "line string, route string, id string, dep_ns long, vehicle string"), "routes": df([("L", "R", "bus", ["in", "out"])], "line string, route string, mode string, links array<string>"), "route_stops": df([("L", "R", 0, "s1", None, 0), ("L", "R", 1, "s2", 300 * ns, None)], "line string, route string, pos int, facility string, arr_ns long, dep_ns long"), "stop_facilities": df([("s1", "in"), ("s2", "out")], "id string, link string")}
+    c = config.Config()
+    c.controller.last_iteration, c.qsim.main_modes, c.transit.simulation = 0, ["car"], config.TransitSimulation.SCHEDULE_BASED
+    c.output.output_dir, c.scoring.write_experienced_plans = str(tmp_path / "out"), True
+    s = controller.Scenario(nodes, links, p, xml.persons(p), facilities=fac, transit=transit)
+    st = controller.run(s, c, controller.travel_time_scorer)
+    went = {r.vehicle: r.link for r in st.events.filter("type = 'entered link' and link in ('low', 'high')").collect()}
+    assert went == {"planned_car": "high", "looking_car": "low"}
+    ride = st.experienced.filter("person = 'rider' and kind = 'leg'").first()
+    assert (ride.dep_ns, ride.boarding_ns, ride.trav_ns, ride.route_type) == (28_800 * ns, 28_860 * ns, 360 * ns, "default_pt")
+    assert {r.score for r in spark.read.parquet(f"{c.output.output_dir}/output_experienced_plans.parquet").filter("person = 'rider'").collect()} == {-360.0}
+    with pytest.raises(ValueError, match="unknown facility: 6"):
+        controller.initial(controller.Scenario(nodes, links, p, xml.persons(p), facilities=fac.filter("false")))
+
+
 def test_xml_round_trips(spark, tmp_path):
     for codec, name in ((None, "e.xml"), ("gzip", "e.xml.gz"), ("zstd", "e.xml.zst"), (None, "parts.xml"), ("gzip", "packed.xml.gz")):
         sinks.write_events_xml(events(spark), f"{tmp_path}/{name}", codec, single_file=name.startswith("e."))

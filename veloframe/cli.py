@@ -31,7 +31,9 @@ def run(spark, a) -> int:
     fleet = vehicles.select("vehicle", "pce", "max_v").unionByName(named).dropDuplicates(["vehicle"])
     speeds = {r.id: r.max_v for r in types.filter(F.col("id").isin(*c.routing.network_modes)).select("id", "max_v").dropDuplicates(["id"]).collect()}
     weights = [(s.get("subpopulation"), x.get("strategy", x.get("name")), float(x.get("weight", 1))) for s in c.replanning.strategies for x in s.get("strategies", [s])]
-    scenario = controller.Scenario(nodes, links, elements, persons, fleet, spark.createDataFrame(weights, "subpopulation string, strategy string, weight double") if weights else None, speeds)
+    facilities = xml.facilities(spark, c.path(c.files.facilities))[0] if c.files.facilities else None
+    transit = xml.transit(spark, c.path(c.transit.schedule_path)) if c.transit.schedule_path else None
+    scenario = controller.Scenario(nodes, links, elements, persons, fleet, spark.createDataFrame(weights, "subpopulation string, strategy string, weight double") if weights else None, speeds, facilities=facilities, transit=transit)
     scorer = None
     if c.scoring.scoring_parameters_path:
         scorer = controller.utility_scorer(config.parameters(spark, c.path(c.scoring.scoring_parameters_path)), c)

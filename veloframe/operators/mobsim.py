@@ -296,7 +296,10 @@ class Simulation:
             a.vehicle = e["vehicle"] or f"{a.name}_{mode}"
             a.pce, a.top = self.vehicles.get(a.vehicle, (1.0, float("inf")))
             self.emit(t, "PersonEntersVehicle", person=a.name, vehicle=a.vehicle)
-            link = self.links[a.links[0]]
+            link = self.links.get(a.links[0])
+            if link is None:
+                self.abort(a, t, a.links[0])
+                return
             link.waiting.append(a)
             self.active[link.order] = link
         elif self.transit is not None and mode in self.s.passenger_modes and e["line"]:
@@ -307,6 +310,11 @@ class Simulation:
                 raise ValueError(f"{a.name} has a teleported leg without travel time")
             heapq.heappush(self.flying, (self.tick(t * NS // self.tps + d), a.name, a))
 
+    def abort(self, a: Agent, t: int, link: str) -> None:
+        """A vehicle whose route can't go on is taken out; the others don't notice."""
+        a.aborted = True
+        self.emit(t, "stuckAndAbort", person=a.name, link=link, leg_mode=a.now["mode"])
+
     def end_leg(self, a: Agent, t: int, link: str | None) -> None:
         self.emit(t, "arrival", person=a.name, link=link, leg_mode=a.now["mode"])
         self.finished.append(a)
@@ -412,7 +420,11 @@ class Simulation:
                 a = k.buffer[0]
                 to = self.links.get(a.links[a.hop + 1])
                 if to is None or to.tail != node:
-                    raise ValueError(f"{a.name} can't turn from {k.name} to {a.links[a.hop + 1]}")
+                    k.buffer.popleft()
+                    k.in_buffer -= a.pce
+                    k.since = t
+                    self.abort(a, t, k.name)
+                    continue
                 stuck = k.since is not None and t - k.since > self.s.stuck_s * self.tps
                 if not self.has_room(to, t) and not stuck:
                     break
@@ -486,7 +498,7 @@ class Simulation:
         while nxt is not None and nxt <= end:
             self.step(nxt)
             nxt = self.next_tick(nxt)
-        for a in self.agents:
+        for a in (a for a in self.agents if not a.aborted):
             leg = a.pos < len(a.elements) and a.now["kind"] == "leg"
             if leg or a.pos + 1 < len(a.elements):
                 link = (a.links[a.hop] if a.links and a.now["mode"] in self.s.main_modes else a.now["start_link"]) if leg else None

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veloframe.functions.geometry import beeline_time_ns, projected
-from veloframe.functions.times import NS
+from veloframe.functions.times import NS, parse_time
 from veloframe.operators import planops, routing
 from veloframe.operators.network import with_ends
 from veloframe.storage import materialize
@@ -15,12 +15,15 @@ PLAN = planops.PLAN
 #: How legs that aren't simulated on the network travel, by default: beeline factor and speed (m/s).
 TELEPORTED = {"walk": (1.3, 3 / 3.6)}
 
-_KINDS = {"kind": "string", "act_type": "string", "link": "string", "facility": "string", "x": "double", "y": "double", "start_ns": "bigint", "end_ns": "bigint", "max_dur_ns": "bigint", "mode": "string", "routing_mode": "string", "dep_ns": "bigint", "trav_ns": "bigint", "route_type": "string", "start_link": "string", "end_link": "string", "route_trav_ns": "bigint", "distance": "double", "vehicle": "string", "links": "array<string>", "line": "string", "route": "string", "access_facility": "string", "egress_facility": "string", "boarding_ns": "bigint"}
+_KINDS = {"kind": "string", "act_type": "string", "link": "string", "facility": "string", "x": "double", "y": "double", "start_ns": "bigint", "end_ns": "bigint", "max_dur_ns": "bigint", "mode": "string", "routing_mode": "string", "dep_ns": "bigint", "trav_ns": "bigint", "route_type": "string", "start_link": "string", "end_link": "string", "route_trav_ns": "bigint", "distance": "double", "vehicle": "string", "links": "array<string>", "line": "string", "route": "string", "access_facility": "string", "egress_facility": "string", "boarding_ns": "bigint", "horizon_ns": "bigint"}
 COLUMNS = [*PLAN, "elem_idx", *_KINDS]
 
 
 def normal(elements: DataFrame) -> DataFrame:
-    """Elements with exactly the columns of a plan, missing ones null."""
+    """Elements with exactly the columns of a plan, missing ones null; how long before its end an activity's agent looks for a route comes from its
+    attributes."""
+    if "horizon_ns" not in elements.columns and dict(elements.dtypes).get("attributes") == "map<string,string>":
+        elements = elements.withColumn("horizon_ns", parse_time(F.try_element_at("attributes", F.lit("preplanningHorizon"))))
     have = set(elements.columns)
     return elements.select(*PLAN, F.col("elem_idx").cast("int").alias("elem_idx"), *((F.col(c) if c in have else F.lit(None)).cast(k).alias(c) for c, k in _KINDS.items()))
 
@@ -79,12 +82,12 @@ def unrouted(requests: DataFrame, new: DataFrame) -> DataFrame:
     return requests.join(new.select(*PLAN, "origin_idx").distinct(), [*PLAN, "origin_idx"], "left_anti")
 
 
-def prepared(elements: DataFrame, links: DataFrame, nodes: DataFrame, graph: routing.Graph, network_modes: list[str], teleported: dict[str, tuple[float, float]] = TELEPORTED, ignore: tuple[str, ...] = (), max_speed: float = float("inf"), observed: dict | None = None, bin_s: float = 900.0) -> DataFrame:
+def prepared(elements: DataFrame, links: DataFrame, nodes: DataFrame, graph: routing.Graph, network_modes: list[str], teleported: dict[str, tuple[float, float]] = TELEPORTED, ignore: tuple[str, ...] = (), max_speed: float = float("inf"), observed: dict | None = None, bin_s: float = 900.0, transit: DataFrame | None = None) -> DataFrame:
     """Plans in which every trip that isn't valid, but for those of ignored modes, has been routed; travel times and distances are filled.
 
-    Trips that can't be routed stay as they are. max_speed, observed, bin_s: see ``routing.least_cost_paths``."""
+    Trips that can't be routed stay as they are. transit: ``line, route, stops`` by which transit legs are checked. max_speed, observed, bin_s: see ``routing.least_cost_paths``."""
     e = materialize(planops.filled_distances(planops.synchronised(normal(elements)), links), "elements")  # used five times below
-    bad = planops.trip_validity(e, links, network_modes).filter("not valid")
+    bad = planops.trip_validity(e, links, network_modes, transit=transit).filter("not valid")
     requests = trip_requests(e, materialize(bad, "invalid")).filter(~F.coalesce(F.col("main_mode").isin(*ignore), F.lit(False)) if ignore else F.lit(True))
     requests = materialize(requests, "requests")
     new = materialize(routed(requests, links, nodes, graph, network_modes, teleported, max_speed=max_speed, observed=observed, bin_s=bin_s), "routed")

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veloframe.functions.times import NS
-from veloframe.operators import experienced, mobsim, prepare, routing, scoring, selection, traveltime
+from veloframe.operators import experienced, mobsim, planops, prepare, routing, scoring, selection, traveltime
 from veloframe.sources import sinks
-from veloframe.sources.config import Config
+from veloframe.sources.config import Config, TransitSimulation
 from veloframe.storage import materialize
 
 
@@ -46,7 +46,8 @@ class Bus:
 @dataclass
 class Scenario:
     """elements: plan rows with ``selected, score``; weights: ``subpopulation, strategy, weight``; max_speeds: m/s by network mode;
-    travel_time_modes: network modes with the mode whose observed travel times their router uses, by default their own."""
+    travel_time_modes: network modes with the mode whose observed travel times their router uses, by default their own; facilities:
+    ``id, x, y, link``; transit: the tables of a schedule, see ``mobsim.schedule``."""
 
     nodes: DataFrame
     links: DataFrame
@@ -56,6 +57,8 @@ class Scenario:
     weights: DataFrame | None = None
     max_speeds: dict[str, float] = field(default_factory=dict)
     travel_time_modes: dict[str, str] = field(default_factory=dict)
+    facilities: DataFrame | None = None
+    transit: dict[str, DataFrame] | None = None
 
 
 @dataclass
@@ -68,7 +71,12 @@ class State:
 
 
 def initial(s: Scenario) -> State:
+    """The plans as they come in, activities with the places of their facilities. Plans that can't be prepared are an error that names some."""
     e = prepare.normal(s.elements)
+    if s.facilities is not None:
+        e = materialize(planops.located_activities(e, s.facilities, s.links, s.nodes), "located")
+        if found := planops.issue_report(planops.issues(e, s.facilities), 3).collect():  # a row a kind of issue
+            raise ValueError("; ".join(f"{r['message']}: {r['n']}, as of {[x['person'] for x in r['examples']]}" for r in found))
     meta = s.elements.groupBy("person", "plan_idx").agg(F.max("selected").alias("selected"), F.max("score").alias("score")).withColumn("msa_n", F.lit(0))
     return State(materialize(e, "elements"), materialize(meta, "plans"))
 
@@ -115,16 +123,19 @@ def run(s: Scenario, c: Config, scorer: Scorer | None = None, bus: Bus | None =
         raise ValueError(f"travel times are mapped to {unknown}, which are not network modes")
     graphs = {m: routing.build_graph(s.nodes, links, m) for m in c.routing.network_modes}
     settings = mobsim.Settings(c.qsim.start_time, c.qsim.end_time, c.qsim.ticks_per_second, c.qsim.sample_size, c.qsim.stuck_threshold, tuple(c.qsim.main_modes), tuple(c.transit.passenger_modes), c.qsim.traffic_dynamics == "KinematicWaves", c.qsim.link_dynamics == "PassingQ", seed=c.computational_setup.random_seed)
+    timetable = s.transit if c.transit.simulation is TransitSimulation.SCHEDULE_BASED else None
+    lines = s.transit["route_stops"].groupBy("line", "route").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "facility"))), lambda x: x["facility"]).alias("stops")) if timetable else None
     st = initial(s)
+    adaptive = next((m for m in graphs if m in c.qsim.main_modes), None) if not st.elements.filter("horizon_ns is not null").isEmpty() else None
     for i in range(first, last + 1):
         bus.publish("iteration_starts", i)
         chosen = selected_elements(st)
         for m, g in graphs.items():
             seen = routing.observed_bins(st.travel_times, g, s.travel_time_modes.get(m, m), traveltime.bin_count(c.qsim.end_time * NS, c.travel_time_bin_s * NS)) if m and st.travel_times is not None else None
-            chosen = materialize(prepare.prepared(chosen, links, s.nodes, g, [m], {k: tuple(v) for k, v in c.routing.teleported.items()}, max_speed=s.max_speeds.get(m, float("inf")), observed=seen, bin_s=c.travel_time_bin_s) if m else chosen, "prepared")
+            chosen = materialize(prepare.prepared(chosen, links, s.nodes, g, [m], {k: tuple(v) for k, v in c.routing.teleported.items()}, max_speed=s.max_speeds.get(m, float("inf")), observed=seen, bin_s=c.travel_time_bin_s, transit=lines) if m else chosen, "prepared")
         rest = st.elements.join(st.plans.filter("selected").select("person", "plan_idx"), ["person", "plan_idx"], "left_anti")
         st.elements = materialize(rest.unionByName(chosen.select(*rest.columns)), "elements")
-        st.events = materialize(mobsim.simulate(chosen.withColumn("scenario", F.lit(0)), links, s.vehicles, settings).drop("scenario"), "events")
+        st.events = materialize(mobsim.simulate(chosen.withColumn("scenario", F.lit(0)), links, s.vehicles, settings, transit_tables=timetable, graph=graphs.get(adaptive)).drop("scenario"), "events")
         bus.publish("simulated", i, events=st.events)
         st.travel_times = materialize(traveltime.travel_times(st.events, links, c.travel_time_bin_s * NS, c.qsim.end_time * NS), "travel_times")  # of the next routing
         st.experienced = materialize(experienced.experienced_plans(st.events, links), "experienced")
@@ -145,7 +156,9 @@ def run(s: Scenario, c: Config, scorer: Scorer | None = None, bus: Bus | None =
     if write:
         st.events.write.mode("overwrite").parquet(f"{c.output.output_dir}/{sinks.output_name('events.parquet', c.output.run_id)}")
         if c.scoring.write_experienced_plans:
-            st.experienced.write.mode("overwrite").parquet(f"{c.output.output_dir}/{sinks.output_name('experienced_plans.parquet', c.output.run_id)}")
+            meta = s.elements.join(st.plans.filter("selected").select("person", F.col("score").alias("_score")), "person").withColumn("score", F.col("_score"))
+            meta = meta if "person_attributes" in meta.columns else meta.withColumn("person_attributes", F.lit(None).cast("map<string,string>"))
+            sinks.experienced_output(st.experienced, meta).write.mode("overwrite").parquet(f"{c.output.output_dir}/{sinks.output_name('experienced_plans.parquet', c.output.run_id)}")
     return st
 
 
