@@ -68,7 +68,7 @@ def differences(first: DataFrame, second: DataFrame, key: str, columns: list[str
     need = list(dict.fromkeys([key, *columns, *([newest] if newest else [])]))
     first, second = first.select(*need), second.select(*need)
     parts = shuffle_partitions(first.sparkSession)
-    buckets = max(1, first.count() // (rows_per_bucket * parts))  # of each partition; the count is from the footers of the files
+    buckets = max(1, max(first.count(), second.count()) // (rows_per_bucket * parts))  # of each partition; the counts are from the footers of the files
     cells = materialize(unequal_cells(checksum_matrix(first, key, columns, buckets, newest), checksum_matrix(second, key, columns, buckets, newest), columns), "unequal")
     found = cells.agg(F.count(F.lit(1)).alias("n"), F.bit_or("mask").alias("mask")).first()
     read = [c for i, c in enumerate(columns, 1) if (found.mask or 0) >> i & 1]
