@@ -79,6 +79,11 @@ def p4_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return references.orphan_counts(references.orphans(reference_graph(spark, sf)))
 
 
+def p4_inherited(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record that refers to an orphaned record, by how many references lie between it and the orphan."""
+    return references.orphans(reference_graph(spark, sf)).filter("depth > 0").select("table_name", "record_key", "field_name", "depth")
+
+
 def _deltas(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "act_starts").select("seq", "iteration", "time_ns", "person", "act_type", "logged_at")
     return materialize(features.signed_deltas(rows, "seq", "logged_at", ["person", "act_type", "iteration", "time_ns"]).withColumn("time_s", F.expr("time_ns div 1000000000")), "deltas")
@@ -159,6 +164,8 @@ allrows as (select table_name, field_name, t as period, kind, false as inherited
  union all select table_name, field_name, t, 'inherited', true from inh1
  union all select 'opening_times', 'facility', null, 'inherited', true from ot where facility in (select id from bad_fac union select k from inh1 where table_name = 'facilities'))
 select table_name, field_name, cast(period as bigint) as period, kind, inherited, count(*) as n_cases from allrows group by all"""
+_P4_INHERITED = _P4_CASCADE[: _P4_CASCADE.index(",\nallrows as")] + """ select table_name, k as record_key, field_name, 1 as depth from inh1
+ union all select 'opening_times', k, 'facility', case when facility in (select id from bad_fac) then 1 else 2 end from ot where facility in (select id from bad_fac union select k from inh1 where table_name = 'facilities')"""
 _P5 = f"""with c as {_CURRENT.format("act_starts")}, k as (select person, act_type, iteration, time_ns, case when time_ns is not null and iteration is not null then {{'i': iteration, 't': time_ns}} end as l from c),
 e as (select max(l) as e from k), g as (select person, act_type, count(*) as n, max(l) as l, cast(sum(time_ns // 1000000000) as bigint) as total_time_s from k group by all)
 select person, act_type, n, l.i as last_iteration, l.t as last_time_ns, (cast(e.e.i as bigint) - l.i) * 86400000000000 + (e.e.t - l.t) as distance_ns, total_time_s from g, e where person is not null"""
@@ -187,5 +194,5 @@ _P3_REGIONS = """with b as (select partition_no as region, (min(x) + max(x)) / 2
 f as (select distinct id, x, y from facilities where x is not null and y is not null and not (x = 0 and y = 0)), d as (select id, region, abs(x - mx) / hx + abs(y - my) / hy as d from f, b)
 select id as facility, region from d where d <= 1 and d > 0.5"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p3_found, p3_closest_link, p3_near_counts, p3_regions, p4_found, p4_cascade, p5_features, p5_features_long, p5_entities, p5_incremental, p6_found, p6_periods)}
-SQL = {"p1_found": _P1, "p1_summary": f"select field_name, count(*) as n_cases from ({_P1}) group by field_name", "p3_found": _P3, "p3_closest_link": _P3_LINK, "p3_near_counts": _P3_COUNTS, "p3_regions": _P3_REGIONS, "p4_found": _P4, "p4_cascade": _P4_CASCADE, "p5_features_long": _P5, "p5_entities": _P5_ENTITIES, "p5_incremental": _P5, "p6_found": _P6, "p6_periods": _P6_PERIODS}
+QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p3_found, p3_closest_link, p3_near_counts, p3_regions, p4_found, p4_cascade, p4_inherited, p5_features, p5_features_long, p5_entities, p5_incremental, p6_found, p6_periods)}
+SQL = {"p1_found": _P1, "p1_summary": f"select field_name, count(*) as n_cases from ({_P1}) group by field_name", "p3_found": _P3, "p3_closest_link": _P3_LINK, "p3_near_counts": _P3_COUNTS, "p3_regions": _P3_REGIONS, "p4_found": _P4, "p4_cascade": _P4_CASCADE, "p4_inherited": _P4_INHERITED, "p5_features_long": _P5, "p5_entities": _P5_ENTITIES, "p5_incremental": _P5, "p6_found": _P6, "p6_periods": _P6_PERIODS}

@@ -64,6 +64,22 @@ def _bad_references(t: Table, tables: dict[str, Table]) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
+def _salt(key: str, reference: str) -> Column:
+    """A number by which the rows of a hot reference are spread; those that refer to nothing, and meet nothing, are spread over many more."""
+    h = F.xxhash64(key)
+    return F.when(_is_reference(F.col(reference)), F.pmod(h, F.lit(SALTS))).otherwise(-1 - F.pmod(h, F.lit(SALTS * 1000))).cast("int")
+
+
+def _referring(rows: DataFrame, field: str, ids: DataFrame) -> DataFrame:
+    """The rows whose field is one of these distinct ids: a broadcast of few, else a join in which hot ids are salted."""
+    ids = ids.select(F.col("record_key").alias(field))
+    rows = rows.filter(_is_reference(F.col(field)))
+    if ids.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(ids), field, "left_semi")
+    ids = ids.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", _salt("_key", field)).join(ids, [field, "_salt"], "left_semi").drop("_salt")
+
+
 def _direct(name: str, t: Table, tables: dict[str, Table]) -> DataFrame:
     bad = materialize(_bad_references(t, tables), "bad-references")
     small = bad.count() <= BROADCAST_ROWS
@@ -72,12 +88,12 @@ def _direct(name: str, t: Table, tables: dict[str, Table]) -> DataFrame:
         rows = rows.distinct()
     for i, (_, to) in enumerate(t.references.items()):
         hit = bad.filter(F.col("_to") == to).select(F.col("_id").alias(f"_b{i}"), F.col("_time").alias(f"_t{i}"), F.col("kind").alias(f"_k{i}"))
-        on = F.col(f"_f{i}").eqNullSafe(F.col(f"_b{i}")) & F.col("_time").eqNullSafe(F.col(f"_t{i}"))
+        on = (F.col(f"_f{i}") == F.col(f"_b{i}")) & F.col("_time").eqNullSafe(F.col(f"_t{i}"))
         if small:
             rows = rows.join(F.broadcast(hit), on, "left").drop(f"_b{i}", f"_t{i}")
         else:
             hit = hit.withColumn(f"_s{i}", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int"))
+            rows = rows.withColumn("_salt", _salt("_key", f"_f{i}"))
             rows = rows.join(hit, on & (F.col("_salt") == F.col(f"_s{i}")), "left").drop(f"_b{i}", f"_t{i}", f"_s{i}", "_salt")
     cases = F.array_compact(F.array(*(F.when(F.col(f"_k{i}").isNotNull(), F.struct(F.lit(f).alias("field_name"), F.col(f"_k{i}").alias("kind"))) for i, f in enumerate(t.references))))
     return rows.select(F.lit(name).alias("table_name"), F.col("_key").alias("record_key"), F.col("_time").alias("period"), F.explode(cases).alias("c")).select("table_name", "record_key", "c.field_name", "c.kind", "period").filter("record_key is not null").withColumn("depth", F.lit(0))
@@ -105,7 +121,7 @@ def orphans(tables: dict[str, Table], inherited: bool = True) -> DataFrame:
         for name, t in tables.items():
             for i, (f, to) in enumerate(t.references.items()):
                 if to in frontier:
-                    hit = _rows(t).filter(_is_reference(F.col(f"_f{i}"))).join(frontier[to].withColumnRenamed("record_key", f"_f{i}"), f"_f{i}", "left_semi")
+                    hit = _referring(_rows(t), f"_f{i}", frontier[to])
                     new.setdefault(name, []).append(hit.select(F.lit(name).alias("table_name"), F.col("_key").alias("record_key"), F.lit(f).alias("field_name"), F.lit("inherited").alias("kind"), F.col("_time").alias("period"), F.lit(depth).alias("depth")).distinct().filter("record_key is not null"))
         frontier = {}
         for name, parts in new.items():
