@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veloframe.operators.dualtree import nearest_segment
-from veloframe.storage import materialize
+from veloframe.storage import materialize, parameters
 
 EDGE = ["from_node", "to_node"]
 
@@ -115,10 +115,14 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     while True:
         low = edges.join(label.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("low"))
         hooked = label.join(low, "node", "left").withColumn("new", F.least("component", F.coalesce("low", "component")))
-        roots = hooked.groupBy(F.col("component").alias("root")).agg(F.min("new").alias("to"))
-        jumped = hooked.join(roots, F.col("component") == F.col("root")).select("node", F.least("new", "to").alias("new"), "component")
-        again = jumped.alias("j").join(jumped.select(F.col("node").alias("_n"), F.col("new").alias("_new")), F.col("new") == F.col("_n"), "left")
-        table = materialize(again.select("j.node", F.least("new", F.coalesce("_new", "new")).alias("new"), "component"), "labels")
+        hooked = materialize(hooked, "hooked")
+        # few labels, of which one may have most of the nodes, are broadcast; many are spread by themselves
+        roots = parameters(hooked.groupBy(F.col("component").alias("root")).agg(F.min("new").alias("to")))
+        jumped = materialize(hooked.join(roots, F.col("component") == F.col("root")).select("node", F.least("new", "to").alias("new"), "component"), "jumped")
+        named = jumped.select(F.col("new").alias("_n")).distinct()
+        named = parameters(named.join(jumped.select(F.col("node").alias("_n"), F.col("new").alias("_new")), "_n"))
+        again = jumped.join(named, F.col("new") == F.col("_n"), "left")
+        table = materialize(again.select("node", F.least("new", F.coalesce("_new", "new")).alias("new"), "component"), "labels")
         if table.filter("new <> component").isEmpty():
             return table.select("node", "component")
         label = table.select("node", F.col("new").alias("component"))

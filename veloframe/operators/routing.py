@@ -62,7 +62,10 @@ def build_graph(nodes: DataFrame, links: DataFrame, mode: str | None = None) ->
     n = usable.count()
     if n > MOST_LINKS:
         raise ValueError(f"{n} links are too many to broadcast; use network.relaxed_costs")
-    names = nodes.groupBy("id").agg(order(nodes)).orderBy("_order", "id").toPandas()["id"].to_numpy(object)
+    places = nodes.groupBy("id").agg(order(nodes))
+    if (n := places.count()) > MOST_LINKS:
+        raise ValueError(f"{n} nodes are too many to broadcast; use network.relaxed_costs")
+    names = places.orderBy("_order", "id").toPandas()["id"].to_numpy(object)
     return from_arrays(names, usable.toPandas().sort_values(["_order", "id"]))
 
 
