@@ -77,7 +77,7 @@ def _referring(rows: DataFrame, field: str, ids: DataFrame) -> DataFrame:
     if ids.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(ids), field, "left_semi")
     ids = ids.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", _salt("_key", field)).join(ids, [field, "_salt"], "left_semi").drop("_salt")
+    return rows.withColumn("_salt", _salt("_key", field)).join(ids.hint("merge"), [field, "_salt"], "left_semi").drop("_salt")
 
 
 def _direct(name: str, t: Table, tables: dict[str, Table]) -> DataFrame:
@@ -94,7 +94,7 @@ def _direct(name: str, t: Table, tables: dict[str, Table]) -> DataFrame:
         else:
             hit = hit.withColumn(f"_s{i}", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
             rows = rows.withColumn("_salt", _salt("_key", f"_f{i}"))
-            rows = rows.join(hit, on & (F.col("_salt") == F.col(f"_s{i}")), "left").drop(f"_b{i}", f"_t{i}", f"_s{i}", "_salt")
+            rows = rows.join(hit.hint("merge"), on & (F.col("_salt") == F.col(f"_s{i}")), "left")  # the planner does not see how the salts multiply it.drop(f"_b{i}", f"_t{i}", f"_s{i}", "_salt")
     cases = F.array_compact(F.array(*(F.when(F.col(f"_k{i}").isNotNull(), F.struct(F.lit(f).alias("field_name"), F.col(f"_k{i}").alias("kind"))) for i, f in enumerate(t.references))))
     return rows.select(F.lit(name).alias("table_name"), F.col("_key").alias("record_key"), F.col("_time").alias("period"), F.explode(cases).alias("c")).select("table_name", "record_key", "c.field_name", "c.kind", "period").filter("record_key is not null").withColumn("depth", F.lit(0))
 
