@@ -571,7 +571,7 @@ select seq, time_ns, case when s // 3600 < 10 then '0' else '' end || (s // 3600
     "start_summary": "select iteration, least(time_ns // 3600000000000, 30) as hour, coalesce(contains(act_type, 'interaction'), false) as interaction, count(*) as n from act_starts where time_ns is not null group by all",
     "node_components": f"{_E}, r as (select id as node, id as root from nodes union select e.t, r.root from r join e on e.f = r.node) select node, min(root) as component from r group by node",
     "kcore_dead_ends": f"""with recursive {_LINKS}, e as (select distinct f as a, t as b from l where f <> t union select distinct t, f from l where f <> t),
-r(k, es, n) as (select 0, list({{'a': a, 'b': b}}), -1::bigint from e union all select k + 1, list_filter(es, x -> len(list_filter(es, y -> y.a = x.a)) > 1 and len(list_filter(es, y -> y.a = x.b)) > 1), len(es) from r where n <> len(es)),
+r(k, es, n) as (select 0, list({{'a': a, 'b': b}}), -1::bigint from e union all select k + 1, list_filter(es, lambda x: len(list_filter(es, lambda y: y.a = x.a)) > 1 and len(list_filter(es, lambda y: y.a = x.b)) > 1), len(es) from r where n <> len(es)),
 core as (select distinct u.a as id from (select unnest(es) as u from (select es from r order by k desc limit 1))) select distinct id as node from nodes where id not in (select id from core)""",
     "shortest_path": f"{_COSTS} select node, round(cost, 4) as cost from best, s where src = s.s",
     "shortest_path_kernel": _COSTS.replace("select min(f) as s, max(f) as z from l)", "select arg_min(t, {'a': f, 'b': t, 'c': id}) as s, arg_min(t, {'a': f, 'b': t, 'c': id}) as z, min({'a': f, 'b': t, 'c': id}).c as first from l)") + " select l.id as request, round(b.cost, 4) as cost from l cross join s left join best b on b.node = l.f and b.src = s.s where l.id <> s.first",
