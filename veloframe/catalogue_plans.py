@@ -442,7 +442,7 @@ _FAULTS = "select 'repeated: (''' || c_mktsegment || ''',)' as fault from custom
 
 
 def converted_parameters(spark, sf):
-    """SCO-12, AGG-16, SNK-15: a set per nation, converted from the XML scoring module, with the score of an aborted hour, by way of the YAML file."""
+    """SRC-12, SRC-21, SCO-12, AGG-16, SNK-15: a set per nation, converted from the XML scoring module, with the score of an aborted hour, by way of the YAML file."""
     from veloframe.catalogue_runs import _folder
 
     folder = Path(_folder(spark, "parameters"))
@@ -483,7 +483,7 @@ def usable_bins(spark, sf):
 
 
 def resolved_paths(spark, sf):
-    """FUN-29, FUN-30, EXT-13: paths of nations' files beside the configuration, and overrides put over it."""
+    """SRC-20, SRC-27, FUN-29, FUN-30, EXT-13: paths of nations' files beside the configuration, and overrides put over it."""
     from veloframe.catalogue_runs import _folder
 
     folder = Path(_folder(spark, "config"))
@@ -504,7 +504,7 @@ def random_numbers(spark, sf):
     return j.agg(F.count(F.lit(1)).alias("n"), F.bool_and((F.col("u") == F.col("v")) & (F.col("u") >= 0) & (F.col("u") < 1)).alias("same"), (F.abs(F.avg("u") - 0.5) < 0.05).alias("even"))
 
 
-def _run(spark, sf):
+def _run(spark, sf, output: str | None = None, scorer=controller.travel_time_scorer):
     """Two iterations of every user as a walker, scored by travel time, and what was announced."""
     home = table(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("person")).agg(F.expr("min(event_id) % 80000").alias("t"))
     element = lambda i, **v: F.struct(F.lit(i).alias("elem_idx"), *(v.get(c, F.lit(None)).cast(k).alias(c) for c, k in prepare._KINDS.items()))
@@ -515,9 +515,11 @@ def _run(spark, sf):
     nodes = spark.createDataFrame([("p", 0.0, 0.0), ("q", 10.0, 0.0)], "id string, x double, y double")
     c = config.Config()
     c.controller.last_iteration, c.qsim.main_modes, c.scoring.fraction_for_msa = 1, ["car"], 0.0
+    if output:
+        c.output.output_dir, c.output.overwrite_files, c.output.write_events, c.controller.write_events_interval = output, config.Overwrite.DELETE, "File", 1
     seen, bus = [], controller.Bus()
     bus.on("*", lambda p: seen.append((p["number"], p["name"], p["iteration"])))
-    st = controller.run(controller.Scenario(nodes, links, materialize(e, "elements"), home.select("person", F.lit("person").alias("subpopulation"))), c, controller.travel_time_scorer, bus, write=False)
+    st = controller.run(controller.Scenario(nodes, links, materialize(e, "elements"), home.select("person", F.lit("person").alias("subpopulation"))), c, scorer, bus, write=output is not None)
     return st, seen
 
 
@@ -531,6 +533,37 @@ def run_announcements(spark, sf):
     return spark.createDataFrame(_run(spark, sf)[1], "number int, name string, iteration int")
 
 
+def run_files(spark, sf):
+    """SNK-09, SNK-11, SNK-04, SCO-14: a run without a scorer into a folder that another file is in: events of each iteration and of the run, and plans without scores."""
+    from veloframe.catalogue_runs import _folder
+
+    folder = Path(_folder(spark, "run"))
+    folder.mkdir(parents=True)
+    (folder / "old.txt").write_text("goes")
+    _run(spark, sf, str(folder), None)
+    count = lambda path, name: spark.read.parquet(f"{folder}/{path}").groupBy("type").agg(F.count(F.lit(1)).alias("n")).withColumn("file", F.lit(name))
+    plans = spark.read.parquet(f"{folder}/1.plans.parquet").filter("score is null and kind = 'leg'").agg(F.count(F.lit(1)).alias("n")).select(F.lit("leg").alias("type"), "n", F.lit("plans").alias("file"))
+    old = spark.createDataFrame([("old", int((folder / "old.txt").exists()), "old")], "type string, n long, file string")
+    return count("output_events.parquet", "run").unionByName(count("events/iteration=0", "first")).unionByName(plans).unionByName(old)
+
+
+_RUN_FILES = "with u as (select count(distinct user_id) as n from events) select type, n, file from u, (values ('actend'), ('departure'), ('travelled'), ('arrival'), ('actstart')) t(type), (values ('run'), ('first')) f(file) union all select 'leg', n, 'plans' from u union all select 'old', 0, 'old'"
+
+
+def ignored_trips(spark, sf):
+    """PLN-13, SEL-11: trips without a distance are routed anew, but for those of bikes, which are ignored."""
+    k = F.col("c_custkey")
+    c = table(spark, sf, "customer")
+    kinds = {**prepare._KINDS}
+    element = lambda i, **v: F.struct(F.lit(i).alias("elem_idx"), *(v.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()))
+    mode = F.when(k % 2 == 0, "walk").otherwise("bike")
+    rows = F.array(element(0, kind=F.lit("act"), act_type=F.lit("home"), link=F.lit("l"), x=k, y=F.lit(0.0), end_ns=F.lit(NS)), element(1, kind=F.lit("leg"), mode=mode, routing_mode=mode), element(2, kind=F.lit("act"), act_type=F.lit("work"), link=F.lit("l"), x=k + k % 7, y=F.lit(0.0)))
+    e = c.select(k.cast("string").alias("person"), F.lit(0).alias("plan_idx"), F.explode(rows).alias("e")).select("person", "plan_idx", "e.*")
+    l, n = _network(spark, sf), table(spark, sf, "nodes")  # noqa: E741
+    got = prepare.prepared(e, l, n, routing.build_graph(n, l, "car"), ["car"], {"walk": (1.5, 2.0), "bike": (1.5, 4.0)}, ignore=("bike",))
+    return got.filter("kind = 'leg'").select("person", "mode", F.round("distance", 4).alias("distance"), F.expr(f"trav_ns div {NS // 1000}").alias("trav_ms"))
+
+
 _REF = "select cast(user_id as varchar) as person"
 SQL = {
     "trip_departures": f"with pc as ({_CLOCK}), sp as ({_SEGMENTS}) select sp.person, sp.trip, pc.at_ns as departure_ns from sp join pc on pc.person = sp.person and pc.elem_idx = sp.origin_idx",
@@ -560,11 +593,12 @@ SQL = {
     "usable_bins": "select cast(q as integer) as q, t as ticks, q * t % 2 = 0 as ok from (select distinct l_quantity as q from lineitem), (values (1), (2)) v(t)",
     "resolved_paths": "select cast(n_nationkey as integer) as n, 7 as end_s, cast(n_nationkey as integer) as stuck, '/' || n_name || '.xml' as beside, './' || n_name as here, '/' || n_name as absolute from nation",
     "random_numbers": "select count(*) as n, true as same, true as even from customer",
+    "run_files": _RUN_FILES, "ignored_trips": "select cast(c_custkey as varchar) as person, case when c_custkey % 2 = 0 then 'walk' else 'bike' end as mode, case when c_custkey % 2 = 0 then round(c_custkey % 7 * 1.5::double, 4) end as distance, case when c_custkey % 2 = 0 then c_custkey % 7 * 750 end as trav_ms from customer",
     "run_plans": f"{_REF}, 0 as plan_idx, true as selected, -600.0::double as score, 1 as msa_n from events group by 1",
     "run_announcements": "select * from (values (1, 'iteration_starts', 0), (2, 'simulated', 0), (3, 'scored', 0), (4, 'iteration_ends', 0), (5, 'iteration_starts', 1), (6, 'simulated', 1), (7, 'scored', 1), (8, 'iteration_ends', 1)) v(number, name, iteration)",
 }
 SQL["plan_issues"] = _ISSUES.format(SQL["trip_departures"])
 QUERIES = {f.__name__: f for f in (
     trip_departures, spliced_trips, synchronised_times, leg_distances, valid_trips, valid_transit_trips, located_acts, facility_links, leg_vehicles, adaptive_users, plan_issues, start_partitions, main_acts, typed_attributes, route_ends, stop_times, stop_delays, schedule_issues, boarded_calls, ride_distances, router_answers, network_trips, reroute_observed,
-    routers_by_mode, edited_network, rest_of_partition, link_part_sizes, modal_counts, node_modes, united_shards, averaged_scores, plan_scores, waiting_scores, abort_scores, travel_scores, parameter_faults, converted_parameters, cost_factors, spatial_distances, usable_bins, resolved_paths, random_numbers, run_plans, run_announcements,
+    routers_by_mode, edited_network, rest_of_partition, link_part_sizes, modal_counts, node_modes, united_shards, averaged_scores, plan_scores, waiting_scores, abort_scores, travel_scores, parameter_faults, converted_parameters, cost_factors, spatial_distances, usable_bins, resolved_paths, random_numbers, run_plans, run_announcements, run_files, ignored_trips,
 )}

@@ -9,7 +9,7 @@ import shutil
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veloframe.catalogue import _LOG, _OBS, log, table
@@ -241,7 +241,7 @@ select l.id, f as from_node, t as to_node, len as length_m, cap as capacity, sp
 
 
 def facilities_xml(spark, sf):
-    """SRC-07, SNK-07: facilities and their opening times as XML, scanned again."""
+    """SRC-08, SNK-07: facilities and their opening times as XML, scanned again."""
     path = _folder(spark, "facilities") + ".xml"
     f = table(spark, sf, "facilities").select("id", "x", "y", F.lit(None).cast("string").alias("link")).distinct()
     sinks.write_facilities_xml(f, table(spark, sf, "opening_times").filter("start_ns >= 0 and end_ns >= 0 and act_type is not null"), path, single_file=True)
@@ -252,6 +252,29 @@ def facilities_xml(spark, sf):
 _FACILITIES_XML = "select facility, act_type, lower(coalesce(open_day, 'wk')) as open_day, start_ns, end_ns, count(*) as n from opening_times where start_ns >= 0 and end_ns >= 0 and act_type is not null and facility in (select id from facilities) group by all"
 
 
+def transit_xml(spark, sf):
+    """SRC-07, SNK-07: orders as lines whose suppliers are stops, written as a schedule and scanned again."""
+    path = _folder(spark, "transit") + ".xml"
+    l = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"))  # noqa: E741
+    text = lambda c: F.col(c).cast("string")
+    stops = l.select(text("l_orderkey").alias("line"), F.lit("r").alias("route"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("stop & "), text("s")).alias("facility"), F.when(F.col("s") % 3 != 0, F.col("l_linenumber").cast("long") * (60 * NS)).cast("long").alias("arr_ns"), (F.col("l_linenumber").cast("long") * (60 * NS) + 30 * NS).cast("long").alias("dep_ns"))
+    orders = table(spark, sf, "orders").select(text("o_orderkey").alias("line"), F.lit("r").alias("route"))
+    tables = {
+        "stop_facilities": stops.select(F.col("facility").alias("id"), F.lit(None).cast("string").alias("link")).distinct(),
+        "routes": orders.select("line", "route", F.lit("bus").alias("mode"), F.array(F.lit("a"), F.lit("b")).alias("links")),
+        "route_stops": stops,
+        "departures": orders.select("line", "route", F.lit("d").alias("id"), (F.col("line").cast("long") % 90_000 * NS).alias("dep_ns"), F.lit("v").alias("vehicle")),
+    }
+    sinks.write_transit_xml(tables, path, single_file=True)
+    t = xml.transit(spark, path)
+    s = t["route_stops"].join(t["departures"].select("line", F.col("dep_ns").alias("at_ns")), "line", "left")
+    return s.select("line", F.row_number().over(Window.partitionBy("line").orderBy("pos")).alias("i"), "facility", "arr_ns", "dep_ns", "at_ns")
+
+
+_TRANSIT_XML = """with l as (select l_orderkey as o, l_linenumber as n, min(l_suppkey) as s from lineitem group by all)
+select cast(o as varchar) as line, row_number() over (partition by o order by n) as i, 'stop & ' || s as facility, case when s % 3 <> 0 then n * 60000000000 end as arr_ns, n * 60000000000 + 30000000000 as dep_ns, case when o_orderkey is not null then o % 90000 * 1000000000 end as at_ns from l join orders on o_orderkey = o"""
+
+
 def vehicles_xml(spark, sf):
     """SRC-06, SNK-07, JON-01: vehicle types of market segments and vehicles of customers, written, scanned and looked up again."""
     path = _folder(spark, "vehicles") + ".xml"
@@ -339,8 +362,6 @@ def output_names(spark, sf):
 def order_of_times(spark, sf):
     """FUN-05, PRJ-12: times between consecutive events of a user, never negative, whichever is taken from the other."""
     l = log(spark, sf)  # noqa: E741
-    from pyspark.sql import Window
-
     before = F.lag("time_ns").over(Window.partitionBy("vehicle").orderBy("seq"))
     return l.withColumn("b", before).select("event_id", times.minus(F.col("time_ns"), F.col("b")).alias("after"), times.minus(F.col("b"), F.col("time_ns")).alias("back"))
 
@@ -356,9 +377,9 @@ SQL = {
     "stream_observations": _STREAM,
     "stream_windows": f"with {_LOG} select 'all' as handler, type, cast(count(*) as bigint) as n from log group by type union all select 'entered', type, count(*) from log where type = 'entered link' group by type",
     "window_means": _WINDOWS,
-    "network_xml": _NETWORK_XML, "facilities_xml": _FACILITIES_XML, "vehicles_xml": _VEHICLES_XML, "population_xml": _POPULATION_XML, "events_xml": _EVENTS_XML, "scenario_tables": _IDS, "profile_files": _PROFILE,
+    "network_xml": _NETWORK_XML, "facilities_xml": _FACILITIES_XML, "transit_xml": _TRANSIT_XML, "vehicles_xml": _VEHICLES_XML, "population_xml": _POPULATION_XML, "events_xml": _EVENTS_XML, "scenario_tables": _IDS, "profile_files": _PROFILE,
     "neighbour_files": "select * from (values (2, 2, true, true), (4, 4, true, true)) v(k, parts, bounded, even)",
     "output_names": "select iteration, 'run.' || iteration || '.events.xml' as name, iteration % 3 = 0 or iteration = m as due from (select distinct iteration from act_starts), (select max(iteration) as m from act_starts) union all select -1, 'output_events.xml', true",
     "order_of_times": f"with {_LOG}, v as (select *, lag(us) over (partition by vehicle order by us) as b from log) select event_id, case when b is not null then (us - b) * 1000 end as after, case when b is not null then 0 end as back from v",
 }
-QUERIES = {f.__name__: f for f in (queue_flow, queue_storage, queue_waves, queue_fifo, queue_passing, stuck_at_end, transit_rides, adaptive_routes, experienced_teleports, stream_observations, stream_windows, window_means, network_xml, facilities_xml, vehicles_xml, population_xml, events_xml, scenario_tables, profile_files, neighbour_files, output_names, order_of_times)}
+QUERIES = {f.__name__: f for f in (queue_flow, queue_storage, queue_waves, queue_fifo, queue_passing, stuck_at_end, transit_rides, adaptive_routes, experienced_teleports, stream_observations, stream_windows, window_means, network_xml, facilities_xml, transit_xml, vehicles_xml, population_xml, events_xml, scenario_tables, profile_files, neighbour_files, output_names, order_of_times)}

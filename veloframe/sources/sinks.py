@@ -189,6 +189,25 @@ def write_facilities_xml(facilities: DataFrame, opening: DataFrame, path: str, c
     _write_text(f.select("id", text.alias("text")).orderBy("id"), path, '<?xml version="1.0" encoding="utf-8"?>\n<facilities>', "</facilities>", codec, single_file)
 
 
+def write_transit_xml(tables: dict[str, DataFrame], path: str, codec: str | None = None, single_file: bool = False) -> None:
+    """A schedule (``stop_facilities, routes, route_stops, departures`` as ``xml.transit`` reads them), one line of text per stop and per transit line. A
+    line's stops and departures are put together in one row, as they are few."""
+    t = lambda c: format_hms(F.col(c))
+    have = set(tables["stop_facilities"].columns)
+    stop = F.concat(F.lit("<stopFacility"), _attr("id", F.col("id")), *(_attr(a, F.col(a)) for a in ("x", "y") if a in have), _attr("linkRefId", F.col("link")), F.lit("/>"))
+    stops = tables["stop_facilities"].select(F.lit(0).alias("o"), F.col("id").alias("k"), stop.alias("text"))
+    joined = lambda parts, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, parts.alias("t")))), lambda s: s["t"]), "")
+    one = F.concat(F.lit("<stop"), _attr("refId", F.col("facility")), _attr("arrivalOffset", t("arr_ns")), _attr("departureOffset", t("dep_ns")), F.lit("/>"))
+    dep = F.concat(F.lit("<departure"), _attr("id", F.col("id")), _attr("departureTime", t("dep_ns")), _attr("vehicleRefId", F.col("vehicle")), F.lit("/>"))
+    halts = tables["route_stops"].groupBy("line", "route").agg(joined(one, "pos").alias("stops"))
+    runs = tables["departures"].groupBy("line", "route").agg(joined(dep, "id").alias("deps"))
+    r = tables["routes"].select("line", "route", "mode", "links").join(halts, ["line", "route"], "left").join(runs, ["line", "route"], "left")
+    links = F.array_join(F.transform("links", lambda x: F.concat(F.lit('<link refId="'), escaped(x), F.lit('"/>'))), "")
+    body = F.concat(F.lit("<transitRoute"), _attr("id", F.col("route")), F.lit("><transportMode>"), escaped(F.coalesce("mode", F.lit("pt"))), F.lit("</transportMode><routeProfile>"), F.coalesce("stops", F.lit("")), F.lit("</routeProfile><route>"), links, F.lit("</route><departures>"), F.coalesce("deps", F.lit("")), F.lit("</departures></transitRoute>"))
+    lines = r.groupBy("line").agg(joined(body, "route").alias("t")).select(F.lit(2).alias("o"), F.col("line").alias("k"), F.concat(F.lit("<transitLine"), _attr("id", F.col("line")), F.lit(">"), F.col("t"), F.lit("</transitLine>")).alias("text"))
+    _write_text(stops.unionAll(lines).orderBy("o", "k"), path, '<?xml version="1.0" encoding="utf-8"?>\n<transitSchedule>', "</transitSchedule>", codec, single_file)
+
+
 #: Columns of the two profiles.
 SPAN_COLUMNS = ["timestamp", "target", "func_name", "duration", "sim_time", "rank", "uuid"]
 ROUTING_COLUMNS = ["timestamp", "target", "func_name", "duration", "sim_time", "request_uuid", "person_id", "mode"]
