@@ -47,3 +47,10 @@ def test_no_shared_folder(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.shared_dir(Session())
+
+
+def test_parts_of_a_population(spark):
+    p = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "person string, n int")
+    assert planops.united([p.filter("person = 'a'"), p.filter("person = 'b'"), p.limit(0)]).count() == 3
+    with pytest.raises(ValueError, match="several parts"):
+        planops.united([p, p.filter("n = 2")])
