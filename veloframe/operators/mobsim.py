@@ -1,29 +1,38 @@
 """The queue simulation of plans on a network: an event-driven kernel, one group per scenario.
 
-A tick depends on the one before, so one scenario is one task; scenarios (samples, seeds, policies) run in parallel through a grouped map. The
-kernel never scans idle links: links and nodes are visited only while something on them is due. A network and plans of one scenario must fit
+A tick depends on the one before, so a scenario is simulated by one task; scenarios (samples, seeds, policies) run in parallel, each task has many
+and takes them from its sorted rows one after the other. The kernel never scans idle links: links and nodes are visited only when something on
+them is due, and while they wait for flow or room they rest until there can be some. A network, and the plans and vehicles of one scenario, must fit
 into a task's memory, which MOST_ELEMENTS checks; plans with teleported legs only don't need it (planops.teleport_schedule)."""
 
 from __future__ import annotations
 
 import copy
 import heapq
+import math
+from bisect import insort
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import groupby
+from operator import attrgetter
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veloframe.functions.rng import Stream
 from veloframe.functions.times import NS
 from veloframe.operators import routing, transit
-from veloframe.operators.events import COLUMNS, SCHEMA
+from veloframe.operators.events import COLUMNS, FIELDS, KINDS, SCHEMA
+from veloframe.storage import BROADCAST_ROWS
 
 #: Plan elements of one scenario that a task may be given (about 1 kB each).
 MOST_ELEMENTS = 5_000_000
+#: Events that a task hands over at a time.
+BATCH = 20_000
 #: Flow below this is none.
 MARGIN = 1e-10
 GAP_SPEED = 15 / 3.6
@@ -44,7 +53,7 @@ class Settings:
     seed: int = 4711
 
 
-@dataclass
+@dataclass(eq=False, slots=True)
 class Link:
     name: str
     tail: str
@@ -67,9 +76,37 @@ class Link:
     in_left: float = 0.0
     in_at: int = 0
     since: int | None = None
+    wake: int | None = None  # the earliest tick at which it is due
+    blocked: bool = False  # someone waits for flow
+    flow_at: int | None = None  # when there will be some; None: not before the buffer changes
+    starved: bool = False  # its node rests until a vehicle has left
 
 
-@dataclass
+class Network:
+    """What the links of a network are in a simulation, by id; scenarios make their own of those that they use."""
+
+    def __init__(self, links: pd.DataFrame, s: Settings):
+        self.rows: dict[str, tuple] = {}
+        for i, r in enumerate(links.sort_values("id").itertuples(index=False)):
+            flow_s = r.capacity * s.sample / 3600
+            free = r.length_m / r.freespeed
+            room = max(flow_s, r.length_m * r.permlanes * s.sample / s.cell, (free + (r.length_m / GAP_SPEED if s.kinematic else 0.0)) * flow_s)
+            inflow = r.permlanes / s.cell / (1 / GAP_SPEED + 1 / r.freespeed) * s.sample / s.ticks_per_second if s.kinematic else 0.0
+            gap = int(r.length_m / GAP_SPEED * s.ticks_per_second) if s.kinematic else -1
+            self.rows[r.id] = (r.id, r.from_node, r.to_node, r.length_m, r.freespeed, flow_s / s.ticks_per_second, room, gap, inflow, i)
+
+
+def _ticks(left: float, rate: float, most: float) -> int | None:
+    """Ticks until more than MARGIN is left, of what grows by the rate up to the most; None: never."""
+    if min(rate, most) <= MARGIN:
+        return None
+    n = max(1, int((MARGIN - left) / rate) - 1)
+    while n * rate + left <= MARGIN:
+        n += 1
+    return n
+
+
+@dataclass(eq=False, slots=True)
 class Agent:
     name: str
     elements: list[dict]
@@ -152,14 +189,17 @@ class Transit:
 
     def exchange(self, stop: str, t: int) -> None:
         for b in self.halting.get(stop, ()):
-            for a in [a for a in b.riders if a.now["egress_facility"] == stop]:
-                b.riders.remove(a)
+            out = [a for a in b.riders if a.now["egress_facility"] == stop]
+            b.riders = [a for a in b.riders if a.now["egress_facility"] != stop] if out else b.riders
+            for a in out:
                 self.sim.emit(t, "PersonLeavesVehicle", person=a.name, vehicle=b.vehicle)
                 self.sim.end_leg(a, t, a.now["end_link"])
             ahead = {s[0] for s in b.stops[b.pos + 1 :]}
             going = [a for a in self.waiting.get(stop, ()) if a.now["line"] == b.line and a.now["egress_facility"] in ahead]
+            if going:
+                gone = set(map(id, going))
+                self.waiting[stop] = [a for a in self.waiting[stop] if id(a) not in gone]
             for a in going:
-                self.waiting[stop].remove(a)
                 self.sim.emit(t, "PersonEntersVehicle", person=a.name, vehicle=b.vehicle)
                 b.riders.append(a)
 
@@ -220,26 +260,18 @@ class Simulation:
     """Ticks in this order: agents whose leg ended start their next element, activities that are over end, departures, nodes, links, transit,
     teleported arrivals. An agent that arrives in a tick starts its activity in the next one."""
 
-    def __init__(self, links: pd.DataFrame, elements: pd.DataFrame, vehicles: dict[str, tuple[float, float]], s: Settings, buses: list[Bus] | None = None, router: Callable[[str, str, float], list[str] | None] | None = None):
+    def __init__(self, links: Network | pd.DataFrame, elements: list[dict] | pd.DataFrame, vehicles: dict[str, tuple[float, float]], s: Settings, buses: list[Bus] | None = None, router: Callable[[str, str, float], list[str] | None] | None = None):
         self.s, self.tps = s, s.ticks_per_second
         self.events: list[tuple] = []
-        self.links: dict[str, Link] = {}
-        ins: dict[str, list[Link]] = {}
-        for i, r in enumerate(links.sort_values("id").itertuples(index=False)):
-            flow_s = r.capacity * s.sample / 3600
-            free = r.length_m / r.freespeed
-            room = max(flow_s, r.length_m * r.permlanes * s.sample / s.cell, (free + (r.length_m / GAP_SPEED if s.kinematic else 0.0)) * flow_s)
-            inflow = r.permlanes / s.cell / (1 / GAP_SPEED + 1 / r.freespeed) * s.sample / self.tps if s.kinematic else 0.0
-            link = Link(r.id, r.from_node, r.to_node, r.length_m, r.freespeed, flow_s / self.tps, room, int(r.length_m / GAP_SPEED * self.tps) if s.kinematic else -1, inflow, i, queue=[] if s.passing else deque())
-            link.left, link.in_left = link.flow, inflow
-            self.links[r.id] = link
-            ins.setdefault(r.to_node, []).append(link)
-        self.ins = ins
+        self.network = links if isinstance(links, Network) else Network(links, s)
+        self.links: dict[str, Link] = {}  # those in use
+        self.ins: dict[str, list[Link]] = {}
         self.random: dict[str, Stream] = {}
         self.vehicles = vehicles
         self.active: dict[int, Link] = {}  # links with someone waiting or due
         self.due: list[tuple[int, int, Link]] = []  # queue heads to look at again
         self.nodes: set[str] = set()
+        self.resting: list[tuple[int, str]] = []  # nodes that can't let anyone pass before
         self.sleeping: list[tuple[int, int, Agent]] = []
         self.waking: list[tuple[int, int, Agent, int]] = []  # agents who look for a route before their activity ends
         self.router = router
@@ -248,7 +280,11 @@ class Simulation:
         self.pending: list[Agent] = []
         self.n = 0
         self.transit = Transit(self, buses) if buses is not None else None
-        self.agents = [Agent(p, g.sort_values("elem_idx").to_dict("records")) for p, g in elements.groupby("person", sort=True)]
+        plans: dict[str, list[dict]] = {}
+        for e in elements.to_dict("records") if isinstance(elements, pd.DataFrame) else elements:
+            if e["person"] is not None:
+                plans.setdefault(e["person"], []).append(e)
+        self.agents = [Agent(p, sorted(plans[p], key=lambda e: (e["elem_idx"] is None, e["elem_idx"]))) for p in sorted(plans)]
 
     # time
 
@@ -296,7 +332,7 @@ class Simulation:
             a.vehicle = e["vehicle"] or f"{a.name}_{mode}"
             a.pce, a.top = self.vehicles.get(a.vehicle, (1.0, float("inf")))
             self.emit(t, "PersonEntersVehicle", person=a.name, vehicle=a.vehicle)
-            link = self.links.get(a.links[0])
+            link = self.link(a.links[0])
             if link is None:
                 self.abort(a, t, a.links[0])
                 return
@@ -321,6 +357,23 @@ class Simulation:
 
     # links
 
+    def link(self, name: str) -> Link | None:
+        k = self.links.get(name)
+        if k is None and (row := self.network.rows.get(name)) is not None:
+            k = self.links[name] = Link(*row, queue=[] if self.s.passing else deque())
+            k.left, k.in_left = k.flow, k.inflow
+            insort(self.ins.setdefault(k.head, []), k, key=attrgetter("order"))
+        return k
+
+    def watch(self, k: Link, t: int) -> None:
+        """Has the link looked at when its first vehicle is due or there is flow again."""
+        at = k.flow_at
+        if k.queue and (h := k.queue[0][0]) > t and (at is None or h < at):
+            at = h
+        if at is not None and (k.wake is None or at < k.wake):
+            k.wake = at
+            heapq.heappush(self.due, (at, k.order, k))
+
     def update_flow(self, k: Link, t: int) -> None:
         if k.at < t:
             k.left, k.at = min((t - k.at) * k.flow + k.left, k.flow - k.in_buffer), t
@@ -340,6 +393,9 @@ class Simulation:
             k.used -= pce
         else:
             k.gaps.append((t + k.gap, pce))
+        if k.starved:
+            k.starved = False
+            self.nodes.add(k.tail)
 
     def enter(self, k: Link, a: Agent, t: int) -> None:
         out = t + max(1, int(k.length / min(k.speed, a.top) * self.tps))
@@ -350,7 +406,16 @@ class Simulation:
             heapq.heappush(k.queue, (out, self.n, a))
         else:
             k.queue.append((out, self.n, a))
-        heapq.heappush(self.due, (k.queue[0][0], k.order, k))
+        self.watch(k, t)
+
+    def from_buffer(self, k: Link, t: int) -> Agent:
+        if k.blocked:  # it may have flow now; up to here it had room for less
+            self.update_flow(k, t - 1)
+            self.active[k.order] = k
+        a = k.buffer.popleft()
+        k.in_buffer -= a.pce
+        k.since = t
+        return a
 
     def to_buffer(self, k: Link, a: Agent) -> None:
         k.left -= a.pce
@@ -388,19 +453,17 @@ class Simulation:
         for a in ended:
             self.emit(t, "PersonLeavesVehicle", person=a.name, vehicle=a.vehicle)
             self.end_leg(a, t, k.name)
-        if k.buffer:
+        if empty and k.buffer:
             self.nodes.add(k.head)
-        if k.waiting or (k.queue and k.queue[0][0] <= t):
-            self.active[k.order] = k
-        else:
-            self.active.pop(k.order, None)
-            if k.queue:
-                heapq.heappush(self.due, (k.queue[0][0], k.order, k))
+        k.blocked = bool(k.waiting or (k.queue and k.queue[0][0] <= t))
+        n = _ticks(k.left, k.flow, k.flow - k.in_buffer) if k.blocked else None
+        k.flow_at = None if n is None else t + n
+        self.watch(k, t)
 
     def move_node(self, node: str, t: int) -> bool:
         offers = [k for k in self.ins.get(node, ()) if k.buffer]
         total = sum(k.flow for k in offers)
-        rng = None
+        rng = full = None
         while offers and total > MARGIN:
             if len(offers) == 1:
                 i = 0
@@ -418,24 +481,43 @@ class Simulation:
             total -= k.flow
             while k.buffer:
                 a = k.buffer[0]
-                to = self.links.get(a.links[a.hop + 1])
+                to = self.link(a.links[a.hop + 1])
                 if to is None or to.tail != node:
-                    k.buffer.popleft()
-                    k.in_buffer -= a.pce
-                    k.since = t
+                    self.from_buffer(k, t)
                     self.abort(a, t, k.name)
                     continue
                 stuck = k.since is not None and t - k.since > self.s.stuck_s * self.tps
                 if not self.has_room(to, t) and not stuck:
+                    full = k, to
                     break
-                k.buffer.popleft()
-                k.in_buffer -= a.pce
-                k.since = t
+                self.from_buffer(k, t)
                 a.hop += 1
                 self.emit(t, "left link", link=k.name, vehicle=a.vehicle)
                 self.emit(t, "entered link", link=to.name, vehicle=a.vehicle)
                 self.enter(to, a, t)
-        return any(k.buffer for k in self.ins.get(node, ()))
+        rest = sum(1 for k in self.ins.get(node, ()) if k.buffer)
+        if rest == 1 and full is not None and full[0].buffer:  # with more, each tick draws who is first
+            self.rest(node, *full, t)
+            return False
+        return rest > 0
+
+    def rest(self, node: str, k: Link, to: Link, t: int) -> None:
+        """The next tick in which the first vehicle of k may enter: there is room and inflow, or it has been stuck for too long."""
+        room, used = (t, to.used) if to.room - to.used > 0.0 else (None, to.used)
+        if room is None:
+            for at, pce in to.gaps:
+                used -= pce
+                if to.room - used > 0.0:
+                    room = at
+                    break
+            else:
+                to.starved = True
+        flow = _ticks(to.in_left, to.inflow, to.inflow) if to.inflow and to.in_left <= MARGIN else 0
+        times = [] if room is None or flow is None else [max(room, t + flow)]
+        if k.since is not None:
+            times.append(k.since + math.floor(self.s.stuck_s * self.tps) + 1)
+        if times:
+            heapq.heappush(self.resting, (max(min(times), t + 1), node))
 
     # loop
 
@@ -462,15 +544,21 @@ class Simulation:
             self.depart(a, t)
         if self.transit is not None:
             self.transit.start_drivers(t)
+        while self.resting and self.resting[0][0] <= t:
+            self.nodes.add(heapq.heappop(self.resting)[1])
         for node in sorted(self.nodes):
             if not self.move_node(node, t):
                 self.nodes.discard(node)
         while self.due and self.due[0][0] <= t:
-            _, o, k = heapq.heappop(self.due)
-            if k.queue and k.queue[0][0] <= t:
+            at, o, k = heapq.heappop(self.due)
+            k.wake = None if at == k.wake else k.wake
+            if (k.queue and k.queue[0][0] <= t) or (k.flow_at is not None and k.flow_at <= t):
                 self.active[o] = k
-        for o in sorted(self.active):
-            self.move_link(self.active[o], t)
+            else:
+                self.watch(k, t)
+        links, self.active = self.active, {}
+        for o in sorted(links):
+            self.move_link(links[o], t)
         if self.transit is not None:
             self.transit.step(t)
         while self.flying and self.flying[0][0] <= t:
@@ -484,9 +572,9 @@ class Simulation:
             self.end_leg(a, t, end)
 
     def next_tick(self, t: int) -> int | None:
-        if self.finished or self.pending or self.active or self.nodes:
+        if self.finished or self.pending or self.nodes:
             return t + 1
-        heads = [h[0][0] for h in (self.sleeping, self.waking, self.flying, self.due) if h] + (self.transit.heads() if self.transit is not None else [])
+        heads = [h[0][0] for h in (self.sleeping, self.waking, self.flying, self.due, self.resting) if h] + (self.transit.heads() if self.transit is not None else [])
         return max(min(heads), t + 1) if heads else None
 
     def run(self) -> list[tuple]:
@@ -509,6 +597,8 @@ class Simulation:
 
 
 _NEED = ["person", "elem_idx", "kind", "act_type", "link", "x", "y", "end_ns", "max_dur_ns", "mode", "routing_mode", "trav_ns", "route_trav_ns", "start_link", "end_link", "distance", "vehicle", "links", "line", "route", "access_facility", "egress_facility", "boarding_ns", "horizon_ns"]
+#: The kind of rows that tell a scenario's task of a vehicle: its name, with its pce and greatest speed as x and y.
+_VEHICLE = "vehicle"
 
 
 def _counted(df: DataFrame, what: str) -> DataFrame:
@@ -536,39 +626,112 @@ def simulate(elements: DataFrame, links: DataFrame, vehicles: DataFrame | None =
     """The event log of every scenario: ``scenario`` and the columns of an event log.
 
     elements: the selected plans' element rows with a ``scenario`` column; links: one row per link, the same for all; vehicles: ``vehicle, pce,
-    max_v``. With ``transit_tables`` legs of passenger modes that name a line wait for its vehicles and ride them; without, they are teleported.
+    max_v``, of which a task gets those that its scenarios drive. With ``transit_tables`` legs of passenger modes that name a line wait for its vehicles and ride them; without, they are teleported.
     With a ``graph`` agents whose activity has a ``horizon_ns`` look for a least-cost route of their next trip that long before the activity ends.
     Agents who haven't finished at the end are stuck. An empty table gives an empty log."""
-    over = elements.groupBy(scenario).count().filter(F.col("count") > MOST_ELEMENTS).limit(1).collect()
-    if over:
-        raise ValueError(f"scenario {over[0][0]} has {over[0][1]} elements, more than one task is given")
+    sizes = elements.groupBy(scenario).count().agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("count", scenario)).alias("top")).first()
+    if sizes["n"] and sizes["top"][0] > MOST_ELEMENTS:
+        raise ValueError(f"scenario {sizes['top'][1]} has {sizes['top'][0]} elements, more than one task is given")
     missing = {c: F.lit(None).cast("bigint" if c.endswith("_ns") else "array<string>" if c == "links" else "double" if c in ("x", "y", "distance") else "string").alias(c) for c in _NEED if c not in elements.columns}
     rows = elements.select(scenario, *(missing.get(c, F.col(c)) for c in _NEED))
     net = _counted(links.select("id", "from_node", "to_node", "length_m", "capacity", "freespeed", "permlanes").dropDuplicates(["id"]), "links").toPandas()
-    fleet = {r.vehicle: (float(r.pce), float(r.max_v)) for r in _counted(vehicles.select("vehicle", "pce", "max_v").dropDuplicates(["vehicle"]), "vehicles").collect()} if vehicles is not None else {}
-    shared = elements.sparkSession.sparkContext.broadcast((net, fleet, schedule(transit_tables) if transit_tables is not None else None, graph))
+    if vehicles is not None:
+        rows = rows.unionByName(_fleet(rows, vehicles.select("vehicle", "pce", "max_v"), scenario, settings, sizes["n"]))
+    shared = elements.sparkSession.sparkContext.broadcast((net, schedule(transit_tables) if transit_tables is not None else None, graph))
     kind = elements.schema[scenario].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        net_, fleet_, buses, g = shared.value
-        key = pdf[scenario].iloc[0]
-        clean = pdf.drop(columns=scenario).astype(object)
-        clean = clean.where(clean.map(lambda v: isinstance(v, (list, np.ndarray)) or not pd.isna(v)), None)
-        for c in ("end_ns", "max_dur_ns", "trav_ns", "route_trav_ns", "boarding_ns", "horizon_ns"):
-            clean[c] = clean[c].map(lambda v: None if v is None else int(v)).astype(object)
-            clean[c] = clean[c].where(clean[c].notna(), None)
-        cost = routing.free_cost(g) if g is not None else None
-
-        def route(a: str, z: str, at: float) -> list[str] | None:
-            found = routing.path(g, a, z, at, cost, False)
-            return None if found is None else [a, *found[0]]
-
-        log = Simulation(net_, clean, fleet_, settings, copy.deepcopy(buses), route if g is not None else None).run()
-        out = {scenario: [key] * len(log), "time_ns": [e[0] for e in log], "seq": range(len(log)), "type": [e[1] for e in log]}
-        for c in COLUMNS:
-            v = [e[2].get(c) for e in log]
-            out[c] = pd.array([None if x is None else int(x) for x in v], "Int64") if c == "boarding_time_ns" else [np.nan if x is None else float(x) for x in v] if c in ("x", "y", "relative_position", "distance", "delay") else pd.Series(v, dtype=object)
-        return pd.DataFrame(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net_, buses, g = shared.value
+        network, out, route = Network(net_, settings), _Log(scenario), None
+        if g is not None:
+            cost = routing.free_cost(g)  # the same at any time
+
+            @lru_cache(100_000)
+            def found(a: str, z: str) -> tuple[str, ...] | None:
+                way = routing.path(g, a, z, 0.0, cost, False)
+                return None if way is None else (a, *way[0])
+
+            def route(a: str, z: str, _: float) -> list[str] | None:
+                return None if (way := found(a, z)) is None else list(way)
+
+        for key, plans in _scenarios(batches, out):
+            fleet = {e["vehicle"]: (float(e["x"]), float(e["y"])) for e in plans if e["kind"] == _VEHICLE}
+            mine = None if buses is None else [copy.copy(b) for b in buses]
+            for b in mine or ():
+                b.riders = []
+            log = Simulation(network, [e for e in plans if e["kind"] != _VEHICLE], fleet, settings, mine, route).run()
+            yield from out.add(key, log)
+        yield from out.rest()
+
+    # one task has many scenarios, in rows that follow each other
+    return rows.repartition(F.col(scenario)).sortWithinPartitions(scenario).mapInArrow(run, f"`{scenario}` {kind}, {SCHEMA}")
+
+
+def _fleet(rows: DataFrame, vehicles: DataFrame, scenario: str, settings: Settings, scenarios: int) -> DataFrame:
+    """A row of kind _VEHICLE for the vehicles that each scenario drives and that the fleet knows; the fleet is spread like the plans."""
+    fleet = vehicles.dropDuplicates(["vehicle"])
+    n = fleet.count()
+    if n > MOST_ELEMENTS * max(scenarios, 1):
+        raise ValueError(f"{n} vehicles, more than the tasks of {scenarios} scenarios are given")
+    fleet = F.broadcast(fleet) if n <= BROADCAST_ROWS else fleet
+    own = F.when(F.length("vehicle") > 0, F.col("vehicle")).otherwise(F.concat_ws("_", F.col("person").cast("string"), "mode"))
+    driven = rows.filter((F.col("kind") == "leg") & F.col("mode").isin(*settings.main_modes)).select(F.col(scenario), own.alias("vehicle"))
+    known = {"kind": F.lit(_VEHICLE), "vehicle": F.col("vehicle"), "x": F.col("pce").cast("double"), "y": F.col("max_v").cast("double")}
+    return driven.join(fleet, "vehicle").select(scenario, *(known.get(c, F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in _NEED))
+
+
+def _scenarios(batches: Iterator[pa.RecordBatch], out: _Log) -> Iterator[tuple[object, list[dict]]]:
+    """The elements of one scenario after the other, from batches in the order of the scenarios; what is missing or no number is None."""
+    key, rows, any_ = None, [], False
+    for batch in batches:
+        out.kind = batch.schema.field(0).type
+        names, columns = batch.schema.names[1:], []
+        for c, v in zip(names, batch.columns[1:]):
+            if v.null_count == len(v):
+                columns.append([None] * len(v))
+            elif pa.types.is_floating(v.type):
+                columns.append([None if x is None or x != x else int(x) if c.endswith("_ns") else x for x in v.to_pylist()])
+            else:
+                columns.append([None if x is None else int(x) for x in v.to_pylist()] if c.endswith("_ns") and not pa.types.is_integer(v.type) else v.to_pylist())
+        elements = zip(*columns)
+        for k, group in groupby(batch.column(0).to_pylist()):
+            n = sum(1 for _ in group)
+            if any_ and k != key:
+                yield key, rows
+                rows = []
+            key, any_ = k, True
+            rows.extend(dict(zip(names, next(elements))) for _ in range(n))
+    if any_:
+        yield key, rows
+
+
+class _Log:
+    """Events of scenarios on their way to batches."""
+
+    def __init__(self, scenario: str):
+        self.scenario, self.kind = scenario, pa.string()
+        self.keys: list = []
+        self.seq: list[int] = []
+        self.events: list[tuple] = []
 
-    log = rows.groupBy(scenario).applyInPandas(run, f"`{scenario}` {kind}, {SCHEMA}")
-    return log.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("x", "y", "relative_position", "distance", "delay")})
+    def add(self, key: object, log: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(log), BATCH):
+            part = log[i : i + BATCH]
+            self.keys += [key] * len(part)
+            self.seq += range(i, i + len(part))
+            self.events += part
+            if len(self.events) >= BATCH:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if not self.events:
+            return
+        n = len(self.events)
+        times, types, fields = zip(*self.events)
+        used = {f for t in set(types) for f in FIELDS[t]}
+        columns = {self.scenario: pa.array(self.keys, self.kind), "time_ns": pa.array(times, pa.int64()), "seq": pa.array(self.seq, pa.int64()), "type": pa.array(types, pa.string())}
+        for c in COLUMNS:
+            kind = {"double": pa.float64(), "bigint": pa.int64()}.get(KINDS.get(c), pa.string())
+            columns[c] = pa.array([f.get(c) for f in fields], kind, from_pandas=True) if c in used else pa.nulls(n, kind)
+        self.keys, self.seq, self.events = [], [], []
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
