@@ -28,3 +28,7 @@ def fleet_of(spark, passing, monkeypatch):
 
 def test_a_fleet_larger_than_a_task_takes_with_passing(spark, monkeypatch):
     assert fleet_of(spark, True, monkeypatch) == sorted((str(i % 8), f"{i:04d}_car", 402 if i < 8 else i // 8 + 102) for i in range(24))
+
+
+def test_a_fleet_larger_than_a_task_takes_without_passing(spark, monkeypatch):
+    assert fleet_of(spark, False, monkeypatch) == sorted((str(i % 8), f"{i:04d}_car", 402) for i in range(24))
