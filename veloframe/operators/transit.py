@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROUTE = ["line", "route"]
+#: Time in which passengers of a stop are looked at together.
+SLICE_NS = 15 * 60 * 10**9
 
 
 def offsets(stops: DataFrame) -> DataFrame:
@@ -73,16 +75,27 @@ def boardings(waiting: DataFrame, calls: DataFrame) -> DataFrame:
     """The departure each waiting passenger takes: the first that calls at the stop at or after the time and later calls at the passenger's
     egress stop, of the line if one is named. waiting: ``agent, stop, egress, line, time_ns``; calls: a timetable.
 
-    A call stands once for each later stop of its departure, so passengers and calls meet on stop, egress and line, and one sorted window
-    looks ahead; nothing is compared with all departures of a stop."""
+    A call stands once for each later stop of its departure, so passengers and calls meet on stop, egress and line. Their times are cut into
+    slices, so that a stop where everybody waits is spread: in a slice one sorted window runs from the last call to the first, and for whoever has
+    no call left there the first call of the next slice that has one is looked up, by windows over slices instead of rows."""
     stops = F.array_sort(F.collect_list(F.struct("pos", "facility", "dep_ns")))
     trips = calls.groupBy(*ROUTE, "departure").agg(stops.alias("s"))  # bounded by the stops of a route
     at = trips.select(*ROUTE, "departure", F.posexplode("s").alias("i", "c"), "s").select(*ROUTE, "departure", "c", F.explode(F.array_distinct(F.transform(F.slice("s", F.col("i") + 2, F.size("s")), lambda x: x["facility"]))).alias("egress"))
     call = F.struct(F.col("c.dep_ns").alias("dep_ns"), *ROUTE, "departure")
     at = at.select(F.col("c.facility").alias("stop"), "egress", F.explode(F.array(F.col("line"), F.lit(None).cast("string"))).alias("key"), F.col("c.dep_ns").alias("t"), F.lit(1).alias("o"), F.lit(None).cast(waiting.schema["agent"].dataType).alias("agent"), call.alias("call"))
     who = waiting.select("stop", "egress", F.col("line").alias("key"), F.col("time_ns").alias("t"), F.lit(0).alias("o"), "agent", F.lit(None).cast(at.schema["call"].dataType).alias("call"))
-    ahead = Window.partitionBy("stop", "egress", "key").orderBy("t", "o", "call.line", "call.route", "call.departure").rowsBetween(0, Window.unboundedFollowing)
-    found = who.unionByName(at).withColumn("b", F.first("call", ignorenulls=True).over(ahead)).filter("o = 0 and b is not null")
+    key, order = ["stop", "egress", "key"], ["t", "o", "call.line", "call.route", "call.departure"]
+    slice_ = F.floor(F.col("t") / SLICE_NS).alias("slice")
+    rows = who.unionByName(at).withColumn("slice", slice_)
+    # backwards, as a frame that ends at the current row is not begun anew for each
+    back = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    here = back(*key, "slice").orderBy(*(F.col(c).desc() for c in order))
+    firsts = at.withColumn("slice", slice_).groupBy(*key, "slice").agg(F.min(F.struct("t", "call")).alias("f"))
+    slices = firsts.unionByName(who.select(*key, slice_).distinct(), allowMissingColumns=True).groupBy(*key, "slice").agg(F.max("f").alias("f"))
+    later = slices.select(*key, "slice", F.last("f.call", ignorenulls=True).over(Window.partitionBy(*key).orderBy(F.col("slice").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    found = rows.withColumn("b", F.last("call", ignorenulls=True).over(here)).filter("o = 0")
+    none = found.filter("b is null").drop("b", "call").alias("w").join(later.filter("later is not null").alias("l"), F.expr(" and ".join(f"w.{c} <=> l.{c}" for c in (*key, "slice")))).select("w.agent", F.col("l.later").alias("b"))
+    found = found.filter("b is not null").select("agent", "b").unionByName(none)
     return found.select("agent", F.col("b.line").alias("line"), F.col("b.route").alias("route"), F.col("b.departure").alias("departure"), F.col("b.dep_ns").alias("boarding_ns"))
 
 
