@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from veloframe.operators.dualtree import nearest_segment
 from veloframe.storage import materialize, parameters
 
 EDGE = ["from_node", "to_node"]
+#: Edges that are searched in one task; more are by rounds of joins.
+MOST_EDGES = 4_000_000
 
 
 def allows(modes: Column, mode: str) -> Column:
@@ -129,18 +135,57 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def hop_distances(nodes: DataFrame, links: DataFrame, sources: DataFrame, directed: bool = False) -> DataFrame:
-    """``node, hops`` from the nearest source (``node``), by breadth-first rounds; unreachable nodes have no row."""
-    edges = materialize(links.select(F.col("from_node").alias("node"), F.col("to_node").alias("other")).distinct() if directed else _neighbours(links), "edges")
-    reached = materialize(sources.select("node").distinct().withColumn("hops", F.lit(0)), "reached")
-    front, depth, all_ = reached, 0, [reached]
+    """``node, hops`` from the nearest source (``node``), by breadth-first rounds; unreachable nodes have no row.
+
+    Up to MOST_EDGES edges are searched in one task, as rounds are as many as the network is deep; beyond, each round is a join."""
+    edges = links.select(F.col("from_node").alias("node"), F.col("to_node").alias("other")).distinct() if directed else _neighbours(links)
+    edges = materialize(edges.filter("node is not null and other is not null"), "edges")
+    starts = materialize(sources.select("node").distinct(), "starts")
+    if edges.count() <= MOST_EDGES and starts.count() <= MOST_EDGES:
+        return _searched(edges, starts)
+    front = materialize(starts.withColumn("hops", F.lit(0)), "front")
+    reached, depth = front, 0
     while not front.isEmpty():
         depth += 1
         new = front.join(edges, "node").select(F.col("other").alias("node")).distinct()
-        for seen in [reduce(DataFrame.unionAll, all_)]:
-            new = new.join(seen.select("node"), "node", "left_anti")
-        front = materialize(new.withColumn("hops", F.lit(depth)), "front")
-        all_.append(front)
-    return reduce(DataFrame.unionAll, all_)
+        front = materialize(new.join(reached.select("node"), "node", "left_anti").withColumn("hops", F.lit(depth)), "front")
+        reached = reached.unionAll(front)
+        if depth % 16 == 0:  # few files a round
+            reached = materialize(reached, "reached")
+    return reached
+
+
+def _searched(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Hops by one search in one task, whose rounds are no jobs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (rows := list(batches)):
+            return
+        table = pa.Table.from_batches(rows)
+        first = table.filter(pc.field("start"))["node"]
+        if first.null_count:
+            yield pa.RecordBatch.from_pydict({"node": pa.nulls(1, pa.string()), "hops": pa.array([0], pa.int32())})
+        first = first.drop_null()
+        table = table.filter(~pc.field("start"))
+        names = pc.unique(pa.chunked_array([*first.chunks, *table["node"].chunks, *table["other"].chunks], pa.string()))
+        place = lambda c: pc.index_in(c, names).to_numpy()
+        tail, head = place(table["node"]), place(table["other"])
+        order = np.argsort(tail, kind="stable")
+        head, begins = head[order], np.searchsorted(tail[order], np.arange(len(names) + 1))
+        hops = np.full(len(names), -1, np.int32)
+        front, depth = np.unique(place(first)), 0
+        while len(front):
+            hops[front] = depth
+            depth += 1
+            lengths = begins[front + 1] - begins[front]
+            at = np.repeat(begins[front] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+            next_ = np.unique(head[at])
+            front = next_[hops[next_] < 0]
+        found = pa.table({"node": names.filter(pa.array(hops >= 0)), "hops": pa.array(hops[hops >= 0])})
+        yield from found.to_batches(max_chunksize=100_000)
+
+    rows = edges.select("node", "other", F.lit(False).alias("start")).unionByName(starts.select("node", F.lit(None).cast("string").alias("other"), F.lit(True).alias("start")))
+    return rows.coalesce(1).mapInArrow(run, "node string, hops int")
 
 
 def farthest_landmarks(nodes: DataFrame, links: DataFrame, first: str, count: int) -> list[str]:
