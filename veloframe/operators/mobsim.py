@@ -586,6 +586,8 @@ class Simulation:
         while nxt is not None and nxt <= end:
             self.step(nxt)
             nxt = self.next_tick(nxt)
+        for a in self.finished:  # in the last tick
+            a.pos += 1
         for a in (a for a in self.agents if not a.aborted):
             leg = a.pos < len(a.elements) and a.now["kind"] == "leg"
             if leg or a.pos + 1 < len(a.elements):
