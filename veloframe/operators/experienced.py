@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veloframe.functions.times import minus
 from veloframe.operators.network import route_distance
+from veloframe.storage import materialize
 
 
 def occupancy(events: DataFrame) -> DataFrame:
@@ -44,6 +45,7 @@ def transit_rides(events: DataFrame) -> DataFrame:
     return at.select("person", F.col("seq").alias("enter_seq"), F.col("at_line").alias("line"), F.col("at_route").alias("route"), F.col("at_stop_now").alias("access_facility"), F.when(F.col("_out.type") == "PersonLeavesVehicle", F.col("_out.at_stop_now")).alias("egress_facility"), F.col("time_ns").alias("boarding_time_ns"))
 
 
+TRANSIT = ["TransitDriverStarts", "VehicleArrivesAtFacility", "PersonLeavesVehicle"]
 PERSONAL = ["actstart", "actend", "departure", "arrival", "travelled", "travelled with pt", "PersonEntersVehicle", "stuckAndAbort"]
 DRIVING = ["vehicle enters traffic", "entered link", "vehicle leaves traffic"]
 
@@ -56,7 +58,9 @@ def experienced_plans(events: DataFrame, links: DataFrame) -> DataFrame:
     activity, or, between elements, the last one; a leg without an arrival is kept as aborted, with the links so far if it was driven. A leg
     is generic if it was teleported, a network route if a vehicle was entered, and a transit route if a transit vehicle was boarded or it
     travelled with pt. Drivers of transit vehicles have no plans. Events without a person, in vehicles nobody is in, or of other types are
-    ignored. The order is that of ``seq``."""
+    ignored. The order is that of ``seq``. The log, which is read several times and may be a simulation's, is written once first."""
+    needed = ["seq", "time_ns", "type", "person", "vehicle", "driver", "link", "facility", "x", "y", "act_type", "leg_mode", "routing_mode", "distance", "line", "route", "transit_line", "transit_route", "boarding_time_ns", "access_facility", "egress_facility", "relative_position"]
+    events = materialize(events.filter(F.col("type").isin(*PERSONAL, *DRIVING, *TRANSIT)).select(*needed), "log")
     drivers = events.filter("type = 'TransitDriverStarts'").select(F.col("driver").alias("person")).distinct()
     served = events.filter("type = 'TransitDriverStarts'").select("vehicle").distinct()
     cars = events.join(served, "vehicle", "left_anti")
