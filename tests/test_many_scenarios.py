@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from veloframe import catalogue_runs
 from veloframe.functions.times import NS
-from veloframe.operators import mobsim
+from veloframe.operators import experienced, mobsim
 
 LINK = "id string, from_node string, to_node string, length_m double, freespeed double, capacity double, permlanes double"
 
@@ -32,3 +32,29 @@ def test_a_fleet_larger_than_a_task_takes_with_passing(spark, monkeypatch):
 
 def test_a_fleet_larger_than_a_task_takes_without_passing(spark, monkeypatch):
     assert fleet_of(spark, False, monkeypatch) == sorted((str(i % 8), f"{i:04d}_car", 402) for i in range(24))
+
+
+def test_who_arrives_in_the_last_tick_is_not_stuck(spark):
+    one = {c: None for c in mobsim._NEED} | {"person": "x", "link": "a"}
+    plan = [one | {"elem_idx": 0, "kind": "act", "end_ns": 10 * NS}, one | {"elem_idx": 1, "kind": "leg", "mode": "walk", "trav_ns": 5 * NS}, one | {"elem_idx": 2, "kind": "act"}]
+    none = pd.DataFrame(columns=["id", "from_node", "to_node", "length_m", "capacity", "freespeed", "permlanes"])
+    kinds = lambda end: [e[1] for e in mobsim.Simulation(none, plan, {}, mobsim.Settings(end_s=end)).run()]
+    assert kinds(14)[-1] == "stuckAndAbort" and kinds(15)[-1] == "arrival" and kinds(16)[-1] == "actstart"
+
+
+def test_waiting_takes_no_ticks(spark, monkeypatch):
+    """Where one vehicle goes in 1,000 s there is nothing to do in between."""
+    net = pd.DataFrame([("a", "p", "q", 10.0, 3.6, 10.0, 50.0), ("c", "q", "r", 10.0, 3.6, 10.0, 50.0)], columns=["id", "from_node", "to_node", "length_m", "capacity", "freespeed", "permlanes"])
+    one = {c: None for c in mobsim._NEED} | {"link": "a"}
+    plans = [e | {"person": f"p{i}"} for i in range(5) for e in (one | {"elem_idx": 0, "kind": "act", "end_ns": 0}, one | {"elem_idx": 1, "kind": "leg", "mode": "car", "links": ["a", "c"]}, one | {"elem_idx": 2, "kind": "act"})]
+    ticks = []
+    monkeypatch.setattr(mobsim.Simulation, "step", lambda self, t, f=mobsim.Simulation.step: ticks.append(t) or f(self, t))
+    log = mobsim.Simulation(net, plans, {}, mobsim.Settings()).run()
+    assert [t // NS for t, k, _ in log if k == "vehicle enters traffic"] == [0, 1000, 2000, 3000, 4000] and len(ticks) < 40
+
+
+def test_plans_of_a_simulation_run_it_once(spark):
+    links = spark.createDataFrame([("a", "p", "q", 10.0, 10.0, 36000.0, 50.0), ("b", "q", "r", 1000.0, 10.0, 36000.0, 5000.0), ("c", "r", "s", 10.0, 10.0, 36000.0, 5000.0)], LINK)
+    plans = experienced.experienced_plans(mobsim.simulate(crowd(spark, 2, 2)[1], links), links)
+    text = plans._jdf.queryExecution().toString()
+    assert "InArrow" not in text and "InPandas" not in text and plans.count() == 12
