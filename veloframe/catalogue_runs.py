@@ -59,7 +59,7 @@ def _driving(links=("a", "b", "c")) -> dict:
 
 def _when(log_: DataFrame, **cases: tuple[str, str | None]) -> DataFrame:
     """Seconds of the first event of each kind (type, link) per scenario and vehicle or person."""
-    who = F.regexp_replace(F.coalesce("person", "vehicle"), "_car$", "")
+    who = F.regexp_replace(F.coalesce(*(c for c in ("person", "vehicle") if c in log_.columns)), "_car$", "")
     at = lambda k, l: F.min(F.when((F.col("type") == k) & (F.lit(True) if l is None else F.col("link") == l), F.expr(f"time_ns div {NS}")))  # noqa: E731, E741
     return log_.groupBy("scenario", who.alias("person")).agg(*(at(*c).alias(n) for n, c in cases.items()))
 
@@ -105,7 +105,7 @@ def _passing(spark, sf, passing: bool) -> DataFrame:
     links = spark.createDataFrame([("a", "p", "q", 10.0, 10.0, 3600.0 * 64, 50.0), ("b", "q", "r", 1000.0, 10.0, 3600.0 * 64, 5000.0), ("c", "r", "s", 10.0, 10.0, 3600.0 * 64, 5000.0)], _LINK)
     agents = _agents(spark, sf)
     fleet = agents.select(F.concat("person", F.lit("_car")).alias("vehicle"), F.lit(1.0).alias("pce"), F.when(F.col("event_id") % 3 == 0, 2.5).otherwise(50.0).alias("max_v"))
-    got = mobsim.simulate(_elements(agents, _driving()), links, fleet, mobsim.Settings(end_s=_END, passing=passing))
+    got = mobsim.simulate(_elements(agents, _driving()), links, fleet, mobsim.Settings(end_s=_END, passing=passing), types=["entered link", "left link"])
     return _when(got, entered_s=("entered link", "b"), left_s=("left link", "b"))
 
 

@@ -8,29 +8,33 @@ into a task's memory, which MOST_ELEMENTS checks; plans with teleported legs onl
 from __future__ import annotations
 
 import copy
+import gc
 import heapq
 import math
 from bisect import insort
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import groupby
+from itertools import repeat
 from operator import attrgetter
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veloframe.functions.rng import Stream
 from veloframe.functions.times import NS
 from veloframe.operators import routing, transit
-from veloframe.operators.events import COLUMNS, FIELDS, KINDS, SCHEMA
-from veloframe.storage import BROADCAST_ROWS
+from veloframe.operators.events import COLUMNS, FIELDS, KINDS
+from veloframe.storage import BROADCAST_ROWS, shuffle_partitions
 
 #: Plan elements of one scenario that a task may be given (about 1 kB each).
 MOST_ELEMENTS = 5_000_000
+#: Plan elements that are worth a task, while there are fewer tasks than partitions of a shuffle.
+LEAST_ELEMENTS = 20_000
 #: Events that a task hands over at a time.
 BATCH = 20_000
 #: Flow below this is none.
@@ -260,9 +264,12 @@ class Simulation:
     """Ticks in this order: agents whose leg ended start their next element, activities that are over end, departures, nodes, links, transit,
     teleported arrivals. An agent that arrives in a tick starts its activity in the next one."""
 
-    def __init__(self, links: Network | pd.DataFrame, elements: list[dict] | pd.DataFrame, vehicles: dict[str, tuple[float, float]], s: Settings, buses: list[Bus] | None = None, router: Callable[[str, str, float], list[str] | None] | None = None):
+    def __init__(self, links: Network | pd.DataFrame, elements: list[dict] | pd.DataFrame, vehicles: dict[str, tuple[float, float]], s: Settings, buses: list[Bus] | None = None, router: Callable[[str, str, float], list[str] | None] | None = None, types: frozenset[str] | None = None):
         self.s, self.tps = s, s.ticks_per_second
+        self.types = frozenset(FIELDS) if types is None else types  # of the events that are kept
         self.events: list[tuple] = []
+        self.seq: list[int] = []  # their places among all events
+        self.emitted = 0
         self.network = links if isinstance(links, Network) else Network(links, s)
         self.links: dict[str, Link] = {}  # those in use
         self.ins: dict[str, list[Link]] = {}
@@ -276,6 +283,7 @@ class Simulation:
         self.waking: list[tuple[int, int, Agent, int]] = []  # agents who look for a route before their activity ends
         self.router = router
         self.flying: list[tuple[int, str, Agent]] = []
+        self.heaps = self.sleeping, self.waking, self.flying, self.due, self.resting
         self.finished: list[Agent] = []
         self.pending: list[Agent] = []
         self.n = 0
@@ -284,7 +292,8 @@ class Simulation:
         for e in elements.to_dict("records") if isinstance(elements, pd.DataFrame) else elements:
             if e["person"] is not None:
                 plans.setdefault(e["person"], []).append(e)
-        self.agents = [Agent(p, sorted(plans[p], key=lambda e: (e["elem_idx"] is None, e["elem_idx"]))) for p in sorted(plans)]
+        place = lambda e: (e["elem_idx"] is None, e["elem_idx"])
+        self.agents = [Agent(p, sorted(plans[p], key=place)) for p in sorted(plans)]
 
     # time
 
@@ -292,7 +301,10 @@ class Simulation:
         return -(-int(ns) * self.tps // NS)
 
     def emit(self, t: int, kind: str, **fields) -> None:
-        self.events.append((t * NS // self.tps, kind, fields))
+        if kind in self.types:
+            self.events.append((t * NS // self.tps, kind, fields))
+            self.seq.append(self.emitted)
+        self.emitted += 1
 
     # agents
 
@@ -367,8 +379,8 @@ class Simulation:
 
     def watch(self, k: Link, t: int) -> None:
         """Has the link looked at when its first vehicle is due or there is flow again."""
-        at = k.flow_at
-        if k.queue and (h := k.queue[0][0]) > t and (at is None or h < at):
+        at, queue = k.flow_at, k.queue
+        if queue and (h := queue[0][0]) > t and (at is None or h < at):
             at = h
         if at is not None and (k.wake is None or at < k.wake):
             k.wake = at
@@ -398,7 +410,7 @@ class Simulation:
             self.nodes.add(k.tail)
 
     def enter(self, k: Link, a: Agent, t: int) -> None:
-        out = t + max(1, int(k.length / min(k.speed, a.top) * self.tps))
+        out = t + max(1, int(k.length / (k.speed if k.speed < a.top else a.top) * self.tps))
         k.used += a.pce
         k.in_left -= a.pce if k.inflow else 0.0
         self.n += 1
@@ -422,47 +434,51 @@ class Simulation:
         k.in_buffer += a.pce
         k.buffer.append(a)
 
-    def arrives(self, a: Agent) -> bool:
-        return a.hop == len(a.links) - 1
-
     def move_link(self, k: Link, t: int) -> None:
-        empty = not k.buffer
-        self.update_flow(k, t)
+        empty, queue, emit = not k.buffer, k.queue, self.emit
+        if k.at < t:
+            self.update_flow(k, t)
         ended = []
         while k.waiting and k.left > MARGIN:
             a = k.waiting.popleft()
-            self.emit(t, "vehicle enters traffic", vehicle=a.vehicle, link=k.name, person=a.name, network_mode=a.now["mode"], relative_position=1.0)
-            if self.arrives(a):
+            emit(t, "vehicle enters traffic", vehicle=a.vehicle, link=k.name, person=a.name, network_mode=a.now["mode"], relative_position=1.0)
+            if a.hop == len(a.links) - 1:
                 ended.append(a)
             else:
                 self.to_buffer(k, a)
-        while k.queue and k.queue[0][0] <= t:
-            a = k.queue[0][2]
-            if not self.arrives(a) and k.left <= MARGIN:
+        while queue and queue[0][0] <= t:
+            a = queue[0][2]
+            arrives = a.hop == len(a.links) - 1
+            if not arrives and k.left <= MARGIN:
                 break
-            (heapq.heappop if self.s.passing else deque.popleft)(k.queue)
+            if self.s.passing:
+                heapq.heappop(queue)
+            else:
+                queue.popleft()
             self.release(k, a.pce, t)
-            if self.arrives(a):
+            if arrives:
                 ended.append(a)
             else:
                 self.to_buffer(k, a)
+        if ended:
+            for a in ended:
+                emit(t, "vehicle leaves traffic", vehicle=a.vehicle, link=k.name, person=a.name, network_mode=a.now["mode"], relative_position=1.0)
+            for a in ended:
+                emit(t, "PersonLeavesVehicle", person=a.name, vehicle=a.vehicle)
+                self.end_leg(a, t, k.name)
         if empty and k.buffer:
             k.since = t
-        for a in ended:
-            self.emit(t, "vehicle leaves traffic", vehicle=a.vehicle, link=k.name, person=a.name, network_mode=a.now["mode"], relative_position=1.0)
-        for a in ended:
-            self.emit(t, "PersonLeavesVehicle", person=a.name, vehicle=a.vehicle)
-            self.end_leg(a, t, k.name)
-        if empty and k.buffer:
             self.nodes.add(k.head)
-        k.blocked = bool(k.waiting or (k.queue and k.queue[0][0] <= t))
+        k.blocked = bool(k.waiting or (queue and queue[0][0] <= t))
         n = _ticks(k.left, k.flow, k.flow - k.in_buffer) if k.blocked else None
         k.flow_at = None if n is None else t + n
         self.watch(k, t)
 
     def move_node(self, node: str, t: int) -> bool:
-        offers = [k for k in self.ins.get(node, ()) if k.buffer]
-        total = sum(k.flow for k in offers)
+        """Whether someone waits to pass in the next tick."""
+        offered = [k for k in self.ins.get(node, ()) if k.buffer]
+        offers = offered[:]
+        total = sum([k.flow for k in offers])
         rng = full = None
         while offers and total > MARGIN:
             if len(offers) == 1:
@@ -479,15 +495,15 @@ class Simulation:
             offers[i] = offers[-1]
             offers.pop()
             total -= k.flow
-            while k.buffer:
-                a = k.buffer[0]
-                to = self.link(a.links[a.hop + 1])
+            buffer = k.buffer
+            while buffer:
+                a = buffer[0]
+                to = self.links.get(a.links[a.hop + 1]) or self.link(a.links[a.hop + 1])
                 if to is None or to.tail != node:
                     self.from_buffer(k, t)
                     self.abort(a, t, k.name)
                     continue
-                stuck = k.since is not None and t - k.since > self.s.stuck_s * self.tps
-                if not self.has_room(to, t) and not stuck:
+                if not self.has_room(to, t) and not (k.since is not None and t - k.since > self.s.stuck_s * self.tps):
                     full = k, to
                     break
                 self.from_buffer(k, t)
@@ -495,7 +511,7 @@ class Simulation:
                 self.emit(t, "left link", link=k.name, vehicle=a.vehicle)
                 self.emit(t, "entered link", link=to.name, vehicle=a.vehicle)
                 self.enter(to, a, t)
-        rest = sum(1 for k in self.ins.get(node, ()) if k.buffer)
+        rest = len([k for k in offered if k.buffer])
         if rest == 1 and full is not None and full[0].buffer:  # with more, each tick draws who is first
             self.rest(node, *full, t)
             return False
@@ -522,15 +538,16 @@ class Simulation:
     # loop
 
     def step(self, t: int) -> None:
-        ended, self.finished = self.finished, []
-        starting, self.pending = self.pending, []
         legs = []
-        for a in ended:
-            a.pos += 1
-            if a.pos < len(a.elements):
-                (starting if a.now["kind"] == "act" else legs).append(a)
-        for a in starting:
-            self.start_activity(a, t)
+        if self.finished or self.pending:
+            ended, self.finished = self.finished, []
+            starting, self.pending = self.pending, []
+            for a in ended:
+                a.pos += 1
+                if a.pos < len(a.elements):
+                    (starting if a.now["kind"] == "act" else legs).append(a)
+            for a in starting:
+                self.start_activity(a, t)
         while self.waking and self.waking[0][0] <= t:
             _, _, a, end = heapq.heappop(self.waking)
             self.replan(a, end)
@@ -546,9 +563,10 @@ class Simulation:
             self.transit.start_drivers(t)
         while self.resting and self.resting[0][0] <= t:
             self.nodes.add(heapq.heappop(self.resting)[1])
-        for node in sorted(self.nodes):
-            if not self.move_node(node, t):
-                self.nodes.discard(node)
+        if self.nodes:
+            for node in sorted(self.nodes):
+                if not self.move_node(node, t):
+                    self.nodes.discard(node)
         while self.due and self.due[0][0] <= t:
             at, o, k = heapq.heappop(self.due)
             k.wake = None if at == k.wake else k.wake
@@ -556,9 +574,10 @@ class Simulation:
                 self.active[o] = k
             else:
                 self.watch(k, t)
-        links, self.active = self.active, {}
-        for o in sorted(links):
-            self.move_link(links[o], t)
+        if self.active:
+            links, self.active = self.active, {}
+            for o in sorted(links):
+                self.move_link(links[o], t)
         if self.transit is not None:
             self.transit.step(t)
         while self.flying and self.flying[0][0] <= t:
@@ -574,7 +593,9 @@ class Simulation:
     def next_tick(self, t: int) -> int | None:
         if self.finished or self.pending or self.nodes:
             return t + 1
-        heads = [h[0][0] for h in (self.sleeping, self.waking, self.flying, self.due, self.resting) if h] + (self.transit.heads() if self.transit is not None else [])
+        heads = [h[0][0] for h in self.heaps if h]
+        if self.transit is not None:
+            heads += self.transit.heads()
         return max(min(heads), t + 1) if heads else None
 
     def run(self) -> list[tuple]:
@@ -624,27 +645,32 @@ def schedule(tables: dict[str, DataFrame]) -> list[Bus]:
     return out
 
 
-def simulate(elements: DataFrame, links: DataFrame, vehicles: DataFrame | None = None, settings: Settings = Settings(), scenario: str = "scenario", transit_tables: dict[str, DataFrame] | None = None, graph: routing.Graph | None = None) -> DataFrame:
+def simulate(elements: DataFrame, links: DataFrame, vehicles: DataFrame | None = None, settings: Settings = Settings(), scenario: str = "scenario", transit_tables: dict[str, DataFrame] | None = None, graph: routing.Graph | None = None, types: Sequence[str] | None = None) -> DataFrame:
     """The event log of every scenario: ``scenario`` and the columns of an event log.
 
     elements: the selected plans' element rows with a ``scenario`` column; links: one row per link, the same for all; vehicles: ``vehicle, pce,
     max_v``, of which a task gets those that its scenarios drive. With ``transit_tables`` legs of passenger modes that name a line wait for its vehicles and ride them; without, they are teleported.
     With a ``graph`` agents whose activity has a ``horizon_ns`` look for a least-cost route of their next trip that long before the activity ends.
-    Agents who haven't finished at the end are stuck. An empty table gives an empty log."""
-    sizes = elements.groupBy(scenario).count().agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("count", scenario)).alias("top")).first()
+    Agents who haven't finished at the end are stuck. An empty table gives an empty log. With ``types`` only the events of these types leave the
+    tasks, as the filtered log: their ``seq`` stays the place in the whole one, and fields that none of them has are left out."""
+    sizes = elements.groupBy(scenario).count().agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("count", scenario)).alias("top"), F.sum("count").alias("rows")).first()
     if sizes["n"] and sizes["top"][0] > MOST_ELEMENTS:
         raise ValueError(f"scenario {sizes['top'][1]} has {sizes['top'][0]} elements, more than one task is given")
-    missing = {c: F.lit(None).cast("bigint" if c.endswith("_ns") else "array<string>" if c == "links" else "double" if c in ("x", "y", "distance") else "string").alias(c) for c in _NEED if c not in elements.columns}
-    rows = elements.select(scenario, *(missing.get(c, F.col(c)) for c in _NEED))
+    kinds = lambda c: "bigint" if c.endswith("_ns") else "array<string>" if c == "links" else "double" if c in ("x", "y", "distance") else "string"
+    asked = ["person", "kind", "vehicle", "x", "y"] if vehicles is not None else ["person", "kind"]
+    rows = elements.select(scenario, *(F.col(c) if c in elements.columns else F.lit(None).cast(kinds(c)).alias(c) for c in _NEED if c in elements.columns or c in asked))
     net = _counted(links.select("id", "from_node", "to_node", "length_m", "capacity", "freespeed", "permlanes").dropDuplicates(["id"]), "links").toPandas()
     if vehicles is not None:
         rows = rows.unionByName(_fleet(rows, vehicles.select("vehicle", "pce", "max_v"), scenario, settings, sizes["n"]))
     shared = elements.sparkSession.sparkContext.broadcast((net, schedule(transit_tables) if transit_tables is not None else None, graph))
     kind = elements.schema[scenario].dataType.simpleString()
+    kept = None if types is None else frozenset(types)
+    columns = [c for c in COLUMNS if kept is None or any(c in FIELDS[k] for k in kept)]
+    schema = "time_ns bigint, seq bigint, type string" + "".join(f", {c} {KINDS.get(c, 'string')}" for c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net_, buses, g = shared.value
-        network, out, route = Network(net_, settings), _Log(scenario), None
+        network, out, route = Network(net_, settings), _Log(scenario, columns), None
         if g is not None:
             cost = routing.free_cost(g)  # the same at any time
 
@@ -656,17 +682,22 @@ def simulate(elements: DataFrame, links: DataFrame, vehicles: DataFrame | None =
             def route(a: str, z: str, _: float) -> list[str] | None:
                 return None if (way := found(a, z)) is None else list(way)
 
-        for key, plans in _scenarios(batches, out):
-            fleet = {e["vehicle"]: (float(e["x"]), float(e["y"])) for e in plans if e["kind"] == _VEHICLE}
-            mine = None if buses is None else [copy.copy(b) for b in buses]
-            for b in mine or ():
-                b.riders = []
-            log = Simulation(network, [e for e in plans if e["kind"] != _VEHICLE], fleet, settings, mine, route).run()
-            yield from out.add(key, log)
-        yield from out.rest()
+        gc.disable()  # what a scenario leaves has no cycles
+        try:
+            for key, plans, fleet in _scenarios(batches, out):
+                mine = None if buses is None else [copy.copy(b) for b in buses]
+                for b in mine or ():
+                    b.riders = []
+                sim = Simulation(network, plans, fleet, settings, mine, route, kept)
+                log, sim.transit = sim.run(), None
+                yield from out.add(key, log, sim.seq)
+            yield from out.rest()
+        finally:
+            gc.enable()
 
-    # one task has many scenarios, in rows that follow each other
-    return rows.repartition(F.col(scenario)).sortWithinPartitions(scenario).mapInArrow(run, f"`{scenario}` {kind}, {SCHEMA}")
+    # one task has many scenarios, in rows that follow each other; by their bytes Spark would put too many of them into one
+    tasks = min(shuffle_partitions(elements.sparkSession), max(sizes["n"], 1), (sizes["rows"] or 0) // LEAST_ELEMENTS + 1)
+    return rows.repartition(tasks, F.col(scenario)).sortWithinPartitions(scenario).mapInArrow(run, f"`{scenario}` {kind}, {schema}")
 
 
 def _fleet(rows: DataFrame, vehicles: DataFrame, scenario: str, settings: Settings, scenarios: int) -> DataFrame:
@@ -675,52 +706,68 @@ def _fleet(rows: DataFrame, vehicles: DataFrame, scenario: str, settings: Settin
     n = fleet.count()
     if n > MOST_ELEMENTS * max(scenarios, 1):
         raise ValueError(f"{n} vehicles, more than the tasks of {scenarios} scenarios are given")
-    fleet = F.broadcast(fleet) if n <= BROADCAST_ROWS else fleet
+    fleet = F.broadcast(fleet) if n <= BROADCAST_ROWS else fleet.hint("merge")  # by its estimated size Spark may broadcast any
     own = F.when(F.length("vehicle") > 0, F.col("vehicle")).otherwise(F.concat_ws("_", F.col("person").cast("string"), "mode"))
     driven = rows.filter((F.col("kind") == "leg") & F.col("mode").isin(*settings.main_modes)).select(F.col(scenario), own.alias("vehicle"))
     known = {"kind": F.lit(_VEHICLE), "vehicle": F.col("vehicle"), "x": F.col("pce").cast("double"), "y": F.col("max_v").cast("double")}
-    return driven.join(fleet, "vehicle").select(scenario, *(known.get(c, F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in _NEED))
-
-
-def _scenarios(batches: Iterator[pa.RecordBatch], out: _Log) -> Iterator[tuple[object, list[dict]]]:
-    """The elements of one scenario after the other, from batches in the order of the scenarios; what is missing or no number is None."""
-    key, rows, any_ = None, [], False
+    return driven.join(fleet, "vehicle").select(scenario, *(known.get(c, F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns[1:]))
+
+
+def _listed(v: pa.Array, ns: bool) -> Iterable:
+    """The values of a column; what is missing or no number is None, and times are integers. Equal texts are one object."""
+    if v.null_count == len(v):
+        return repeat(None, len(v))
+    if pa.types.is_string(v.type):
+        codes = v.dictionary_encode()
+        texts = [*codes.dictionary.to_pylist(), None]
+        return [texts[i] for i in pc.fill_null(codes.indices, len(texts) - 1).to_numpy().tolist()]
+    if pa.types.is_list(v.type) and pa.types.is_string(v.type.value_type):
+        at, texts = v.offsets.to_numpy().tolist(), list(_listed(v.values, False))
+        return [texts[i:j] if ok else None for i, j, ok in zip(at, at[1:], v.is_valid().to_numpy(zero_copy_only=False).tolist())]
+    if pa.types.is_integer(v.type):
+        if not v.null_count:
+            return v.to_numpy().tolist()
+        return [x if ok else None for x, ok in zip(pc.fill_null(v, 0).to_numpy().tolist(), v.is_valid().to_numpy(zero_copy_only=False).tolist())]
+    if pa.types.is_floating(v.type):
+        return [None if x is None or x != x else int(x) if ns else x for x in v.to_pylist()]
+    return [None if x is None else int(x) for x in v.to_pylist()] if ns else v.to_pylist()
+
+
+def _scenarios(batches: Iterator[pa.RecordBatch], out: _Log) -> Iterator[tuple[object, list[dict], dict[str, tuple[float, float]]]]:
+    """The elements and the fleet of one scenario after the other, from batches in the order of the scenarios."""
+    key, rows, fleet, any_ = None, [], {}, False
     for batch in batches:
         out.kind = batch.schema.field(0).type
-        names, columns = batch.schema.names[1:], []
-        for c, v in zip(names, batch.columns[1:]):
-            if v.null_count == len(v):
-                columns.append([None] * len(v))
-            elif pa.types.is_floating(v.type):
-                columns.append([None if x is None or x != x else int(x) if c.endswith("_ns") else x for x in v.to_pylist()])
+        have = dict(zip(batch.schema.names[1:], batch.columns[1:]))
+        elements = zip(*(_listed(have[c], c.endswith("_ns")) if c in have else repeat(None, len(batch)) for c in _NEED))
+        kind, vehicle, x, y = (_NEED.index(c) for c in ("kind", "vehicle", "x", "y"))
+        for k, e in zip(batch.column(0).to_pylist(), elements):
+            if k != key or not any_:
+                if any_:
+                    yield key, rows, fleet
+                key, rows, fleet, any_ = k, [], {}, True
+            if e[kind] == _VEHICLE:
+                fleet[e[vehicle]] = float(e[x]), float(e[y])
             else:
-                columns.append([None if x is None else int(x) for x in v.to_pylist()] if c.endswith("_ns") and not pa.types.is_integer(v.type) else v.to_pylist())
-        elements = zip(*columns)
-        for k, group in groupby(batch.column(0).to_pylist()):
-            n = sum(1 for _ in group)
-            if any_ and k != key:
-                yield key, rows
-                rows = []
-            key, any_ = k, True
-            rows.extend(dict(zip(names, next(elements))) for _ in range(n))
+                rows.append(dict(zip(_NEED, e)))
     if any_:
-        yield key, rows
+        yield key, rows, fleet
 
 
 class _Log:
     """Events of scenarios on their way to batches."""
 
-    def __init__(self, scenario: str):
-        self.scenario, self.kind = scenario, pa.string()
+    def __init__(self, scenario: str, columns: Sequence[str] = COLUMNS):
+        self.scenario, self.columns, self.kind = scenario, columns, pa.string()
         self.keys: list = []
         self.seq: list[int] = []
         self.events: list[tuple] = []
 
-    def add(self, key: object, log: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def add(self, key: object, log: list[tuple], seq: Sequence[int]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(log), BATCH):
             part = log[i : i + BATCH]
             self.keys += [key] * len(part)
-            self.seq += range(i, i + len(part))
+            self.seq += seq[i : i + BATCH]
             self.events += part
             if len(self.events) >= BATCH:
                 yield from self.rest()
@@ -732,7 +779,7 @@ class _Log:
         times, types, fields = zip(*self.events)
         used = {f for t in set(types) for f in FIELDS[t]}
         columns = {self.scenario: pa.array(self.keys, self.kind), "time_ns": pa.array(times, pa.int64()), "seq": pa.array(self.seq, pa.int64()), "type": pa.array(types, pa.string())}
-        for c in COLUMNS:
+        for c in self.columns:
             kind = {"double": pa.float64(), "bigint": pa.int64()}.get(KINDS.get(c), pa.string())
             columns[c] = pa.array([f.get(c) for f in fields], kind, from_pandas=True) if c in used else pa.nulls(n, kind)
         self.keys, self.seq, self.events = [], [], []
