@@ -67,7 +67,7 @@ def _when(log_: DataFrame, **cases: tuple[str, str | None]) -> DataFrame:
 def queue_flow(spark, sf):
     """SIM-06, SIM-07, SIM-08, SIM-11, SIM-12, SIM-15, SIM-24, SEL-12, SEL-13, SEL-14, JON-01: a link that lets a vehicle depart every 64 s, one that takes 1,000 s and lets one pass every 128 s."""
     links = spark.createDataFrame([("a", "p", "q", 10.0, 10.0, 3600 / 64, 1.0), ("b", "q", "r", 10_000.0, 10.0, 3600 / 128, 50.0), ("c", "r", "s", 1000.0, 10.0, 36_000.0, 50.0)], _LINK)
-    got = mobsim.simulate(_elements(_agents(spark, sf), _driving()), links, settings=mobsim.Settings(end_s=_END))
+    got = mobsim.simulate(_elements(_agents(spark, sf), _driving()), links, settings=mobsim.Settings(end_s=_END), types=["PersonEntersVehicle", "vehicle enters traffic", "entered link", "left link", "vehicle leaves traffic"])
     return _when(got, boarded_s=("PersonEntersVehicle", None), departed_s=("vehicle enters traffic", None), entered_s=("entered link", "b"), left_s=("left link", "b"), arrived_s=("vehicle leaves traffic", None))
 
 
