@@ -162,7 +162,7 @@ def adaptive_routes(spark, sf):
     nodes = spark.createDataFrame([(n, 0.0, 0.0) for n in "pqrs"], "id string, x double, y double")
     agents = _agents(spark, sf)
     horizon = F.when(F.col("person").cast("long") % 2 == 1, F.lit(600 * NS))
-    got = mobsim.simulate(_elements(agents, _driving(), horizon), links, settings=mobsim.Settings(end_s=_END), graph=routing.build_graph(nodes, links, "car"))
+    got = mobsim.simulate(_elements(agents, _driving(), horizon), links, settings=mobsim.Settings(end_s=_END), graph=routing.build_graph(nodes, links, "car"), types=["entered link"])
     return got.filter("type = 'entered link' and link in ('b', 'd')").select("scenario", F.regexp_replace("vehicle", "_car$", "").alias("person"), "link")
 
 
