@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from veloframe.functions.times import minus
 from veloframe.operators.network import route_distance
-from veloframe.storage import materialize
+from veloframe.storage import materialize, shuffle_partitions
+
+#: Events that are worth a task, while there are fewer tasks than partitions of a shuffle.
+LEAST_EVENTS = 50_000
 
 
 def occupancy(events: DataFrame) -> DataFrame:
@@ -58,9 +61,11 @@ def experienced_plans(events: DataFrame, links: DataFrame) -> DataFrame:
     activity, or, between elements, the last one; a leg without an arrival is kept as aborted, with the links so far if it was driven. A leg
     is generic if it was teleported, a network route if a vehicle was entered, and a transit route if a transit vehicle was boarded or it
     travelled with pt. Drivers of transit vehicles have no plans. Events without a person, in vehicles nobody is in, or of other types are
-    ignored. The order is that of ``seq``. The log, which is read several times and may be a simulation's, is written once first."""
+    ignored. The order is that of ``seq``. The log, which is read several times and may be a simulation's, is written once first, as are the
+    activities and legs before they are numbered. Fields that the log hasn't got are null."""
     needed = ["seq", "time_ns", "type", "person", "vehicle", "driver", "link", "facility", "x", "y", "act_type", "leg_mode", "routing_mode", "distance", "line", "route", "transit_line", "transit_route", "boarding_time_ns", "access_facility", "egress_facility", "relative_position"]
-    events = materialize(events.filter(F.col("type").isin(*PERSONAL, *DRIVING, *TRANSIT)).select(*needed), "log")
+    events = materialize(events.filter(F.col("type").isin(*PERSONAL, *DRIVING, *TRANSIT)).select(*(c for c in needed if c in events.columns)), "log")
+    events = events.withColumns({c: F.lit(None).cast("double" if c in ("x", "y", "distance", "relative_position") else "bigint" if c.endswith("_ns") else "string") for c in needed if c not in events.columns})
     drivers = events.filter("type = 'TransitDriverStarts'").select(F.col("driver").alias("person")).distinct()
     served = events.filter("type = 'TransitDriverStarts'").select("vehicle").distinct()
     cars = events.join(served, "vehicle", "left_anti")
@@ -70,6 +75,7 @@ def experienced_plans(events: DataFrame, links: DataFrame) -> DataFrame:
     driven = occupied(occupancy(cars), cars.filter(F.col("type").isin(*DRIVING))).select(*cols)
     rides = boarded.select("person", F.col("enter_seq").alias("_s"), F.lit(True).alias("boards"), *(F.col(c).alias(f"b_{c}") for c in ("line", "route", "access_facility", "egress_facility", "boarding_time_ns")))
     rows = own.unionByName(driven).join(rides.withColumnRenamed("person", "_p"), (F.col("person") == F.col("_p")) & (F.col("seq") == F.col("_s")), "left")
+    rows = rows.repartition(min(shuffle_partitions(events.sparkSession), events.count() // LEAST_EVENTS + 1), "person")  # by their bytes Spark would take few tasks
     run = Window.partitionBy("person").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     so_far = Window.partitionBy("person").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     count = lambda kind, w: F.coalesce(F.sum((F.col("type") == kind).cast("int")).over(w), F.lit(0))
@@ -79,11 +85,11 @@ def experienced_plans(events: DataFrame, links: DataFrame) -> DataFrame:
     stuck_in = F.when(in_act & ~in_leg, "act").when(~in_leg, "last")
     rows = rows.withColumn("stuck", F.when(F.col("type") == "stuckAndAbort", stuck_in))
     # activities: number 0 is the one that was open at the beginning
-    act_no = F.when(F.col("type") == "actstart", F.col("acts")).when(F.col("type") == "actend", F.col("ends")).when(F.col("stuck") == "act", F.col("acts"))
+    act_no = F.when(F.col("type") == "actstart", F.col("acts")).when(F.col("type") == "actend", F.col("ends")).when(F.col("stuck") == "act", F.col("acts")).when(F.col("stuck") == "last", F.lit(-1))  # -1: the last element of the person is stuck
     on_act = F.col("type").isin("actstart", "actend")
     last_of = lambda c: F.max_by(F.when(on_act, F.col(c)), F.when(on_act, F.col("seq")))
     acts = rows.withColumn("no", act_no).filter("no is not null").groupBy("person", "no").agg(last_of("act_type").alias("act_type"), last_of("link").alias("link"), last_of("x").alias("x"), last_of("y").alias("y"), pick("actstart", "time_ns").alias("start_ns"), pick("actend", "time_ns").alias("end_ns"), F.min(F.when(on_act, F.col("seq"))).alias("at"), (F.count("stuck") > 0).alias("aborted"))
-    acts = acts.filter("at is not null").withColumn("kind", F.lit("act"))
+    acts = acts.filter("at is not null or no = -1").withColumn("kind", F.lit("act"))
     # legs
     leg_types = ["departure", "arrival", "travelled", "travelled with pt", "PersonEntersVehicle", *DRIVING]
     legs = rows.filter(F.col("type").isin(*leg_types) & (F.col("deps") > F.col("arrs"))).withColumn("no", F.col("deps"))
@@ -98,12 +104,14 @@ def experienced_plans(events: DataFrame, links: DataFrame) -> DataFrame:
     kind = F.when(F.col("boards") | F.col("pt"), "default_pt").when(F.col("vehicle").isNotNull(), "links").when(F.col("tele"), "generic")
     front = F.when(F.get("entered", F.lit(0)).eqNullSafe(F.col("start_link")), F.col("entered")).otherwise(F.concat(F.array("start_link"), "entered"))
     whole = F.when(F.col("end_link").isNull() | F.element_at(front, -1).eqNullSafe(F.col("end_link")), front).otherwise(F.concat(front, F.array("end_link")))
-    legs = legs.withColumn("route_type", kind).withColumn("links", F.when(F.col("route_type") == "links", whole)).withColumn("_leg", F.concat_ws("\u0001", "person", "no"))
-    driven_far = route_distance(legs.filter("links is not null and arr_ns is not null").select("_leg", "links", F.coalesce("from_position", F.lit(1.0)).alias("fp"), F.coalesce("to_position", F.lit(1.0)).alias("tp")), links, "_leg", F.col("fp"), F.col("tp"))
-    legs = legs.join(driven_far.withColumnRenamed("distance", "driven"), "_leg", "left").withColumns({"distance": F.when(F.col("route_type") == "links", F.col("driven")).otherwise(F.col("told")), "trav_ns": minus(F.col("arr_ns"), F.col("dep_ns")), "aborted": F.col("arr_ns").isNull(), "kind": F.lit("leg")})
+    legs = legs.withColumn("route_type", kind).withColumn("links", F.when(F.col("route_type") == "links", whole)).withColumn("kind", F.lit("leg")).drop("boards", "pt", "tele", "entered")
+    parts = materialize(acts.unionByName(legs, allowMissingColumns=True).withColumn("_leg", F.concat_ws("\u0001", "person", "no", F.when(F.col("kind") == "act", "act"))), "parts")
+    driven_far = route_distance(parts.filter("links is not null and arr_ns is not null").select("_leg", "links", F.coalesce("from_position", F.lit(1.0)).alias("fp"), F.coalesce("to_position", F.lit(1.0)).alias("tp")), links, "_leg", F.col("fp"), F.col("tp"))
+    is_leg = F.col("kind") == "leg"
+    both = parts.filter("no <> -1").join(driven_far.withColumnRenamed("distance", "driven"), "_leg", "left")
+    both = both.withColumns({"distance": F.when(F.col("route_type") == "links", F.col("driven")).otherwise(F.col("told")), "trav_ns": F.when(is_leg, minus(F.col("arr_ns"), F.col("dep_ns"))), "aborted": F.when(is_leg, F.col("arr_ns").isNull()).otherwise(F.col("aborted"))})
     order = Window.partitionBy("person").orderBy("at")
-    both = acts.drop("no").unionByName(legs.drop("no", "_leg", "told", "boards", "pt", "tele", "entered", "from_position", "to_position", "driven", "arr_ns"), allowMissingColumns=True)
-    marked = rows.filter("stuck = 'last'").select("person").distinct().withColumn("_stuck", F.lit(True))
+    marked = parts.filter("no = -1").select("person").distinct().withColumn("_stuck", F.lit(True))
     both = both.withColumn("elem_idx", (F.row_number().over(order) - 1).cast("int")).join(marked, "person", "left")
     is_last = F.col("elem_idx") == F.max("elem_idx").over(Window.partitionBy("person"))
     both = both.withColumn("aborted", F.col("aborted") | F.coalesce(F.col("_stuck") & is_last, F.lit(False)))
