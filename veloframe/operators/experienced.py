@@ -13,7 +13,7 @@ from veloframe.operators.network import route_distance
 from veloframe.storage import materialize, shuffle_partitions
 
 #: Events that are worth a task, while there are fewer tasks than partitions of a shuffle.
-LEAST_EVENTS = 50_000
+LEAST_EVENTS = 500_000
 
 
 def occupancy(events: DataFrame) -> DataFrame:
