@@ -79,7 +79,7 @@ select scenario, person, t as boarded_s, cast(e as bigint) as departed_s, cast(e
 def _storage(spark, sf, speed: float, settings: mobsim.Settings) -> DataFrame:
     """b is long and fast, c has room for one vehicle at a time."""
     links = spark.createDataFrame([("a", "p", "q", 10.0, 10.0, 3600.0, 50.0), ("b", "q", "r", 10_000.0, 100.0, 3600.0, 5000.0), ("c", "r", "s", 75.0, speed, 1.0, 1.0)], _LINK)
-    got = mobsim.simulate(_elements(_agents(spark, sf), _driving()), links, settings=settings, types=["entered link", "vehicle leaves traffic"])
+    got = mobsim.simulate(_elements(_agents(spark, sf), _driving()), links, settings=settings, types=["entered link", "vehicle leaves traffic"], ordered=False)
     return _when(got, entered_s=("entered link", "c"), arrived_s=("vehicle leaves traffic", None))
 
 

@@ -2,7 +2,8 @@
 
 A tick depends on the one before, so a scenario is simulated by one task; scenarios (samples, seeds, policies) run in parallel, each task has many
 and takes them from its sorted rows one after the other. The kernel never scans idle links: links and nodes are visited only when something on
-them is due, and while they wait for flow or room they rest until there can be some. A network, and the plans and vehicles of one scenario, must fit
+them is due, and while they wait for flow or room they rest until there can be some. Where all agents of a scenario drive one route, nobody
+overtakes, and the order of the log isn't asked for, vehicles are swept along the route one after the other instead of tick by tick. A network, and the plans and vehicles of one scenario, must fit
 into a task's memory, which MOST_ELEMENTS checks; plans with teleported legs only don't need it (planops.teleport_schedule)."""
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import repeat
-from operator import attrgetter
+from operator import attrgetter, lt
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -619,7 +621,140 @@ class Simulation:
         return self.events
 
 
+#: Types of the events that a sweep along a route tells.
+SWEPT = frozenset({"PersonEntersVehicle", "vehicle enters traffic", "left link", "entered link", "vehicle leaves traffic"})
+
+
+class Hop:
+    """A link of a route that all vehicles drive, as the next vehicle finds it: what Link has, with the ticks at which those before it went on."""
+
+    __slots__ = "flow", "room", "inflow", "stay", "back", "left", "at", "in_buffer", "inside", "turn", "passed", "used", "gaps", "in_left", "in_at"
+
+    def __init__(self, row: tuple, tps: int):
+        _, _, _, length, speed, self.flow, self.room, gap, self.inflow, _ = row
+        self.stay = max(1, int(length / speed * tps))
+        self.back = max(1, gap)  # nodes come before links in a tick
+        self.left, self.in_left = self.flow, self.inflow
+        self.at = self.in_at = 0
+        self.in_buffer = self.used = 0.0
+        self.inside: deque[int] = deque()  # when those in the buffer pass
+        self.gaps: deque[int] = deque()  # when there is room behind those who left
+        self.turn = self.passed = -1  # when the one before got into the buffer, and passed
+
+    def flows(self, t: int, never: int) -> int:
+        """The first tick from t on with flow for one who waits; as in Simulation, what the buffer has no room for is lost meanwhile."""
+        flow, inside, left = self.flow, self.inside, self.left
+        while left <= MARGIN:
+            most = flow - self.in_buffer
+            n = _ticks(left, flow, most)
+            passing = inside[0] if inside else never
+            if n is not None and t + n < passing:
+                t, left = t + n, min(n * flow + left, most)
+            elif passing < never:
+                if t < passing - 1:
+                    left = min((passing - 1 - t) * flow + left, most)
+                while inside and inside[0] == passing:
+                    inside.popleft()
+                    self.in_buffer -= 1.0
+                t, left = passing, min(flow + left, flow - self.in_buffer)
+            else:
+                return never
+            if t >= never:
+                return never
+        self.left = left
+        return t
+
+    def has_room(self, t: int) -> bool:
+        gaps = self.gaps
+        while gaps and gaps[0] <= t:
+            gaps.popleft()
+            self.used -= 1.0
+        if not self.inflow:
+            return self.room - self.used > 0.0
+        if self.in_at < t:
+            self.in_left, self.in_at = min((t - self.in_at) * self.inflow + self.in_left, self.inflow), t
+        return self.room - self.used > 0.0 and self.in_left > MARGIN
+
+    def opens(self, t: int, limit: int) -> int:
+        """The first tick after t with room and inflow; the limit, if there is none before."""
+        n = _ticks(self.in_left, self.inflow, self.inflow) if self.inflow and self.in_left <= MARGIN else 0
+        room, used = t, self.used
+        if self.room - used <= 0.0:
+            room = limit
+            for at in self.gaps:
+                used -= 1.0
+                if self.room - used > 0.0:
+                    room = at
+                    break
+        t = limit if n is None else min(max(room, t + n), limit)
+        self.has_room(t)
+        return t
+
+
+def corridor(network: Network, route: Sequence[str]) -> list[tuple] | None:
+    """The rows of a route's links, unless it can't be swept: some are unknown or don't follow each other, or it comes to a place again."""
+    rows = [network.rows.get(x) for x in route]
+    if len(rows) < 2 or None in rows or len(set(route)) < len(route):
+        return None
+    heads = [r[2] for r in rows[:-1]]
+    return rows if heads == [r[1] for r in rows[1:]] and len(set(heads)) == len(heads) else None
+
+
+def sweep(rows: list[tuple], departures: Iterable[int], s: Settings, times: list[list[int]]) -> None:
+    """What Simulation does with vehicles that all drive one route, in the order of their departures: each goes its whole way before the next, as
+    on a route without side roads it depends on those before it only. To the lists of times are added the ticks at which it enters
+    traffic, passes each node and leaves traffic; what doesn't happen until the end is a tick later."""
+    hops = [Hop(r, s.ticks_per_second) for r in rows]
+    pairs, final, first = list(zip(hops, hops[1:], times[1:])), hops[-1], hops[0]
+    never, stuck = s.end_s * s.ticks_per_second + 1, math.floor(s.stuck_s * s.ticks_per_second) + 1
+    entering, leaving = times[0], times[-1]
+    for t in departures:
+        for k, to, passing in pairs:
+            if t > k.turn:  # nobody waits
+                inside = k.inside
+                while inside and inside[0] <= t:
+                    inside.popleft()
+                    k.in_buffer -= 1.0
+                if k.at < t:
+                    k.left = min((t - k.at) * k.flow + k.left, k.flow - k.in_buffer)
+            else:
+                t = k.turn
+            if k.left <= MARGIN and t < never:
+                t = k.flows(t, never)
+            k.turn = k.at = t
+            if t >= never:
+                break
+            k.left -= 1.0
+            k.in_buffer += 1.0
+            if k is first:
+                entering.append(t)
+            else:
+                k.gaps.append(t + k.back)
+            since, t = (t, t + 1) if t >= k.passed else (k.passed, k.passed)
+            if not to.has_room(t) and t < since + stuck:
+                t = to.opens(t, since + stuck)
+            k.passed = t
+            if t >= never:
+                break
+            k.inside.append(t)
+            to.used += 1.0
+            to.in_left -= 1.0 if to.inflow else 0.0
+            passing.append(t)
+            t += to.stay
+        else:
+            final.turn = t = max(t, final.turn)
+            final.gaps.append(t + final.back)
+            leaving.append(min(t, never))
+            continue
+        for x in times:
+            if len(x) <= len(leaving):
+                x.append(never)
+
+
 _NEED = ["person", "elem_idx", "kind", "act_type", "link", "x", "y", "end_ns", "max_dur_ns", "mode", "routing_mode", "trav_ns", "route_trav_ns", "start_link", "end_link", "distance", "vehicle", "links", "line", "route", "access_facility", "egress_facility", "boarding_ns", "horizon_ns"]
+_PLAIN = frozenset({"person", "elem_idx", "kind", "end_ns", "mode", "links"})
+#: Columns without a meaning for events of types in SWEPT, where no agent rides transit or looks for a route.
+_UNREAD = frozenset({"act_type", "x", "y", "routing_mode", "end_link", "distance", "line", "route", "access_facility", "egress_facility", "boarding_ns", "horizon_ns"})
 #: The kind of rows that tell a scenario's task of a vehicle: its name, with its pce and greatest speed as x and y.
 _VEHICLE = "vehicle"
 
@@ -645,20 +780,23 @@ def schedule(tables: dict[str, DataFrame]) -> list[Bus]:
     return out
 
 
-def simulate(elements: DataFrame, links: DataFrame, vehicles: DataFrame | None = None, settings: Settings = Settings(), scenario: str = "scenario", transit_tables: dict[str, DataFrame] | None = None, graph: routing.Graph | None = None, types: Sequence[str] | None = None) -> DataFrame:
+def simulate(elements: DataFrame, links: DataFrame, vehicles: DataFrame | None = None, settings: Settings = Settings(), scenario: str = "scenario", transit_tables: dict[str, DataFrame] | None = None, graph: routing.Graph | None = None, types: Sequence[str] | None = None, ordered: bool = True) -> DataFrame:
     """The event log of every scenario: ``scenario`` and the columns of an event log.
 
     elements: the selected plans' element rows with a ``scenario`` column; links: one row per link, the same for all; vehicles: ``vehicle, pce,
     max_v``, of which a task gets those that its scenarios drive. With ``transit_tables`` legs of passenger modes that name a line wait for its vehicles and ride them; without, they are teleported.
     With a ``graph`` agents whose activity has a ``horizon_ns`` look for a least-cost route of their next trip that long before the activity ends.
     Agents who haven't finished at the end are stuck. An empty table gives an empty log. With ``types`` only the events of these types leave the
-    tasks, as the filtered log: their ``seq`` stays the place in the whole one, and fields that none of them has are left out."""
+    tasks, as the filtered log: their ``seq`` stays the place in the whole one, and fields that none of them has are left out. Not ordered, the log has
+    no ``seq`` and a scenario's events come in any order; those of types in SWEPT are then swept where that can be done."""
     sizes = elements.groupBy(scenario).count().agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("count", scenario)).alias("top"), F.sum("count").alias("rows")).first()
     if sizes["n"] and sizes["top"][0] > MOST_ELEMENTS:
         raise ValueError(f"scenario {sizes['top'][1]} has {sizes['top'][0]} elements, more than one task is given")
     kinds = lambda c: "bigint" if c.endswith("_ns") else "array<string>" if c == "links" else "double" if c in ("x", "y", "distance") else "string"
     asked = ["person", "kind", "vehicle", "x", "y"] if vehicles is not None else ["person", "kind"]
-    rows = elements.select(scenario, *(F.col(c) if c in elements.columns else F.lit(None).cast(kinds(c)).alias(c) for c in _NEED if c in elements.columns or c in asked))
+    swept = not ordered and vehicles is None and transit_tables is None and graph is None and not settings.passing and types is not None and SWEPT.issuperset(types)
+    unread = _UNREAD if swept else ()
+    rows = elements.select(scenario, *(F.col(c) if c in elements.columns else F.lit(None).cast(kinds(c)).alias(c) for c in _NEED if c in asked or c in elements.columns and c not in unread))
     net = _counted(links.select("id", "from_node", "to_node", "length_m", "capacity", "freespeed", "permlanes").dropDuplicates(["id"]), "links").toPandas()
     if vehicles is not None:
         rows = rows.unionByName(_fleet(rows, vehicles.select("vehicle", "pce", "max_v"), scenario, settings, sizes["n"]))
@@ -666,11 +804,11 @@ def simulate(elements: DataFrame, links: DataFrame, vehicles: DataFrame | None =
     kind = elements.schema[scenario].dataType.simpleString()
     kept = None if types is None else frozenset(types)
     columns = [c for c in COLUMNS if kept is None or any(c in FIELDS[k] for k in kept)]
-    schema = "time_ns bigint, seq bigint, type string" + "".join(f", {c} {KINDS.get(c, 'string')}" for c in columns)
+    schema = f"time_ns bigint, {'seq bigint, ' if ordered else ''}type string" + "".join(f", {c} {KINDS.get(c, 'string')}" for c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net_, buses, g = shared.value
-        network, out, route = Network(net_, settings), _Log(scenario, columns), None
+        network, out, route = Network(net_, settings), _Log(scenario, columns, ordered), None
         if g is not None:
             cost = routing.free_cost(g)  # the same at any time
 
@@ -684,13 +822,15 @@ def simulate(elements: DataFrame, links: DataFrame, vehicles: DataFrame | None =
 
         gc.disable()  # what a scenario leaves has no cycles
         try:
-            for key, plans, fleet in _scenarios(batches, out):
-                mine = None if buses is None else [copy.copy(b) for b in buses]
-                for b in mine or ():
-                    b.riders = []
-                sim = Simulation(network, plans, fleet, settings, mine, route, kept)
-                log, sim.transit = sim.run(), None
-                yield from out.add(key, log, sim.seq)
+            for told, others in _swept(batches, out, network, settings, kept) if swept else [((), batches)]:
+                yield from told
+                for key, plans, fleet in _scenarios(others, out):
+                    mine = None if buses is None else [copy.copy(b) for b in buses]
+                    for b in mine or ():
+                        b.riders = []
+                    sim = Simulation(network, plans, fleet, settings, mine, route, kept)
+                    log, sim.transit = sim.run(), None
+                    yield from out.add(key, log, sim.seq)
             yield from out.rest()
         finally:
             gc.enable()
@@ -754,11 +894,73 @@ def _scenarios(batches: Iterator[pa.RecordBatch], out: _Log) -> Iterator[tuple[o
         yield key, rows, fleet
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """The rows of batches in the order of the scenarios, cut between scenarios, and where each scenario of them ends."""
+    rest: list[pa.RecordBatch] = []
+
+    def together() -> tuple[pa.RecordBatch, list[int]]:
+        block = pa.concat_batches(rest)
+        return block, pc.run_end_encode(block.column(0)).run_ends.to_pylist()
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        ends = pc.run_end_encode(batch.column(0)).run_ends.to_pylist()
+        last = ends[-2] if len(ends) > 1 else 0
+        if last or rest and rest[-1].column(0)[-1] != batch.column(0)[0]:
+            rest += [batch.slice(0, last)]
+            yield together()
+            rest = []
+        rest.append(batch.slice(last))
+    if rest:
+        yield together()
+
+
+def _swept(batches: Iterator[pa.RecordBatch], out: _Log, network: Network, s: Settings, kept: frozenset[str]) -> Iterator[tuple[list[pa.RecordBatch], list[pa.RecordBatch]]]:
+    """Sweeps scenarios whose agents all drive one route from one activity to another: batches of their events, and the rows of the other scenarios."""
+    start, tps, ways = s.start_s * s.ticks_per_second, s.ticks_per_second, {}
+    for block, ends in _whole(batches):
+        out.kind = block.schema.field(0).type
+        have = dict(zip(block.schema.names[1:], block.columns[1:]))
+        if not _PLAIN <= have.keys() or not pa.types.is_string(have["person"].type) or not pa.types.is_integer(have["end_ns"].type) or have["person"].null_count or have["elem_idx"].null_count:
+            yield [], [block]
+            continue
+        person, place, kind, end, mode, links, vehicle = (list(_listed(have[c], False)) if c in have else [None] * len(block) for c in ("person", "elem_idx", "kind", "end_ns", "mode", "links", "vehicle"))
+        groups: dict[tuple, tuple] = {}
+        others: list[list[int]] = []
+        for i, j in zip([0, *ends], ends):
+            n, who, drives, by = (j - i) // 3, person[i:j:3], links[i + 1 : j : 3], mode[i + 1 : j : 3]
+            first, second, third = (place[x:j:3] for x in (i, i + 1, i + 2))
+            plain = kind[i:j] == ["act", "leg", "act"] * n and who == person[i + 1 : j : 3] == person[i + 2 : j : 3] and len(set(who)) == n and all(map(lt, first, second)) and all(map(lt, second, third))
+            plain = plain and None not in end[i:j:3] and by[0] in s.main_modes and by.count(by[0]) == n and drives[0] and drives.count(drives[0]) == n
+            if plain and (way := tuple(drives[0])) not in ways:
+                ways[way] = corridor(network, way)
+            if not plain or ways[way] is None:
+                if others and others[-1][1] == i:
+                    others[-1][1] = j
+                else:
+                    others.append([i, j])
+                continue
+            rows, whos, cars, left, times = groups.setdefault((way, by[0]), ([], [], [], [], [[] for _ in range(len(way) + 1)]))
+            ticks, who, car = zip(*sorted(zip([max(-(-x * tps // NS), start) for x in end[i:j:3]], who, vehicle[i + 1 : j : 3])))
+            sweep(ways[way], ticks, s, times)
+            rows += [i] * n
+            whos += who
+            cars += [v or f"{p}_{by[0]}" for p, v in zip(who, car)]
+            left += ticks
+        told = [x for g, v in groups.items() for x in out.told(block.column(0).take(pa.array(v[0])), *g, *v[1:], s, kept)]
+        yield told, [block.slice(i, j - i) for i, j in others]
+
+
+def _arrow(column: str) -> pa.DataType:
+    return {"double": pa.float64(), "bigint": pa.int64()}.get(KINDS.get(column), pa.string())
+
+
 class _Log:
     """Events of scenarios on their way to batches."""
 
-    def __init__(self, scenario: str, columns: Sequence[str] = COLUMNS):
-        self.scenario, self.columns, self.kind = scenario, columns, pa.string()
+    def __init__(self, scenario: str, columns: Sequence[str] = COLUMNS, ordered: bool = True):
+        self.scenario, self.columns, self.kind, self.ordered = scenario, columns, pa.string(), ordered
         self.keys: list = []
         self.seq: list[int] = []
         self.events: list[tuple] = []
@@ -779,8 +981,26 @@ class _Log:
         times, types, fields = zip(*self.events)
         used = {f for t in set(types) for f in FIELDS[t]}
         columns = {self.scenario: pa.array(self.keys, self.kind), "time_ns": pa.array(times, pa.int64()), "seq": pa.array(self.seq, pa.int64()), "type": pa.array(types, pa.string())}
+        if not self.ordered:
+            del columns["seq"]
         for c in self.columns:
-            kind = {"double": pa.float64(), "bigint": pa.int64()}.get(KINDS.get(c), pa.string())
+            kind = _arrow(c)
             columns[c] = pa.array([f.get(c) for f in fields], kind, from_pandas=True) if c in used else pa.nulls(n, kind)
         self.keys, self.seq, self.events = [], [], []
         yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    def told(self, keys: pa.Array, way: Sequence[str], mode: str, whos: list[str], cars: list[str], left: list[int], times: list[list[int]], s: Settings, kept: frozenset[str]) -> Iterator[pa.RecordBatch]:
+        """The events of a sweep."""
+        tps, fields = s.ticks_per_second, {"person": pa.array(whos, pa.string()), "vehicle": pa.array(cars, pa.string()), "network_mode": mode, "relative_position": 1.0}
+        kinds = [("PersonEntersVehicle", None, left), ("vehicle enters traffic", way[0], times[0]), ("vehicle leaves traffic", way[-1], times[-1])]
+        for a, b, t in zip(way, way[1:], times[1:]):
+            kinds += [("left link", a, t), ("entered link", b, t)]
+        for kind, link, ticks in kinds:
+            if kind in kept:
+                t = np.array(ticks, np.int64)
+                columns = {self.scenario: keys, "time_ns": pa.array(t // tps * NS + t % tps * NS // tps), "type": pa.repeat(kind, len(t))}
+                for c in self.columns:
+                    v = (fields | {"link": link}).get(c) if c in FIELDS[kind] else None
+                    columns[c] = v if isinstance(v, pa.Array) else pa.nulls(len(t), _arrow(c)) if v is None else pa.repeat(pa.scalar(v, _arrow(c)), len(t))
+                batch = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(pa.array(t <= s.end_s * tps))
+                yield from (batch.slice(i, BATCH) for i in range(0, len(batch), BATCH))
