@@ -9,7 +9,7 @@ import shutil
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veloframe.catalogue import _LOG, _OBS, log, table
@@ -33,14 +33,19 @@ def _folder(spark: SparkSession, name: str) -> str:
     return base.removeprefix("file://")
 
 
-def _elements(rows: DataFrame, leg: dict, horizon=None) -> DataFrame:
-    """Home, one leg and work of each row of ``scenario, person, t``; leg: the columns of the leg."""
+def _plan(leg: dict, horizon=None) -> Column:
+    """Home, one leg and work of a row of ``scenario, person, t``; leg: the columns of the leg."""
     kinds = dict(c.rsplit(" ", 1) for c in _ELEMENT.split(", "))
     element = lambda i, **v: F.struct(F.lit(i).alias("elem_idx"), *(v.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()))
     home = element(0, kind=F.lit("act"), act_type=F.lit("home"), link=F.lit("a"), end_ns=F.col("t") * NS, **({"horizon_ns": horizon} if horizon is not None else {}))
     ride = element(1, kind=F.lit("leg"), **leg)
     work = element(2, kind=F.lit("act"), act_type=F.lit("work"), link=F.lit("c"))
-    return rows.select("scenario", "person", F.explode(F.array(home, ride, work)).alias("e")).select("scenario", "person", "e.*")
+    return F.array(home, ride, work)
+
+
+def _elements(rows: DataFrame, leg: dict, horizon=None) -> DataFrame:
+    """The plans of all rows, an element a row."""
+    return rows.select("scenario", "person", F.explode(_plan(leg, horizon)).alias("e")).select("scenario", "person", "e.*")
 
 
 def _agents(spark, sf) -> DataFrame:
@@ -59,7 +64,8 @@ def _driving(links=("a", "b", "c")) -> dict:
 
 def _when(log_: DataFrame, **cases: tuple[str, str | None]) -> DataFrame:
     """Seconds of the first event of each kind (type, link) per scenario and vehicle or person."""
-    who = F.regexp_replace(F.coalesce(*(c for c in ("person", "vehicle") if c in log_.columns)), "_car$", "")
+    who = F.coalesce(*(c for c in ("person", "vehicle") if c in log_.columns))
+    who = F.when(who.endswith("_car"), who.substr(F.lit(1), F.length(who) - 4)).otherwise(who)
     at = lambda k, l: F.min(F.when((F.col("type") == k) & (F.lit(True) if l is None else F.col("link") == l), F.expr(f"time_ns div {NS}")))  # noqa: E731, E741
     return log_.groupBy("scenario", who.alias("person")).agg(*(at(*c).alias(n) for n, c in cases.items()))
 
@@ -79,7 +85,7 @@ select scenario, person, t as boarded_s, cast(e as bigint) as departed_s, cast(e
 def _storage(spark, sf, speed: float, settings: mobsim.Settings) -> DataFrame:
     """b is long and fast, c has room for one vehicle at a time."""
     links = spark.createDataFrame([("a", "p", "q", 10.0, 10.0, 3600.0, 50.0), ("b", "q", "r", 10_000.0, 100.0, 3600.0, 5000.0), ("c", "r", "s", 75.0, speed, 1.0, 1.0)], _LINK)
-    got = mobsim.simulate(_elements(_agents(spark, sf), _driving()), links, settings=settings, types=["entered link", "vehicle leaves traffic"], ordered=False)
+    got = mobsim.simulate(_agents(spark, sf), links, settings=settings, types=["entered link", "vehicle leaves traffic"], ordered=False, plan=_plan(_driving()))
     return _when(got, entered_s=("entered link", "c"), arrived_s=("vehicle leaves traffic", None))
 
 

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veloframe.functions.rng import Stream
@@ -780,7 +780,7 @@ def schedule(tables: dict[str, DataFrame]) -> list[Bus]:
     return out
 
 
-def simulate(elements: DataFrame, links: DataFrame, vehicles: DataFrame | None = None, settings: Settings = Settings(), scenario: str = "scenario", transit_tables: dict[str, DataFrame] | None = None, graph: routing.Graph | None = None, types: Sequence[str] | None = None, ordered: bool = True) -> DataFrame:
+def simulate(elements: DataFrame, links: DataFrame, vehicles: DataFrame | None = None, settings: Settings = Settings(), scenario: str = "scenario", transit_tables: dict[str, DataFrame] | None = None, graph: routing.Graph | None = None, types: Sequence[str] | None = None, ordered: bool = True, plan: Column | None = None) -> DataFrame:
     """The event log of every scenario: ``scenario`` and the columns of an event log.
 
     elements: the selected plans' element rows with a ``scenario`` column; links: one row per link, the same for all; vehicles: ``vehicle, pce,
@@ -788,15 +788,27 @@ def simulate(elements: DataFrame, links: DataFrame, vehicles: DataFrame | None =
     With a ``graph`` agents whose activity has a ``horizon_ns`` look for a least-cost route of their next trip that long before the activity ends.
     Agents who haven't finished at the end are stuck. An empty table gives an empty log. With ``types`` only the events of these types leave the
     tasks, as the filtered log: their ``seq`` stays the place in the whole one, and fields that none of them has are left out. Not ordered, the log has
-    no ``seq`` and a scenario's events come in any order; those of types in SWEPT are then swept where that can be done."""
-    sizes = elements.groupBy(scenario).count().agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("count", scenario)).alias("top"), F.sum("count").alias("rows")).first()
+    no ``seq`` and a scenario's events come in any order; those of types in SWEPT are then swept where that can be done.
+    With a ``plan`` elements has a row per person instead, which that column, an array of structs, makes the element rows of; where there are no
+    vehicles, only in the tasks."""
+    known = [] if plan is None else elements.select(plan.alias("plan")).schema["plan"].dataType.elementType.names
+    size = F.count(F.lit(1)) if plan is None else F.sum(F.greatest(F.size(plan.getField("kind")), F.lit(0)))
+    sizes = elements.groupBy(scenario).agg(size.alias("count")).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("count", scenario)).alias("top"), F.sum("count").alias("rows")).first()
     if sizes["n"] and sizes["top"][0] > MOST_ELEMENTS:
         raise ValueError(f"scenario {sizes['top'][1]} has {sizes['top'][0]} elements, more than one task is given")
     kinds = lambda c: "bigint" if c.endswith("_ns") else "array<string>" if c == "links" else "double" if c in ("x", "y", "distance") else "string"
     asked = ["person", "kind", "vehicle", "x", "y"] if vehicles is not None else ["person", "kind"]
     swept = not ordered and vehicles is None and transit_tables is None and graph is None and not settings.passing and types is not None and SWEPT.issuperset(types)
     unread = _UNREAD if swept else ()
-    rows = elements.select(scenario, *(F.col(c) if c in elements.columns else F.lit(None).cast(kinds(c)).alias(c) for c in _NEED if c in asked or c in elements.columns and c not in unread))
+    # one task has many scenarios, in rows that follow each other; by their bytes Spark would put too many of them into one
+    tasks = min(shuffle_partitions(elements.sparkSession), max(sizes["n"], 1), (sizes["rows"] or 0) // LEAST_ELEMENTS + 1)
+    spread = lambda df: df.repartition(tasks, F.col(scenario)).sortWithinPartitions(scenario)
+    folded = plan is not None and vehicles is None
+    if folded:  # a list a column and person
+        rows = spread(elements).select(scenario, "person", *(plan.getField(c).alias(c) for c in _NEED if c in known and c not in unread))
+    else:
+        elements = elements if plan is None else elements.select(scenario, "person", F.explode(plan).alias("element")).select(scenario, "person", "element.*")
+        rows = elements.select(scenario, *(F.col(c) if c in elements.columns else F.lit(None).cast(kinds(c)).alias(c) for c in _NEED if c in asked or c in elements.columns and c not in unread))
     net = _counted(links.select("id", "from_node", "to_node", "length_m", "capacity", "freespeed", "permlanes").dropDuplicates(["id"]), "links").toPandas()
     if vehicles is not None:
         rows = rows.unionByName(_fleet(rows, vehicles.select("vehicle", "pce", "max_v"), scenario, settings, sizes["n"]))
@@ -808,6 +820,7 @@ def simulate(elements: DataFrame, links: DataFrame, vehicles: DataFrame | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net_, buses, g = shared.value
+        batches = _opened(batches) if folded else batches
         network, out, route = Network(net_, settings), _Log(scenario, columns, ordered), None
         if g is not None:
             cost = routing.free_cost(g)  # the same at any time
@@ -835,9 +848,7 @@ def simulate(elements: DataFrame, links: DataFrame, vehicles: DataFrame | None =
         finally:
             gc.enable()
 
-    # one task has many scenarios, in rows that follow each other; by their bytes Spark would put too many of them into one
-    tasks = min(shuffle_partitions(elements.sparkSession), max(sizes["n"], 1), (sizes["rows"] or 0) // LEAST_ELEMENTS + 1)
-    return rows.repartition(tasks, F.col(scenario)).sortWithinPartitions(scenario).mapInArrow(run, f"`{scenario}` {kind}, {schema}")
+    return (rows if folded else spread(rows)).mapInArrow(run, f"`{scenario}` {kind}, {schema}")
 
 
 def _fleet(rows: DataFrame, vehicles: DataFrame, scenario: str, settings: Settings, scenarios: int) -> DataFrame:
@@ -894,6 +905,13 @@ def _scenarios(batches: Iterator[pa.RecordBatch], out: _Log) -> Iterator[tuple[o
         yield key, rows, fleet
 
 
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The element rows of persons whose columns, but the first two, are lists of an item an element."""
+    for batch in batches:
+        person = pc.list_parent_indices(batch.column(2))
+        yield pa.RecordBatch.from_arrays([*(c.take(person) for c in batch.columns[:2]), *(c.flatten() for c in batch.columns[2:])], names=batch.schema.names)
+
+
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
     """The rows of batches in the order of the scenarios, cut between scenarios, and where each scenario of them ends."""
     rest: list[pa.RecordBatch] = []
